@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, substring
-from .util import documents
+from . import bpe, packing, quality_rules, simhash, substring
+from .util import documents, stored
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(documents(spark, sf_dir), bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(quality_rules.features(documents(spark, sf_dir)).drop("text"), "features")
+    out = quality_rules.judged(rows, quality_rules.thresholds(quality_rules.sketches(rows)))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(packing.pieces(documents(spark, sf_dir), vocabulary))
@@ -35,10 +41,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
+    "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
