@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, simhash, substring
+from . import bpe, html_extract, langid, packing, quality_rules, simhash, substring, topk
 from .util import documents, stored
 
 
@@ -29,6 +29,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir), vocabulary))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = langid.identify(docs, langid.reference_texts(docs.filter(~langid.held_out())))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,13 +45,26 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(vectors, F.col("id") % 20 == 0)
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_extract.main_text(pages, html_extract.learn(pages))
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_language_id": op4_language_id,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_exact_topk_search": op8_exact_topk_search,
+    "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}
+ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op8_exact_topk_search": topk.ORACLE}
