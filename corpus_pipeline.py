@@ -1,8 +1,68 @@
-"""A corpus cleaned and packed in stages, each one an operator of statloom.llm."""
+"""A corpus cleaned and packed in stages, each one an operator of statloom.llm over all that the stage before kept.
 
-STAGES: list = []
+Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+A row is told by its id and its text's hash, so rows that repeat an id with other texts get verdicts of their own.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from statloom.llm import bpe, kneser_ney, packing, quality_rules, simhash, substring
+from statloom.llm.util import documents, stored
+
+#: No DuckDB SQL computes SimHash components or packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is within their language's limit."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    verdicts = kneser_ney.classify(kneser_ney.perplexities(docs, labels))
+    rejected = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+
+
+def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and their group's adaptive thresholds."""
+    limits = stored(quality_rules.thresholds(quality_rules.sketches(quality_rules.features(docs))), "limits")
+    return quality_rules.judged(quality_rules.features(docs), limits).filter("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: the one its component is named after (of repeated rows, one)."""
+    groups = simhash.near_duplicates(docs)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(first.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of passages that occur earlier; documents of which nothing is left go."""
+    out = substring.remove_repeats(docs)
+    changed = F.col("n_removed") > 0
+    out = out.filter(~changed | (F.col("kept_text") != ""))
+    return out.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of every document left."""
+    return packing.pack(packing.pieces(docs, bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rule_filter),
+    ("simhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .util import Recent
+from .util import Recent, small_batches
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies, white space by its Unicode property.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -199,14 +199,6 @@ def model_for(data: bytes) -> BytePairModel:
     return _LOADED[key]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `most_bytes`, a row at least."""
-    for batch in batches:
-        step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
-        for i in range(0, batch.num_rows, step):
-            yield batch.slice(i, step)
-
-
 def encode_table(docs: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids and decoded text of every row: (id, ids array<int>, decoded string)."""
     data = docs.sparkSession.sparkContext.broadcast(vocabulary)

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import small_batches
+from .util import small_batches
+
 
 SYMBOLS = 64
 BLANK, OTHER, PAD = 1, SYMBOLS - 1, 0

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import small_batches
-from .util import Recent, salt, shuffle_parts, stored
+from .util import Recent, salt, shuffle_parts, small_batches, stored
 
 END = 0
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"

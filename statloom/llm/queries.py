@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, langid, packing, quality_rules, simhash, substring, topk
+from . import bpe, html_extract, kneser_ney, langid, packing, quality_rules, simhash, substring, topk
 from .util import documents, stored
 
 
@@ -50,6 +50,11 @@ def op8_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("id") % 20 == 0)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = kneser_ney.perplexities(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return kneser_ney.classify(scored).drop("text_hash")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return html_extract.main_text(pages, html_extract.learn(pages))
@@ -64,6 +69,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_topk_search": op8_exact_topk_search,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
 }
 

@@ -26,9 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import small_batches
 from .components import components
-from .util import stored
+from .util import small_batches, stored
 
 SEED = 42
 #: Reference fingerprints: multiples of 2^64 / golden ratio, spread evenly and far from each other.

@@ -30,8 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import small_batches
-from .util import Recent, salt, stored
+from .util import Recent, opened, packed_blocks, salt, small_batches, stored
 
 BASES = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25))
 LONGEST = 256
@@ -186,44 +185,6 @@ def _facts(batches, window):
     yield from flush()
 
 
-def _packed(batches):
-    """(block, blob): the documents of each block that this task has read, compressed together."""
-    held: list[pa.RecordBatch] = []
-
-    def flush():
-        table = pa.Table.from_batches(held)
-        held.clear()
-        blocks = table.column("_block").to_numpy()
-        order = np.argsort(blocks, kind="stable")
-        found, at = np.unique(blocks[order], return_index=True)
-        blobs = []
-        for i, j in zip(at, [*at[1:], len(order)]):
-            sink = pa.BufferOutputStream()
-            part = table.take(pa.array(order[i:j])).combine_chunks()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(part)
-            blobs.append(sink.getvalue().to_pybytes())
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["block", "blob"])
-
-    size = 0
-    for batch in small_batches(batches):
-        held.append(batch)
-        size += batch.nbytes
-        if size > 32 << 20:
-            yield flush()
-            size = 0
-    if held:
-        yield flush()
-
-
-def _opened(blobs: pa.ChunkedArray):
-    for blob in blobs:
-        with pa.ipc.open_stream(blob.as_buffer()) as r:
-            yield from r
-
-
-
-
 class Known:
     """First places of digest pairs."""
 
@@ -276,13 +237,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     facts = stored(facts.select("kind", "a", "b", "block", "n", "first.doc", "first.start"), "facts")
     seen = facts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "start")).alias("first")).filter("n > 1").select("kind", "a", "b", "first")
     known = stored(facts.select("kind", "a", "b", "block").join(seen, ["kind", "a", "b"]).select("block", "kind", "a", "b", "first.doc", "first.start"), "known")
-    packed = blocked.select(*[c for c in kept if c != text_col], "_id", "_text", "_block").mapInArrow(_packed, "block int, blob binary")
+    packed = blocked.select(*[c for c in kept if c != text_col], "_id", "_text", "_block").mapInArrow(packed_blocks, "block int, blob binary")
 
     def candidates(blobs: pa.Table, facts: pa.Table) -> pa.Table:
         kinds = facts.column("kind").to_numpy()
         anchors = facts.column("a").to_numpy().view(np.uint64)[kinds == 0]
         segments, out = Known(facts.filter(pa.array(kinds == 1))), []
-        for batch in _opened(blobs.column("blob")) if len(anchors) else ():
+        for batch in opened(blobs.column("blob")) if len(anchors) else ():
             for part in small_batches([batch]):
                 flat = Flat(part.column("_text").to_pylist(), part.column("_id").to_pylist(), window)
                 d1, d2 = flat.digests()
@@ -314,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         kinds = facts.column("kind").to_numpy()
         windows, segments = Known(facts.filter(pa.array(kinds == 2))), Known(facts.filter(pa.array(kinds == 1)))
         out = []
-        for batch in _opened(blobs.column("blob")):
+        for batch in opened(blobs.column("blob")):
             for part in small_batches([batch]):
                 flat = Flat(part.column("_text").to_pylist(), part.column("_id").to_pylist(), window)
                 d1, d2 = flat.digests()

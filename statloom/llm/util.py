@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,47 @@ class Recent:
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         self.young[key] = value
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `most_bytes`, a row at least."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
+def packed_blocks(batches):
+    """(block, blob): the rows of each `_block` that this task has read, compressed together."""
+    held: list[pa.RecordBatch] = []
+
+    def flush():
+        table = pa.Table.from_batches(held)
+        held.clear()
+        blocks = table.column("_block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        found, at = np.unique(blocks[order], return_index=True)
+        blobs = []
+        for i, j in zip(at, [*at[1:], len(order)]):
+            sink = pa.BufferOutputStream()
+            part = table.take(pa.array(order[i:j])).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(part)
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["block", "blob"])
+
+    size = 0
+    for batch in small_batches(batches):
+        held.append(batch)
+        size += batch.nbytes
+        if size > 32 << 20:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def opened(blobs: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for blob in blobs:
+        with pa.ipc.open_stream(blob.as_buffer()) as r:
+            yield from r
