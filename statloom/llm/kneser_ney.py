@@ -11,9 +11,9 @@ grows with the corpus. Steps:
 3. The distinct grams of all documents get their probabilities by joins with these tables, sharded by gram and by
    context: max(c - D(c), 0) / total(context) + gamma(context) * P(lower order), down to the uniform distribution.
 4. Log-probabilities go to the blocks that hold the gram, which sum them per document.
-5. Perplexities of trusted documents give each language's quantiles, from counts in logarithmic buckets, which merge
-   by adding. A document is kept up to q99 * (q99 / q50) ** margin; short texts are first drawn towards the median
-   of their language by `prior` characters. Languages with under `least` trusted documents take those of all.
+5. One trusted document in `ASIDE` is left out of the counts; the perplexities of these, as unseen as any other
+   document's, give each language's quantiles, from counts in logarithmic buckets, which merge by adding. A document is kept up to q99 * (q99 / q50) ** margin; short texts are first drawn towards the median
+   of their language by `prior` characters. Languages with under `least` such documents take those of all.
 
 A gram shared by all documents is one row a block, counts are combined before each shuffle, and no group is
 collected. Defined results: null or empty text has no perplexity and is kept (nothing speaks against it); without
@@ -38,7 +38,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 START, END = "\x02", "\x03"
 SPACE, DIGIT = re.compile(r"\s+"), re.compile(r"\d")
 BUCKETS = 200
-_TABLE: list[np.ndarray] = []
+ASIDE = 5
 
 
 def normal(text: str, order: int = ORDER) -> str:
@@ -153,11 +153,12 @@ def probabilities(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> Da
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, lang, text_hash, trusted, chars, log_prob) of every row; log_prob is null without a model."""
+    """(id, lang, text_hash, aside, chars, log_prob) of every row; log_prob is null without a model."""
     docs = docs.select(id_col, text_col, F.col(lang_col).cast("string").alias("lang"))
     blocks, n = blocks_of(docs, id_col, text_col, block_bytes)
     trusted = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").alias("id")).distinct().withColumn("block", salt([F.col("id")], n))
-    counted = stored(gram_counts(blocks, trusted, order), "grams")
+    aside = F.pmod(F.xxhash64(F.col("id"), F.lit("aside")), F.lit(ASIDE)) == 0
+    counted = stored(gram_counts(blocks, trusted.filter(~aside), order), "grams")
     summed = stored(counted.groupBy("gram").agg(F.sum("n").alias("c")), "summed")
     scored = stored(probabilities(summed.select("gram"), summed.filter("c > 0"), order), "scored")
     back = counted.select("block", "gram").join(scored, "gram").select("block", "logp", "gram")
@@ -179,7 +180,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
     empty = pa.table({"id": pa.array([], pa.int64() if kind == "bigint" else pa.string()), "lang": pa.array([], pa.string()), "text_hash": pa.array([], pa.int64()), "chars": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64())})
     sums = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"id {kind}, lang string, text_hash bigint, chars bigint, log_prob double")
-    return stored(sums.join(trusted.select("id", F.lit(True).alias("trusted")), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "sums")
+    return stored(sums.join(trusted.filter(aside).select("id", F.lit(True).alias("aside")), "id", "left").withColumn("aside", F.coalesce("aside", F.lit(False))), "sums")
 
 
 def quantiles(rows: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
@@ -193,17 +194,17 @@ def quantiles(rows: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFra
 def classify(scored: DataFrame, margin: float = 1.0, prior: int = 100, least: int = 50, id_col: str = "doc_id") -> DataFrame:
     """(id, lang, text_hash, chars, perplexity, threshold, kept) from `perplexities`."""
     scored = scored.withColumn("log_ppl", -F.col("log_prob") / F.when(F.col("chars") > 0, F.col("chars")))
-    trusted = scored.filter("trusted and log_ppl is not null").select("lang", "log_ppl", "chars")
+    trusted = scored.filter("aside and log_ppl is not null").select("lang", "log_ppl", "chars")
     every = quantiles(trusted, [], {"mid": 0.5})
     by_lang = quantiles(trusted, ["lang"], {"mid": 0.5})
     langs = scored.select("lang").distinct().crossJoin(F.broadcast(every.select(F.col("mid").alias("mid0"))))  # one row
     middle = langs.join(by_lang, langs["lang"].eqNullSafe(by_lang["lang"]), "left").select(langs["lang"].alias("l"), F.when(F.col("all") >= least, F.col("mid")).otherwise(F.col("mid0")).alias("mid"))
     drawn = scored.join(middle, scored["lang"].eqNullSafe(middle["l"]), "left").withColumn("drawn", (-F.col("log_prob") + prior * F.col("mid")) / (F.col("chars") + prior)).drop("l")
-    seen = drawn.filter("trusted and log_ppl is not null").select("lang", F.col("drawn").alias("log_ppl"))
+    seen = drawn.filter("aside and log_ppl is not null").select("lang", F.col("drawn").alias("log_ppl"))
     qs = {"q50": 0.5, "q99": 0.99}
     all_q = quantiles(seen, [], qs).select(F.col("q50").alias("e50"), F.col("q99").alias("e99"))
     lang_q = quantiles(seen, ["lang"], qs)
     limits = scored.select("lang").distinct().crossJoin(F.broadcast(all_q))
     limits = limits.join(lang_q, limits["lang"].eqNullSafe(lang_q["lang"]), "left").select(limits["lang"].alias("l"), F.when(F.col("all") >= least, F.col("q99") + margin * (F.col("q99") - F.col("q50"))).otherwise(F.col("e99") + margin * (F.col("e99") - F.col("e50"))).alias("limit"))
     out = drawn.join(limits, drawn["lang"].eqNullSafe(limits["l"]), "left")
-    return out.select(F.col("id").alias(id_col), "lang", "text_hash", "trusted", "chars", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("drawn") <= F.col("limit"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "lang", "text_hash", "chars", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("drawn") <= F.col("limit"), F.lit(True)).alias("kept"))
