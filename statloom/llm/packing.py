@@ -35,7 +35,7 @@ class ChunkTokenizer:
     The vocabulary's pre-tokenizer drops white space and its normalizer works within chunks, so a text's ids are
     its chunks' ids in turn."""
 
-    def __init__(self, data: bytes, memo: int = 300_000):
+    def __init__(self, data: bytes, memo: int = 500_000):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_buffer(data)
@@ -87,16 +87,17 @@ def pieces(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, id_col: str
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Bins that any packing needs: total length, and Martello and Toth's bound over each threshold."""
-    lengths = sorted(counts)
-    best = -(-sum(x * n for x, n in counts.items()) // capacity)
-    for k in [0, *(x for x in lengths if 2 * x <= capacity)]:
-        big = sum(n for x, n in counts.items() if x > capacity - k)
-        mid = [(x, n) for x, n in counts.items() if capacity - k >= x and 2 * x > capacity]
-        small = sum(x * n for x, n in counts.items() if k <= x and 2 * x <= capacity)
-        free = sum((capacity - x) * n for x, n in mid)
-        best = max(best, big + sum(n for _, n in mid) + max(0, -(-(small - free) // capacity)))
-    return best
+    """Bins that any packing needs: total length, and Martello and Toth's bound over every threshold."""
+    n, size = np.zeros(capacity + 2, np.int64), np.arange(capacity + 2)
+    n[list(counts)] = list(counts.values())
+    upto_n, upto = np.cumsum(n), np.cumsum(n * size)  # of lengths up to x
+    half = capacity // 2
+    k = np.arange(half + 1)  # lengths under k are left out
+    long_n = upto_n[capacity] - upto_n[half]
+    mid_n, mid = upto_n[capacity - k] - upto_n[half], upto[capacity - k] - upto[half]
+    small = upto[half] - np.where(k > 0, upto[np.maximum(k - 1, 0)], 0)
+    need = long_n - (-(small - (capacity * mid_n - mid)) // capacity).clip(max=0)
+    return int(max(need.max(initial=0), -(-int(upto[capacity]) // capacity)))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -133,15 +134,26 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [(filling, n) for room in free for filling, n in bins[room]]
 
 
-def fillings(counts: dict[int, int], capacity: int, most: int = 12, steps: int = 4000) -> list[dict[int, int]]:
+def fillings(counts: dict[int, int], capacity: int, most: int = 8, steps: int = 800) -> list[dict[int, int]]:
     """Undominated fillings of a bin that holds the largest length, least waste first.
 
     A filling is dominated if a length left outside fits its waste, or could replace a smaller one in it."""
     lengths = sorted((x for x, n in counts.items() if n), reverse=True)
     top, found, spent = lengths[0], [], 0
 
+    rising = lengths[::-1]
+
+    def left_between(own, low, high):
+        """Whether a length in (low, high] is left outside."""
+        for i in range(bisect_left(rising, low + 1), len(rising)):
+            if rising[i] > high:
+                return False
+            if counts[rising[i]] > own.get(rising[i], 0):
+                return True
+        return False
+
     def dominated(own, waste):
-        return any(n > own.get(x, 0) and (x <= waste or any(y < x <= y + waste for y in own if y != top)) for x, n in counts.items())
+        return waste > 0 and (left_between(own, 0, waste) or any(left_between(own, y, y + waste) for y in own if y != top))
 
     def grow(at, room, own):
         nonlocal spent
@@ -163,7 +175,7 @@ def fillings(counts: dict[int, int], capacity: int, most: int = 12, steps: int =
     return [own for _, own in sorted(found, key=lambda f: f[0])[:most]]
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 300) -> list[tuple[dict[int, int], int]]:
+def plan(counts: dict[int, int], capacity: int, nodes: int = 100) -> list[tuple[dict[int, int], int]]:
     """(filling, times) by bin completion; `nodes` bounds the branch-and-bound search, never the items packed."""
     best = best_fit(counts, capacity)
     bins, bound = sum(n for _, n in best), lower_bound(counts, capacity)
@@ -199,7 +211,7 @@ def places(chosen: list[tuple[dict[int, int], int]], capacity: int) -> dict[int,
     return {x: np.array(rows, np.int64) for x, rows in out.items()}
 
 
-def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", nodes: int = 300) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", nodes: int = 100) -> DataFrame:
     """`cut` (from `pieces`) with sequence_id and offset, gapless from 0 in each sequence."""
     spark = cut.sparkSession
     cut = stored(cut, "pieces")
