@@ -3,8 +3,8 @@
 A window is `window` consecutive words; each word covered by a window whose word sequence starts earlier (smaller
 document id, or same document and earlier start) is removed. Steps, over whole texts:
 
-1. Map: each window's anchor is the least hash among its phrases of window // 2 words, so equal windows have equal
-   anchors and only about one phrase in six is an anchor. Counted on their hash, those seen twice recur.
+1. Map: each window's anchor is the least hash among its phrases of 3/10 of its words, so equal windows have equal
+   anchors and only about one phrase in eight is an anchor. Counted on their hash, those seen twice recur.
    Documents are also cut, by content, into segments of consecutive windows; equal segments are found by digest.
 2. Documents are dealt into blocks of bounded size, packed and compressed; recurring anchors and segments go to the
    blocks that hold them, at most one row for a block however often it holds them.
@@ -26,14 +26,14 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import Recent, opened, packed_blocks, salt, small_batches, stored
+from .util import opened, packed_blocks, salt, small_batches, stored
 
 BASES = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25))
 LONGEST = 256
+LETTERS = 4
 LAST = 2**63 - 1
 BLOCK_BYTES = 8 << 20
 ADDED = ("n_words", "n_removed", "kept_text")
@@ -52,32 +52,70 @@ def rolling(hashes: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     return out * BASES[2]
 
 
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of two bases and of their inverses modulo 2^64."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        _POWERS.clear()
+        for base in BASES[:2]:
+            pair = []
+            for x in (int(base), pow(int(base), -1, 2**64)):
+                out = np.full(n, x, np.uint64)
+                out[0] = 1
+                pair.append(np.multiply.accumulate(out))
+            _POWERS.append(tuple(pair))
+    return _POWERS
+
+
+def _mixed(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    h ^= size.astype(np.uint64) << np.uint64(56)
+    for shift in (33, 29, 32):
+        h ^= h >> np.uint64(shift)
+        h *= BASES[2]
+    return h
+
+
+def word_hashes(text: bytes, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes and the first byte of each word, from prefix sums; about `most` bytes at a time."""
+    first, second, places, at = [], [], [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > most:
+            end = at + most
+            while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+                end += 1
+        raw = np.frombuffer(text, np.uint8, end - at, at)
+        black = np.zeros(len(raw) + 2, bool)
+        black[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+        edge = np.flatnonzero(black[1:] != black[:-1])
+        begin, stop = edge[::2], edge[1::2]
+        wide = raw.astype(np.uint64) + np.uint64(1)
+        for out, (power, inverse) in zip((first, second), _powers(max(most, len(raw)) + 1)):
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(wide * power[: len(raw)], out=sums[1:])
+            out.append(_mixed((sums[stop] - sums[begin]) * inverse[begin], stop - begin))
+        places.append(begin + at)
+        at = end
+    empty = np.zeros(0, np.uint64)
+    return (np.concatenate(first) if first else empty, np.concatenate(second) if second else empty, np.concatenate(places) if places else np.zeros(0, np.int64))
+
+
 class Flat:
     """The words of many documents in one array, and what is asked of their windows."""
 
-    _memo = Recent(300_000)
-
     def __init__(self, texts: list[str | None], ids: list[int | None], window: int):
-        memo, digest = self._memo, xxhash.xxh64_intdigest
-        self.words = [(t or "").encode().split() for t in texts]
-        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.texts = [(t or "").encode() for t in texts]
+        self.values, self.others, place = word_hashes(b"\n".join(self.texts))
+        offset = np.cumsum([len(t) + 1 for t in self.texts])
+        self.doc = np.searchsorted(offset, place, "right")
+        self.size = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
         self.end = np.cumsum(self.size)
         self.begin = self.end - self.size
-        n = int(self.end[-1]) if len(self.end) else 0
-        values = np.empty(n, np.uint64)
-        for words, at in zip(self.words, self.begin.tolist()):
-            got = list(map(memo.young.get, words))
-            if None in got:
-                for i, g in enumerate(got):
-                    if g is None:
-                        w = words[i]
-                        if (g := memo[w]) is None:
-                            g = memo[w] = digest(w)
-                        got[i] = g
-            values[at : at + len(words)] = got
-        self.window, self.phrase, self.values = window, max(1, window // 2), values
+        self.window, self.phrase = window, max(1, window * 3 // 10)
         self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), self.size)
+        n = len(self.values)
         m = max(0, n - window + 1)
         self.whole = self.end[self.doc[:m]] - np.arange(m) >= window if m else np.zeros(0, bool)
         self.starts = np.flatnonzero(self.whole)
@@ -97,7 +135,7 @@ class Flat:
         return np.flatnonzero(chosen), h
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        return rolling(self.values, self.window, BASES[0])[self.starts], rolling(self.values, self.window, BASES[1])[self.starts]
+        return rolling(self.values, self.window, BASES[0])[self.starts], rolling(self.others, self.window, BASES[1])[self.starts]
 
     def segments(self, d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First window (as a place in `starts`) and digest pair of each segment of windows."""
@@ -127,24 +165,19 @@ class Flat:
         mask = np.zeros(len(self.values) + 1, np.int64)
         if not len(places):
             return np.zeros(0, np.int64)
-        automaton = ahocorasick.Automaton()
+        # a word is LETTERS letters of five bits of its hash; windows that only look alike fall out by their digests
+        letters = np.stack([(self.values >> np.uint64(5 * i)) & np.uint64(31) for i in range(LETTERS)], 1).astype(np.uint8)
+        flat = (letters + np.uint8(64)).tobytes().decode("ascii")
+        automaton, k = ahocorasick.Automaton(), self.phrase
         _, first = np.unique(h[places], return_index=True)
-        k = self.phrase
-        for p in places[first].tolist():
-            words, at = self.words[self.doc[p]], p - int(self.begin[self.doc[p]])
-            automaton.add_word(" " + b" ".join(words[at : at + k]).decode() + " ", 1)
+        for p in (places[first] * LETTERS).tolist():
+            automaton.add_word(flat[p : p + k * LETTERS], 1)
         automaton.make_automaton()
-        before = self.window - k
-        for words, begin, size in zip(self.words, self.begin.tolist(), self.size.tolist()):
-            if size < self.window:
-                continue
-            strings = [w.decode() for w in words]
-            ends = [e for e, _ in automaton.iter(" " + " ".join(strings) + " ")]
-            if ends:
-                lengths = np.cumsum(np.fromiter(map(len, strings), np.int64, size) + 1)  # where the blank after each word stands
-                p = np.searchsorted(lengths, ends) - k + 1
-                np.add.at(mask, begin + np.maximum(0, p - before), 1)
-                np.add.at(mask, begin + np.minimum(p, size - self.window) + 1, -1)
+        ends = np.fromiter((e for e, _ in automaton.iter(flat)), np.int64)
+        ends = ends[ends % LETTERS == LETTERS - 1] // LETTERS
+        p = ends - k + 1  # a hit across two documents is in no whole window
+        np.add.at(mask, np.maximum(0, p - (self.window - k)), 1)
+        np.add.at(mask, p + 1, -1)
         return np.flatnonzero(np.cumsum(mask)[self.starts] > 0)
 
 
@@ -152,37 +185,41 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _facts(batches, window):
-    """Rows of (kind, a, b, block, n, doc, start): counted anchors (0) and segments (1)."""
+BATCH = 2 << 20
 
-    def out(kind, a, b, block, n, doc, start):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), _signed(a), _signed(b), pa.array(block), pa.array(n), pa.array(doc), pa.array(start)], ["kind", "a", "b", "block", "n", "doc", "start"])
 
+def _anchors(batches, window, with_block):
+    """(a, block, n): anchors counted per task, in all or per block."""
     held: list[np.ndarray] = []
 
     def flush():
-        if held:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            z = np.zeros(len(pairs), np.int64)
-            return [out(0, pairs["a"], z, pairs["block"], n.astype(np.int64), z, z)]
-        return []
-
-    for batch in small_batches(batches):
+        pairs, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([_signed(pairs["a"]), pa.array(pairs["block"]), pa.array(n.astype(np.int64))], ["a", "block", "n"])
+
+    for batch in small_batches(batches, BATCH):
         flat = Flat(batch.column("_text").to_pylist(), batch.column("_id").to_pylist(), window)
-        block = batch.column("_block").to_numpy(zero_copy_only=False).astype(np.int32)
         places, h = flat.anchors()
         pairs = np.zeros(len(places), [("a", "u8"), ("block", "i4")])
-        pairs["a"], pairs["block"] = h[places], block[flat.doc[places]]
+        pairs["a"] = h[places]
+        if with_block:
+            pairs["block"] = batch.column("_block").to_numpy(zero_copy_only=False)[flat.doc[places]]
         held.append(pairs)
-        at, g1, g2 = flat.segments(*flat.digests())
-        if len(at):
-            start = flat.starts[at]
-            doc = flat.doc[start]
-            yield out(1, g1, g2, block[doc], np.ones(len(at), np.int64), flat.ids[doc], start - flat.begin[doc])
         if sum(map(len, held)) > 2_000_000:
-            yield from flush()
-    yield from flush()
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _segments(batches, window):
+    """(a, b, block, doc, start) of each segment of windows."""
+    for batch in small_batches(batches, BATCH):
+        flat = Flat(batch.column("_text").to_pylist(), batch.column("_id").to_pylist(), window)
+        at, g1, g2 = flat.segments(*flat.digests())
+        start = flat.starts[at]
+        doc = flat.doc[start]
+        block = batch.column("_block").to_numpy(zero_copy_only=False).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([_signed(g1), _signed(g2), pa.array(block[doc]), pa.array(flat.ids[doc]), pa.array(start - flat.begin[doc])], ["a", "b", "block", "doc", "start"])
 
 
 class Known:
@@ -232,11 +269,19 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     blocked = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_text": F.col(text_col).cast("string"), "_block": salt([F.col(id_col), F.octet_length(text_col)], n_blocks)})
-    facts = blocked.select("_id", "_text", "_block").mapInArrow(lambda b: _facts(b, window), "kind tinyint, a bigint, b bigint, block int, n bigint, doc bigint, start bigint")
-    facts = facts.repartition("kind", "a", "b").groupBy("kind", "a", "b", "block").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "start")).alias("first"))
-    facts = stored(facts.select("kind", "a", "b", "block", "n", "first.doc", "first.start"), "facts")
-    seen = facts.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "start")).alias("first")).filter("n > 1").select("kind", "a", "b", "first")
-    known = stored(facts.select("kind", "a", "b", "block").join(seen, ["kind", "a", "b"]).select("block", "kind", "a", "b", "first.doc", "first.start"), "known")
+    read = blocked.select("_id", "_text", "_block")
+    # anchors are found twice rather than kept: what recurs is a small part of them
+    recurring = read.mapInArrow(lambda b: _anchors(b, window, False), "a bigint, block int, n bigint").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1").select("a")
+    held = read.mapInArrow(lambda b: _anchors(b, window, True), "a bigint, block int, n bigint").select("a", "block")
+    anchors = held.join(recurring.hint("shuffle_hash"), "a", "left_semi").distinct()
+    segments = stored(read.mapInArrow(lambda b: _segments(b, window), "a bigint, b bigint, block int, doc bigint, start bigint").groupBy("a", "b", "block").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("first")), "segments")
+    equal = segments.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1").select("a", "b", "first")
+    zero = F.lit(0).cast("bigint")
+    known = stored(
+        anchors.select("block", F.lit(0).cast("tinyint").alias("kind"), "a", zero.alias("b"), zero.alias("doc"), zero.alias("start"))
+        .unionByName(segments.select("block", "a", "b").join(equal, ["a", "b"]).select("block", F.lit(1).cast("tinyint").alias("kind"), "a", "b", "first.doc", "first.start")),
+        "known",
+    )
     packed = blocked.select(*[c for c in kept if c != text_col], "_id", "_text", "_block").mapInArrow(packed_blocks, "block int, blob binary")
 
     def candidates(blobs: pa.Table, facts: pa.Table) -> pa.Table:
@@ -244,7 +289,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         anchors = facts.column("a").to_numpy().view(np.uint64)[kinds == 0]
         segments, out = Known(facts.filter(pa.array(kinds == 1))), []
         for batch in opened(blobs.column("blob")) if len(anchors) else ():
-            for part in small_batches([batch]):
+            for part in small_batches([batch], BATCH):
                 flat = Flat(part.column("_text").to_pylist(), part.column("_id").to_pylist(), window)
                 d1, d2 = flat.digests()
                 at = flat.hits(anchors)
@@ -276,7 +321,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         windows, segments = Known(facts.filter(pa.array(kinds == 2))), Known(facts.filter(pa.array(kinds == 1)))
         out = []
         for batch in opened(blobs.column("blob")):
-            for part in small_batches([batch]):
+            for part in small_batches([batch], BATCH):
                 flat = Flat(part.column("_text").to_pylist(), part.column("_id").to_pylist(), window)
                 d1, d2 = flat.digests()
                 start = flat.starts
@@ -287,8 +332,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 np.add.at(cover, start[gone] + window, -1)
                 left = np.cumsum(cover)[:-1] == 0
                 texts, removed = [], []
-                for words, a, n in zip(flat.words, flat.begin.tolist(), flat.size.tolist()):
-                    own = left[a : a + n]
+                for text, a, n in zip(flat.texts, flat.begin.tolist(), flat.size.tolist()):
+                    own, words = left[a : a + n], text.split()
                     stay = int(own.sum())
                     texts.append(b" ".join(words if stay == n else [words[i] for i in np.flatnonzero(own)]).decode())
                     removed.append(n - stay)
