@@ -60,21 +60,30 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarra
         return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * a @ pivots.T, 0))
 
     table, mine, out = np.ascontiguousarray(distances(fx).T), distances(fq), []
+    bound, gap = np.empty(len(fx)), np.empty(len(fx))
     for i in range(len(fq)):
-        bound = np.abs(table[0] - mine[i, 0])
+        np.abs(np.subtract(table[0], mine[i, 0], out=bound), out=bound)
         for p in range(1, len(pivots)):
-            np.maximum(bound, np.abs(table[p] - mine[i, p]), out=bound)
+            np.maximum(bound, np.abs(np.subtract(table[p], mine[i, p], out=gap), out=gap), out=bound)
         upper = (fq[i] @ fq[i] + squares - bound * bound) / 2
-        order = np.argsort(-upper, kind="stable")
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(order), STEP):
-            if len(ids) == k and upper[order[at]] + 1 < scores[-1]:  # 1: far above rounding of the bounds
-                break
-            rows = order[at : at + STEP]
-            rows = rows[x_ids[rows] != q_ids[i]]
-            ids, scores = np.r_[ids, x_ids[rows]], np.r_[scores, (fx[rows] @ fq[i]).astype(np.int64)]
+        upper[x_ids == q_ids[i]] = -np.inf
+        ids, scores, least, step = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf, STEP
+        left = np.flatnonzero(upper > -np.inf)
+        while len(left):  # the best bounds first, until no bound left reaches the k-th best score
+            if len(left) > step:
+                chosen = np.argpartition(-upper[left], step)
+                rows, left = left[chosen[:step]], left[chosen[step:]]
+            else:
+                rows, left = left, left[:0]
+            got = (fx[rows] @ fq[i]).astype(np.int64)
+            high = got >= least
+            ids, scores = np.r_[ids, x_ids[rows[high]]], np.r_[scores, got[high]]
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
+            if len(ids) == k:
+                least = scores[-1]
+                left = left[upper[left] + 1 >= least]  # 1: far above rounding of the bounds
+            step *= 4
         out.append((i, ids, scores))
     return out
 
