@@ -5,8 +5,8 @@ own negative weight, and one linear scan finds the contiguous region with the la
 words (tags) inside against outside the content, counted on labelled pages: pages whose markup names its article.
 The sample is bounded, a documented parameter: `sample` pages with the least id hash; counts are combined per key.
 Names that stand for boilerplate wherever they occur (menus, forms, comments, ...) carry prior counts, so that they
-are negative even when no labelled page holds them. Inside the region, words with a negative score (an advert in the
-article) are left out. Scripts, styles and comments are no words.
+are negative even when no labelled page holds them. Words with a negative weight inside an
+element of content (an advert in the article) score nothing, so they cannot cut the region, and are left out of it. Scripts, styles and comments are no words.
 
 Defined results: null or empty html, or html without a content word, gives an empty text; cut pages are read as far
 as they go; repeated rows are extracted each; other columns are ignored; an empty table gives an empty result.
@@ -140,7 +140,8 @@ def extract(page: str | None, weights: Weights) -> str:
             if (w := memo.get(keys)) is None:
                 w = memo[keys] = weights.of(keys)
             text = html.unescape(text)
-            items.append((w * len(text.split()), w, text))
+            nested = w < 0 and not CONTENT.isdisjoint(keys)
+            items.append((0.0 if nested else w * len(text.split()), w, text))
     best, total, begin, region = 0.0, 0.0, 0, (0, 0)
     for i, (score, _, _) in enumerate(items):
         if total <= 0:

@@ -1,8 +1,8 @@
 """Language identification by cross-parsing entropy (operator 4).
 
 For each language a reference text is drawn from labelled documents and a suffix automaton is built over it. A text
-is parsed against each automaton into phrases, each the longest match with the reference plus the symbol that ended
-it; references are equally long, so the language with the fewest phrases a symbol, the least cross-entropy, wins.
+is parsed against each automaton into phrases, each the longest match with the reference (a symbol that the reference
+lacks goes with the phrase that it ends); references are equally long, so the language with the fewest phrases a symbol, the least cross-entropy, wins.
 
 The reference is a bounded sample, a documented parameter: of each language, the `ref_docs` labelled documents of at
 most `ref_doc_chars` characters with the least id hash, cut to `ref_chars` characters in all (`all_chars` over every
