@@ -4,18 +4,18 @@ Grams are `order` consecutive characters (white space runs are one blank, digits
 ends). Trusted text is all documents labelled of good quality and not toxic; nothing is sampled, so what is counted
 grows with the corpus. Steps:
 
-1. Documents are dealt into blocks of bounded size, packed and compressed. Each block gives its distinct grams with
-   their counts in trusted documents, found by array operations.
-2. Counts are summed by gram; continuation counts of the lower orders (distinct left extensions), context totals and
-   the discounts D1, D2, D3+ of each order (from counts of counts) follow as grouped sums.
-3. The distinct grams of all documents get their probabilities by joins with these tables, sharded by gram and by
-   context: max(c - D(c), 0) / total(context) + gamma(context) * P(lower order), down to the uniform distribution.
-4. Log-probabilities go to the blocks that hold the gram, which sum them per document.
+1. Grams of trusted documents are counted per task by array operations and summed by gram.
+2. Continuation counts of the lower orders (distinct left extensions), context totals and the discounts D1, D2, D3+
+   of each order (from counts of counts) follow as grouped sums.
+3. Joins sharded by context and by suffix give each gram seen max(c - D(c), 0) / total(context) + gamma(context) *
+   P(lower order), down to the uniform distribution, and each context its weight gamma for what it hasn't seen.
+4. Documents are scored where they are, against the model's arrays, if its size allows; a larger model is joined with
+   the distinct grams of blocks of documents instead. Log-probabilities are summed per document.
 5. One trusted document in `ASIDE` is left out of the counts; the perplexities of these, as unseen as any other
    document's, give each language's quantiles, from counts in logarithmic buckets, which merge by adding. A document is kept up to q99 * (q99 / q50) ** margin; short texts are first drawn towards the median
    of their language by `prior` characters. Languages with under `least` such documents take those of all.
 
-A gram shared by all documents is one row a block, counts are combined before each shuffle, and no group is
+A gram shared by all documents is one row a task, counts are combined before each shuffle, and no group is
 collected. Defined results: null or empty text has no perplexity and is kept (nothing speaks against it); without
 trusted documents everything is kept; repeated rows count and are judged each; other columns of `docs` are ignored;
 an empty table gives an empty result.
@@ -34,6 +34,7 @@ from .util import opened, packed_blocks, salt, small_batches, stored
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
+PART = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START, END = "\x02", "\x03"
 SPACE, DIGIT = re.compile(r"\s+"), re.compile(r"\d")
@@ -83,32 +84,26 @@ def _strings(codes: np.ndarray, places: np.ndarray, order: int) -> list[str]:
     return [flat[i : i + order] for i in range(0, len(flat), order)]
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(block, blob) of `docs` (id, text, lang)."""
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def blocks_of(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """(block, blob) of `rows` (id, text, ...) and the number of blocks."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("lang"), F.xxhash64(text_col).alias("text_hash"), salt([F.col(id_col)], n).alias("_block"))
-    return rows.mapInArrow(packed_blocks, "block int, blob binary"), n
+    return rows.withColumn("_block", salt([F.col("id"), F.col("text_hash")], n)).mapInArrow(packed_blocks, "block int, blob binary"), n
 
 
-def gram_counts(blocks: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(block, gram, n): each block's distinct grams with their counts in trusted documents; `trusted` (block, id)."""
+def block_grams(blocks: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, gram): each block's distinct grams."""
 
-    def run(blobs: pa.Table, ids: pa.Table) -> pa.Table:
-        good, merged = set(ids.column("id").to_pylist()), {}
+    def run(blobs: pa.Table) -> pa.Table:
+        merged: set[str] = set()
         for batch in opened(blobs.column("blob")):
-            for part in small_batches([batch], 4 << 20):
+            for part in small_batches([batch], PART):
                 own = Texts(part.column("text").to_pylist(), order)
-                trust = np.array([i in good for i in part.column("id").to_pylist()], bool)
-                h = own.hash[own.places]
-                found, at, which = np.unique(h, return_index=True, return_inverse=True)
-                n = np.bincount(which, trust[own.owner], len(found)).astype(np.int64)
-                for g, k in zip(_strings(own.codes, own.places[at], order), n.tolist()):
-                    merged[g] = merged.get(g, 0) + k
-        block = blobs.column("block")[0].as_py() if blobs.num_rows else 0
-        return pa.table([pa.array(np.full(len(merged), block, np.int32)), pa.array(merged.keys(), pa.string()), pa.array(merged.values(), pa.int64())], ["block", "gram", "n"])
+                _, at = np.unique(own.hash[own.places], return_index=True)
+                merged.update(_strings(own.codes, own.places[at], order))
+        return pa.table([pa.array(np.full(len(merged), blobs.column("block")[0].as_py(), np.int32)), pa.array(list(merged), pa.string())], ["block", "gram"])
 
-    return blocks.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "block int, gram string, n bigint")
+    return blocks.groupBy("block").applyInArrow(run, "block int, gram string")
 
 
 def orders(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
@@ -152,35 +147,159 @@ def probabilities(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> Da
     return out.select("gram", F.log("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, lang, text_hash, aside, chars, log_prob) of every row; log_prob is null without a model."""
-    docs = docs.select(id_col, text_col, F.col(lang_col).cast("string").alias("lang"))
-    blocks, n = blocks_of(docs, id_col, text_col, block_bytes)
-    trusted = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").alias("id")).distinct().withColumn("block", salt([F.col("id")], n))
-    aside = F.pmod(F.xxhash64(F.col("id"), F.lit("aside")), F.lit(ASIDE)) == 0
-    counted = stored(gram_counts(blocks, trusted.filter(~aside), order), "grams")
-    summed = stored(counted.groupBy("gram").agg(F.sum("n").alias("c")), "summed")
-    scored = stored(probabilities(summed.select("gram"), summed.filter("c > 0"), order), "scored")
-    back = counted.select("block", "gram").join(scored, "gram").select("block", "logp", "gram")
+def row_hashes(codes: np.ndarray) -> np.ndarray:
+    """`gram_hashes` of each row of a matrix of code points."""
+    out = np.zeros(len(codes), np.uint64)
+    for j in range(codes.shape[1]):
+        wide = codes[:, j].astype(np.uint64) * BASE
+        wide ^= wide >> np.uint64(31)
+        out = out * np.uint64(0xD1342543DE82EF95) + wide
+    return out
+
+
+def trusted_counts(docs: DataFrame, order: int) -> DataFrame:
+    """(gram, c) over trusted `docs` (text): counted per part in the task, then summed."""
+
+    def run(batches):
+        for part in small_batches(batches, PART):
+            own = Texts(part.column(0).to_pylist(), order)
+            _, at, n = np.unique(own.hash[own.places], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(_strings(own.codes, own.places[at], order), pa.string()), pa.array(n.astype(np.int64))], ["gram", "c"])
+
+    return docs.select("text").mapInArrow(run, "gram string, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def model(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
+    """(n, kind, gram, value): probability (0) of each gram seen and weight (1) of each context; and P of an unseen character.
+
+    Contexts and suffixes are met by joins, sharded by their characters."""
+    tables = [stored(t, f"order{n}") for n, t in enumerate(orders(counts, order), 1)]
+    ds = [discounts(t) for t in tables]
+    first = tables[0].agg(F.count("*").alias("v"), F.sum("c").alias("total"), *(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)), F.count_if(F.col("c") >= 3).alias("n3")).first()
+    base = sum(d * first[f"n{k}"] for k, d in enumerate(ds[0], 1)) / (first["total"] or 1) / (first["v"] + 1)
+    known = stored(tables[0].select("gram", (F.greatest(F.col("c") - _discount(F.col("c"), ds[0]), F.lit(0.0)) / (first["total"] or 1) + base).alias("p")), "p1")
+    out = known.select(F.lit(1).alias("n"), F.lit(0).alias("kind"), "gram", F.col("p").alias("value"))
+    for n in range(2, order + 1):
+        d, t = ds[n - 1], tables[n - 1]
+        context = t.groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("held")).select("context", "total", (F.col("held") / F.col("total")).alias("gamma"))
+        lower = known.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        x = t.join(context, F.substring("gram", 1, n - 1) == F.col("context")).join(lower, F.substring("gram", 2, n - 1) == F.col("suffix"))
+        known = stored(x.select("gram", (F.greatest(F.col("c") - _discount(F.col("c"), d), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")), f"p{n}")
+        out = out.unionByName(known.select(F.lit(n).alias("n"), F.lit(0).alias("kind"), "gram", F.col("p").alias("value"))).unionByName(context.select(F.lit(n).alias("n"), F.lit(1).alias("kind"), F.col("context").alias("gram"), F.col("gamma").alias("value")))
+    return out, base
+
+
+class Scorer:
+    """The model's tables as sorted arrays."""
+
+    def __init__(self, n: np.ndarray, kind: np.ndarray, key: np.ndarray, value: np.ndarray, base: float, order: int):
+        self.base, self.order, self.tables = base, order, {}
+        for k in range(1, order + 1):
+            for j in (0, 1):
+                mine = (n == k) & (kind == j)
+                arranged = np.argsort(key[mine])
+                self.tables[k, j] = key[mine][arranged], value[mine][arranged]
+
+    def _found(self, n: int, kind: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = self.tables[n, kind]
+        if not len(keys):
+            return np.zeros(len(codes), bool), np.zeros(len(codes))
+        h = row_hashes(codes)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return keys[at] == h, values[at]
+
+    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
+        """Of each row of `order` code points."""
+        p = np.full(len(codes), self.base)
+        for n in range(1, self.order + 1):
+            at = self.order - n
+            if n > 1:
+                seen, gamma = self._found(n, 1, codes[:, at : self.order - 1])
+                p = np.where(seen, gamma * p, p)
+            seen, own = self._found(n, 0, codes[:, at:])
+            p = np.where(seen, own, p)
+        return np.log(p)
+
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and log-probability of each text."""
+        own = Texts(texts, self.order)
+        _, at, which = np.unique(own.hash[own.places], return_index=True, return_inverse=True)
+        logp = self.log_probabilities(own.codes[own.places[at][:, None] + np.arange(self.order)]) if len(at) else np.zeros(0)
+        return own.grams, np.bincount(own.owner, logp[which], len(texts)) if len(at) else np.zeros(len(texts))
+
+
+def _score_by_broadcast(docs: DataFrame, tables: DataFrame, base: float, order: int) -> DataFrame:
+    """(id, lang, text_hash, chars, log_prob), map only; the caller has checked the model's size."""
+
+    def hashed(batches):
+        for b in batches:
+            grams = b.column("gram").to_pylist()
+            keys = np.array([row_hashes(np.frombuffer(g.encode("utf-32-le", "surrogatepass"), np.uint32)[None])[0] for g in grams], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("n"), b.column("kind"), pa.array(keys.view(np.int64)), b.column("value")], ["n", "kind", "key", "value"])
+
+    got = tables.mapInArrow(hashed, "n int, kind int, key bigint, value double").toArrow()
+    n, kind, key, value = (got.column(c).to_numpy() for c in ("n", "kind", "key", "value"))
+    sent = docs.sparkSession.sparkContext.broadcast((n, kind, key.view(np.uint64), value, base, order))
+    made: list = []
+
+    def run(batches):
+        if not made:
+            made.append(Scorer(*sent.value))
+        for part in small_batches(batches, PART):
+            chars, total = made[0].sums(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), part.column("text_hash"), pa.array(chars), pa.array(total)], ["id", "lang", "text_hash", "chars", "log_prob"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, lang string, text_hash bigint, chars bigint, log_prob double")
+
+
+def _score_by_joins(docs: DataFrame, counts: DataFrame, order: int, block_bytes: int) -> DataFrame:
+    """The same by joins of each block's distinct grams with the counts, for models of any size."""
+    blocks, _ = blocks_of(docs, block_bytes)
+    counted = stored(block_grams(blocks, order), "grams")
+    scored = stored(probabilities(counted.select("gram").distinct(), counts, order), "scored")
+    back = counted.join(scored, "gram").select("block", "logp", "gram")
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(blobs: pa.Table, known: pa.Table) -> pa.Table:
         flat = np.frombuffer("".join(known.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        keys = gram_hashes(flat, order)[::order] if len(flat) else np.zeros(0, np.uint64)
+        keys = row_hashes(flat.reshape(-1, order))
         arranged = np.argsort(keys)
         keys, values = keys[arranged], known.column("logp").to_numpy()[arranged]
         out = []
         for batch in opened(blobs.column("blob")):
-            for part in small_batches([batch], 4 << 20):
+            for part in small_batches([batch], PART):
                 own = Texts(part.column("text").to_pylist(), order)
-                logp = values[np.searchsorted(keys, own.hash[own.places])] if len(keys) else np.zeros(0)
-                total = np.bincount(own.owner, logp, len(own.grams)) if len(keys) else np.zeros(len(own.grams))
-                out.append(pa.table([part.column("id"), part.column("lang"), part.column("text_hash"), pa.array(own.grams), pa.array(total, pa.float64(), mask=np.isnan(total))], ["id", "lang", "text_hash", "chars", "log_prob"]))
+                total = np.bincount(own.owner, values[np.searchsorted(keys, own.hash[own.places])], len(own.grams)) if len(own.owner) else np.zeros(len(own.grams))
+                out.append(pa.table([part.column("id"), part.column("lang"), part.column("text_hash"), pa.array(own.grams), pa.array(total)], ["id", "lang", "text_hash", "chars", "log_prob"]))
         return pa.concat_tables(out) if out else empty
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    empty = pa.table({"id": pa.array([], pa.int64() if kind == "bigint" else pa.string()), "lang": pa.array([], pa.string()), "text_hash": pa.array([], pa.int64()), "chars": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64())})
-    sums = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"id {kind}, lang string, text_hash bigint, chars bigint, log_prob double")
-    return stored(sums.join(trusted.filter(aside).select("id", F.lit(True).alias("aside")), "id", "left").withColumn("aside", F.coalesce("aside", F.lit(False))), "sums")
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    schema = StructType([*(docs.schema[c] for c in ("id", "lang", "text_hash")), StructField("chars", LongType()), StructField("log_prob", DoubleType())])
+    empty = to_arrow_schema(schema).empty_table()
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"id {kind}, lang string, text_hash bigint, chars bigint, log_prob double")
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES, small_labels: int = 2_000_000, small_model: int = 2_000_000) -> DataFrame:
+    """(id, lang, text_hash, aside, chars, log_prob) of every row; log_prob is null without a model.
+
+    Up to `small_labels` trusted ids and `small_model` rows of the model (16 bytes each) are broadcast, so no text is
+    shuffled; beyond that trusted texts are found by a shuffled join and grams scored by joins, with the same results."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("text_hash"))
+    good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").alias("id")).filter("id is not null").distinct()
+    good = stored(good.withColumn("aside", F.pmod(F.xxhash64(F.col("id"), F.lit("aside")), F.lit(ASIDE)) == 0), "trusted")
+    train = good.filter("not aside").select("id")
+    train = F.broadcast(train) if good.count() <= small_labels else train
+    counts = stored(trusted_counts(rows.join(train, "id", "left_semi"), order), "counts")
+    if counts.isEmpty():
+        sums = rows.select("id", "lang", "text_hash", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("chars"), F.lit(None).cast("double").alias("log_prob"))
+    else:
+        tables, base = model(counts, order)
+        tables = stored(tables, "model")
+        sums = _score_by_broadcast(rows, tables, base, order) if tables.count() <= small_model else _score_by_joins(rows, counts, order, block_bytes)
+    aside = good.filter("aside")
+    return stored(sums.join(aside, "id", "left").withColumn("aside", F.coalesce("aside", F.lit(False))), "sums")
 
 
 def quantiles(rows: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
