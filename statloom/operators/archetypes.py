@@ -39,7 +39,7 @@ def silhouette(z: DataFrame, membership: DataFrame, most: int = 5000) -> DataFra
     return s.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))).alias("silhouette"))
 
 
-def fit_kmeans(z: DataFrame, k_values: tuple[int, ...] = (3, 4, 5, 6), starts: int = 5, seed: int = 20260101) -> tuple[DataFrame, dict[int, float]]:
+def fit_kmeans(z: DataFrame, k_values: tuple[int, ...] = (3, 4, 5, 6), starts: int = 25, seed: int = 20260101) -> tuple[DataFrame, dict[int, float]]:
     """(entity_id, cluster) of the k with the best silhouette rounded to 4 digits (ties: smaller k), and all scores."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -47,7 +47,7 @@ def fit_kmeans(z: DataFrame, k_values: tuple[int, ...] = (3, 4, 5, 6), starts: i
 
     names = sorted(r.component for r in z.select("component").distinct().collect())
     wide = z.groupBy("entity_id").pivot("component", names).agg(F.first("z"))
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(wide).cache()
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(wide.coalesce(1) if wide.limit(10_001).count() <= 10_000 else wide).cache()
     n, best, scores = vectors.count(), None, {}
     if n <= max(k_values) + 1:
         return z.sparkSession.createDataFrame([], "entity_id long, cluster int"), scores

@@ -186,9 +186,9 @@ def _metrics(w):
 _METRIC_SQL = "(" + " UNION ALL ".join(f"SELECT entity_id, '{m}' AS metric, round({m}, 9) AS value FROM ratings WHERE period = 2000" for m in _RANKED) + ")"
 query("win4_rank_among", "#entity_id metric #rank #of", lambda w: scouting.rank_among(_metrics(w), _RANKED), f"(SELECT entity_id, metric, CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'conceded_rate' THEN -value ELSE value END DESC NULLS LAST) END AS rank, count(value) OVER (PARTITION BY metric) AS of FROM {_METRIC_SQL}) x")
 query("win5_rank_archetypes", "#cluster component #rank", lambda w: w.seeds.withColumn("rank", rank.competition_rank(F.round("c", 9), ["component"])), "(SELECT cluster, component, rank() OVER (PARTITION BY component ORDER BY round(c, 9) DESC) AS rank FROM seeds) x")
-query("win6_cumulative_form", "#entity_id #period #event_id #match_no *cum_value *cum_exposure *cum_rate", lambda w: w.form, "form")
-query("win7_rolling_mean", "#entity_id #period #event_id *rolling_mean", lambda w: w.form, "form")
-query("win8_rolling_weighted", "#entity_id #period #event_id *rolling_weighted", lambda w: w.form, "form")
+query("win6_cumulative_form", "#entity_id #period #event_id #match_no *cum_value *cum_exposure ~cum_rate", lambda w: w.form, "form")
+query("win7_rolling_mean", "#entity_id #period #event_id ~rolling_mean", lambda w: w.form, "form")
+query("win8_rolling_weighted", "#entity_id #period #event_id ~rolling_weighted", lambda w: w.form, "form")
 both("win9_period_change", "#entity_id #period *score *score_change", "SELECT entity_id, period, score, score - lag(score) OVER (PARTITION BY entity_id ORDER BY period) AS score_change FROM {ratings}")
 query("win10_stints", "#entity_id #period #stint #club #appearances *exposure @first_date @last_date", lambda w: w.stints, "stints")
 query("win11_first_per_key", "#entity_id #period", lambda w: facts.keep_first(w.ratings.filter(C("period").isin(P.final, P.live)), ["entity_id"], [C("period").desc()]).select("entity_id", "period"), "(SELECT entity_id, max(period) AS period FROM ratings WHERE period IN (2000, 2001) GROUP BY entity_id) x")
@@ -251,7 +251,7 @@ query("clu1_standardise", "#entity_id component *z", lambda w: w.z, "z")
 
 
 def _kmeans(w):
-    return archetypes.fit_kmeans(w.z)[0].groupBy("cluster").agg(F.count("*").alias("size"))
+    return archetypes.fit_kmeans(w.z, starts=2)[0].groupBy("cluster").agg(F.count("*").alias("size"))
 
 
 query("clu2_fit_kmeans", "#cluster #size", _kmeans, None)
@@ -339,14 +339,14 @@ both("vie1_season_leaderboard", "#entity_id #period name team *score #rank_adjus
 both("vie2_component_matrix", "#entity_id #period component *adj_rate *pct_adj *score", "SELECT c.entity_id, c.period, c.component, c.adj_rate, c.pct_adj, r.score FROM {component_pcts} c JOIN {ratings} r ON c.entity_id = r.entity_id AND c.period = r.period")
 both("vie3_rank_disagreement", "#entity_id #period #rank_disagreement direction #rank_adjusted #rank_conceded", "SELECT entity_id, period, rank_disagreement, CASE WHEN rank_disagreement > 0 THEN 'underrated' WHEN rank_disagreement < 0 THEN 'overrated' ELSE 'agree' END AS direction, rank_adjusted, rank_conceded FROM {ratings} WHERE status IN ('qualified', 'provisional') AND rank_disagreement IS NOT NULL")
 both("vie4_talent_board", "#entity_id name #talent_rank *talent *talent_pct", "SELECT t.entity_id, e.name, t.talent_rank, t.talent, t.talent_pct FROM {talent_ranked} t JOIN {entities} e ON t.entity_id = e.entity_id")
-query("vie5_match_form", "#entity_id #period #event_id @event_date *cum_rate *rolling_mean *rolling_weighted", lambda w: w.form, "form")
+query("vie5_match_form", "#entity_id #period #event_id @event_date ~cum_rate ~rolling_mean ~rolling_weighted", lambda w: w.form, "form")
 query("vie6_scraped_rows", "#page_id label", lambda w: pages.html_rows(w.table("pages")).filter("is_target"), "(SELECT page_id, label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 2)) AS label FROM pages WHERE html LIKE '%<nav>%' AND html LIKE '%<article>%') WHERE length(label) <= 3) x")
 both("qry1_club_evaluation", "#entity_id #period name *score", f"SELECT * FROM ({_V1}) v WHERE team IN ('FRANCE', 'GERMANY') OR lower(team) LIKE '%united%'")
 both("qry2_underrated", "#entity_id *score #rank_disagreement", "SELECT entity_id, score, rank_disagreement FROM {ratings} WHERE period = 2000 AND rank_disagreement IS NOT NULL ORDER BY rank_disagreement DESC, entity_id LIMIT 15")
 both("qry3_component_profile", "#entity_id *a_f *n_o", "SELECT entity_id, max(CASE WHEN component = 'a_f' THEN pct_adj END) AS a_f, max(CASE WHEN component = 'n_o' THEN pct_adj END) AS n_o FROM {component_pcts} WHERE period = 2000 GROUP BY entity_id")
 both("qry4_year_over_year", "#entity_id #period *score *d_score *d_rate", "WITH r AS (SELECT entity_id, period, score, adj_total FROM {ratings}) SELECT entity_id, period, score, score - lag(score) OVER (PARTITION BY entity_id ORDER BY period) AS d_score, adj_total - lag(adj_total) OVER (PARTITION BY entity_id ORDER BY period) AS d_rate FROM r")
 both("qry5_talent_shortlist", "#entity_id *talent #talent_rank", "SELECT entity_id, talent, talent_rank FROM {talent_ranked} ORDER BY talent_rank, entity_id LIMIT 20")
-both("qry6_rolling_form", "#event_id *rolling_weighted", "SELECT event_id, rolling_weighted FROM {form} WHERE period = 2000 AND entity_id IN (SELECT entity_id FROM (SELECT s.entity_id FROM {season} s JOIN {entities} e ON s.entity_id = e.entity_id WHERE s.period = 2000 AND e.team LIKE '%A%' ORDER BY s.exposure DESC, s.entity_id LIMIT 1) t) ORDER BY event_date DESC, event_id DESC LIMIT 8")
+both("qry6_rolling_form", "#event_id ~rolling_weighted", "SELECT event_id, rolling_weighted FROM {form} WHERE period = 2000 AND entity_id IN (SELECT entity_id FROM (SELECT s.entity_id FROM {season} s JOIN {entities} e ON s.entity_id = e.entity_id WHERE s.period = 2000 AND e.team LIKE '%A%' ORDER BY s.exposure DESC, s.entity_id LIMIT 1) t) ORDER BY event_date DESC, event_id DESC LIMIT 8")
 query("qry7_roster_fuzzy", "#roster_id #entity_id *score", lambda w: joins.fuzzy_name_join(w.table("part").filter("p_partkey <= 40").select(C("p_partkey").alias("roster_id"), F.concat_ws(" ", F.lit("Any"), F.lpad((C("p_partkey") % 100).cast("string"), 3, "0")).alias("roster_name")), w.entities.select("entity_id", "name")).join(w.ratings.filter("period = 2000").select("entity_id", "score"), "entity_id", "left"),
       "(SELECT m.roster_id, m.entity_id, r.score FROM (SELECT DISTINCT p_partkey AS roster_id, entity_id FROM part JOIN entities ON contains(lower(name), lpad(CAST(p_partkey % 100 AS VARCHAR), 3, '0')) WHERE p_partkey <= 40) m LEFT JOIN ratings r ON r.entity_id = m.entity_id AND r.period = 2000) x")
 both("qry8_report_pulls", "#entity_id #period *score #rank_adjusted", "SELECT entity_id, period, score, rank_adjusted FROM {ratings} WHERE period >= 1999 AND status = 'qualified'")

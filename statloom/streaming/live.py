@@ -18,7 +18,7 @@ def refreshed(spark: SparkSession, path: str) -> DataFrame:
     out = place(spark)
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*").option("recursiveFileLookup", True).parquet(folder)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*").option("recursiveFileLookup", True).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     unique = events.withWatermark("ts", "400 days").dropDuplicatesWithinWatermark(["event_id"])
 
     def merge(batch: DataFrame, number: int) -> None:
