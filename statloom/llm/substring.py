@@ -9,7 +9,7 @@ document id, or same document and earlier start) is removed. Steps, over whole t
 2. Documents are dealt into blocks of bounded size, packed and compressed; recurring anchors and segments go to the
    blocks that hold them, at most one row for a block however often it holds them.
 3. In each block an Aho-Corasick automaton is compiled from the confirmed phrases found there, and all its documents
-   stream through it; windows around a hit are candidates. Windows of a segment that is equal to an earlier one are
+   stream through it; windows whose anchor is a hit are candidates. Windows of a segment that is equal to an earlier one are
    settled: they start earlier there. The other candidates' 128-bit digests are reduced to one row for a block.
 4. Digests seen twice are confirmed; their first place goes back to the blocks, where every window with a confirmed
    digest that is not at its first place is removed.
@@ -120,19 +120,17 @@ class Flat:
         self.whole = self.end[self.doc[:m]] - np.arange(m) >= window if m else np.zeros(0, bool)
         self.starts = np.flatnonzero(self.whole)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of anchor phrases, and each phrase's hash."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of anchor phrases, each phrase's hash, and the anchor's hash of each window."""
         h = rolling(self.values, self.phrase, BASES[0])
         m, w = len(self.whole), self.window - self.phrase + 1
-        if not m:
-            return np.zeros(0, np.int64), h
         least = h[:m].copy()
-        for j in range(1, w):
-            np.minimum(least, h[j : j + m], out=least)
         chosen = np.zeros(len(h), bool)
-        for j in range(w):
+        for j in range(1, w if m else 0):
+            np.minimum(least, h[j : j + m], out=least)
+        for j in range(w if m else 0):
             chosen[j : j + m] |= self.whole & (h[j : j + m] == least)
-        return np.flatnonzero(chosen), h
+        return np.flatnonzero(chosen), h, least
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         return rolling(self.values, self.window, BASES[0])[self.starts], rolling(self.others, self.window, BASES[1])[self.starts]
@@ -159,10 +157,9 @@ class Flat:
         return at, np.add.reduceat(d1 * power[0][far], at) + size, np.add.reduceat(d2 * power[1][far], at) ^ size
 
     def hits(self, recurring: np.ndarray) -> np.ndarray:
-        """Candidate windows, as places in `starts`: those that hold a confirmed phrase, as the automaton finds it."""
-        places, h = self.anchors()
+        """Candidate windows, as places in `starts`: those whose anchor is a confirmed phrase, as the automaton finds it."""
+        places, h, least = self.anchors()
         places = places[np.isin(h[places], recurring)]
-        mask = np.zeros(len(self.values) + 1, np.int64)
         if not len(places):
             return np.zeros(0, np.int64)
         # a word is LETTERS letters of five bits of its hash; windows that only look alike fall out by their digests
@@ -175,10 +172,12 @@ class Flat:
         automaton.make_automaton()
         ends = np.fromiter((e for e, _ in automaton.iter(flat)), np.int64)
         ends = ends[ends % LETTERS == LETTERS - 1] // LETTERS
-        p = ends - k + 1  # a hit across two documents is in no whole window
-        np.add.at(mask, np.maximum(0, p - (self.window - k)), 1)
-        np.add.at(mask, p + 1, -1)
-        return np.flatnonzero(np.cumsum(mask)[self.starts] > 0)
+        hit = np.zeros(len(h), bool)
+        hit[ends - k + 1] = True
+        own = np.zeros(len(least), bool)
+        for j in range(self.window - k + 1):
+            own |= hit[j : j + len(least)] & (h[j : j + len(least)] == least)
+        return np.flatnonzero(own[self.starts])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -199,7 +198,7 @@ def _anchors(batches, window, with_block):
 
     for batch in small_batches(batches, BATCH):
         flat = Flat(batch.column("_text").to_pylist(), batch.column("_id").to_pylist(), window)
-        places, h = flat.anchors()
+        places, h, _ = flat.anchors()
         pairs = np.zeros(len(places), [("a", "u8"), ("block", "i4")])
         pairs["a"] = h[places]
         if with_block:
