@@ -14,7 +14,7 @@ from statloom.sources import pages, payload
 
 P = DEFAULT
 C = F.col
-HISTORY = F.col("period").between(*P.history)
+HISTORY = f"period BETWEEN {P.history[0]} AND {P.history[1]}"
 hist = lambda df: df.filter(HISTORY)
 
 # --- scans, sources, sinks

@@ -36,3 +36,10 @@ def test_matches_duckdb(spark, name):
     near = lambda x: None if x is None or x != x else round(x, 5) if isinstance(x, float) else x
     key = lambda row: tuple(map(str, row))
     assert sorted((tuple(map(near, r)) for r in got.toPandas().astype(object).values.tolist()), key=key) == sorted((tuple(map(near, r)) for r in want.astype(object).values.tolist()), key=key)
+
+
+def test_imports_without_a_session():
+    import subprocess
+
+    root = __file__.rsplit("/tests/", 1)[0]
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True, timeout=120)
