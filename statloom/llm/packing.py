@@ -14,7 +14,9 @@ pieces and a rest; repeated rows are packed each; an empty table gives no rows;
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -33,28 +35,51 @@ class ChunkTokenizer:
     """Ids of whole texts by the tokenizers library, which is asked once for each distinct blank-free chunk.
 
     The vocabulary's pre-tokenizer drops white space and its normalizer works within chunks, so a text's ids are
-    its chunks' ids in turn."""
+    its chunks' ids in turn. A chunk of Latin-1 characters without an apostrophe or a special token is cut further,
+    where the pre-tokenizer cuts it: at runs of letters, single numbers and runs of others, in lower case."""
 
-    def __init__(self, data: bytes, memo: int = 500_000):
+    #: Latin-1 letters and numbers; all of Latin-1 is in composed form already.
+    PARTS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\x85\xa0]+")
+    WHOLE = re.compile("'|<\\||[^\x00-\xff]")
+
+    def __init__(self, data: bytes, memo: int = 400_000):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_buffer(data)
         self.own.no_truncation()
         self.own.no_padding()
-        self.memo = Recent(memo)
+        self.memo, self.parts = Recent(memo), Recent(memo)
+
+    def _chunks(self, missed: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the memo lacks; one call of the library for all parts that it lacks too."""
+        cut, found, memo = {}, {}, self.parts
+        for c in missed:
+            text = c.decode()
+            cut[c] = parts = (text,) if self.WHOLE.search(text) else self.PARTS.findall(text.lower())
+            for x in parts:
+                if x not in found:
+                    found[x] = memo[x]
+        asked = [x for x, ids in found.items() if ids is None]
+        if asked:
+            for x, e in zip(asked, self.own.encode_batch_fast(asked, add_special_tokens=False)):
+                found[x] = memo[x] = array("I", e.ids).tobytes()
+        return {c: b"".join(map(found.__getitem__, parts)) for c, parts in cut.items()}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         memo, chunks = self.memo, text.encode().split()
         got = list(map(memo.young.get, chunks))
         if None in got:
-            missed = list({c for c, g in zip(chunks, got) if g is None and memo[c] is None})
+            at = [i for i, g in enumerate(got) if g is None]
+            own = {c: memo[c] for c in {chunks[i] for i in at}}
+            missed = [c for c, g in own.items() if g is None]
             if missed:
-                for c, e in zip(missed, self.own.encode_batch_fast([c.decode() for c in missed], add_special_tokens=False)):
-                    memo[c] = np.array(e.ids, "<u4").tobytes()
-            got = [memo[c] if g is None else g for c, g in zip(chunks, got)]
-            if None in got:  # the memo's old generation went meanwhile
-                got = [np.array(self.own.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes() if g is None else g for c, g in zip(chunks, got)]
+                new = self._chunks(missed)
+                own |= new
+                for c, g in new.items():
+                    memo[c] = g
+            for i in at:
+                got[i] = own[chunks[i]]
         return b"".join(got)
 
 
