@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .util import Recent, salt, shuffle_parts, small_batches, stored
 
 END = 0
@@ -48,10 +49,11 @@ class ChunkTokenizer:
         self.own = Tokenizer.from_buffer(data)
         self.own.no_truncation()
         self.own.no_padding()
+        self.merge, self.symbols = self.own.model.tokenize, byte_symbols()
         self.memo, self.parts = Recent(memo), Recent(memo)
 
     def _chunks(self, missed: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that the memo lacks; one call of the library for all parts that it lacks too."""
+        """Ids of chunks that the memo lacks."""
         cut, found, memo = {}, {}, self.parts
         for c in missed:
             text = c.decode()
@@ -59,10 +61,13 @@ class ChunkTokenizer:
             for x in parts:
                 if x not in found:
                     found[x] = memo[x]
-        asked = [x for x, ids in found.items() if ids is None]
-        if asked:
-            for x, e in zip(asked, self.own.encode_batch_fast(asked, add_special_tokens=False)):
-                found[x] = memo[x] = array("I", e.ids).tobytes()
+        for x, ids in found.items():
+            if ids is None:
+                if self.WHOLE.search(x):
+                    ids = self.own.encode(x, add_special_tokens=False).ids
+                else:  # normalized and cut already: straight to the library's merging
+                    ids = [t.id for t in self.merge(x if x.isascii() and x.isprintable() else "".join(map(self.symbols.__getitem__, x.encode())))]
+                found[x] = memo[x] = array("I", ids).tobytes()
         return {c: b"".join(map(found.__getitem__, parts)) for c, parts in cut.items()}
 
     def ids(self, text: str) -> bytes:
