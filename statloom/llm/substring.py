@@ -10,12 +10,12 @@ document id, or same document and earlier start) is removed. Steps, over whole t
    blocks that hold them, at most one row for a block however often it holds them.
 3. In each block an Aho-Corasick automaton is compiled from the confirmed phrases found there, and all its documents
    stream through it; windows whose anchor is a hit are candidates. Windows of a segment that is equal to an earlier one are
-   settled: they start earlier there. The other candidates' 128-bit digests are reduced to one row for a block.
+   settled: they start earlier there. The other candidates' 96-bit digests are reduced to one row for a block.
 4. Digests seen twice are confirmed; their first place goes back to the blocks, where every window with a confirmed
    digest that is not at its first place is removed.
 
 No step brings a group's rows together: a passage that a third of all documents share costs each block one row.
-Hashes are of exact words; two different windows are taken for equal with probability about 2^-128 a pair.
+Hashes are of exact words; two different windows are taken for equal with probability about 2^-96 a pair.
 
 Defined results: null text has no words; a null id counts as the largest; rows that repeat an id stand at the same
 place, so neither removes the other; texts under `window` words stay whole; empty table, empty result.
@@ -34,6 +34,7 @@ from .util import opened, packed_blocks, salt, small_batches, stored
 BASES = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25))
 LONGEST = 256
 LETTERS = 4
+HALF = np.uint64(32)
 LAST = 2**63 - 1
 BLOCK_BYTES = 8 << 20
 ADDED = ("n_words", "n_removed", "kept_text")
@@ -296,7 +297,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 start = flat.starts[at]
                 doc = flat.doc[start]
                 rows = np.zeros(len(at), [("a", "u8"), ("b", "u8"), ("doc", "i8"), ("start", "i8"), ("n", "i8")])
-                rows["a"], rows["b"], rows["doc"], rows["start"], rows["n"] = d1[at], d2[at], flat.ids[doc], start - flat.begin[doc], 1
+                rows["a"], rows["b"], rows["doc"], rows["start"], rows["n"] = d1[at], d2[at] >> HALF, flat.ids[doc], start - flat.begin[doc], 1
                 out.append(rows)
         rows = np.concatenate(out) if out else np.zeros(0, [("a", "u8"), ("b", "u8"), ("doc", "i8"), ("start", "i8"), ("n", "i8")])
         if len(rows):
@@ -325,7 +326,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 d1, d2 = flat.digests()
                 start = flat.starts
                 doc = flat.doc[start]
-                gone = _settled(flat, d1, d2, segments) | windows.later(d1, d2, flat.ids[doc], start - flat.begin[doc]) if len(start) else np.zeros(0, bool)
+                gone = _settled(flat, d1, d2, segments) | windows.later(d1, d2 >> HALF, flat.ids[doc], start - flat.begin[doc]) if len(start) else np.zeros(0, bool)
                 cover = np.zeros(len(flat.values) + 1, np.int64)
                 np.add.at(cover, start[gone], 1)
                 np.add.at(cover, start[gone] + window, -1)

@@ -88,7 +88,7 @@ def packed_blocks(batches):
         for i, j in zip(at, [*at[1:], len(order)]):
             sink = pa.BufferOutputStream()
             part = table.take(pa.array(order[i:j])).combine_chunks()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as w:
                 w.write_table(part)
             blobs.append(sink.getvalue().to_pybytes())
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blobs, pa.binary())], ["block", "blob"])
