@@ -4,7 +4,8 @@ Lengths are whole numbers from 1 to `capacity`, so the problem is its histogram:
 driver whatever the corpus. There, best-fit decreasing over the histogram gives the first incumbent; if it is above
 the lower bound (total waste, or the Martello-Toth bound), bin completion goes on: the largest length left gets its
 undominated fillings, least waste first, each used as many times as the counts allow, and a branch is cut when bins
-used so far plus the bound of what is left reach the incumbent. `nodes` bounds the search; the incumbent stays.
+used so far plus the bound of what is left reach the incumbent. Two more searches take fillings in depth-first order.
+`nodes` bounds each search, `most` and `steps` the fillings of a node; the incumbent stays.
 The plan says for each length which ranks go to which bins, and the pieces, ranked per length on the executors, look
 their place up. Hot lengths are ranked in salted groups with running offsets.
 
@@ -18,6 +19,8 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections import deque
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -164,14 +167,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [(filling, n) for room in free for filling, n in bins[room]]
 
 
-def fillings(counts: dict[int, int], capacity: int, most: int = 8, steps: int = 800) -> list[dict[int, int]]:
-    """Undominated fillings of a bin that holds the largest length, least waste first.
-
-    A filling is dominated if a length left outside fits its waste, or could replace a smaller one in it."""
-    lengths = sorted((x for x, n in counts.items() if n), reverse=True)
-    top, found, spent = lengths[0], [], 0
-
-    rising = lengths[::-1]
+def dominance(counts: dict[int, int], top: int):
+    """Whether a length left outside fits a filling's waste, or could replace a smaller one in it."""
+    rising = sorted(x for x, n in counts.items() if n)
 
     def left_between(own, low, high):
         """Whether a length in (low, high] is left outside."""
@@ -182,13 +180,82 @@ def fillings(counts: dict[int, int], capacity: int, most: int = 8, steps: int =
                 return True
         return False
 
-    def dominated(own, waste):
-        return waste > 0 and (left_between(own, 0, waste) or any(left_between(own, y, y + waste) for y in own if y != top))
+    return lambda own, waste: waste > 0 and (left_between(own, 0, waste) or any(left_between(own, y, y + waste) for y in own if y != top))
+
+
+def fillings(counts: dict[int, int], capacity: int, most: int = 12, steps: int = 4000) -> list[dict[int, int]]:
+    """Undominated fillings of a bin that holds the largest length, least waste first; `steps` bounds those tried.
+
+    A filling is dominated if a length left outside fits its waste, or could replace a smaller one in it. Which sums
+    the lengths from a place on can make is kept as bits of a number, so only fillings of the waste in turn are built.
+    Within a waste, fillings with different second lengths take turns."""
+    top = max(x for x, n in counts.items() if n)
+    space = capacity - top
+    free = [(x, m) for x in sorted(counts, reverse=True) if x <= space and (m := counts[x] - (x == top)) > 0]
+    reach, every = [1] * (len(free) + 1), (1 << space + 1) - 1
+    for i in range(len(free) - 1, -1, -1):
+        x, bits, n, k = free[i][0], reach[i + 1], min(free[i][1], space // free[i][0]), 1
+        while n:
+            k = min(k, n)
+            bits |= bits << k * x & every
+            n, k = n - k, 2 * k
+        reach[i] = bits
+
+    dominated = dominance(counts, top)
+
+    def firsts(at, room):
+        """(place, number) of the largest length of each way to fill `room` by the lengths from `at` on."""
+        for i in range(max(at, bisect_left(free, -room, key=lambda f: -f[0])), len(free)):
+            if not reach[i] >> room & 1:
+                return
+            x = free[i][0]
+            yield from ((i, n) for n in range(min(room // x, free[i][1]), 0, -1) if reach[i + 1] >> room - n * x & 1)
+
+    def exact(at, room):
+        """All ways to fill `room` by the lengths from `at` on."""
+        if not room:
+            yield {}
+        else:
+            for i, n in firsts(at, room):
+                for rest in exact(i + 1, room - n * free[i][0]):
+                    yield {free[i][0]: n, **rest}
+
+    def turns(room):
+        if not room:
+            yield {}
+            return
+        rows = deque((free[i][0], n, exact(i + 1, room - n * free[i][0])) for i, n in firsts(0, room))
+        while rows:
+            x, n, rests = rows.popleft()
+            if (rest := next(rests, None)) is not None:
+                yield {x: n, **rest}
+                rows.append((x, n, rests))
+
+    found, spent = [], 0
+    for waste in range(space + 1):
+        if reach[0] >> space - waste & 1:
+            for rest in turns(space - waste):
+                spent += 1
+                own = {**rest, top: rest.get(top, 0) + 1}
+                if not dominated(own, waste):
+                    found.append(own)
+                if len(found) == most or spent == steps:
+                    return found or [own]
+    return found
+
+
+def deep_fillings(counts: dict[int, int], capacity: int, most: int = 12, steps: int = 4000, pool: int = 48) -> list[dict[int, int]]:
+    """Undominated fillings of a bin that holds the largest length, in depth-first order; the least waste of the first `pool`.
+
+    These fill up with the largest second lengths, which saves the small ones for later bins."""
+    lengths = sorted((x for x, n in counts.items() if n), reverse=True)
+    top, found, spent = lengths[0], [], 0
+    dominated = dominance(counts, top)
 
     def grow(at, room, own):
         nonlocal spent
         spent += 1
-        if spent > steps or len(found) >= 4 * most:
+        if spent > steps or len(found) >= pool:
             return
         while at < len(lengths) and (lengths[at] > room or own.get(lengths[at], 0) >= counts[lengths[at]]):
             at += 1
@@ -205,23 +272,27 @@ def fillings(counts: dict[int, int], capacity: int, most: int = 8, steps: int =
     return [own for _, own in sorted(found, key=lambda f: f[0])[:most]]
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 100) -> list[tuple[dict[int, int], int]]:
-    """(filling, times) by bin completion; `nodes` bounds the branch-and-bound search, never the items packed."""
+def plan(counts: dict[int, int], capacity: int, nodes: int = 300) -> list[tuple[dict[int, int], int]]:
+    """(filling, times) by bin completion; `nodes` bounds each branch-and-bound search, never the items packed.
+
+    One search branches by `fillings` and, above the bound still, one by `deep_fillings` and one by fewer of them,
+    which goes less by waste."""
     best = best_fit(counts, capacity)
     bins, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    stack, spent = [({x: n for x, n in counts.items() if n}, 0, ())], 0
-    while stack and bins > bound and spent < nodes:
-        left, used, chosen = stack.pop()
-        spent += 1
-        rest = best_fit(left, capacity)
-        if used + (here := sum(n for _, n in rest)) < bins:
-            bins, best = used + here, [*chosen, *rest]
-        if not left or used + lower_bound(left, capacity) >= bins:
-            continue
-        for own in reversed(fillings(left, capacity)):
-            times = min(left[x] // n for x, n in own.items())
-            after = {x: m for x, n in left.items() if (m := n - times * own.get(x, 0))}
-            stack.append((after, used + times, (*chosen, (own, times))))
+    for ways in (fillings, deep_fillings, partial(deep_fillings, most=8, steps=800, pool=32)):
+        stack, spent = [({x: n for x, n in counts.items() if n}, 0, ())], 0
+        while stack and bins > bound and spent < nodes:
+            left, used, chosen = stack.pop()
+            spent += 1
+            rest = best_fit(left, capacity)
+            if used + (here := sum(n for _, n in rest)) < bins:
+                bins, best = used + here, [*chosen, *rest]
+            if not left or used + lower_bound(left, capacity) >= bins:
+                continue
+            for own in reversed(ways(left, capacity)):
+                times = min(left[x] // n for x, n in own.items())
+                after = {x: m for x, n in left.items() if (m := n - times * own.get(x, 0))}
+                stack.append((after, used + times, (*chosen, (own, times))))
     return best
 
 
@@ -241,7 +312,7 @@ def places(chosen: list[tuple[dict[int, int], int]], capacity: int) -> dict[int,
     return {x: np.array(rows, np.int64) for x, rows in out.items()}
 
 
-def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", nodes: int = 100) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", nodes: int = 300) -> DataFrame:
     """`cut` (from `pieces`) with sequence_id and offset, gapless from 0 in each sequence."""
     spark = cut.sparkSession
     cut = stored(cut, "pieces")

@@ -93,3 +93,18 @@ def test_chunks_give_the_library_s_ids():
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(8000)] + ["it's I'LL don't", "<|endoftext|>a<|startoftext|>", "THE***the,The"]
     for t in texts:
         assert np.frombuffer(mine.ids(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t
+
+
+def test_fillings_of_many_lengths_spread_by_waste():
+    counts = dict.fromkeys(range(20, 261), 2)
+    got = packing.fillings(counts, 1000)
+    assert {sum(x * n for x, n in own.items()) for own in got} == {1000}
+    assert len({max(x for x, n in own.items() if x < 260) if own[260] == 1 else 260 for own in got}) > 1
+    assert len({tuple(sorted(own.items())) for own in got}) == len(got) == 12
+
+
+def test_plan_reaches_the_bound_where_a_narrow_search_does_not():
+    rng, counts = random.Random(13), defaultdict(int)
+    for _ in range(60):
+        counts[rng.randrange(20, 90)] += rng.choice([1, 1, 2, 5])
+    assert sum(n for _, n in packing.plan(dict(counts), 200)) == packing.lower_bound(counts, 200) == 35
