@@ -1,50 +1,81 @@
 """Bootstrap over matches with draws that any engine reproduces, and posterior intervals.
 
 A draw's match index comes from integer hashing (three quadratic rounds modulo a prime), so resamples need no sort,
-no generator state and no Python. Each match is first reduced to (value, exposure)."""
+and no generator state. Each match is first reduced to (value, exposure)."""
 
 from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.plans.params import Params
 
 PRIME = 2147483647
+#: Draws held at once.
+CELLS = 1_000_000
 
 
-def draw(entity: Column, period: Column, b: Column, j: Column, seed: int) -> Column:
-    x = (entity * 69621 + period * 7919 + b * 1000003 + j * 48271 + seed) % PRIME
+def draws(entity: int, period: int, b: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The places drawn (0 to n - 1) of resamples `b`, a row each."""
+    x = np.fmod(entity * 69621 + period * 7919 + b[:, None] * 1000003 + np.arange(n) * 48271 + seed, PRIME)
     for r in (1, 2, 3):
         x = (x * x + (12345 + 777 * r)) % PRIME
-    return x
+    return x % n
 
 
-def resamples(matches: DataFrame, statistic: Column, p: Params, least: int) -> DataFrame:
-    """(entity_id, period, b, stat) of `matches` (entity_id, period, event_date, event_id, v, e); `statistic` aggregates v and e."""
-    w = Window.partitionBy("entity_id", "period")
-    rows = matches.select("entity_id", "period", "v", "e", (F.row_number().over(w.orderBy("event_date", "event_id")) - 1).cast("bigint").alias("j"), F.count("*").over(w).alias("n")).filter(F.col("n") >= least)
-    draws = rows.select("entity_id", "period", "j", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(p.resamples - 1).cast("bigint"))).alias("b"))
-    draws = draws.select("entity_id", "period", "b", (draw(F.col("entity_id").cast("bigint"), F.col("period").cast("bigint"), F.col("b"), F.col("j"), p.seed) % F.col("n")).alias("j"))
-    return draws.join(rows.select("entity_id", "period", "j", "v", "e"), ["entity_id", "period", "j"]).groupBy("entity_id", "period", "b").agg(statistic.alias("stat"))
+def resampled(matches: DataFrame, statistic, p: Params, least: int) -> DataFrame:
+    """(entity_id, period, boot_low, boot_high, boot_se) of `matches` (entity_id, period, event_date, event_id, v, e).
+
+    `statistic` takes matrices of v and e, a row each resample, with nan for null. The matches of one entity in one
+    period are one row here, and its resamples are drawn and summed up in its place, in blocks of about CELLS draws."""
+    rows = matches.groupBy("entity_id", "period").agg(F.sort_array(F.collect_list(F.struct("event_date", "event_id", F.col("v").cast("double").alias("v"), F.col("e").cast("double").alias("e")))).alias("m")).filter(F.size("m") >= least)
+    tail = (1 - p.interval) / 2
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for entity, period, v, e in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                v, e, n = np.array(v, float), np.array(e, float), len(v)
+                step = max(1, CELLS // n)
+                blocks = (draws(entity, period, np.arange(at, min(at + step, p.resamples)), n, p.seed) for at in range(0, p.resamples, step))
+                stats = np.concatenate([statistic(v[j], e[j]) for j in blocks])
+                stats = stats[~np.isnan(stats)]
+                low, high = np.quantile(stats, [tail, 1 - tail]).tolist() if len(stats) else (None, None)
+                out.append((low, high, float(stats.std(ddof=1)) if len(stats) > 1 else None))
+            low, high, se = zip(*out) if out else ((),) * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.float64()) for c in (low, high, se))], ["entity_id", "period", "boot_low", "boot_high", "boot_se"])
+
+    kinds = {c: matches.schema[c].dataType.simpleString() for c in ("entity_id", "period")}
+    return rows.select("entity_id", "period", "m.v", "m.e").mapInArrow(run, f"entity_id {kinds['entity_id']}, period {kinds['period']}, boot_low double, boot_high double, boot_se double")
+
+
+def total(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, without nan; nan for a row of nothing else."""
+    return np.where(np.isnan(x).all(1), np.nan, np.nansum(x, 1))
+
+
+def quotient(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x / y, nan where y is 0."""
+    return x / np.where(y == 0, np.nan, y)
 
 
 def bootstrap_rate(matches: DataFrame, p: Params, least: int = 2) -> DataFrame:
     """Interval and standard error of the total rate; a missing component value counts as 0 here only."""
-    stat = F.sum("v") / F.nullif(F.sum("e"), F.lit(0)) * p.basis
-    return interval(resamples(matches, stat, p, least), p)
+    return resampled(matches, lambda v, e: quotient(total(v), total(e)) * p.basis, p, least)
 
 
 def bootstrap_mean(matches: DataFrame, p: Params, least: int = 3) -> DataFrame:
     """Interval of the mean of match rates."""
-    return interval(resamples(matches, F.avg(F.col("v") / F.nullif(F.col("e"), F.lit(0)) * p.basis), p, least), p)
 
+    def mean(v, e):
+        rate = quotient(v, e) * p.basis
+        return quotient(total(rate), (~np.isnan(rate)).sum(1))
 
-def interval(stats: DataFrame, p: Params) -> DataFrame:
-    a = (1 - p.interval) / 2
-    return stats.groupBy("entity_id", "period").agg(F.percentile("stat", F.lit(a)).alias("boot_low"), F.percentile("stat", F.lit(1 - a)).alias("boot_high"), F.stddev_samp("stat").alias("boot_se"))
+    return resampled(matches, mean, p, least)
 
 
 def posterior_interval(totals: DataFrame, boot: DataFrame, total: DataFrame, p: Params) -> DataFrame:

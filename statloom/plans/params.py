@@ -33,7 +33,7 @@ class Params:
     live_shares: tuple[float, float] = (0.75, 0.60)
     live_floors: tuple[float, float] = (270.0, 90.0)
     min_pool: int = 12
-    resamples: int = 200
+    resamples: int = 2000
     seed: int = 20260101
     interval: float = 0.90
     bands: tuple[float, float, float, float] = (85.0, 70.0, 30.0, 15.0)
