@@ -4,8 +4,8 @@ For each language a reference text is drawn from labelled documents and a suffix
 is parsed against each automaton into phrases, each the longest match with the reference (a symbol that the reference
 lacks goes with the phrase that it ends); references are equally long, so the language with the fewest phrases a symbol, the least cross-entropy, wins.
 
-The reference is a bounded sample, a documented parameter: of each language, the `ref_docs` labelled documents of at
-most `ref_doc_chars` characters with the least id hash, cut to `ref_chars` characters in all (`all_chars` over every
+The reference is a bounded sample, a documented parameter: of each language, the `ref_docs` labelled documents with
+the least id hash, of each its first `ref_doc_chars` characters, cut to `ref_chars` characters in all (`all_chars` over every
 language). Texts to predict are parsed whole, in blocks of `BLOCK` symbols that start afresh, so that long and short
 texts go through the automata side by side as array operations. Prediction is map only.
 
@@ -41,8 +41,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def reference_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", ref_docs: int = 200, ref_doc_chars: int = 2000, ref_chars: int = 24_000, all_chars: int = 400_000) -> dict[str, str]:
     """A bounded text of each language: at most ref_docs * ref_doc_chars characters of it reach the driver."""
-    labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= ref_doc_chars))
+    labelled = docs.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, ref_doc_chars).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     w = Window.partitionBy("lang").orderBy("h", "text")
     rows = labelled.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= ref_docs).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("texts")).collect()
     share = min(ref_chars, all_chars // max(1, len(rows)))

@@ -48,3 +48,9 @@ def test_tells_languages_and_defined_results(spark):
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
     assert langid.reference_texts(docs.limit(0)) == {}
     assert langid.identify(docs.limit(0), {"a": "b"}).count() == 0
+
+
+def test_a_language_of_long_texts_only_has_a_reference(spark):
+    rows = [(i, "der schnelle braune fuchs springt " * 100, "de") for i in range(3)] + [(i, "the quick brown fox jumps over ", "en") for i in range(10, 14)]
+    got = langid.reference_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(got) == {"de", "en"}
