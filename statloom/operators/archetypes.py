@@ -26,14 +26,34 @@ def assign(z: DataFrame, centres: DataFrame) -> DataFrame:
     return d.groupBy("entity_id").agg(F.min_by("cluster", F.struct(F.round("d2", 9), "cluster")).alias("cluster"), F.min("d2").alias("d2"))
 
 
-def silhouette(z: DataFrame, membership: DataFrame, most: int = 5000) -> DataFrame:
-    """Mean Euclidean silhouette, one row; exact, for up to `most` entities (a pair each), else use MLlib's evaluator."""
-    if membership.count() > most:
-        raise ValueError("too many entities for the exact silhouette; use pyspark.ml.evaluation.ClusteringEvaluator")
-    a = z.join(membership, "entity_id")
-    b = a.select(F.col("entity_id").alias("other"), "component", F.col("z").alias("zb"), F.col("cluster").alias("cb"))
-    d = a.join(b, "component").groupBy("entity_id", "cluster", "other", "cb").agg(F.sqrt(F.sum(F.pow(F.col("z") - F.col("zb"), 2))).alias("d"))
-    means = d.groupBy("entity_id", "cluster", "cb").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
+def silhouette(z: DataFrame, membership: DataFrame, block: int = 1024) -> DataFrame:
+    """Mean Euclidean silhouette, one row; exact for any number of entities.
+
+    Blocks of entities meet each other block as arrays, and only sums of distances for each entity and cluster leave
+    a pair of blocks, so no row is made for a pair of entities; the arithmetic grows with their square."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = z.join(membership, "entity_id").groupBy("entity_id", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "z"))), lambda x: x["z"]).alias("v"))
+    # blocks of about `block` entities by hash
+    n_blocks = max(1, -(-membership.count() // block))
+    blocks = rows.groupBy(F.pmod(F.xxhash64("entity_id"), F.lit(n_blocks)).alias("k")).agg(F.collect_list("entity_id").alias("ids"), F.collect_list("cluster").alias("cs"), F.flatten(F.collect_list("v")).alias("vs"))
+    other = blocks.select(F.col("cs").alias("cs2"), F.col("vs").alias("vs2"))
+    pairs = blocks.crossJoin(other).select("ids", "cs", "vs", "cs2", "vs2")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, own, x, c, y = (np.asarray(batch.column(k)[i].values) for k in range(5))
+                x, y = x.reshape(len(ids), -1), y.reshape(len(c), -1)
+                d = np.sqrt(sum((x[:, k, None] - y[None, :, k]) ** 2 for k in range(x.shape[1])))
+                for cb in np.unique(c):
+                    mine = c == cb
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own), pa.array(np.full(len(ids), cb)), pa.array(d[:, mine].sum(1)), pa.array(np.full(len(ids), mine.sum(), np.int64))], ["entity_id", "cluster", "cb", "s", "n"])
+
+    kinds = {c: membership.schema[c].dataType.simpleString() for c in ("entity_id", "cluster")}
+    sums = pairs.mapInArrow(run, f"entity_id {kinds['entity_id']}, cluster {kinds['cluster']}, cb {kinds['cluster']}, s double, n bigint")
+    means = sums.groupBy("entity_id", "cluster", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = F.col("cb") == F.col("cluster")
     s = means.groupBy("entity_id").agg(F.max(F.when(own, F.col("s") / F.when(F.col("n") > 1, F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
     return s.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))).alias("silhouette"))
