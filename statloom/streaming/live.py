@@ -10,22 +10,28 @@ from pyspark.sql import functions as F
 from statloom.sources.payload import place
 
 
-def refreshed(spark: SparkSession, path: str) -> DataFrame:
+def refreshed(spark: SparkSession, path: str, per_batch: int = 1000) -> DataFrame:
     """(user_id, n, value) after the stream over `path` has been read to its end; repeated event ids count once.
 
-    Every micro-batch writes its partial sums to one table in append mode, keyed by its number, so a batch that is
-    run again replaces its own part."""
+    Every micro-batch writes its distinct events to one table, keyed by its number, so a batch that is run again
+    replaces its own part. Event ids are made unique over all batches when the parts are merged, however late a row
+    is; of repeated ids the earliest batch's earliest row counts. A batch reads `per_batch` files. `path` is a file or a folder of part files."""
     out = place(spark)
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*").option("recursiveFileLookup", True).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    unique = events.withWatermark("ts", "400 days").dropDuplicatesWithinWatermark(["event_id"])
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        events = reader.parquet(path)
+    else:
+        events = reader.option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder)
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("value")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.groupBy("event_id").agg(F.min_by(F.struct("user_id", "value"), F.struct("ts", "user_id", "value")).alias("x"), F.min("ts").alias("ts")).select("event_id", "x.*", "ts").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = unique.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}-{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start()
+    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}-{uuid.uuid4().hex[:8]}").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
+    first = spark.read.parquet(out).groupBy("event_id").agg(F.min_by(F.struct("user_id", "value"), F.struct("batch", "ts", "user_id", "value")).alias("x")).select("x.*")
+    return first.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
