@@ -310,7 +310,7 @@ def quantiles(rows: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFra
     return counts.groupBy(*keys).agg(F.max("all").alias("all"), *(F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("b") + 0.5) / BUCKETS)).alias(name) for name, q in qs.items()))
 
 
-def classify(scored: DataFrame, margin: float = 1.0, prior: int = 100, least: int = 50, id_col: str = "doc_id") -> DataFrame:
+def classify(scored: DataFrame, margin: float = 0.25, prior: int = 100, least: int = 50, id_col: str = "doc_id") -> DataFrame:
     """(id, lang, text_hash, chars, perplexity, threshold, kept) from `perplexities`."""
     scored = scored.withColumn("log_ppl", -F.col("log_prob") / F.when(F.col("chars") > 0, F.col("chars")))
     trusted = scored.filter("aside and log_ppl is not null").select("lang", "log_ppl", "chars")
