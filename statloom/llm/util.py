@@ -74,6 +74,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20)
             yield batch.slice(i, step)
 
 
+def plain(column: pa.Array) -> list:
+    """The values of a column without nulls, faster than `to_pylist`."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def packed_blocks(batches):
     """(block, blob): the rows of each `_block` that this task has read, compressed together."""
     held: list[pa.RecordBatch] = []

@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -20,15 +21,25 @@ OWN = Tokenizer.from_file(PATH)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r\x1c\x85\xa0'stredvml0²é漢😀<|>#"), st.characters(codec="utf-8")), max_size=60))
 def test_same_as_the_library(text):
     want = OWN.encode(text, add_special_tokens=False).ids
-    assert MODEL.encode(text) == want
-    assert MODEL.count(text) == len(want)
-    assert MODEL.decode(want) == OWN.decode(want, skip_special_tokens=False)
-    assert MODEL.digest(text) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(MODEL.decode(want).encode()).hexdigest())
+    texts = pa.array([text, "", text])
+    ids = MODEL.encode_column(texts)
+    assert ids.to_pylist() == [want, [], want]
+    assert MODEL.count_column(texts).tolist() == [len(want), 0, len(want)]
+    assert str(list(MODEL.decoded(ids))[2], "utf-8") == OWN.decode(want, skip_special_tokens=False)
+    n, names, decoded = MODEL.digest_column(texts)
+    assert (n[2].as_py(), names[2], decoded[2]) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert names[1] == decoded[1] == hashlib.sha256(b"").hexdigest()
+
+
+def test_bytes_that_are_no_utf8():
+    ids = pa.array([[OWN.encode("é").ids[0]] if len(OWN.encode("é").ids) > 1 else [OWN.token_to_id("Ã")]], pa.list_(pa.int32()))
+    assert str(next(MODEL.decoded(ids)), "utf-8") == OWN.decode(ids[0].as_py(), skip_special_tokens=False) == "\ufffd"
 
 
 @pytest.mark.parametrize("text", ["<|endoftext|>", "a<|endoftext|><|endoftext|> b", "x" * 20_000, "ab " * 5000, "\n\n a\n", "don't  stop"])
 def test_special_and_long_texts(text):
-    assert MODEL.encode(text) == OWN.encode(text, add_special_tokens=False).ids and MODEL.count(text) == len(MODEL.encode(text))
+    want = OWN.encode(text, add_special_tokens=False).ids
+    assert MODEL.encode_column(pa.array([text])).to_pylist() == [want] and MODEL.count_column(pa.array([text])).tolist() == [len(want)]
 
 
 def test_tables(spark):
