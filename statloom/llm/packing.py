@@ -21,22 +21,24 @@ from array import array
 from bisect import bisect_left, insort
 from collections import deque
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_symbols
-from .util import Recent, salt, shuffle_parts, small_batches, stored
+from .bpe import byte_symbols, joined
+from .util import Recent, plain, salt, shuffle_parts, small_batches, stored
 
 END = 0
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 class ChunkTokenizer:
-    """Ids of whole texts by the tokenizers library, which is asked once for each distinct blank-free chunk.
+    """Ids of whole texts by the tokenizers library, which is asked once for each distinct part of a blank-free chunk.
 
     The vocabulary's pre-tokenizer drops white space and its normalizer works within chunks, so a text's ids are
     its chunks' ids in turn. A chunk of Latin-1 characters without an apostrophe or a special token is cut further,
@@ -52,43 +54,36 @@ class ChunkTokenizer:
         self.own = Tokenizer.from_buffer(data)
         self.own.no_truncation()
         self.own.no_padding()
-        self.merge, self.symbols = self.own.model.tokenize, byte_symbols()
-        self.memo, self.parts = Recent(memo), Recent(memo)
-
-    def _chunks(self, missed: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that the memo lacks."""
-        cut, found, memo = {}, {}, self.parts
-        for c in missed:
-            text = c.decode()
-            cut[c] = parts = (text,) if self.WHOLE.search(text) else self.PARTS.findall(text.lower())
-            for x in parts:
-                if x not in found:
-                    found[x] = memo[x]
-        for x, ids in found.items():
-            if ids is None:
-                if self.WHOLE.search(x):
-                    ids = self.own.encode(x, add_special_tokens=False).ids
-                else:  # normalized and cut already: straight to the library's merging
-                    ids = [t.id for t in self.merge(x if x.isascii() and x.isprintable() else "".join(map(self.symbols.__getitem__, x.encode())))]
-                found[x] = memo[x] = array("I", ids).tobytes()
-        return {c: b"".join(map(found.__getitem__, parts)) for c, parts in cut.items()}
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        memo, chunks = self.memo, text.encode().split()
-        got = list(map(memo.young.get, chunks))
-        if None in got:
-            at = [i for i, g in enumerate(got) if g is None]
-            own = {c: memo[c] for c in {chunks[i] for i in at}}
-            missed = [c for c, g in own.items() if g is None]
-            if missed:
-                new = self._chunks(missed)
-                own |= new
-                for c, g in new.items():
-                    memo[c] = g
-            for i in at:
-                got[i] = own[chunks[i]]
-        return b"".join(got)
+        self.merge, self.symbols, self.memo = self.own.model.tokenize, byte_symbols(), Recent(memo)
+
+    def _packed(self, part: str) -> bytes:
+        if self.WHOLE.search(part):
+            ids = self.own.encode(part, add_special_tokens=False).ids
+        else:  # normalized and cut already: straight to the library's merging
+            ids = [t.id for t in self.merge(part if part.isascii() and part.isprintable() else "".join(map(self.symbols.__getitem__, part.encode())))]
+        return array("I", ids).tobytes()
+
+    def ids(self, texts: pa.Array) -> pa.Array:
+        """Little-endian unsigned 32-bit ids of each row without nulls."""
+        lists = pc.ascii_split_whitespace(texts)
+        chunks = lists.flatten().dictionary_encode()
+        own = chunks.dictionary
+        whole = pc.match_substring_regex(own, "'|<\\||[^\\x00-\\x{ff}]")
+        cut = list(map(self.PARTS.findall, plain(pc.utf8_lower(own))))
+        for i in np.flatnonzero(plain(whole)).tolist():
+            cut[i] = [own[i].as_py()]
+        parts = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
+        known = plain(parts.dictionary)
+        got = list(map(self.memo.young.get, known))
+        for i, x in enumerate(known):
+            if got[i] is None:
+                if (packed := self.memo[x]) is None:
+                    packed = self.memo[x] = self._packed(x)
+                got[i] = packed
+        ends = np.zeros(len(cut) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, cut), np.int32, len(cut)), out=ends[1:])
+        by_chunk = joined(pa.array(ends), pa.array(got, pa.binary()).take(parts.indices))
+        return joined(lists.offsets, by_chunk.take(chunks.indices))
 
 
 _TOKENIZER: list = []
@@ -107,8 +102,8 @@ def pieces(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, id_col: str
         own, end = _TOKENIZER[0], np.array([END], "<u4").tobytes()
         for batch in small_batches(batches):
             rows: list = []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                ids = own.ids(text or "") + end
+            for k, ids in enumerate(own.ids(pc.fill_null(batch.column(1).cast(pa.string()), "")).to_pylist()):
+                ids += end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((k, p, at // 4, len(part) // 4, zlib.crc32(part)))
