@@ -3,22 +3,25 @@
 A window is `window` consecutive words; each word covered by a window whose word sequence starts earlier (smaller
 document id, or same document and earlier start) is removed. Steps, over whole texts:
 
-1. Map: each window's anchor is the least hash among its phrases of 3/10 of its words, so equal windows have equal
-   anchors and only about one phrase in eight is an anchor. Counted on their hash, those seen twice recur.
-   Documents are also cut, by content, into segments of consecutive windows; equal segments are found by digest.
-2. Documents are dealt into blocks of bounded size, packed and compressed; recurring anchors and segments go to the
+1. Map, the only pass that looks for phrases: a phrase is half a window's words, its key the letters that stand for
+   them (a few bits of each word's hash). Each window's anchor is its phrase with the least mixed key, so equal windows
+   have equal anchors and only about one phrase in six is an anchor. Documents are also cut, by content, into segments
+   of consecutive windows, told by digest. One shuffle by key confirms the phrases and segments that occur twice.
+2. Documents are dealt into blocks of bounded size, packed and compressed; confirmed phrases and segments go to the
    blocks that hold them, at most one row for a block however often it holds them.
-3. In each block an Aho-Corasick automaton is compiled from the confirmed phrases found there, and all its documents
-   stream through it; windows whose anchor is a hit are candidates. Windows of a segment that is equal to an earlier one are
-   settled: they start earlier there. The other candidates' 96-bit digests are reduced to one row for a block.
+3. For each block an Aho-Corasick automaton is compiled from its shard of the confirmed phrases, and all its documents
+   stream through it. Its hits are the occurrences: a window whose anchor is not hit goes no further. Segments all of
+   whose windows are hit and that are equal to an earlier one are settled: their windows start earlier there. The other
+   windows' 96-bit digests are reduced to one row for a block.
 4. Digests seen twice are confirmed; their first place goes back to the blocks, where every window with a confirmed
-   digest that is not at its first place is removed.
+   digest, or in a settled segment, that is not at its first place is removed.
 
 No step brings a group's rows together: a passage that a third of all documents share costs each block one row.
 Hashes are of exact words; two different windows are taken for equal with probability about 2^-96 a pair.
 
 Defined results: null text has no words; a null id counts as the largest; rows that repeat an id stand at the same
-place, so neither removes the other; texts under `window` words stay whole; empty table, empty result.
+place, so neither removes the other (rows alike in id and text share a block); texts under `window` words stay whole;
+empty table, empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +29,16 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import opened, packed_blocks, salt, small_batches, stored
+from .util import opened, packed_blocks, salt, small_batches
 
 BASES = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25))
 LONGEST = 256
-LETTERS = 4
+#: Bits of a letter, and letters of a phrase's key.
+LETTER, KEY = 6, 10
+NONE = np.uint64(2**64 - 1)
 HALF = np.uint64(32)
 LAST = 2**63 - 1
 BLOCK_BYTES = 8 << 20
@@ -114,24 +119,44 @@ class Flat:
         self.size = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
         self.end = np.cumsum(self.size)
         self.begin = self.end - self.size
-        self.window, self.phrase = window, max(1, window * 3 // 10)
+        self.window, self.phrase = window, min(KEY, max(1, window // 2))
         self.ids = np.array([LAST if i is None else i for i in ids], np.int64)
         n = len(self.values)
         m = max(0, n - window + 1)
         self.whole = self.end[self.doc[:m]] - np.arange(m) >= window if m else np.zeros(0, bool)
         self.starts = np.flatnonzero(self.whole)
 
+    def letters(self) -> np.ndarray:
+        """The letters of each word, one or (of short phrases) several."""
+        return np.stack([(self.values >> np.uint64(LETTER * i)) & np.uint64(2**LETTER - 1) for i in range(KEY // self.phrase)], 1).astype(np.uint8)
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of anchor phrases, each phrase's hash, and the anchor's hash of each window."""
-        h = rolling(self.values, self.phrase, BASES[0])
-        m, w = len(self.whole), self.window - self.phrase + 1
-        least = h[:m].copy()
-        chosen = np.zeros(len(h), bool)
-        for j in range(1, w if m else 0):
-            np.minimum(least, h[j : j + m], out=least)
-        for j in range(w if m else 0):
-            chosen[j : j + m] |= self.whole & (h[j : j + m] == least)
-        return np.flatnonzero(chosen), h, least
+        """Each phrase's key, its mixed key, and the least mixed key of each window."""
+        n = max(0, len(self.values) - self.phrase + 1)
+        key = np.zeros(n, np.uint64)
+        letters = self.letters()
+        for j in range(self.phrase):
+            for column in letters.T:
+                key <<= np.uint64(LETTER)
+                key |= column[j : j + n]
+        mixed = key * BASES[0]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= BASES[1]
+        return key, mixed, self._least(mixed)
+
+    def _least(self, mixed: np.ndarray) -> np.ndarray:
+        m = len(self.whole)
+        out = mixed[:m].copy()
+        for j in range(1, self.window - self.phrase + 1 if m else 0):
+            np.minimum(out, mixed[j : j + m], out=out)
+        return out
+
+    def anchor_places(self, mixed: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Places of the phrases that are some window's anchor."""
+        m, chosen = len(self.whole), np.zeros(len(mixed), bool)
+        for j in range(self.window - self.phrase + 1 if m else 0):
+            chosen[j : j + m] |= self.whole & (mixed[j : j + m] == least)
+        return np.flatnonzero(chosen)
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         return rolling(self.values, self.window, BASES[0])[self.starts], rolling(self.others, self.window, BASES[1])[self.starts]
@@ -157,28 +182,30 @@ class Flat:
             power[:, i] = power[:, i - 1] * np.array(BASES[:2])
         return at, np.add.reduceat(d1 * power[0][far], at) + size, np.add.reduceat(d2 * power[1][far], at) ^ size
 
-    def hits(self, recurring: np.ndarray) -> np.ndarray:
-        """Candidate windows, as places in `starts`: those whose anchor is a confirmed phrase, as the automaton finds it."""
-        places, h, least = self.anchors()
-        places = places[np.isin(h[places], recurring)]
-        if not len(places):
-            return np.zeros(0, np.int64)
-        # a word is LETTERS letters of five bits of its hash; windows that only look alike fall out by their digests
-        letters = np.stack([(self.values >> np.uint64(5 * i)) & np.uint64(31) for i in range(LETTERS)], 1).astype(np.uint8)
-        flat = (letters + np.uint8(64)).tobytes().decode("ascii")
-        automaton, k = ahocorasick.Automaton(), self.phrase
-        _, first = np.unique(h[places], return_index=True)
-        for p in (places[first] * LETTERS).tolist():
-            automaton.add_word(flat[p : p + k * LETTERS], 1)
-        automaton.make_automaton()
-        ends = np.fromiter((e for e, _ in automaton.iter(flat)), np.int64)
-        ends = ends[ends % LETTERS == LETTERS - 1] // LETTERS
-        hit = np.zeros(len(h), bool)
-        hit[ends - k + 1] = True
-        own = np.zeros(len(least), bool)
-        for j in range(self.window - k + 1):
-            own |= hit[j : j + len(least)] & (h[j : j + len(least)] == least)
-        return np.flatnonzero(own[self.starts])
+    def hits(self, automaton: ahocorasick.Automaton) -> np.ndarray:
+        """Whether each window of `starts` has its anchor at a place where the automaton finds a confirmed phrase."""
+        each, size = KEY // self.phrase, KEY // self.phrase * self.phrase
+        ends = np.fromiter((e for e, _ in automaton.iter(_ascii(self.letters()))), np.int64)
+        hit = np.zeros(len(self.values), bool)
+        hit[(ends[(ends + 1) % each == 0] + 1 - size) // each] = True
+        _, mixed, least = self.anchors()
+        found = np.where(hit[: len(mixed)], mixed, NONE)
+        return (self._least(found) == least)[self.starts]
+
+
+def _ascii(letters: np.ndarray) -> str:
+    return (letters + np.uint8(48)).tobytes().decode("ascii")
+
+
+def compiled(keys: np.ndarray, phrase: int) -> ahocorasick.Automaton | None:
+    """The automaton of the phrases with these keys."""
+    size = KEY // phrase * phrase
+    flat = _ascii(np.stack([(keys >> np.uint64(LETTER * (size - 1 - i))) & np.uint64(2**LETTER - 1) for i in range(size)], 1).astype(np.uint8))
+    automaton = ahocorasick.Automaton()
+    for at in range(0, len(flat), size):
+        automaton.add_word(flat[at : at + size], 1)
+    automaton.make_automaton()
+    return automaton if len(keys) else None
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -188,38 +215,52 @@ def _signed(x: np.ndarray) -> pa.Array:
 BATCH = 2 << 20
 
 
-def _anchors(batches, window, with_block):
-    """(a, block, n): anchors counted per task, in all or per block."""
-    held: list[np.ndarray] = []
+FACT = "kind tinyint, a bigint, b bigint, block int, doc bigint, start bigint, n bigint"
+PHRASE, SEGMENT, WINDOW = 0, 1, 2
+ROW = np.dtype([("a", "u8"), ("b", "u8"), ("block", "i4"), ("doc", "i8"), ("start", "i8"), ("n", "i8")])
 
-    def flush():
-        pairs, n = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return pa.RecordBatch.from_arrays([_signed(pairs["a"]), pa.array(pairs["block"]), pa.array(n.astype(np.int64))], ["a", "block", "n"])
 
-    for batch in small_batches(batches, BATCH):
-        flat = Flat(batch.column("_text").to_pylist(), batch.column("_id").to_pylist(), window)
-        places, h, _ = flat.anchors()
-        pairs = np.zeros(len(places), [("a", "u8"), ("block", "i4")])
-        pairs["a"] = h[places]
-        if with_block:
-            pairs["block"] = batch.column("_block").to_numpy(zero_copy_only=False)[flat.doc[places]]
-        held.append(pairs)
-        if sum(map(len, held)) > 2_000_000:
-            yield flush()
-    if held:
-        yield flush()
+def _facts(kind: int, rows: np.ndarray) -> pa.RecordBatch:
+    """`rows` with one row for each (a, b, block): the number of its rows and their first place."""
+    if len(rows):
+        rows = rows[np.lexsort((rows["start"], rows["doc"], rows["b"], rows["block"], rows["a"]))] if kind else rows[np.lexsort((rows["block"], rows["a"]))]
+        new = np.flatnonzero(np.r_[True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1]) | (rows["block"][1:] != rows["block"][:-1])])
+        n = np.add.reduceat(rows["n"], new)
+        rows = rows[new]
+        rows["n"] = n
+    columns = [_signed(rows[c]) if c in "ab" else pa.array(rows[c]) for c in ROW.names]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int8)), *columns], ["kind", *ROW.names])
 
 
-def _segments(batches, window):
-    """(a, b, block, doc, start) of each segment of windows."""
+def _recurrences(batches, window):
+    """Facts of the anchors' phrases, counted in parts, and of segments."""
+    held: list[np.ndarray] = []
     for batch in small_batches(batches, BATCH):
         flat = Flat(batch.column("_text").to_pylist(), batch.column("_id").to_pylist(), window)
+        block = batch.column("_block").to_numpy(zero_copy_only=False)
+        key, mixed, least = flat.anchors()
+        places = flat.anchor_places(mixed, least)
+        rows = np.zeros(len(places), ROW)
+        rows["a"], rows["block"], rows["n"] = key[places], block[flat.doc[places]], 1
+        held.append(rows)
+        if sum(map(len, held)) > 1_000_000:
+            yield _facts(PHRASE, np.concatenate(held))
+            held.clear()
         at, g1, g2 = flat.segments(*flat.digests())
         start = flat.starts[at]
         doc = flat.doc[start]
-        block = batch.column("_block").to_numpy(zero_copy_only=False).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([_signed(g1), _signed(g2), pa.array(block[doc]), pa.array(flat.ids[doc]), pa.array(start - flat.begin[doc])], ["a", "b", "block", "doc", "start"])
+        rows = np.zeros(len(at), ROW)
+        rows["a"], rows["b"], rows["block"], rows["doc"], rows["start"], rows["n"] = g1, g2, block[doc], flat.ids[doc], start - flat.begin[doc], 1
+        yield _facts(SEGMENT, rows)
+    if held:
+        yield _facts(PHRASE, np.concatenate(held))
+
+
+def _seen_twice(facts: DataFrame) -> DataFrame:
+    """One row for each block of what occurs twice or more in all, with its first place; one shuffle."""
+    same = Window.partitionBy("kind", "a", "b")
+    all_ = facts.repartition("a").withColumns({"_n": F.sum("n").over(same), "_first": F.min(F.struct("doc", "start")).over(same)}).filter("_n > 1")
+    return all_.groupBy("kind", "a", "b", "block").agg(F.min("_first").alias("_first")).select("kind", "a", "b", "block", "_first.doc", "_first.start")
 
 
 class Known:
@@ -231,13 +272,13 @@ class Known:
         self.a, self.b = column("a").view(np.uint64)[order], column("b").view(np.uint64)[order]
         self.doc, self.start = column("doc")[order], column("start")[order]
 
-    def later(self, a, b, doc, start) -> np.ndarray:
-        """Whether each pair is known with another first place than (doc, start)."""
+    def find(self, a, b) -> np.ndarray:
+        """The number of each pair, -1 where it isn't known."""
+        found = np.full(len(a), -1)
         if not len(self.a):
-            return np.zeros(len(a), bool)
+            return found
         # equal `a` with another `b` is as good as impossible; such runs are walked to their end
         at = np.searchsorted(self.a, a)
-        found = np.full(len(a), -1)
         open_ = np.arange(len(a))
         while len(open_):
             i = at[open_]
@@ -248,18 +289,12 @@ class Known:
             found[open_[same]] = i[same]
             open_ = open_[~same]
             at[open_] += 1
-        known = found >= 0
-        return known & ((self.doc[found] != doc) | (self.start[found] != start))
-
+        return found
 
-def _settled(flat: Flat, d1, d2, segments: Known) -> np.ndarray:
-    """Windows in a segment that is equal to an earlier one."""
-    at, g1, g2 = flat.segments(d1, d2)
-    if not len(at):
-        return np.zeros(0, bool)
-    start = flat.starts[at]
-    doc = flat.doc[start]
-    return np.repeat(segments.later(g1, g2, flat.ids[doc], start - flat.begin[doc]), np.diff([*at, len(d1)]))
+    def later(self, a, b, doc, start) -> np.ndarray:
+        """Whether each pair is known with another first place than (doc, start)."""
+        found = self.find(a, b)
+        return (found >= 0) & ((self.doc[found] != doc) | (self.start[found] != start)) if len(self.a) else found >= 0
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -268,77 +303,70 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     docs = docs.select(kept)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
-    blocked = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_text": F.col(text_col).cast("string"), "_block": salt([F.col(id_col), F.octet_length(text_col)], n_blocks)})
+    blocked = docs.withColumns({"_id": F.col(id_col).cast("bigint"), "_text": F.col(text_col).cast("string"), "_block": salt([F.col(id_col), F.xxhash64(text_col)], n_blocks)})
     read = blocked.select("_id", "_text", "_block")
-    # anchors are found twice rather than kept: what recurs is a small part of them
-    recurring = read.mapInArrow(lambda b: _anchors(b, window, False), "a bigint, block int, n bigint").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1").select("a")
-    held = read.mapInArrow(lambda b: _anchors(b, window, True), "a bigint, block int, n bigint").select("a", "block")
-    anchors = held.join(recurring.hint("shuffle_hash"), "a", "left_semi").distinct()
-    segments = stored(read.mapInArrow(lambda b: _segments(b, window), "a bigint, b bigint, block int, doc bigint, start bigint").groupBy("a", "b", "block").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("first")), "segments")
-    equal = segments.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1").select("a", "b", "first")
-    zero = F.lit(0).cast("bigint")
-    known = stored(
-        anchors.select("block", F.lit(0).cast("tinyint").alias("kind"), "a", zero.alias("b"), zero.alias("doc"), zero.alias("start"))
-        .unionByName(segments.select("block", "a", "b").join(equal, ["a", "b"]).select("block", F.lit(1).cast("tinyint").alias("kind"), "a", "b", "first.doc", "first.start")),
-        "known",
-    )
+    known = _seen_twice(read.mapInArrow(lambda b: _recurrences(b, window), FACT))
     packed = blocked.select(*[c for c in kept if c != text_col], "_id", "_text", "_block").mapInArrow(packed_blocks, "block int, blob binary")
+    place = lambda flat, start: (flat.ids[flat.doc[start]], start - flat.begin[flat.doc[start]])
 
-    def candidates(blobs: pa.Table, facts: pa.Table) -> pa.Table:
+    def occurrences(blobs: pa.Table, facts: pa.Table) -> pa.Table:
         kinds = facts.column("kind").to_numpy()
-        anchors = facts.column("a").to_numpy().view(np.uint64)[kinds == 0]
-        segments, out = Known(facts.filter(pa.array(kinds == 1))), []
-        for batch in opened(blobs.column("blob")) if len(anchors) else ():
+        automaton = compiled(facts.column("a").to_numpy().view(np.uint64)[kinds == PHRASE], min(KEY, max(1, window // 2)))
+        segments, out = Known(facts.filter(pa.array(kinds == SEGMENT))), ([np.zeros(0, ROW)], [np.zeros(0, ROW)])
+        block = blobs.column("block")[0].as_py() if blobs.num_rows else 0
+        for batch in opened(blobs.column("blob")) if automaton else ():
             for part in small_batches([batch], BATCH):
                 flat = Flat(part.column("_text").to_pylist(), part.column("_id").to_pylist(), window)
+                if not len(flat.starts):
+                    continue
                 d1, d2 = flat.digests()
-                at = flat.hits(anchors)
-                at = at[~_settled(flat, d1, d2, segments)[at]]
-                start = flat.starts[at]
-                doc = flat.doc[start]
-                rows = np.zeros(len(at), [("a", "u8"), ("b", "u8"), ("doc", "i8"), ("start", "i8"), ("n", "i8")])
-                rows["a"], rows["b"], rows["doc"], rows["start"], rows["n"] = d1[at], d2[at] >> HALF, flat.ids[doc], start - flat.begin[doc], 1
-                out.append(rows)
-        rows = np.concatenate(out) if out else np.zeros(0, [("a", "u8"), ("b", "u8"), ("doc", "i8"), ("start", "i8"), ("n", "i8")])
-        if len(rows):
-            rows = rows[np.lexsort((rows["start"], rows["doc"], rows["b"], rows["a"]))]
-            new = np.flatnonzero(np.r_[True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])])
-            n = np.diff([*new, len(rows)])
-            rows = rows[new]
-            rows["n"] = n
-        block = blobs.column("block")[0].as_py() if blobs.num_rows else 0
-        return pa.table([pa.array(np.full(len(rows), block, np.int32)), _signed(rows["a"]), _signed(rows["b"]), pa.array(rows["n"]), pa.array(rows["doc"]), pa.array(rows["start"])], ["block", "a", "b", "n", "doc", "start"])
-
-    found = packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(candidates, "block int, a bigint, b bigint, n bigint, doc bigint, start bigint")
-    found = stored(found, "candidates")
-    again = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "start")).alias("first")).filter("n > 1").select("a", "b", "first")
-    confirmed = found.select("a", "b", "block").join(again, ["a", "b"]).select("block", F.lit(2).cast("tinyint").alias("kind"), "a", "b", "first.doc", "first.start")
-    marked = confirmed.unionByName(known.filter("kind = 1"))
+                hit = flat.hits(automaton)
+                at, g1, g2 = flat.segments(d1, d2)
+                which = segments.find(g1, g2)
+                settled = (which >= 0) & np.logical_and.reduceat(hit, at)
+                own = which[settled]
+                rows = np.zeros(len(own), ROW)
+                rows["a"], rows["b"], rows["doc"], rows["start"], rows["n"] = segments.a[own], segments.b[own], segments.doc[own], segments.start[own], 2
+                out[0].append(rows)
+                doc, start = place(flat, flat.starts[at])
+                later = settled & ((segments.doc[which] != doc) | (segments.start[which] != start)) if len(segments.a) else settled
+                at = np.flatnonzero(hit & ~np.repeat(later, np.diff([*at, len(hit)])))
+                rows = np.zeros(len(at), ROW)
+                rows["doc"], rows["start"] = place(flat, flat.starts[at])
+                rows["a"], rows["b"], rows["n"] = d1[at], d2[at] >> HALF, 1
+                out[1].append(rows)
+        for rows in (out := [np.concatenate(x) for x in out]):
+            rows["block"] = block
+        return pa.Table.from_batches([_facts(SEGMENT, out[0]), _facts(WINDOW, out[1])])
+
+    found = packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(occurrences, FACT)
+    marked = _seen_twice(found)
     fields = [f for f in docs.schema.fields if f.name != text_col]
 
     def cleaned(blobs: pa.Table, facts: pa.Table) -> pa.Table:
         kinds = facts.column("kind").to_numpy()
-        windows, segments = Known(facts.filter(pa.array(kinds == 2))), Known(facts.filter(pa.array(kinds == 1)))
+        windows, segments = Known(facts.filter(pa.array(kinds == WINDOW))), Known(facts.filter(pa.array(kinds == SEGMENT)))
         out = []
         for batch in opened(blobs.column("blob")):
             for part in small_batches([batch], BATCH):
                 flat = Flat(part.column("_text").to_pylist(), part.column("_id").to_pylist(), window)
-                d1, d2 = flat.digests()
-                start = flat.starts
-                doc = flat.doc[start]
-                gone = _settled(flat, d1, d2, segments) | windows.later(d1, d2 >> HALF, flat.ids[doc], start - flat.begin[doc]) if len(start) else np.zeros(0, bool)
+                gone = np.zeros(len(flat.starts), bool)
+                if len(gone):
+                    d1, d2 = flat.digests()
+                    at, g1, g2 = flat.segments(d1, d2)
+                    gone = np.repeat(segments.later(g1, g2, *place(flat, flat.starts[at])), np.diff([*at, len(d1)]))
+                    gone |= windows.later(d1, d2 >> HALF, *place(flat, flat.starts))
                 cover = np.zeros(len(flat.values) + 1, np.int64)
-                np.add.at(cover, start[gone], 1)
-                np.add.at(cover, start[gone] + window, -1)
+                cover[flat.starts[gone]] += 1  # starts are distinct
+                cover[flat.starts[gone] + window] -= 1
                 left = np.cumsum(cover)[:-1] == 0
-                texts, removed = [], []
-                for text, a, n in zip(flat.texts, flat.begin.tolist(), flat.size.tolist()):
-                    own, words = left[a : a + n], text.split()
-                    stay = int(own.sum())
-                    texts.append(b" ".join(words if stay == n else [words[i] for i in np.flatnonzero(own)]).decode())
-                    removed.append(n - stay)
+                stays = np.add.reduceat(np.r_[left, False], np.minimum(flat.begin, len(left)), dtype=np.int64) * (flat.size > 0)
+                texts = []
+                for text, a, n, stay in zip(flat.texts, flat.begin.tolist(), flat.size.tolist(), stays.tolist()):
+                    words = text.split()
+                    texts.append(b" ".join(words if stay == n else [words[i] for i in np.flatnonzero(left[a : a + n])]).decode())
                 names = [f.name for f in fields]
-                out.append(pa.table([*(part.column(c) for c in names), pa.array(flat.size), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], [*names, *ADDED]))
+                out.append(pa.table([*(part.column(c) for c in names), pa.array(flat.size), pa.array(flat.size - stays), pa.array(texts, pa.string())], [*names, *ADDED]))
         return pa.concat_tables(out) if out else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from statloom.llm import substring
 
 
@@ -54,3 +56,18 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hits_are_the_automaton_s(spark):
+    rng = random.Random(2)
+    words = [f"v{rng.randrange(60)}" for _ in range(3000)]
+    for window in (20, 7, 3):
+        flat = substring.Flat([" ".join(words[:2000]), None, " ".join(words[1500:])], [1, 2, 3], window)
+        key, mixed, least = flat.anchors()
+        places = flat.anchor_places(mixed, least)
+        confirmed = set(rng.sample(sorted(set(key[places].tolist())), 20))
+        own = [min(range(s, s + window - flat.phrase + 1), key=lambda p: mixed[p]) for s in flat.starts.tolist()]
+        automaton = substring.compiled(np.array(sorted(confirmed), np.uint64), flat.phrase)
+        assert flat.hits(automaton).tolist() == [int(key[p]) in confirmed for p in own]
+        assert not flat.hits(substring.compiled(np.zeros(1, np.uint64) + 7, flat.phrase)).any()
+    assert substring.compiled(np.zeros(0, np.uint64), 10) is None  # nothing confirmed: nothing is streamed, nothing removed
