@@ -1,10 +1,12 @@
 """SimHash near-duplicates by pivot distance tables (operator 5).
 
-Fingerprints are computed per document, map only, and reduced to distinct values with their smallest document. For
-each value the table holds its Hamming distances to `PIVOTS` reference fingerprints, eight bits each. Two values
-within `max_bits` of each other agree on some segments of their bits, so pairs meet under the bits of each choice
-of segments (more segments as there are more values, so buckets stay small); a pair is discarded when any
-coordinate of the two tables differs by over `max_bits` (the triangle inequality), and survivors are verified.
+Fingerprints are computed per document, map only, and reduced to distinct values with their smallest document. The
+reference fingerprints are `PIVOTS` (33), a staircase: each has two more bits set than the one before, so a value's
+distances to neighbours differ by -2, 0 or 2, and the whole row of distances is kept as 32 such steps of two bits.
+Two values within `max_bits` of each other differ in that many steps at most, so pairs meet under the steps of each
+choice of groups of steps (more groups as there are more values, so buckets stay small): candidates come from the
+pivot table alone. A pair is discarded when a distance to one of `TESTED` pivots differs by over `max_bits` (the
+triangle inequality), and survivors are verified.
 
 A group of thousands of near copies would meet as all pairs. So each bucket is first linked to its smallest and
 largest member only, linear work; components of those links are found, and then only members of different
@@ -30,8 +32,11 @@ from .components import components
 from .util import small_batches, stored
 
 SEED = 42
-#: Reference fingerprints: multiples of 2^64 / golden ratio, spread evenly and far from each other.
-PIVOTS = [((i + 1) * 0x9E3779B97F4A7C15) % 2**64 for i in range(8)]
+STEPS = 32
+#: Reference fingerprints: their lowest 0, 2, 4, ... 64 bits are set.
+PIVOTS = [(1 << 2 * i) - 1 for i in range(STEPS + 1)]
+#: Pivots whose distances are compared pair by pair.
+TESTED = PIVOTS[::4][:8]
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -68,10 +73,19 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def pivot_steps(fp: Column) -> Column:
+    """The row of distances to all pivots, as 32 steps: (2 - (d(fp, pivot i + 1) - d(fp, pivot i))) / 2, two bits each.
+
+    That is the number of bits which the fingerprint has among those that the pivots differ in, for all steps at once."""
+    lowest = F.lit(int("01" * STEPS, 2))
+    low, high = fp.bitwiseAND(lowest), F.shiftrightunsigned(fp, 1).bitwiseAND(lowest)
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
 def pivot_table(fp: Column) -> Column:
-    """Distances to the pivots, eight bits each, as one number."""
+    """Distances to the tested pivots, eight bits each, as one number."""
     out = F.lit(0).cast("bigint")
-    for i, p in enumerate(PIVOTS):
+    for i, p in enumerate(TESTED):
         out = out.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("bigint"), 8 * i))
     return out
 
@@ -79,29 +93,29 @@ def pivot_table(fp: Column) -> Column:
 def near(fp_a: Column, table_a: Column, fp_b: Column, table_b: Column, max_bits: int) -> Column:
     """No coordinate differs by more than `max_bits`, and the fingerprints don't either."""
     out = None
-    for i in range(len(PIVOTS)):
+    for i in range(len(TESTED)):
         d = F.abs(F.shiftrightunsigned(table_a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(table_b, 8 * i).bitwiseAND(F.lit(255))) <= max_bits
         out = d if out is None else out & d
     return out & (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= max_bits)
 
 
 def masks(n: int, max_bits: int) -> list[int]:
-    """Bit masks such that values within `max_bits` agree under one of them: max_bits + k segments, any k of them.
+    """Masks of steps such that values within `max_bits` agree under one of them: max_bits + k groups of steps, any k of them.
 
-    k grows with the number of values, so that a mask has about as many bits as tell n values apart."""
+    k grows with the number of values, so that a mask's steps (1.5 bits of information each) tell about n values apart."""
     k = 1
-    while k < 4 and 64 * k // (max_bits + k) < max(1, n).bit_length() - 1:
+    while k < 4 and 3 * STEPS * k // (2 * (max_bits + k)) < max(1, n).bit_length() - 1:
         k += 1
-    cuts = [64 * i // (max_bits + k) for i in range(max_bits + k + 1)]
-    segments = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
-    return [sum(c) for c in combinations(segments, k)]
+    cuts = [2 * (STEPS * i // (max_bits + k)) for i in range(max_bits + k + 1)]
+    groups = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [sum(c) for c in combinations(groups, k)]
 
 
 def near_components(values: DataFrame, max_bits: int = 4) -> DataFrame:
     """(fp, component) of distinct `values` (fp): component is the smallest fp reachable; values without a link are left out."""
     n = values.count()
-    keys = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks(n, max_bits))))
-    table = values.withColumn("t", pivot_table(F.col("fp")))
+    keys = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("m"), F.col("s").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks(n, max_bits))))
+    table = values.withColumns({"s": pivot_steps(F.col("fp")), "t": pivot_table(F.col("fp"))})
     keyed = table.withColumn("k", F.explode(keys)).select("k.m", "k.bits", "fp", "t")
     hubs = keyed.groupBy("m", "bits").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
     hubs = hubs.withColumn("hub", F.explode(F.array("lo", "hi"))).select("m", "bits", "hub", pivot_table(F.col("hub")).alias("hub_t"))

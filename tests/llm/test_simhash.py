@@ -3,6 +3,7 @@ from itertools import combinations
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from statloom.llm import simhash
 
@@ -43,8 +44,20 @@ def test_fingerprint_matches_brute_force():
 def test_masks_leave_no_pair_out(n, size):
     rng, ms = random.Random(1), simhash.masks(n, 4)
     for _ in range(size):
-        flips = sum(1 << b for b in rng.sample(range(64), 4))
-        assert any(flips & m == 0 for m in ms)
+        x = rng.getrandbits(64)
+        y = x ^ sum(1 << b for b in rng.sample(range(64), 4))
+        steps = [[sum(v >> 2 * i + j & 1 for j in (0, 1)) for i in range(32)] for v in (x, y)]
+        a, b = (sum(s << 2 * i for i, s in enumerate(row)) for row in steps)
+        assert any((a ^ b) & m == 0 for m in ms)
+
+
+def test_steps_are_the_table_of_distances(spark):
+    rng = random.Random(4)
+    values = [0, 2**64 - 1, *(rng.getrandbits(64) for _ in range(50))]
+    df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    for r in df.select("fp", simhash.pivot_steps(F.col("fp")).alias("s")).collect():
+        d = [((r.fp % 2**64) ^ p).bit_count() for p in simhash.PIVOTS]
+        assert [(r.s % 2**64) >> 2 * i & 3 for i in range(32)] == [(2 - (b - a)) // 2 for a, b in zip(d, d[1:])]
 
 
 def test_components_match_brute_force(spark):
