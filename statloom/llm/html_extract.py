@@ -3,13 +3,18 @@
 A page is a sequence of words and tags. Each word scores by the least of its open elements' weights, each tag by its
 own negative weight, and one linear scan finds the contiguous region with the largest sum. Weights are log-odds of
 words (tags) inside against outside the content, counted on labelled pages: pages whose markup names its article.
-The sample is bounded, a documented parameter: `sample` pages with the least id hash; counts are combined per key.
-Names that stand for boilerplate wherever they occur (menus, forms, comments, ...) carry prior counts, so that they
-are negative even when no labelled page holds them. Words with a negative weight inside an
-element of content (an advert in the article) score nothing, so they cannot cut the region, and are left out of it. Scripts, styles and comments are no words.
+Inside is what stands in an article or main element, but for elements that bear a name of boilerplate there; an
+element that wraps an article says nothing by the words around it. The sample is bounded, a documented parameter:
+of the labelled pages about `sample`, drawn by a hash of id and text; counts are combined per key.
+Keys that no labelled page holds have prior counts only: names of boilerplate, in every language's pages the same
+(menus, forms, comments, ...), have `PRIOR` words outside; labelled words outweigh them. Words with a negative weight
+inside an element of content (an advert in the article) score nothing, so they cannot cut the region, and are left
+out of it. Scripts, styles and comments are no words.
 
 Defined results: null or empty html, or html without a content word, gives an empty text; cut pages are read as far
-as they go; repeated rows are extracted each; other columns are ignored; an empty table gives an empty result.
+as they go, and time and memory are linear in their length however deep elements nest; of regions with the same sum
+the one that ends first is taken, and of these the shortest; repeated rows are extracted each; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .util import small_batches
@@ -41,43 +46,52 @@ OUTSIDE_MARK = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|banner|bre
 PRIOR = 20.0
 
 
-def tokens(page: str):
-    """(keys of open elements, tag name or None, text or None) in page order; a tag's keys include its own."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    keys: tuple[str, ...] = ()
-    at = 0
-
-    def seen():
-        out = []
-        for _, own in stack:
-            out += own
-        return tuple(out)
-
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            yield keys, None, page[at : m.start()]
-        at, raw = m.end(), m.group()
-        if m.group(1) or raw.startswith(("<!", "<?")) or not (named := NAME.match(raw)):
-            continue
-        name = named.group(1).lower()
-        if raw[1] == "/":
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-                keys = seen()
-            yield keys, name, None
-            continue
-        while stack and stack[-1][0] in CLOSES.get(name, ()):
-            stack.pop()
-        own = [] if name in PLAIN else [name]
-        for a in MARK.finditer(raw):
-            own += [f"{'div' if name in PLAIN else name}.{w.lower()}" for w in (a[1] or a[2] or a[3] or "").split()]
-        if name not in VOID and not raw.endswith("/>"):
-            stack.append((name, tuple(own)))
-            keys = seen()
-        yield keys, name, None
-    if at < len(page):
-        yield keys, None, page[at:]
+class Page:
+    """The elements that are open while a page is read; each is told to `opened` and `closed` as (name, keys, outer)."""
+
+    def __init__(self, opened=None, closed=None):
+        self.opened, self.closed, self.stack, self.names = opened, closed, [], Counter()
+
+    def _push(self, name: str, own: list[str]):
+        self.stack.append((name, self.opened(name, own, self.stack[-1][1] if self.stack else None)))
+        self.names[name] += 1
+
+    def _pop(self) -> str:
+        name, state = self.stack.pop()
+        self.names[name] -= 1
+        if self.closed:
+            self.closed(state, self.stack[-1][1] if self.stack else None)
+        return name
+
+    def read(self, page: str):
+        """(state of the innermost open element, tag name or None, text or None) in page order; a tag's state is its own."""
+        state = lambda: self.stack[-1][1] if self.stack else None
+        at = 0
+        for m in TOKEN.finditer(page):
+            if m.start() > at:
+                yield state(), None, page[at : m.start()]
+            at, raw = m.end(), m.group()
+            if m.group(1) or raw.startswith(("<!", "<?")) or not (named := NAME.match(raw)):
+                continue
+            name = named.group(1).lower()
+            if raw[1] == "/":
+                if self.names[name]:
+                    while self._pop() != name:
+                        pass
+                yield state(), name, None
+                continue
+            while self.stack and self.stack[-1][0] in CLOSES.get(name, ()):
+                self._pop()
+            own = [] if name in PLAIN else [name]
+            for a in MARK.finditer(raw):
+                own += [f"{'div' if name in PLAIN else name}.{w.lower()}" for w in (a[1] or a[2] or a[3] or "").split()]
+            if name not in VOID and not raw.endswith("/>"):
+                self._push(name, own)
+            yield state(), name, None
+        if at < len(page):
+            yield state(), None, page[at:]
+        while self.stack:
+            self._pop()
 
 
 def is_outside(key: str) -> bool:
@@ -85,24 +99,48 @@ def is_outside(key: str) -> bool:
     return element in OUTSIDE or bool(mark and OUTSIDE_MARK.search(mark))
 
 
+def is_labelled(html_col: Column) -> Column:
+    """Whether a page names its content."""
+    return F.coalesce(html_col.rlike(r"(?i)<(article|main)[\s>]"), F.lit(False))
+
+
 def counts(page: str) -> Counter:
-    """(kind, key, inside) counts of a labelled page; none of a page that doesn't name its content."""
+    """(kind, key, inside) counts of a labelled page."""
     out: Counter = Counter()
-    seen = list(tokens(page))
-    if not any(n in CONTENT for _, n, _ in seen):
-        return out
-    for keys, name, text in seen:
-        cut = max((i for i, k in enumerate(keys) if k in CONTENT), default=-1)
-        inside = cut >= 0 and not any(map(is_outside, keys))
-        if text is not None:
-            n = len(text.split())
-            for k in set(keys[:cut] if not inside else keys):
-                out["word", k, inside] += n
-            if not keys:
-                out["word", "", inside] += n
-        else:
+    open_keys: Counter = Counter()
+
+    class Element:
+        __slots__ = ("inside", "keys", "outside", "words", "wraps")
+
+    def opened(name, own, outer):
+        e = Element()
+        e.keys = [k for k in dict.fromkeys(own) if not open_keys[k]]  # a key counts a word once
+        open_keys.update(e.keys)
+        e.wraps, e.words = False, [0, 0]
+        e.outside = (outer.outside if outer else False) or any(map(is_outside, own))
+        e.inside = name in CONTENT or (outer.inside if outer else False)
+        return e
+
+    def closed(e, outer):
+        open_keys.subtract(e.keys)
+        for k in e.keys:
+            out["word", k, True] += e.words[1]
+            if not e.wraps:
+                out["word", k, False] += e.words[0]
+        if outer:
+            outer.words[0] += e.words[0]
+            outer.words[1] += e.words[1]
+            outer.wraps |= e.wraps or (e.inside and not outer.inside)
+
+    for e, name, text in Page(opened, closed).read(page):
+        inside = bool(e and e.inside and not e.outside)
+        if text is None:
             out["tag", name, inside] += 1
-    return out
+        elif e:
+            e.words[inside] += len(text.split())
+        else:
+            out["word", "", False] += len(text.split())
+    return +out
 
 
 class Weights:
@@ -118,43 +156,66 @@ class Weights:
 
     @staticmethod
     def _odds(key: str, a: float, b: float) -> float:
-        prior = (1.0, PRIOR * (1 + a)) if is_outside(key) else (PRIOR, 1.0) if key in CONTENT else (2.0, 1.0)
+        prior = (1.0, PRIOR) if is_outside(key) else (PRIOR, 1.0) if key in CONTENT else (2.0, 1.0)
         return max(-3.0, min(3.0, math.log((a + prior[0]) / (b + prior[1]))))
 
-    def of(self, keys: tuple[str, ...]) -> float:
-        least = 3.0
-        for k in keys:
-            if (w := self.word.get(k)) is None:
-                w = self.word[k] = self._odds(k, 0, 0)
-            least = min(least, w)
-        return least if keys else 0.2
+    def of(self, key: str) -> float:
+        if (w := self.word.get(key)) is None:
+            w = self.word[key] = self._odds(key, 0, 0)
+        return w
 
 
-def extract(page: str | None, weights: Weights) -> str:
-    """The text of the page's best region."""
-    items, memo = [], {}
-    for keys, name, text in tokens(page or ""):
+#: Weight of words within elements without a key.
+BARE = 0.2
+
+
+def items(page: str, weights: Weights) -> list[tuple[float, float | None, str]]:
+    """(score, weight or None of a tag, text) of the page's tags and texts in order."""
+
+    def opened(name, own, outer):
+        """(least weight of the open elements' keys or None, whether one is an element of content)"""
+        least, content = outer or (None, False)
+        for k in own:
+            w = weights.of(k)
+            least = w if least is None or w < least else least
+        return least, content or name in CONTENT
+
+    out = []
+    for state, name, text in Page(opened).read(page):
         if text is None:
-            items.append((weights.tag[name], None, " " if name not in INLINE else ""))
+            out.append((weights.tag[name], None, " " if name not in INLINE else ""))
         else:
-            if (w := memo.get(keys)) is None:
-                w = memo[keys] = weights.of(keys)
+            least, content = state or (None, False)
+            w = BARE if least is None else min(least, 3.0)
             text = html.unescape(text)
-            nested = w < 0 and not CONTENT.isdisjoint(keys)
-            items.append((0.0 if nested else w * len(text.split()), w, text))
+            out.append((0.0 if w < 0 and content else w * len(text.split()), w, text))
+    return out
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The contiguous region with the largest positive sum, in one scan."""
     best, total, begin, region = 0.0, 0.0, 0, (0, 0)
-    for i, (score, _, _) in enumerate(items):
+    for i, score in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, i
         total += score
         if total > best:
             best, region = total, (begin, i + 1)
-    return " ".join("".join(s for _, w, s in items[region[0] : region[1]] if w is None or w > 0).split())
+    return region
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    """The text of the page's best region."""
+    own = items(page or "", weights)
+    i, j = best_region([score for score, _, _ in own])
+    return " ".join("".join(s for _, w, s in own[i:j] if w is None or w > 0).split())
 
 
-def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 2000, keys: int = 5000) -> list[tuple[str, str, float, float]]:
-    """Weights' counts from at most `sample` labelled pages; the `keys` commonest reach the driver."""
-    chosen = pages.filter(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"), F.xxhash64(F.col(id_col), F.col(html_col)).alias("h")).orderBy("h").limit(sample)
+def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 2000) -> list[tuple[str, str, float, float]]:
+    """Weights' counts from about `sample` labelled pages; only these pages' keys reach the driver."""
+    labelled = pages.filter(is_labelled(F.col(html_col)))
+    share = min(1.0, sample / max(1, labelled.count()))
+    chosen = labelled.filter(F.pmod(F.xxhash64(id_col, html_col), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else labelled
 
     def run(batches):
         total: Counter = Counter()
@@ -164,9 +225,9 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
         kind, key, inside = zip(*total) if total else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(key, pa.string()), pa.array(inside, pa.bool_()), pa.array(total.values(), pa.int64())], ["kind", "key", "inside", "n"])
 
-    rows = chosen.select("html").mapInArrow(run, "kind string, key string, inside boolean, n bigint")
-    summed = rows.groupBy("kind", "key").agg(F.coalesce(F.sum(F.when(F.col("inside"), F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(~F.col("inside"), F.col("n"))), F.lit(0)).alias("b"))
-    return sorted((r.kind, r.key, float(r.a), float(r.b)) for r in summed.orderBy(F.desc(F.col("a") + F.col("b")), "kind", "key").limit(keys).collect())
+    rows = chosen.select(html_col).mapInArrow(run, "kind string, key string, inside boolean, n bigint")
+    summed = rows.groupBy("kind", "key").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("b"))
+    return sorted((r.kind, r.key, float(r.a), float(r.b)) for r in summed.collect())
 
 
 def main_text(pages: DataFrame, rows: list[tuple[str, str, float, float]], html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

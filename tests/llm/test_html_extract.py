@@ -1,3 +1,8 @@
+import random
+import time
+
+from pyspark.sql import functions as F
+
 from statloom.llm import html_extract as h
 
 PAGE = '<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><nav><ul><li><a href="/x">Menu one</a></li></ul></nav><div class="ad">Buy now today</div><article><h1>Head &amp; line</h1><p>First <b>bold</b>word&nbsp;here.<p>Second   para</p><aside>Also read this</aside><p>Third &lt;x&gt;.</p></article><section class="comments"><p>Great post!</p></section><footer>&copy; me</footer></body></html>'
@@ -22,16 +27,43 @@ def test_defined_results():
     assert h.extract("<form>name<input></form><p>Some plain words of text here and more</p>", w) == "Some plain words of text here and more"
 
 
-def test_best_region_is_a_maximum():
+def test_extract_is_the_best_of_all_regions():
+    w, rng, chosen = weights([PAGE] * 20), random.Random(8), 0
+    for _ in range(150):
+        page = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<nav>", "</nav>", "<article>", "</article>", "<b>", "<br>", "words here ", "one ", "a b c d "]) for _ in range(rng.randint(0, 25)))
+        own = h.items(page, w)
+        regions = {(i, j): sum(score for score, _, _ in own[i:j]) for i in range(len(own)) for j in range(i + 1, len(own) + 1)}
+        top = max(regions.values(), default=0)
+        texts = {" ".join("".join(s for _, x, s in own[i:j] if x is None or x > 0).split()) for (i, j), v in regions.items() if v > top - 1e-9} if top > 1e-9 else {""}
+        assert h.extract(page, w) in texts
+        chosen += top > 0
+    assert chosen > 50
+
+
+def test_ties_go_to_the_first_and_shortest():
+    assert h.best_region([1.0, -1.0, 1.0]) == (0, 1) and h.best_region([0.0, 2.0, 0.0]) == (1, 2) and h.best_region([-1.0]) == (0, 0)
+
+
+def test_deep_pages_take_linear_time():
     w = weights([PAGE] * 20)
-    page = PAGE.replace("article>", "div>")
-    scores = [(w.tag[n] if t is None else w.of(k) * len(t.split())) for k, n, t in h.tokens(page)]
-    best = max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1))
-    total = top = 0.0
-    for s in scores:
-        total = max(total, 0) + s
-        top = max(top, total)
-    assert abs(best - top) < 1e-9
+    for page in ("<b>" * 300_000 + "word", "<div class=a><p>x" * 60_000, "<i>" * 100_000 + "</u>" * 100_000 + "</i>" * 100_000):
+        began = time.process_time()
+        h.extract(page, w)
+        h.counts(page)
+        assert time.process_time() - began < 20
+
+
+def test_labels_decide(spark):
+    own = '<div class="sidebar"><p>junk words</p></div><article><div class="related"><p>one two three</p></div><p>four</p></article>'
+    known = h.Weights([("word", "div.related", 500.0, 1.0), ("word", "div.story", 1.0, 500.0)])
+    assert known.of("div.related") > 0 > known.of("div.story") and known.of("div.sidebar") < 0 < known.of("div.unseen")
+    got = h.counts(f"<body class=page>{own}</body>")
+    assert got["word", "body.page", True] == 0 and got["word", "div.page", True] == 1  # `related` is boilerplate by name
+    assert got["word", "div.page", False] == 0 and got["word", "div.sidebar", False] == 2  # the wrapper of an article
+    plain = [(i, f"<p>plain page {i}</p>") for i in range(300)]
+    pages = spark.createDataFrame(plain + [(1000 + i, PAGE) for i in range(5)], "page_id long, html string")
+    assert any(r[:2] == ("word", "article") for r in h.learn(pages, sample=50))
+    assert 20 < len([r for r in pages.filter(~h.is_labelled(F.col("html"))).collect()]) == 300
 
 
 def test_table(spark):
