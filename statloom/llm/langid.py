@@ -9,8 +9,9 @@ the least id hash, of each its first `ref_doc_chars` characters, cut to `ref_cha
 language). Texts to predict are parsed whole, in blocks of `BLOCK` symbols that start afresh, so that long and short
 texts go through the automata side by side as array operations. Prediction is map only.
 
-Symbols: letters, lower-cased (the commonest of the references by themselves, others as one class), and one blank
-for each run of other characters. Defined results: `und` with score 0 for null text or a text without a letter; ties
+Symbols: letters, lower-cased, and one blank for each run of other characters. Each automaton has the whole alphabet
+of its reference, of any script; a letter that the reference lacks matches nothing there, so all such are one symbol
+to it. Alphabets up to `DENSE` symbols have a full table of transitions, larger ones a sorted one. Defined results: `und` with score 0 for null text or a text without a letter; ties
 go to the first name; score is 1 - best / second best (1 if there is one language only); with no labelled text every
 row is `und`; repeated rows are predicted each; other columns are ignored.
 """
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import sys
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .util import small_batches
 
 
-SYMBOLS = 64
-BLANK, OTHER, PAD = 1, SYMBOLS - 1, 0
+PAD, BLANK, OTHER = 0, 1, 2
+DENSE = 256
 BLOCK = 2048
 UND = "und"
 
@@ -60,31 +60,34 @@ def letters(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-class Parser:
-    """The automata of all languages over one alphabet, as transition tables."""
-
-    def __init__(self, references: dict[str, str]):
-        self.names = sorted(references)
-        common = [c for c, _ in sorted(Counter("".join(references.values()).replace(" ", "")).items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 3]]
-        self.symbol = np.full(sys.maxunicode + 1, BLANK, np.uint8)
-        for cp in range(sys.maxunicode + 1):
-            if chr(cp).isalpha():
-                self.symbol[cp] = OTHER
-        for i, c in enumerate(common):
-            self.symbol[ord(c)] = 2 + i
-        self.tables = [self._table(self.codes(references[n]).tolist()) for n in self.names]
-
-    def codes(self, text: str) -> np.ndarray:
-        got = self.symbol[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
-        keep = got != BLANK
-        if len(got):
-            keep[1:] |= got[:-1] != BLANK
-            keep[0] = True
-        return got[keep]
+class Automaton:
+    """Suffix automaton of a text of symbols; its symbols are renumbered, 0 stands for all that it lacks."""
+
+    def __init__(self, text: np.ndarray, alphabet: int):
+        own = np.unique(text)
+        self.local = np.zeros(alphabet, np.int32)
+        self.local[own] = np.arange(1, len(own) + 1)
+        self.width = len(own) + 1
+        step = self._states(self.local[text].tolist())
+        keys = np.array([s * self.width + c for s, row in enumerate(step) for c in sorted(row)], np.int64)
+        to = np.array([row[c] * self.width for row in step for c in sorted(row)], np.int32)
+        root = np.zeros(self.width, np.int32)
+        root[keys[: len(own)]] = to[: len(own)]
+        if self.width <= DENSE:
+            table = np.tile(~root, len(step))
+            table[keys] = to
+            self.after = table.__getitem__
+        else:
+
+            def after(at):
+                i = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+                return np.where(keys[i] == at, to[i], ~root[at % self.width])
+
+            self.after = after
+        # `after` a place (width * state + symbol): width * next state, or ~(that after the root) where a phrase ends
 
     @staticmethod
-    def _table(text: list[int]) -> np.ndarray:
-        """Suffix automaton of `text`; entry: SYMBOLS * next state, or ~(that of the root) where a phrase ends."""
+    def _states(text: list[int]) -> list[dict[int, int]]:
         step: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in text:
@@ -110,12 +113,30 @@ class Parser:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        table = np.full((len(step), SYMBOLS), -1, np.int32)
-        for s, own in enumerate(step):
-            for c, t in own.items():
-                table[s, c] = t * SYMBOLS
-        root = np.maximum(table[0], 0)
-        return np.where(table >= 0, table, ~root).astype(np.int32).ravel()
+        return step
+
+
+class Parser:
+    """The automata of all languages."""
+
+    def __init__(self, references: dict[str, str]):
+        self.names = sorted(references)
+        alphabet = sorted(set("".join(references.values())) - {" "})
+        self.symbol = np.full(sys.maxunicode + 1, BLANK, np.int32)
+        for cp in range(sys.maxunicode + 1):
+            if chr(cp).isalpha():
+                self.symbol[cp] = OTHER
+        for i, c in enumerate(alphabet):
+            self.symbol[ord(c)] = OTHER + 1 + i
+        self.automata = [Automaton(self.codes(references[n]), OTHER + 1 + len(alphabet)) for n in self.names]
+
+    def codes(self, text: str) -> np.ndarray:
+        got = self.symbol[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
+        keep = got != BLANK
+        if len(got):
+            keep[1:] |= got[:-1] != BLANK
+            keep[0] = True
+        return got[keep]
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (row) by each language, and its number of symbols (0 without a letter)."""
@@ -128,17 +149,17 @@ class Parser:
         lanes.sort(key=lambda x: -x[0])
         length = np.array([x[0] for x in lanes])
         owner = np.array([x[1] for x in lanes])
-        grid = np.zeros((len(lanes), int(length[0])), np.uint8)
+        grid = np.zeros((len(lanes), int(length[0])), np.int32)
         for row, (n, k, at) in zip(grid, lanes):
             row[:n] = codes[k][at : at + n]
         grid = np.ascontiguousarray(grid.T)
         active = np.searchsorted(-length, -np.arange(1, len(grid) + 1), "right")
-        for j, table in enumerate(self.tables):
+        for j, automaton in enumerate(self.automata):
             state, ended = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int32)
             for column, n in zip(grid, active.tolist()):
                 s = state[:n]
-                s += column[:n]
-                got = table[s]
+                s += automaton.local[column[:n]]
+                got = automaton.after(s)
                 sign = got >> 31
                 ended[:n] -= sign
                 np.bitwise_xor(got, sign, out=s)

@@ -54,3 +54,20 @@ def test_a_language_of_long_texts_only_has_a_reference(spark):
     rows = [(i, "der schnelle braune fuchs springt " * 100, "de") for i in range(3)] + [(i, "the quick brown fox jumps over ", "en") for i in range(10, 14)]
     got = langid.reference_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(got) == {"de", "en"}
+
+
+def test_any_script_and_ties(spark, monkeypatch):
+    rng = random.Random(7)
+    scripts = {k: "".join(chr(rng.randrange(a, b)) for _ in range(3000)) for k, a, b in (("el", 0x3B1, 0x3C9), ("ru", 0x430, 0x44F), ("zh", 0x4E00, 0x5A00))}
+    scripts = {k: " ".join(v[i : i + 6] for i in range(0, len(v), 6)) for k, v in scripts.items()} | {"en": "the quick brown fox jumps over it " * 90}
+    dense = langid.Parser(scripts)
+    assert {n: a.width > langid.DENSE for n, a in zip(dense.names, dense.automata)} == {"el": False, "en": False, "ru": False, "zh": True}
+    texts = [v[k * 50 : k * 50 + 300] for v in scripts.values() for k in range(4)] + ["\u05d0\u05d1 \u05d2", "x \u0431"]
+    counts, _ = dense.phrases(texts)
+    assert dense.predict(texts)[0][:16] == [k for k in scripts for _ in range(4)]
+    monkeypatch.setattr(langid, "DENSE", 0)
+    assert (langid.Parser(scripts).phrases(texts)[0] == counts).all()
+    twins = langid.Parser({"b": scripts["en"], "a": scripts["en"]})
+    assert twins.predict(["the fox", "\u05d0"]) == (["a", "a"], [0.0, 0.0])  # ties: first name
+    long = langid.Parser({k: scripts[k] for k in ("en", "ru")})
+    assert long.predict([scripts["ru"] * 3, scripts["en"] * 3])[0] == ["ru", "en"]  # several blocks
