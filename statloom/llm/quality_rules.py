@@ -85,7 +85,7 @@ def bucket(value: Column) -> Column:
 
 def sketches(rows: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, rule, bucket, n) of documents that pass the base rules."""
-    passed = rows.filter(~F.col("base_failed")).select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), *(f"f_{r}" for r in RULES))
+    passed = rows.filter(~F.col("base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *(f"f_{r}" for r in RULES))
     long = passed.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bucket(F.col(f"f_{r}")).alias("bucket")) for r in RULES))).alias("x"))
     return long.groupBy("lang", "source", "x.rule", "x.bucket").agg(F.count("*").alias("n"))
 
@@ -107,7 +107,7 @@ def thresholds(sketch: DataFrame, least: int = LEAST) -> DataFrame:
     names = [f"{side}_{r}" for r in RULES for side in ("low", "high")]
     own, by_lang, every = limits(sketch, ["lang", "source"]), limits(sketch, ["lang"]), limits(sketch.withColumn("one", F.lit(1)), ["one"])
     pick = lambda c: F.when(own["all"] >= least, own[c]).when(by_lang["all"] >= least, by_lang[c]).otherwise(every[c]).alias(c)
-    return own.withColumn("one", F.lit(1)).join(by_lang, "lang").join(every, "one").select("lang", own["source"], *map(pick, names))
+    return own.withColumn("one", F.lit(1)).join(by_lang, own["lang"].eqNullSafe(by_lang["lang"])).join(every, "one").select(own["lang"], own["source"], *map(pick, names))
 
 
 def judged(rows: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -117,7 +117,7 @@ def judged(rows: DataFrame, limits: DataFrame, lang: str = "lang", source: str =
     for r in RULES:
         one = F.col(f"f_{r}").between(F.col(f"_low_{r}"), F.col(f"_high_{r}"))
         within = one if within is None else within & one
-    joined = rows.drop("kept").join(limits, (F.coalesce(rows[lang], F.lit("")) == F.col("_l")) & (F.coalesce(rows[source], F.lit("")) == F.col("_s")), "left")
+    joined = rows.drop("kept").join(limits, rows[lang].eqNullSafe(F.col("_l")) & rows[source].eqNullSafe(F.col("_s")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))).select(*[c for c in rows.columns if c != "kept"], "kept")
 
 
@@ -140,7 +140,7 @@ FROM {name}_q {"GROUP BY " + keys if keys else ""})"""
 _PICK = ", ".join(f"CASE WHEN g.total >= {LEAST} THEN g.{c} WHEN l.total >= {LEAST} THEN l.{c} ELSE e.{c} END AS {c}" for r in RULES for c in (f"low_{r}", f"high_{r}"))
 _WITHIN = " AND ".join(f"f_{r} BETWEEN t.low_{r} AND t.high_{r}" for r in RULES)
 ORACLE = f"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
 t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM g),
@@ -159,9 +159,9 @@ sketch AS (SELECT lang, source, rule, CASE WHEN v < 64 THEN v ELSE (v >> (length
 {_level("by_group", "lang, source")},
 {_level("by_lang", "lang")},
 {_level("by_all", "")},
-t2 AS (SELECT g.lang, g.source, {_PICK} FROM by_group g JOIN by_lang l ON g.lang = l.lang CROSS JOIN by_all e)
+t2 AS (SELECT g.lang, g.source, {_PICK} FROM by_group g JOIN by_lang l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN by_all e)
 SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND coalesce({_WITHIN}, false) AS kept
-FROM f LEFT JOIN t2 t ON f.lang = t.lang AND f.source = t.source
+FROM f LEFT JOIN t2 t ON f.lang IS NOT DISTINCT FROM t.lang AND f.source IS NOT DISTINCT FROM t.source
 """

@@ -20,7 +20,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(quality_rules.features(documents(spark, sf_dir)).drop("text"), "features")
-    out = quality_rules.judged(rows, quality_rules.thresholds(quality_rules.sketches(rows)))
+    out = quality_rules.judged(rows, stored(quality_rules.thresholds(quality_rules.sketches(rows)), "limits"))  # of known size
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

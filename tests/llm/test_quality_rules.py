@@ -47,3 +47,14 @@ def test_thresholds_adapt_and_odd_rows(spark):
     assert not by[2000] and not by[2001] and by[2002]
     empty = q.features(docs.limit(0))
     assert q.judged(empty, q.thresholds(q.sketches(empty))).count() == 0
+
+
+def test_null_and_empty_names_are_groups_of_their_own(spark):
+    rng = random.Random(2)
+    plain = lambda mark: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + mark for _ in range(80))
+    rows = [(i, plain(""), None, None) for i in range(60)] + [(100 + i, plain("#"), "", "") for i in range(60)] + [(200, plain("#"), None, None)]
+    f = q.features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    limits = q.thresholds(q.sketches(f))
+    assert limits.count() == 2
+    kept = {r.doc_id for r in q.judged(f, limits).filter("kept").collect()}
+    assert kept == {*range(60), *range(100, 160)}
