@@ -57,16 +57,16 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp bigint): the 64 bits as a signed number; map only."""
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp bigint) and the columns `keep`: the 64 bits as a signed number; map only."""
 
     def run(batches):
         for batch in small_batches(batches):
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], [id_col, "fp", *keep])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp bigint")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp bigint" + (kinds and f", {kinds}"))
 
 
 def _signed(x: int) -> int:
@@ -138,12 +138,14 @@ def near_components(values: DataFrame, max_bits: int = 4) -> DataFrame:
     return out.unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) of every row; component_id is the smallest id of its component."""
-    own = stored(fingerprints(docs, width, id_col, text_col), "fingerprints")
+def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, component_id, component) of every row and the columns `keep`.
+
+    component_id is the smallest id of its component, component the component's smallest fingerprint."""
+    own = stored(fingerprints(docs, width, id_col, text_col, keep), "fingerprints")
     values = stored(own.groupBy("fp").agg(F.min(id_col).alias("least")), "values")
     linked = near_components(values.select("fp"), max_bits)
     member = values.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = member.join(least, "component").select("fp", "component_id")
-    return own.join(named, "fp").select(id_col, "fp", "component_id")
+    named = member.join(least, "component").select("fp", "component_id", "component")
+    return own.join(named, "fp").select(id_col, "fp", "component_id", "component", *keep)
