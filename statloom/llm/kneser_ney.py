@@ -12,7 +12,8 @@ grows with the corpus. Steps:
 4. Documents are scored where they are, against the model's arrays, if its size allows; a larger model is joined with
    the distinct grams of blocks of documents instead. Log-probabilities are summed per document.
 5. One trusted document in `ASIDE` is left out of the counts; the perplexities of these, as unseen as any other
-   document's, give each language's quantiles, from counts in logarithmic buckets, which merge by adding. A document is kept up to q99 * (q99 / q50) ** margin; short texts are first drawn towards the median
+   document's, give each language's quantiles, from counts in logarithmic buckets, which merge by adding. A document is kept up to q99 * (q99 / q50) ** m, where m is `margin` and, for the
+   quantile's own error, `doubt` times the relative error 1 / sqrt(n / 100) of the n / 100 documents beyond it; short texts are first drawn towards the median
    of their language by `prior` characters. Languages with under `least` such documents take those of all.
 
 A gram shared by all documents is one row a task, counts are combined before each shuffle, and no group is
@@ -310,7 +311,7 @@ def quantiles(rows: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFra
     return counts.groupBy(*keys).agg(F.max("all").alias("all"), *(F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("b") + 0.5) / BUCKETS)).alias(name) for name, q in qs.items()))
 
 
-def classify(scored: DataFrame, margin: float = 0.25, prior: int = 100, least: int = 50, id_col: str = "doc_id") -> DataFrame:
+def classify(scored: DataFrame, margin: float = 0.25, doubt: float = 0.33, prior: int = 100, least: int = 50, id_col: str = "doc_id") -> DataFrame:
     """(id, lang, text_hash, chars, perplexity, threshold, kept) from `perplexities`."""
     scored = scored.withColumn("log_ppl", -F.col("log_prob") / F.when(F.col("chars") > 0, F.col("chars")))
     trusted = scored.filter("aside and log_ppl is not null").select("lang", "log_ppl", "chars")
@@ -321,9 +322,10 @@ def classify(scored: DataFrame, margin: float = 0.25, prior: int = 100, least: i
     drawn = scored.join(middle, scored["lang"].eqNullSafe(middle["l"]), "left").withColumn("drawn", (-F.col("log_prob") + prior * F.col("mid")) / (F.col("chars") + prior)).drop("l")
     seen = drawn.filter("aside and log_ppl is not null").select("lang", F.col("drawn").alias("log_ppl"))
     qs = {"q50": 0.5, "q99": 0.99}
-    all_q = quantiles(seen, [], qs).select(F.col("q50").alias("e50"), F.col("q99").alias("e99"))
+    wide = F.col("q99") + (margin + doubt / F.sqrt(F.col("all") * 0.01)) * (F.col("q99") - F.col("q50"))
+    all_q = quantiles(seen, [], qs).select(wide.alias("limit0"))
     lang_q = quantiles(seen, ["lang"], qs)
     limits = scored.select("lang").distinct().crossJoin(F.broadcast(all_q))
-    limits = limits.join(lang_q, limits["lang"].eqNullSafe(lang_q["lang"]), "left").select(limits["lang"].alias("l"), F.when(F.col("all") >= least, F.col("q99") + margin * (F.col("q99") - F.col("q50"))).otherwise(F.col("e99") + margin * (F.col("e99") - F.col("e50"))).alias("limit"))
+    limits = limits.join(lang_q, limits["lang"].eqNullSafe(lang_q["lang"]), "left").select(limits["lang"].alias("l"), F.when(F.col("all") >= least, wide).otherwise(F.col("limit0")).alias("limit"))
     out = drawn.join(limits, drawn["lang"].eqNullSafe(limits["l"]), "left")
     return out.select(F.col("id").alias(id_col), "lang", "text_hash", "chars", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("drawn") <= F.col("limit"), F.lit(True)).alias("kept"))

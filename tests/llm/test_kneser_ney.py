@@ -69,3 +69,28 @@ def test_rejects_noise_and_keeps_clean(spark):
     none = kn.classify(kn.perplexities(docs, labels.limit(0)))
     assert none.filter("kept").count() == 330
     assert kn.classify(kn.perplexities(docs.limit(0), labels)).count() == 0
+
+
+def test_limits_match_brute_force(spark):
+    """Limits of each language from its own documents' quantiles, of a small language from all; in bucketed logarithms."""
+    import random
+
+    rng, rows = random.Random(12), []
+    for i in range(420):
+        lang = "en" if i < 200 else "de" if i < 400 else "fi"
+        chars = rng.randint(50, 900)
+        rows.append((i, lang, i, i % 3 > 0, chars, -chars * (1 + (lang == "de") + rng.random())))
+    scored = spark.createDataFrame(rows, "id long, lang string, text_hash long, aside boolean, chars long, log_prob double")
+    bucketed = lambda x: (math.floor(x * kn.BUCKETS) + 0.5) / kn.BUCKETS
+    at = lambda xs, q: bucketed(sorted(xs)[max(0, math.ceil(q * len(xs) - 1e-9) - 1)])
+    own = {k: [r for r in rows if r[3] and k in (r[1], "all")] for k in ("en", "de", "all")}
+    mid = {k: at([-r[5] / r[4] for r in v], 0.5) for k, v in own.items()}
+    drawn = lambda r: (-r[5] + 100 * mid[r[1] if r[1] in mid else "all"]) / (r[4] + 100)
+    limit = {}
+    for k, v in own.items():
+        q50, q99 = at([drawn(r) for r in v], 0.5), at([drawn(r) for r in v], 0.99)
+        limit[k] = q99 + (0.25 + 0.33 / math.sqrt(len(v) / 100)) * (q99 - q50)
+    for r in kn.classify(scored).collect():
+        own_row = rows[r.doc_id]
+        want = limit[own_row[1] if own_row[1] in limit else "all"]
+        assert math.isclose(math.log(r.threshold), want, rel_tol=1e-9) and r.kept == (drawn(own_row) <= want)
