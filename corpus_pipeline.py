@@ -2,6 +2,8 @@
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 A row is told by its id and its text's hash, so rows that repeat an id with other texts get verdicts of their own.
+Empty tables go through every stage and give no rows; null text, language, source or id are no errors (a null text
+has too few words for the quality rules); extra columns stay, whatever their names, up to the packed pieces.
 """
 
 from __future__ import annotations
@@ -27,26 +29,38 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their group's adaptive thresholds."""
-    limits = stored(quality_rules.thresholds(quality_rules.sketches(quality_rules.features(docs))), "limits")
-    return quality_rules.judged(quality_rules.features(docs), limits).filter("kept").select(*docs.columns)
+    rows = stored(quality_rules.features(docs.select("text", "lang", "source", F.struct("*").alias("_row"))), "features")
+    limits = stored(quality_rules.thresholds(quality_rules.sketches(rows)), "limits")
+    return quality_rules.judged(rows, limits).filter("kept").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one that it is named after; of rows alike in id and text, one.
+    """One document of each SimHash component: of the smallest id, and among rows that repeat it of the smallest text hash.
 
-    Rows without an id name no component, so they go with a component that has one and stay else."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    A row without an id stays only if its component has no other row; of rows alike in id and text, one stays."""
+    groups = simhash.near_duplicates(docs.select("doc_id", "text", F.xxhash64("text").alias("_h")), keep=("_h",))
+    rows = stored(groups.groupBy("doc_id", "_h").agg(F.first("component").alias("component"), F.first("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
+    heads = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = heads.groupBy("component").agg(F.min("_h").alias("least"))
+    gone = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "_h").unionByName(heads.join(least, "component").filter("_h <> least").select("doc_id", "_h"))
+    repeated = stored(rows.filter("n > 1").select("doc_id", "_h"), "repeated")
+    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    kept = _met(keyed, stored(gone, "gone"), "left_anti")
+    return _met(kept, repeated, "left_anti").unionByName(_met(kept, repeated, "left_semi").dropDuplicates(["doc_id", "_h"])).drop("_h")
+
+
+def _met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """`rows` that meet (or don't) a row of `keys` by id and text hash."""
+    keys = keys.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"))
+    return rows.join(keys, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_h"] == F.col("_k")), how)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that occur earlier; documents of which nothing is left go."""
-    out = substring.remove_repeats(docs)
-    changed = F.col("n_removed") > 0
-    out = out.filter(~changed | (F.col("kept_text") != ""))
-    return out.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+    out = substring.remove_repeats(docs.select("doc_id", "text", F.struct("*").alias("_row")))
+    out = out.filter((F.col("n_removed") == 0) | (F.col("kept_text") != ""))
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
