@@ -90,9 +90,16 @@ def labels(centres: DataFrame, sizes: DataFrame) -> list[tuple[int, str]]:
         own = rows[r.cluster]
         high = [c for c, v in sorted(own.items(), key=lambda x: (-x[1], x[0])) if v >= 0.5]
         name = next((f"High {c}" for c in high if f"High {c}" not in used), None)
-        if name is None:
+        if name is None and high:  # every matching name is taken: the strongest once more
+            name = f"High {high[0]} (Secondary)"
+        elif name is None:
             name = "Low involvement" if sum(v <= -0.35 for v in own.values()) >= 3 else "Balanced"
-            name += " (Secondary)" if name in used else ""
         used.add(name)
         out.append((r.cluster, name))
     return out
+
+
+def availability(z: DataFrame, most: int = 6) -> DataFrame:
+    """(usable, available, reason): whether there are more entities than the largest number of clusters and one."""
+    n = F.col("usable")
+    return z.agg(F.count_distinct("entity_id").alias("usable")).select("usable", (n > most + 1).alias("available"), F.when(n <= most + 1, F.concat(F.lit("too few entities: "), n.cast("string"), F.lit(f" of {most + 2}"))).alias("reason"))

@@ -26,3 +26,52 @@ def next_period(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Each row beside the same key's row of the next period."""
     after = rows.select(*keys, (F.col("period") - 1).alias("period"), *(F.col(c).alias(f"next_{c}") for c in cols))
     return rows.select(*keys, "period", *cols).join(after, [*keys, "period"])
+
+
+def attach(rows: DataFrame, table: DataFrame, on: list[str], cols: list[str], how: str = "inner") -> DataFrame:
+    """`rows` with `cols` of `table`."""
+    return rows.join(table.select(*on, *cols), on, how)
+
+
+def without_match(rows: DataFrame, known: DataFrame, key: str, known_key: str) -> DataFrame:
+    """Rows whose key `known` lacks; a null key has no match."""
+    return rows.join(known.select(F.col(known_key).alias("_known")), F.col(key) == F.col("_known"), "left_anti")
+
+
+def of_largest(rows: DataFrame, weight: str, key: str = "entity_id", k: int = 1) -> DataFrame:
+    """Rows of the k keys with the largest sum of `weight`."""
+    top = rows.groupBy(key).agg(F.sum(weight).alias("_w")).orderBy(F.desc("_w"), key).limit(k).select(key)
+    return rows.join(F.broadcast(top), key, "left_semi")  # k rows
+
+
+def side_by_side(left: DataFrame, right: DataFrame, value: str, names: tuple[str, str], key: str = "entity_id") -> DataFrame:
+    """Every key of either table with both values."""
+    return left.select(key, F.col(value).alias(names[0])).join(right.select(key, F.col(value).alias(names[1])), key, "full")
+
+
+def pick_list(wanted: list[int], have: DataFrame, key: str = "entity_id") -> DataFrame:
+    """(wanted, found) for each id of a user's list."""
+    asked = have.sparkSession.createDataFrame([(i,) for i in wanted], "wanted long")
+    got = have.join(F.broadcast(asked), F.col(key) == F.col("wanted"), "left_semi").select(key).distinct()  # as many as asked
+    return asked.join(got, F.col("wanted") == F.col(key), "left").select("wanted", F.col(key).isNotNull().alias("found"))
+
+
+def ids_of(*columns: tuple[DataFrame, str]) -> list[DataFrame]:
+    return [df.select(F.col(c).cast("long").alias("id")) for df, c in columns]
+
+
+def union_ids(*columns: tuple[DataFrame, str]) -> DataFrame:
+    first, *rest = ids_of(*columns)
+    for df in rest:
+        first = first.union(df)
+    return first.distinct()
+
+
+def difference_ids(left: tuple[DataFrame, str], right: tuple[DataFrame, str]) -> DataFrame:
+    a, b = ids_of(left, right)
+    return a.subtract(b)
+
+
+def common_ids(left: tuple[DataFrame, str], right: tuple[DataFrame, str]) -> DataFrame:
+    a, b = ids_of(left, right)
+    return a.intersect(b)

@@ -39,3 +39,10 @@ def ranking_history(snapshots: DataFrame) -> DataFrame:
 def source_fingerprint(resources: DataFrame) -> DataFrame:
     """One row: SHA-256 over the sorted (resource, content hash) pairs, of which there are few."""
     return resources.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "resource", "content_sha"))), "|"), 256).alias("fingerprint"))
+
+
+def changes(before: DataFrame, after: DataFrame, key: str = "entity_id", compared: tuple[str, ...] = ("rank", "score", "rate", "exposure")) -> DataFrame:
+    """(key, change): entries added, removed or altered in any of `compared`."""
+    side = lambda df, name: df.select(F.col(key), F.struct(*compared).alias(name))
+    x = side(before, "_b").join(side(after, "_a"), key, "full").filter(~F.col("_a").eqNullSafe(F.col("_b")))
+    return x.select(key, F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").otherwise("altered").alias("change"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import scalars
-from statloom.operators import archetypes, facts, joins, rank, rates, reliability, scouting, shrink, snapshots, talent, uncertainty
+from statloom.operators import archetypes, facts, joins, quality, rank, rates, reliability, scouting, serving, shrink, snapshots, talent, uncertainty
 from statloom.plans.oracle import Z, corr, pct
 from statloom.plans.params import COMPONENTS, DEFAULT, Params
-from statloom.plans.registry import both, query
+from statloom.plans.registry import apart, both, query
 from statloom.sources import pages, payload
 
 P = DEFAULT
@@ -17,8 +19,31 @@ C = F.col
 HISTORY = f"period BETWEEN {P.history[0]} AND {P.history[1]}"
 hist = lambda df: df.filter(HISTORY)
 
+# --- SQL that several queries share
+_REF = "(SELECT min(entity_id) AS e FROM ratings WHERE period = 2000 AND status = 'qualified')"
+_SIM = f"(SELECT p.entity_id, sum(p.pct_adj * q.pct_adj) / sqrt(sum(p.pct_adj ** 2) * sum(q.pct_adj ** 2)) AS similarity FROM component_pcts p JOIN component_pcts q ON p.component = q.component AND q.period = 2000 AND q.entity_id = {_REF} WHERE p.period = 2000 GROUP BY p.entity_id HAVING sum(p.pct_adj ** 2) > 0 AND sum(q.pct_adj ** 2) > 0)"
+_FIT = f"""(SELECT r.entity_id, r.score, r.status, r.total_reliability, r.exposure, s.similarity, a_f, n_o, r_f, 0.35 * coalesce(a_f, 0) + 0.15 * coalesce(n_o, 0) + 0.15 * coalesce(r_f, 0) + 0.2 * coalesce(score, 50) + 10 * coalesce(total_reliability, 0) + least(20, exposure / 180) + 25 * coalesce(similarity, 0) AS fit
+    FROM ratings r JOIN (SELECT entity_id, max(pct_adj) FILTER (component = 'a_f') AS a_f, max(pct_adj) FILTER (component = 'n_o') AS n_o, max(pct_adj) FILTER (component = 'r_f') AS r_f FROM component_pcts WHERE period = 2000 GROUP BY entity_id) p ON r.entity_id = p.entity_id LEFT JOIN {_SIM} s ON r.entity_id = s.entity_id WHERE r.period = 2000)"""
+_BRIEF = f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(fit, 6) DESC, round(score, 6) DESC, entity_id) AS place FROM {_FIT} WHERE status <> 'limited' AND score >= 30) WHERE place <= 50)"
+_DQ = """SELECT 'error' AS severity, 'DQ-02' AS check_id, count(*) AS n FROM (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) a UNION ALL SELECT 'error', 'DQ-03', count(*) FROM {ratings} WHERE score < 0 OR score > 100
+UNION ALL SELECT 'warning', 'DQ-05', count(*) FROM {events} e LEFT JOIN {customer} c ON e.user_id = c.c_custkey WHERE c.c_custkey IS NULL UNION ALL SELECT 'warning', 'DQ-08', count(*) FROM (SELECT period FROM {status} GROUP BY period HAVING sum(CASE WHEN status = 'qualified' THEN 1 ELSE 0 END) = 0) d"""
+_CANDIDATES = f"(SELECT f.*, e.name, e.team, c.cluster AS archetype, CASE WHEN f.entity_id % 7 <> 0 THEN 20 + f.entity_id % 20 END AS age FROM {_FIT} f JOIN entities e ON f.entity_id = e.entity_id LEFT JOIN clusters c ON f.entity_id = c.entity_id)"
+def _band_sql(v):
+    return f"CASE WHEN {v} >= 85 THEN 'elite' WHEN {v} >= 70 THEN 'strong' WHEN {v} <= 15 THEN 'poor' WHEN {v} <= 30 THEN 'weak' END"
+
+
+_NOTES = f"""SELECT *, row_number() OVER (PARTITION BY entity_id, period, kind ORDER BY part, CASE WHEN kind = 'strength' THEN -percentile ELSE percentile END NULLS FIRST, component) AS position FROM (
+    SELECT entity_id, period, component, percentile, band, opportunities, 1 AS part, CASE WHEN band IN ('elite', 'strong') THEN 'strength' ELSE 'concern' END AS kind,
+        CASE band WHEN 'elite' THEN 'Elite adjusted ' || component || ' percentile.' WHEN 'strong' THEN 'Strong ' || component || ' contribution.' WHEN 'poor' THEN component || ' contribution well below the median.' ELSE component || ' contribution below the median.' END AS text
+    FROM (SELECT entity_id, period, component, round(pct_adj, 1) AS percentile, {_band_sql("pct_adj")} AS band, CAST(opps AS BIGINT) AS opportunities FROM component_pcts WHERE opps >= {P.min_claim_opps}) WHERE band IS NOT NULL
+    UNION ALL SELECT entity_id, period, 'total', round(score, 1), band, NULL, 0, CASE WHEN band IN ('elite', 'strong') THEN 'strength' ELSE 'concern' END,
+        CASE band WHEN 'elite' THEN 'Top-tier complete impact.' WHEN 'strong' THEN 'Above-average complete impact.' WHEN 'poor' THEN 'Complete impact well below the median.' ELSE 'Complete impact below the median.' END FROM (SELECT *, {_band_sql("score")} AS band FROM ratings) r WHERE band IS NOT NULL
+    UNION ALL SELECT entity_id, period, 'sample', NULL, 'sample', NULL, 2, CASE WHEN status = 'qualified' THEN 'strength' ELSE 'concern' END,
+        CASE status WHEN 'limited' THEN 'Limited sample (' WHEN 'provisional' THEN 'Provisional sample (' ELSE 'Large, reliable sample (' END || CAST(CAST(round(exposure) AS BIGINT) AS VARCHAR) || ' minutes).' FROM ratings WHERE status <> 'qualified' OR total_reliability >= 0.75)"""
+
 # --- scans, sources, sinks
-both("src2_read_tables", "name #n", "SELECT 'supplier' AS name, count(*) AS n FROM {supplier} UNION ALL SELECT 'lineitem', count(*) FROM {lineitem} UNION ALL SELECT 'orders', count(*) FROM {orders}")
+apart("src2_read_tables", "name #n", lambda w: _table_sizes(w, ["supplier", "lineitem", "orders"]),
+      "SELECT 'supplier' AS name, count(*) AS n FROM {supplier} UNION ALL SELECT 'lineitem', count(*) FROM {lineitem} UNION ALL SELECT 'orders', count(*) FROM {orders}")
 query("src1_read_payload", "resource #event_id event_type *value", lambda w: payload.read_events_payload(w), "(SELECT 'events' AS resource, event_id, event_type, value FROM events) x")
 query("src3_read_snapshots", "#period @captured_at #entity_id #rank *score", lambda w: payload.snapshot_rows(w), "(SELECT period, CAST(captured_at AS VARCHAR) AS captured_at, entity_id, rank, score FROM snapshots WHERE period >= 2000) x")
 query("src4_flatten_actions", "#entity_id #period *a_f_value *n_o_value *r_f_value #a_f_opps #n_o_opps #r_f_opps", lambda w: facts.pivot_components(payload.flatten_actions(payload.nested_actions(w.season_c), COMPONENTS), ["entity_id", "period"], ["value", "opps"], COMPONENTS),
@@ -33,9 +58,27 @@ query("src8_page_schema_guard", "#page_id fingerprint has_markers", lambda w: pa
       "(SELECT page_id, substr(sha256(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(trim(x))))), '|')), 1, 16) AS fingerprint, html LIKE '%<nav>%' AND html LIKE '%<article>%' AS has_markers FROM pages) x")
 query("snk1_write_tables", "#entity_id #period *exposure", lambda w: payload.written(w.season.select("entity_id", "period", "exposure"), "parquet", ["period"]), "season")
 query("snk2_append_rows", "#entity_id #n", lambda w: payload.appended(w.entities.select("entity_id")).groupBy("entity_id").agg(F.count("*").alias("n")), "(SELECT entity_id, 2 AS n FROM entities) x")
-query("snk3_write_documents", "#entity_id #n_periods", lambda w: payload.written(scouting_documents(w), "json").select("entity_id", F.size("periods").alias("n_periods")), "(SELECT entity_id, count(*) AS n_periods FROM season GROUP BY entity_id) x")
+def _documents(w):
+    index, points = serving.player_index(w.ratings, w.entities, w.talent), w.ratings.filter((C("period") == P.final) & C("in_pool")).select("entity_id", "score", "conceded_rate")
+    kinds = {"season": (serving.season_documents(w.ratings, w.entities, w.component_pcts), F.size("components")), "timeline": (serving.timelines(w.form), F.size("timeline")), "components": (serving.component_maps(w.component_pcts), F.size("components")),
+             "index": (index, F.size("periods")), "profile": (serving.profile_documents(w.ratings, w.talent), F.size("seasons")), "methodology": (serving.methodology_document(w.params), F.size("components")), "points": (points, F.lit(1))}
+    out = [payload.written(df, "json").agg(F.lit(k).alias("kind"), F.count("*").alias("n"), F.sum(size).alias("parts")) for k, (df, size) in kinds.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+apart("snk3_write_documents", "kind #n #parts", _documents, " UNION ALL ".join(f"SELECT '{k}' AS kind, {n} AS n, {parts} AS parts FROM {t} t" for k, n, parts, t in (
+    ("season", "count(DISTINCT (entity_id, period))", "count(*)", "component_pcts"), ("components", "count(DISTINCT (entity_id, period))", "count(*)", "component_pcts"), ("timeline", "count(DISTINCT (entity_id, period))", "count(*)", "form"),
+    ("index", "count(DISTINCT entity_id)", "count(*)", "ratings"), ("profile", "count(DISTINCT entity_id)", "count(*)", "ratings"), ("methodology", "1", "count(*)", "params"), ("points", "count(*)", "count(*)", f"(SELECT * FROM ratings WHERE period = {P.final} AND in_pool)"))))
 query("snk4_write_tidy_csv", "#entity_id #period *exposure", lambda w: payload.written(w.season.select("entity_id", "period", "exposure"), "csv"), "season")
-query("snk5_refresh_ledger", "status #errors @max_date", lambda w: w.season.agg(F.lit("passed").alias("status"), F.lit(0).alias("errors"), F.max("last_date").alias("max_date")), "(SELECT 'passed' AS status, 0 AS errors, max(last_date) AS max_date FROM season) x")
+def _ledger(w):
+    path = payload.place(w.spark)
+    for refresh, last in enumerate((P.final, P.live), 1):
+        quality.append_refresh(quality.refresh_row(refresh, w.season.filter(C("period") <= last), quality.validation_status(_issues(w)), _issues(w)), path)
+    return w.spark.read.parquet(path)
+
+
+apart("snk5_refresh_ledger", "#refresh_id status #errors @max_date #n_rows fingerprint", _ledger,
+      " UNION ALL ".join(f"SELECT {i} AS refresh_id, (SELECT CASE WHEN max(CASE WHEN severity = 'error' AND n > 0 THEN 2 WHEN n > 0 THEN 1 ELSE 0 END) = 2 THEN 'failed' WHEN max(CASE WHEN n > 0 THEN 1 ELSE 0 END) = 1 THEN 'warnings' ELSE 'passed' END FROM ({{_DQ}}) q) AS status, (SELECT count_if(severity = 'error' AND n > 0) FROM ({{_DQ}}) q) AS errors, max(last_date) AS max_date, count(*) AS n_rows, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(CAST(max(last_date) AS DATE) AS VARCHAR), CAST(count(DISTINCT entity_id) AS VARCHAR))) AS fingerprint FROM season WHERE period <= {last}".replace("{_DQ}", _DQ) for i, last in ((1, P.final), (2, P.live))))
 
 
 def scouting_documents(w):
@@ -47,7 +90,8 @@ query("can1_conform_teams", "#team_id name short_name", lambda w: facts.keep_fir
       "(SELECT n_nationkey AS team_id, trim(n_name) AS name, CASE WHEN n_nationkey % 2 = 0 THEN trim(substr(n_name, 1, 3)) ELSE trim(n_name) END AS short_name FROM nation) x")
 query("can2_conform_players", "#user_id #event_id event_type", lambda w: facts.keep_first(w.table("events").filter("trim(event_type) <> ''"), ["user_id"], [F.desc("ts"), F.desc("event_id")]),
       "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE trim(event_type) <> '') WHERE n = 1) x")
-both("can3_conform_games", "#event_id @d status *price", "SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS status, o_totalprice AS price FROM {orders}")
+apart("can3_conform_games", "#event_id @d status *price", lambda w: w.table("orders").select(C("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("d"), C("o_orderstatus").alias("status"), C("o_totalprice").alias("price")),
+      "SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS status, o_totalprice AS price FROM {orders}")
 query("can4_slugify", "#c_custkey slug", lambda w: w.table("customer").select("c_custkey", scalars.slug(F.concat_ws(" É", "c_name", "c_mktsegment")).alias("slug")), "(SELECT c_custkey, trim(regexp_replace(lower(strip_accents(c_name || ' É' || c_mktsegment)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer) x")
 query("can5_dedupe_slugs", "#id slug", lambda w: facts.dedupe_slugs(w.table("part").select("p_partkey", "p_type"), "p_partkey", "p_type"),
       """(SELECT id, CASE WHEN m = 1 THEN s ELSE s || '-' || m END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n > 1, CAST(id AS VARCHAR)) AS m FROM (SELECT *, CASE WHEN n = 1 THEN base ELSE base || '-' || substr(CAST(id AS VARCHAR), 1, 6) END AS s FROM (
@@ -62,17 +106,53 @@ query("can9_placeholder_rows", "#user_id name", lambda w: facts.placeholder_rows
 query("can10_union_periods", "#entity_id #period *exposure", lambda w: facts.keep_first(w.season.filter("period <= 1997").unionByName(w.season.filter("period >= 1997").drop("expected"), allowMissingColumns=True), ["entity_id", "period"], ["expected"]), "season")
 query("can11_attach_dates", "#undated #dated", lambda w: w.table("lineitem").join(w.table("orders").filter("o_orderkey % 11 <> 0"), C("l_orderkey") == C("o_orderkey"), "left").agg(F.count_if(C("o_orderdate").isNull()).alias("undated"), F.count("o_orderdate").alias("dated")), "(SELECT count_if(o_orderdate IS NULL) AS undated, count(o_orderdate) AS dated FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 11 <> 0) ON l_orderkey = o_orderkey) x")
 query("can12_components_long", "#entity_id #period component *value", lambda w: facts.unpivot_components(facts.pivot_components(w.season_c, ["entity_id", "period"], ["value", "opps"], COMPONENTS), ["entity_id", "period"], "value", COMPONENTS), "(SELECT entity_id, period, component, value FROM dense) x")
-both("can13_project_season", "#entity_id #period *exposure #shots #conceded #saves *expected", "SELECT * FROM {season}")
-both("can13_project_matches", "#entity_id #period #event_id @event_date *exposure #shots", "SELECT * FROM {matches}")
+apart("can13_project_season", "#entity_id #period *exposure #shots #conceded #saves *expected", lambda w: w.season,
+      "SELECT * FROM {season}")
+apart("can13_project_matches", "#entity_id #period #event_id @event_date *exposure #shots", lambda w: w.match,
+      "SELECT * FROM {matches}")
 query("can14_age_years", "#o_orderkey #age", lambda w: w.table("orders").select("o_orderkey", scalars.age_years(F.to_date("o_orderdate"), F.lit("2025-02-28").cast("date")).alias("age")), "(SELECT o_orderkey, 2025 - year(o_orderdate) - CASE WHEN (month(o_orderdate), day(o_orderdate)) > (2, 28) THEN 1 ELSE 0 END AS age FROM orders) x")
 query("can15_display_round", "#entity_id #period *r", lambda w: w.totals.select("entity_id", "period", scalars.display_round(C("total_raw"), 3).alias("r")), "(SELECT entity_id, period, round(total_raw, 3) AS r FROM totals) x")
 
 # --- filters
+def _board(w, period):
+    """The leaderboard of a period."""
+    return w.ratings.filter(C("period") == period).join(w.entities.select("entity_id", "name", "team"), "entity_id")
+
+
+def _table_sizes(w, names):
+    return reduce(DataFrame.unionByName, [w.table(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in names])
+
+
+def _reference_id(w):
+    """The reference of briefs: one row."""
+    return F.lit(w.ratings.filter(C("period") == P.final).filter("status = 'qualified'").agg(F.min("entity_id")).first()[0])
+
+
+def _candidates(w):
+    """Board rows with component percentiles, similarity, an age and an archetype."""
+    age = F.when(C("entity_id") % 7 != 0, 20 + C("entity_id") % 20)
+    return _fit(w).join(w.entities.select("entity_id", "name", "team"), "entity_id").join(w.clusters.select("entity_id", C("cluster").alias("archetype")), "entity_id", "left").withColumn("age", age)
+
+
+def _issues(w):
+    return quality.run_quality([
+        ("error", "DQ-02", facts.duplicate_keys(w.table("lineitem"), ["l_orderkey", "l_linenumber"])),
+        ("error", "DQ-03", w.ratings.filter("score < 0 OR score > 100")),
+        ("warning", "DQ-05", joins.without_match(w.table("events"), w.table("customer"), "user_id", "c_custkey")),
+        ("warning", "DQ-08", w.status.groupBy("period").agg(F.count_if(C("status") == "qualified").alias("q")).filter("q = 0")),
+    ])
+
+
 LEADER = "SELECT r.entity_id, r.period, e.name, e.team, r.score, r.status, r.exposure, r.rank_adjusted FROM {ratings} r JOIN {entities} e ON r.entity_id = e.entity_id"
-both("flt1_filter_leaderboard", "#entity_id name team *score", f"SELECT * FROM ({LEADER}) b WHERE period = 2000 AND status <> 'limited' AND exposure >= 1900 AND (lower(team) LIKE '%an%' OR lower(name) LIKE '%an%')")
-both("flt2_brief_filters", "#entity_id *score *total_reliability", "SELECT r.* FROM {ratings} r JOIN {component_pcts} c ON r.entity_id = c.entity_id AND r.period = c.period WHERE r.period = 2000 AND r.status <> 'limited' AND r.exposure >= 1800 AND r.score >= 30 AND r.total_reliability >= 0.1 AND c.component = 'a_f' AND c.pct_adj >= 25")
-both("flt3_search_text", "#entity_id name", "SELECT entity_id, name FROM {entities} WHERE lower(concat_ws(' ', name, team)) LIKE '%ia%'")
-both("flt4_club_filter", "#entity_id team", "SELECT entity_id, team FROM {entities} WHERE team IN ('FRANCE', 'BRAZIL') OR lower(team) LIKE '%united%'")
+apart("flt1_filter_leaderboard", "#entity_id name team *score", lambda w: serving.filter_leaderboard(_board(w, P.final), " ion_1 ", 1900, "all", False),
+      f"SELECT * FROM ({LEADER}) b WHERE period = 2000 AND status <> 'limited' AND exposure >= 1900 AND (lower(team) LIKE '%ion\\_1%' ESCAPE '\\' OR lower(name) LIKE '%ion\\_1%' ESCAPE '\\')")
+apart("flt2_brief_filters", "#entity_id *score *total_reliability", lambda w: serving.brief_filters(_candidates(w), "a", False, 1800, 0.1, {"a_f": 25, "n_o": 5, "r_f": 5}, 21, 38, None, _reference_id(w), 0.5),
+      f"SELECT f.* FROM {_CANDIDATES} f WHERE (lower(name) LIKE '%a%' OR lower(team) LIKE '%a%') AND status <> 'limited' AND exposure >= 1800 AND total_reliability >= 0.1 AND a_f >= 25 AND n_o >= 5 AND r_f >= 5 AND age >= 21 AND age <= 38 AND similarity >= 0.5 AND entity_id <> {_REF}")
+apart("flt2_brief_profile", "#entity_id #archetype #age", lambda w: serving.brief_filters(_candidates(w), include_limited=True, archetype=1, max_age=35), f"SELECT * FROM {_CANDIDATES} c WHERE archetype = 1 AND age <= 35")
+apart("flt3_search_text", "#entity_id name", lambda w: serving.search_text(w.entities, " ION_2 ", ["name", "team"]),
+      "SELECT entity_id, name FROM {entities} WHERE lower(concat_ws(' ', name, team)) LIKE '%ion\\_2%' ESCAPE '\\'")
+apart("flt4_club_filter", "#entity_id team", lambda w: serving.club_filter(w.entities, ["NATION_3", "NATION_7"], "Tion_1"),
+      "SELECT entity_id, team FROM {entities} WHERE team IN ('NATION_3', 'NATION_7') OR lower(team) LIKE '%tion\\_1%' ESCAPE '\\'")
 
 # --- rates
 query("rat1_per_exposure", "#entity_id #period component *value_rate", lambda w: w.rates, "rates")
@@ -138,11 +218,15 @@ def _stability(w):
 
 
 query("agg22_yoy_stability", "#pa #pb *r #n", _stability, f"(SELECT pa, pb, {corr('x', 'y', 3)} AS r, count(*) AS n FROM (SELECT pa, pb, {_avg_rank('va', 'pa, pb')} AS x, {_avg_rank('vb', 'pa, pb')} AS y FROM (SELECT p.period AS pa, q.period AS pb, round(p.score, 9) AS va, round(q.score, 9) AS vb FROM ratings p JOIN ratings q ON p.entity_id = q.entity_id AND p.period < q.period)) GROUP BY pa, pb) x")
-both("agg23_linear_fit", "*slope *intercept *r2", "SELECT regr_slope(b.score, a.score) AS slope, regr_intercept(b.score, a.score) AS intercept, regr_r2(b.score, a.score) AS r2 FROM {ratings} a JOIN {ratings} b ON a.entity_id = b.entity_id AND b.period = a.period + 1")
+apart("agg23_linear_fit", "*slope *intercept *r2", lambda w: joins.next_period(w.ratings, ["entity_id"], ["score"]).agg(F.regr_slope("next_score", "score").alias("slope"), F.regr_intercept("next_score", "score").alias("intercept"), F.regr_r2("next_score", "score").alias("r2")),
+      "SELECT regr_slope(b.score, a.score) AS slope, regr_intercept(b.score, a.score) AS intercept, regr_r2(b.score, a.score) AS r2 FROM {ratings} a JOIN {ratings} b ON a.entity_id = b.entity_id AND b.period = a.period + 1")
 query("agg24_component_pivot", "#entity_id *a_f *n_o *r_f", lambda w: w.component_pcts.filter("period = 2000").groupBy("entity_id").pivot("component", list(COMPONENTS)).agg(F.max("pct_adj")).orderBy(F.desc(F.round("a_f", 9)), "entity_id").limit(20), "(SELECT * FROM (SELECT entity_id, " + ", ".join(f"max(CASE WHEN component = '{c}' THEN pct_adj END) AS {c}" for c in ("a_f", "n_o", "r_f")) + " FROM component_pcts WHERE period = 2000 GROUP BY entity_id) ORDER BY round(a_f, 9) DESC, entity_id LIMIT 20) x")
-both("agg25_count_by_status", "#period status #n", "SELECT period, status, count(*) AS n FROM {status} GROUP BY period, status")
-both("agg26_distinct_teams", "team", "SELECT DISTINCT team FROM {entities}")
-query("agg27_archetype_profile", "#cluster component #size *mean_involvement", lambda w: w.z.join(w.clusters, "entity_id").groupBy("cluster", "component").agg(F.count("*").alias("size"), F.avg("x").alias("mean_involvement")), "(SELECT cluster, component, count(*) AS size, avg(x) AS mean_involvement FROM z JOIN clusters USING (entity_id) GROUP BY ALL) x")
+apart("agg25_count_by_status", "#period status #n", lambda w: w.status.groupBy("period", "status").agg(F.count("*").alias("n")),
+      "SELECT period, status, count(*) AS n FROM {status} GROUP BY period, status")
+apart("agg26_distinct_teams", "team", lambda w: w.entities.select("team").distinct(),
+      "SELECT DISTINCT team FROM {entities}")
+query("agg27_archetype_profile", "#cluster component #size *mean_involvement *median_score", lambda w: w.z.join(w.clusters, "entity_id").join(w.ratings.filter(C("period") == P.final).select("entity_id", "score"), "entity_id", "left").groupBy("cluster", "component").agg(F.count("*").alias("size"), F.avg("x").alias("mean_involvement"), F.median("score").alias("median_score")),
+      f"(SELECT cluster, component, count(*) AS size, avg(x) AS mean_involvement, median(score) AS median_score FROM z JOIN clusters USING (entity_id) LEFT JOIN (SELECT entity_id, score FROM ratings WHERE period = {P.final}) USING (entity_id) GROUP BY ALL) x")
 for _d, _name in ((0.0, "flat"), (0.01, "strong")):
     query(f"agg7_k_gate_{_name}", "component source reason", lambda w, d=_d: type(w)(w.spark, w.dir, Params(signal=d)).params, None)
 
@@ -154,11 +238,13 @@ query("shr4_sampling_variance", "#entity_id #period *sampling_variance", lambda
 query("shr5_total_reliability", "#entity_id #period *total_reliability *adj_total *base_total", lambda w: w.shrunk_totals, "shrunk_totals")
 query("qua1_qualification_rule", "#period mode *qualified_bar *provisional_bar *max_exposure", lambda w: shrink.qualification(w.season, P), "bars")
 query("qua2_sample_status", "#entity_id #period status in_pool", lambda w: w.status, "status")
-both("qua3_talent_view_row", "#entity_id name status *talent", "SELECT t.entity_id, e.name, coalesce(l.status, p.status, 'limited') AS status, t.talent FROM {talent} t JOIN {entities} e ON t.entity_id = e.entity_id LEFT JOIN (SELECT entity_id, status FROM {ratings} WHERE period = 2001) l ON t.entity_id = l.entity_id LEFT JOIN (SELECT entity_id, status FROM {ratings} WHERE period = 2000) p ON t.entity_id = p.entity_id")
+apart("qua3_talent_view_row", "#entity_id name status *talent", lambda w: serving.talent_view(w.talent, w.entities, w.ratings.filter(C("period") == P.live), w.ratings.filter(C("period") == P.final)),
+      "SELECT t.entity_id, e.name, coalesce(CASE WHEN coalesce(live_exposure, 0) > 0 THEN coalesce(l.status, p.status) ELSE coalesce(p.status, l.status) END, CASE WHEN t.in_live AND coalesce(live_exposure, 0) >= 826 THEN 'qualified' WHEN t.in_live AND coalesce(live_exposure, 0) >= 270 THEN 'provisional' WHEN t.in_live THEN 'limited' WHEN coalesce(prior_exposure, 0) >= 900 THEN 'qualified' ELSE 'limited' END) AS status, t.talent FROM {talent} t JOIN {entities} e ON t.entity_id = e.entity_id LEFT JOIN (SELECT entity_id, status FROM {ratings} WHERE period = 2001) l ON t.entity_id = l.entity_id LEFT JOIN (SELECT entity_id, status FROM {ratings} WHERE period = 2000) p ON t.entity_id = p.entity_id")
 query("tal1_current_talent", "#entity_id *talent *talent_sd *weight_league *weight_prior *weight_live prior_source", lambda w: w.talent, "talent")
 query("tal2_talent_interval", "#entity_id *talent_low *talent_high", lambda w: w.talent, "talent")
 query("tal3_rank_talent", "#entity_id #talent_rank *talent_pct *talent_pct_low *talent_pct_high", lambda w: w.talent_ranked, "talent_ranked")
-both("tal4_model_context", "*total_tau2 *total_drift total_source *league_mean", "SELECT t.total_tau2, t.total_drift, t.total_source, (SELECT max(league_mean) FROM {talent}) AS league_mean FROM {total} t")
+apart("tal4_model_context", "*total_tau2 *total_drift total_source *league_mean", lambda w: w.total.join(w.talent.agg(F.max("league_mean").alias("league_mean"))),
+      "SELECT t.total_tau2, t.total_drift, t.total_source, (SELECT max(league_mean) FROM {talent}) AS league_mean FROM {total} t")
 query("unc1_bootstrap_rate", "#entity_id #period *boot_low *boot_high *boot_se", lambda w: w.boot, "boot")
 
 
@@ -189,33 +275,51 @@ query("win5_rank_archetypes", "#cluster component #rank", lambda w: w.seeds.with
 query("win6_cumulative_form", "#entity_id #period #event_id #match_no *cum_value *cum_exposure ~cum_rate", lambda w: w.form, "form")
 query("win7_rolling_mean", "#entity_id #period #event_id ~rolling_mean", lambda w: w.form, "form")
 query("win8_rolling_weighted", "#entity_id #period #event_id ~rolling_weighted", lambda w: w.form, "form")
-both("win9_period_change", "#entity_id #period *score *score_change", "SELECT entity_id, period, score, score - lag(score) OVER (PARTITION BY entity_id ORDER BY period) AS score_change FROM {ratings}")
+apart("win9_period_change", "#entity_id #period *score *score_change", lambda w: serving.period_change(w.ratings),
+      "SELECT entity_id, period, score, score - lag(score) OVER (PARTITION BY entity_id ORDER BY period) AS score_change FROM {ratings}")
 query("win10_stints", "#entity_id #period #stint #club #appearances *exposure @first_date @last_date", lambda w: w.stints, "stints")
 query("win11_first_per_key", "#entity_id #period", lambda w: facts.keep_first(w.ratings.filter(C("period").isin(P.final, P.live)), ["entity_id"], [C("period").desc()]).select("entity_id", "period"), "(SELECT entity_id, max(period) AS period FROM ratings WHERE period IN (2000, 2001) GROUP BY entity_id) x")
 query("win12_average_rank", "#entity_id #period *r", lambda w: w.season.select("entity_id", "period", rank.average_rank(C("shots"), ["period"]).alias("r")), f"(SELECT entity_id, period, {_avg_rank('shots', 'period')} AS r FROM season) x")
 
 # --- sort, limit, top-k
-both("srt1_sort_leaderboard", "#entity_id *score #pos", "SELECT entity_id, score, row_number() OVER (PARTITION BY period ORDER BY round(score, 9) DESC NULLS LAST, entity_id) AS pos FROM {ratings} WHERE period = 2000")
-both("srt2_top_disagreement", "direction #entity_id #rank_disagreement", "SELECT direction, entity_id, rank_disagreement FROM (SELECT CASE WHEN rank_disagreement > 0 THEN 'up' ELSE 'down' END AS direction, entity_id, rank_disagreement, row_number() OVER (PARTITION BY rank_disagreement > 0 ORDER BY abs(rank_disagreement) DESC, entity_id) AS n FROM {ratings} WHERE period = 2000 AND rank_disagreement <> 0) t WHERE n <= 10")
-both("srt3_largest_abs_gap", "#entity_id #gap", "SELECT entity_id, abs(rank_disagreement) AS gap FROM {ratings} WHERE period = 2000 AND rank_disagreement IS NOT NULL ORDER BY abs(rank_disagreement) DESC, entity_id LIMIT 12")
-both("srt4_top_n_board", "#entity_id *score", "SELECT entity_id, score FROM {ratings} WHERE period = 2000 AND status <> 'limited' ORDER BY round(score, 9) DESC, entity_id LIMIT 5")
-both("srt5_underrated", "#entity_id *score #rank_conceded", "SELECT entity_id, score, rank_conceded FROM {ratings} WHERE period = 2000 AND rank_disagreement > 0 ORDER BY rank_disagreement DESC, entity_id LIMIT 15")
-both("srt6_top_k_per_period", "#period #entity_id #n", "SELECT period, entity_id, n FROM (SELECT period, entity_id, row_number() OVER (PARTITION BY period ORDER BY rank_adjusted, entity_id) AS n FROM {ratings} WHERE status = 'qualified') t WHERE n <= 5")
+apart("srt1_sort_leaderboard", "#entity_id key #pos", lambda w: serving.sort_places(_board(w, P.final).join(_candidates(w).select("entity_id", "a_f", "n_o", "r_f"), "entity_id"), list(serving.SORT_KEYS)),
+      " UNION ALL ".join(f"SELECT entity_id, '{k}' AS key, row_number() OVER (ORDER BY {k if k == 'name' else f'round({k}, 9)'} DESC NULLS LAST, entity_id) AS pos FROM (SELECT r.*, c.name, a_f, n_o, r_f FROM ratings r JOIN {_CANDIDATES} c ON r.entity_id = c.entity_id WHERE r.period = {P.final}) b" for k in serving.SORT_KEYS))
+query("srt1_ascending", "#entity_id *score", lambda w: serving.sort_leaderboard(_board(w, P.final), "score", True).limit(10), f"(SELECT entity_id, score FROM ratings WHERE period = {P.final} ORDER BY round(score, 9) ASC NULLS LAST, entity_id LIMIT 10) x")
+apart("srt2_top_disagreement", "direction #entity_id #rank_disagreement", lambda w: serving.top_disagreement(w.ratings.filter(C("period") == P.final)),
+      "SELECT direction, entity_id, rank_disagreement FROM (SELECT CASE WHEN rank_disagreement > 0 THEN 'up' ELSE 'down' END AS direction, entity_id, rank_disagreement, row_number() OVER (PARTITION BY rank_disagreement > 0 ORDER BY abs(rank_disagreement) DESC, entity_id) AS n FROM {ratings} WHERE period = 2000 AND rank_disagreement <> 0) t WHERE n <= 10")
+apart("srt3_largest_abs_gap", "#entity_id #gap", lambda w: serving.largest_abs_gap(w.ratings.filter(C("period") == P.final)),
+      "SELECT entity_id, abs(rank_disagreement) AS gap FROM {ratings} WHERE period = 2000 AND rank_disagreement IS NOT NULL ORDER BY abs(rank_disagreement) DESC, entity_id LIMIT 12")
+apart("srt4_top_n_board", "#entity_id *score", lambda w: serving.top_n_board(w.ratings.filter(C("period") == P.final)),
+      "SELECT entity_id, score FROM {ratings} WHERE period = 2000 AND status <> 'limited' ORDER BY round(score, 9) DESC, entity_id LIMIT 5")
+apart("srt5_underrated", "#entity_id *score #rank_conceded", lambda w: serving.underrated(w.ratings.filter(C("period") == P.final)),
+      "SELECT entity_id, score, rank_conceded FROM {ratings} WHERE period = 2000 AND rank_disagreement > 0 ORDER BY rank_disagreement DESC, entity_id LIMIT 15")
+apart("srt6_top_k_per_period", "#period #entity_id #n", lambda w: serving.top_k_per_period(w.ratings),
+      "SELECT period, entity_id, n FROM (SELECT period, entity_id, row_number() OVER (PARTITION BY period ORDER BY rank_adjusted, entity_id) AS n FROM {ratings} WHERE status = 'qualified') t WHERE n <= 5")
 
 # --- joins and sets
-both("joi1_inner_join", "#entity_id #period name", "SELECT s.entity_id, s.period, e.name FROM {season} s JOIN {entities} e ON s.entity_id = e.entity_id")
-both("joi2_left_join", "#entity_id #period *exposure team", "SELECT r.entity_id, r.period, s.exposure, e.team FROM {ratings} r LEFT JOIN {season} s ON r.entity_id = s.entity_id AND r.period = s.period LEFT JOIN {entities} e ON r.entity_id = e.entity_id")
+apart("joi1_inner_join", "#entity_id #period name", lambda w: joins.attach(w.season, w.entities, ["entity_id"], ["name"]),
+      "SELECT s.entity_id, s.period, e.name FROM {season} s JOIN {entities} e ON s.entity_id = e.entity_id")
+apart("joi2_left_join", "#entity_id #period *exposure team", lambda w: joins.attach(joins.attach(w.ratings.drop("exposure"), w.season, ["entity_id", "period"], ["exposure"], "left"), w.entities, ["entity_id"], ["team"], "left"),
+      "SELECT r.entity_id, r.period, s.exposure, e.team FROM {ratings} r LEFT JOIN {season} s ON r.entity_id = s.entity_id AND r.period = s.period LEFT JOIN {entities} e ON r.entity_id = e.entity_id")
 query("joi3_fuzzy_name_join", "#roster_id #entity_id", lambda w: joins.fuzzy_name_join(w.table("nation").select(C("n_nationkey").alias("roster_id"), C("n_name").alias("roster_name")), w.table("customer").select(C("c_custkey").alias("entity_id"), F.concat_ws(" ", "c_mktsegment", "c_name", F.when(C("c_nationkey") % 3 == 0, "united states").otherwise("iran")).alias("name"))),
       "(SELECT n_nationkey AS roster_id, c_custkey AS entity_id FROM nation JOIN (SELECT c_custkey, lower(c_mktsegment || ' ' || c_name || ' ' || CASE WHEN c_nationkey % 3 = 0 THEN 'united states' ELSE 'iran' END) AS nm FROM customer) ON lower(n_name) = nm OR contains(nm, lower(split_part(n_name, ' ', -1)))) x")
-both("joi4_anti_join", "#event_id", "SELECT e.event_id FROM {events} e LEFT JOIN {customer} c ON e.user_id = c.c_custkey WHERE c.c_custkey IS NULL")
-both("joi5_semi_top1", "#entity_id #period", "SELECT entity_id, period FROM {season} WHERE entity_id IN (SELECT entity_id FROM (SELECT entity_id FROM {season} GROUP BY entity_id ORDER BY sum(exposure) DESC, entity_id LIMIT 1) t)")
+apart("joi4_anti_join", "#event_id", lambda w: joins.without_match(w.table("events"), w.table("customer"), "user_id", "c_custkey"),
+      "SELECT e.event_id FROM {events} e LEFT JOIN {customer} c ON e.user_id = c.c_custkey WHERE c.c_custkey IS NULL")
+apart("joi5_semi_top1", "#entity_id #period", lambda w: joins.of_largest(w.season, "exposure"),
+      "SELECT entity_id, period FROM {season} WHERE entity_id IN (SELECT entity_id FROM (SELECT entity_id FROM {season} GROUP BY entity_id ORDER BY sum(exposure) DESC, entity_id LIMIT 1) t)")
 query("joi6_next_period", "#entity_id #period *exposure *next_exposure", lambda w: joins.next_period(w.season, ["entity_id"], ["exposure"]), "(SELECT a.entity_id, a.period, a.exposure, b.exposure AS next_exposure FROM season a JOIN season b ON a.entity_id = b.entity_id AND b.period = a.period + 1) x")
-both("joi7_full_outer", "#entity_id *prior *live", "SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, a.exposure AS prior, b.exposure AS live FROM (SELECT * FROM {season} WHERE period = 2000) a FULL OUTER JOIN (SELECT * FROM {season} WHERE period = 2001) b ON a.entity_id = b.entity_id")
-both("joi8_lookup", "#entity_id team #rank_adjusted", "SELECT r.entity_id, e.team, r.rank_adjusted FROM {ratings} r LEFT JOIN {entities} e ON r.entity_id = e.entity_id WHERE r.period = 2001")
-both("joi9_pick_list", "#wanted found", "SELECT p.wanted, r.entity_id IS NOT NULL AS found FROM (VALUES (1), (5), (7), (-1)) AS p(wanted) LEFT JOIN (SELECT entity_id FROM {ratings} WHERE period = 2000) r ON r.entity_id = p.wanted")
-both("set1_union_ids", "#id", "SELECT entity_id AS id FROM {season} UNION SELECT user_id FROM {events}")
-both("set2_difference", "#id", "SELECT DISTINCT user_id AS id FROM {events} EXCEPT SELECT c_custkey FROM {customer}")
-both("set3_intersection", "#id", "SELECT entity_id AS id FROM {season} WHERE period = 2000 INTERSECT SELECT entity_id FROM {season} WHERE period = 2001")
+apart("joi7_full_outer", "#entity_id *prior *live", lambda w: joins.side_by_side(w.season.filter(C("period") == P.final), w.season.filter(C("period") == P.live), "exposure", ("prior", "live")),
+      "SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, a.exposure AS prior, b.exposure AS live FROM (SELECT * FROM {season} WHERE period = 2000) a FULL OUTER JOIN (SELECT * FROM {season} WHERE period = 2001) b ON a.entity_id = b.entity_id")
+apart("joi8_lookup", "#entity_id team #rank_adjusted", lambda w: joins.attach(w.ratings.filter(C("period") == P.live), w.entities, ["entity_id"], ["team"], "left"),
+      "SELECT r.entity_id, e.team, r.rank_adjusted FROM {ratings} r LEFT JOIN {entities} e ON r.entity_id = e.entity_id WHERE r.period = 2001")
+apart("joi9_pick_list", "#wanted found", lambda w: joins.pick_list([1, 5, 7, -1], w.ratings.filter(C("period") == P.final)),
+      "SELECT p.wanted, r.entity_id IS NOT NULL AS found FROM (VALUES (1), (5), (7), (-1)) AS p(wanted) LEFT JOIN (SELECT entity_id FROM {ratings} WHERE period = 2000) r ON r.entity_id = p.wanted")
+apart("set1_union_ids", "#id", lambda w: joins.union_ids((w.season, "entity_id"), (w.table("events"), "user_id")),
+      "SELECT entity_id AS id FROM {season} UNION SELECT user_id FROM {events}")
+apart("set2_difference", "#id", lambda w: joins.difference_ids((w.table("events"), "user_id"), (w.table("customer"), "c_custkey")),
+      "SELECT DISTINCT user_id AS id FROM {events} EXCEPT SELECT c_custkey FROM {customer}")
+apart("set3_intersection", "#id", lambda w: joins.common_ids((w.season.filter(C("period") == P.final), "entity_id"), (w.season.filter(C("period") == P.live), "entity_id")),
+      "SELECT entity_id AS id FROM {season} WHERE period = 2000 INTERSECT SELECT entity_id FROM {season} WHERE period = 2001")
 
 # --- data quality
 both("dq1_orphan_season_rows", "#n", "SELECT count(*) AS n FROM {season} s LEFT JOIN {entities} e ON s.entity_id = e.entity_id WHERE e.entity_id IS NULL")
@@ -226,24 +330,28 @@ both("dq5_orphan_events", "#n", "SELECT count(*) AS n FROM {events} e LEFT JOIN
 both("dq6_unknown_component", "component", f"SELECT DISTINCT component FROM {{season_c}} WHERE component NOT IN ({', '.join(repr(c) for c in COMPONENTS[:4])})")
 both("dq7_weights_sum", "#n", "SELECT count(*) AS n FROM {talent} WHERE abs(weight_league + weight_prior + weight_live - 1) > 0.02")
 both("dq8_period_without_qualified", "#period", "SELECT period FROM {status} GROUP BY period HAVING sum(CASE WHEN status = 'qualified' THEN 1 ELSE 0 END) = 0")
-_DQ = """SELECT 'error' AS severity, 'DQ-02' AS check_id, count(*) AS n FROM (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) a UNION ALL SELECT 'error', 'DQ-03', count(*) FROM {ratings} WHERE score < 0 OR score > 100
-UNION ALL SELECT 'warning', 'DQ-05', count(*) FROM {events} e LEFT JOIN {customer} c ON e.user_id = c.c_custkey WHERE c.c_custkey IS NULL UNION ALL SELECT 'warning', 'DQ-08', count(*) FROM (SELECT period FROM {status} GROUP BY period HAVING sum(CASE WHEN status = 'qualified' THEN 1 ELSE 0 END) = 0) d"""
-both("dq9_run_quality", "severity check_id #n", f"SELECT * FROM ({_DQ}) q WHERE n > 0")
+apart("dq9_run_quality", "severity check_id #n", lambda w: _issues(w), f"SELECT * FROM ({_DQ}) q WHERE n > 0")
 query("dq10_required_fields", "table_name field", lambda w: payload.missing_fields(w.table("events"), "events", ["event_id", "user_id", "minutes"]), "(SELECT 'events' AS table_name, 'minutes' AS field) x")
-both("dq11_component_contract", "component severity", f"SELECT coalesce(a.c, b.component) AS component, CASE WHEN b.component IS NULL THEN 'error' ELSE 'warning' END AS severity FROM (VALUES {', '.join(f'({c!r})' for c in (*COMPONENTS[:5], 'x_x'))}) AS a(c) FULL OUTER JOIN (SELECT DISTINCT component FROM {{season_c}}) b ON a.c = b.component WHERE a.c IS NULL OR b.component IS NULL")
-both("dq12_minutes_reconciliation", "#period #off *gap", "SELECT s.period, sum(CASE WHEN abs(s.exposure - m.e) > 5 THEN 1 ELSE 0 END) AS off, max(abs(s.exposure - m.e)) AS gap FROM {season} s JOIN (SELECT entity_id, period, sum(exposure) AS e FROM {matches} GROUP BY entity_id, period) m ON s.entity_id = m.entity_id AND s.period = m.period GROUP BY s.period")
-both("dq13_feed_reconciliation", "verdict #n", "SELECT CASE WHEN count(*) = 0 THEN 'none' WHEN sum(CASE WHEN abs(t.total_raw - r.s) > 0.05 THEN 1 ELSE 0 END) > 0 THEN 'warning' ELSE 'ok' END AS verdict, count(*) AS n FROM {totals} t JOIN (SELECT entity_id, period, sum(raw_value) AS s FROM {season_c} GROUP BY entity_id, period) r ON t.entity_id = r.entity_id AND t.period = r.period WHERE t.total_raw IS NOT NULL")
-both("dq14_issue_rows", "issue #n", "SELECT 'undated' AS issue, count(*) AS n FROM {matches} WHERE event_date IS NULL UNION ALL SELECT 'zero_exposure', count(*) FROM {matches} WHERE exposure <= 0 UNION ALL SELECT 'no_metadata', count(*) FROM {season} s LEFT JOIN {entities} e ON s.entity_id = e.entity_id WHERE e.entity_id IS NULL")
-both("dq15_validation_status", "status", f"SELECT CASE WHEN max(CASE WHEN severity = 'error' AND n > 0 THEN 2 WHEN n > 0 THEN 1 ELSE 0 END) = 2 THEN 'failed' WHEN max(CASE WHEN n > 0 THEN 1 ELSE 0 END) = 1 THEN 'warnings' ELSE 'passed' END AS status FROM ({_DQ}) q")
+apart("dq11_component_contract", "component severity #n", lambda w: quality.component_contract(w.component_pcts, [*COMPONENTS[:5], "x_x"], ["value", "opps"]),
+      f"SELECT coalesce(a.c, b.component) AS component, CASE WHEN b.component IS NULL OR bad > 0 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN b.component IS NULL THEN 0 WHEN a.c IS NULL THEN n ELSE bad END AS n FROM (VALUES {', '.join(f'({c!r})' for c in (*COMPONENTS[:5], 'x_x'))}) AS a(c) FULL OUTER JOIN (SELECT component, count(*) AS n, count_if(value IS NULL OR opps IS NULL) AS bad FROM {{component_pcts}} GROUP BY component) b ON a.c = b.component WHERE a.c IS NULL OR b.component IS NULL OR bad > 0")
+apart("dq12_minutes_reconciliation", "#period #off *gap", lambda w: quality.reconcile_exposure(w.season, w.match),
+      "SELECT s.period, sum(CASE WHEN abs(s.exposure - m.e) > 5 THEN 1 ELSE 0 END) AS off, max(abs(s.exposure - m.e)) AS gap FROM {season} s JOIN (SELECT entity_id, period, sum(exposure) AS e FROM {matches} GROUP BY entity_id, period) m ON s.entity_id = m.entity_id AND s.period = m.period GROUP BY s.period")
+apart("dq13_feed_reconciliation", "verdict #n #breaches *gap", lambda w: quality.reconcile_feeds(w.season_c, w.season, "a_f"),
+      "SELECT CASE WHEN n = 0 THEN 'none' WHEN breaches > 0 THEN 'warning' ELSE 'ok' END AS verdict, n, breaches, gap FROM (SELECT count(*) AS n, count_if(d > 0.05) AS breaches, max(d) AS gap FROM (SELECT abs(c.raw_value - (s.expected - s.conceded)) AS d FROM {season} s JOIN {season_c} c USING (entity_id, period) WHERE c.component = 'a_f') WHERE d IS NOT NULL) y")
+apart("dq14_issue_rows", "issue #n keys", lambda w: quality.issue_row(w.match.filter("event_date IS NULL"), "undated", C("event_id")).unionByName(quality.issue_row(w.match.filter("exposure <= 10"), "short", C("event_id"))).unionByName(quality.issue_row(joins.without_match(w.table("events"), w.table("customer"), "user_id", "c_custkey"), "no_metadata", C("event_id"))),
+      " UNION ALL ".join(f"SELECT '{i}' AS issue, (SELECT count(*) FROM {t}) AS n, (SELECT coalesce(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k), '') FROM (SELECT DISTINCT event_id AS k FROM {t} ORDER BY k LIMIT 5)) AS keys" for i, t in (("undated", "(SELECT * FROM {matches} WHERE event_date IS NULL) u"), ("short", "(SELECT * FROM {matches} WHERE exposure <= 10) u"), ("no_metadata", "(SELECT * FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)) u"))))
+apart("dq15_validation_status", "status", lambda w: quality.validation_status(_issues(w)), f"SELECT CASE WHEN max(CASE WHEN severity = 'error' AND n > 0 THEN 2 WHEN n > 0 THEN 1 ELSE 0 END) = 2 THEN 'failed' WHEN max(CASE WHEN n > 0 THEN 1 ELSE 0 END) = 1 THEN 'warnings' ELSE 'passed' END AS status FROM ({_DQ}) q")
 
 # --- snapshots
 query("snp1_build_snapshot", "#period @captured_at #entity_id #rank *score *rate *exposure", lambda w: w.snapshots, "snapshots")
-query("snp2_changed_entries", "#entity_id", lambda w: w.snapshots.filter("period = 2000").select("entity_id", "rank").exceptAll(w.snapshots.filter("period = 1999").select("entity_id", "rank")).select("entity_id"), "(SELECT a.entity_id FROM snapshots a LEFT JOIN snapshots b ON a.entity_id = b.entity_id AND b.period = 1999 WHERE a.period = 2000 AND a.rank IS DISTINCT FROM b.rank) x")
+query("snp2_changed_entries", "#entity_id change", lambda w: snapshots.changes(w.snapshots.filter(C("period") == P.final - 1), w.snapshots.filter(C("period") == P.final)),
+      f"(SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN b.entity_id IS NULL THEN 'added' WHEN a.entity_id IS NULL THEN 'removed' ELSE 'altered' END AS change FROM (SELECT * FROM snapshots WHERE period = {P.final}) a FULL JOIN (SELECT * FROM snapshots WHERE period = {P.final - 1}) b ON a.entity_id = b.entity_id WHERE a.entity_id IS NULL OR b.entity_id IS NULL OR (a.rank, a.score, a.rate, a.exposure) IS DISTINCT FROM (b.rank, b.score, b.rate, b.exposure)) x")
 query("snp3_latest_snapshot", "#period @captured_at #entity_id #rank", lambda w: snapshots.latest(w.snapshots), "snapshots")
 query("snp4_prune", "#period #n", lambda w: snapshots.prune(w.snapshots.unionByName(w.snapshots.withColumn("captured_at", F.date_add("captured_at", 30))), 1).groupBy("period").agg(F.count("*").alias("n")), "(SELECT period, count(*) AS n FROM snapshots GROUP BY period) x")
 query("snp5_rank_movement", "#entity_id #rank #previous_rank #rank_change *score_change", lambda w: snapshots.rank_movement(w.snapshots.filter("period = 2001"), w.snapshots.filter("period = 2000")), "(SELECT a.entity_id, a.rank, b.rank AS previous_rank, b.rank - a.rank AS rank_change, round(a.score - b.score, 1) AS score_change FROM snapshots a LEFT JOIN snapshots b ON a.entity_id = b.entity_id AND b.period = 2000 WHERE a.period = 2001) x")
 query("snp6_ranking_history", "#entity_id history", lambda w: snapshots.ranking_history(w.snapshots).select("entity_id", F.array_join(F.transform("history", lambda h: F.concat_ws(":", F.date_format(h["captured_at"], "yyyy-MM-dd"), h["rank"].cast("string"))), ",").alias("history")), "(SELECT entity_id, string_agg(strftime(captured_at, '%Y-%m-%d') || ':' || rank, ',' ORDER BY captured_at) AS history FROM snapshots WHERE rank IS NOT NULL GROUP BY entity_id) x")
-both("snp7_rank_change_vs_final", "#entity_id #change", "SELECT l.entity_id, f.rank_adjusted - l.rank_adjusted AS change FROM {ratings} l LEFT JOIN (SELECT entity_id, rank_adjusted FROM {ratings} WHERE period = 2000) f ON l.entity_id = f.entity_id WHERE l.period = 2001")
+apart("snp7_rank_change_vs_final", "#entity_id #change", lambda w: serving.rank_change(w.ratings.filter(C("period") == P.live), w.ratings.filter(C("period") == P.final)),
+      "SELECT l.entity_id, f.rank_adjusted - l.rank_adjusted AS change FROM {ratings} l LEFT JOIN (SELECT entity_id, rank_adjusted FROM {ratings} WHERE period = 2000) f ON l.entity_id = f.entity_id WHERE l.period = 2001")
 query("snp8_source_fingerprint", "fingerprint", lambda w: snapshots.source_fingerprint(w.table("nation").select(C("n_name").alias("resource"), F.sha2("n_name", 256).alias("content_sha"))), "(SELECT sha256(array_to_string(list_sort(list(n_name || ':' || sha256(n_name))), '|')) AS fingerprint FROM nation) x")
 
 # --- clustering
@@ -267,11 +375,11 @@ def _labels(w):
 
 
 query("clu5_label_cluster", "#cluster label", _labels, None)
-both("clu6_archetype_members", "#cluster #entity_id *score", "SELECT c.cluster, c.entity_id, r.score FROM {clusters} c JOIN {ratings} r ON c.entity_id = r.entity_id AND r.period = 2000")
-both("clu7_availability", "#usable available", "SELECT count(DISTINCT entity_id) AS usable, count(DISTINCT entity_id) > 7 AS available FROM {z}")
+apart("clu6_archetype_members", "#cluster #entity_id *score", lambda w: w.clusters.join(w.ratings.filter(C("period") == P.final).select("entity_id", "score"), "entity_id"),
+      "SELECT c.cluster, c.entity_id, r.score FROM {clusters} c JOIN {ratings} r ON c.entity_id = r.entity_id AND r.period = 2000")
+apart("clu7_availability", "#usable available reason", lambda w: archetypes.availability(w.z), "SELECT n AS usable, n > 7 AS available, CASE WHEN n <= 7 THEN 'too few entities: ' || CAST(n AS VARCHAR) || ' of 8' END AS reason FROM (SELECT count(DISTINCT entity_id) AS n FROM {z}) y")
 
 # --- scouting
-_REF = "(SELECT min(entity_id) AS e FROM ratings WHERE period = 2000 AND status = 'qualified')"
 
 
 def _profiles(w):
@@ -283,7 +391,6 @@ def _reference(w):
     return _profiles(w).join(F.broadcast(ref), C("entity_id") == C("e")).select("component", "pct")
 
 
-_SIM = f"(SELECT p.entity_id, sum(p.pct_adj * q.pct_adj) / sqrt(sum(p.pct_adj ** 2) * sum(q.pct_adj ** 2)) AS similarity FROM component_pcts p JOIN component_pcts q ON p.component = q.component AND q.period = 2000 AND q.entity_id = {_REF} WHERE p.period = 2000 GROUP BY p.entity_id HAVING sum(p.pct_adj ** 2) > 0 AND sum(q.pct_adj ** 2) > 0)"
 query("sco1_cosine_similarity", "#entity_id *similarity", lambda w: scouting.cosine_to(_profiles(w), _reference(w)).filter("similarity is not null"), f"{_SIM} x")
 
 
@@ -293,8 +400,6 @@ def _fit(w):
     return x.withColumn("fit", scouting.fit_score(C("a_f"), C("n_o"), C("r_f"), C("score"), C("total_reliability"), C("exposure"), C("similarity"), F.lit(False)))
 
 
-_FIT = f"""(SELECT r.entity_id, r.score, r.status, r.total_reliability, r.exposure, s.similarity, a_f, n_o, r_f, 0.35 * coalesce(a_f, 0) + 0.15 * coalesce(n_o, 0) + 0.15 * coalesce(r_f, 0) + 0.2 * coalesce(score, 50) + 10 * coalesce(total_reliability, 0) + least(20, exposure / 180) + 25 * coalesce(similarity, 0) AS fit
-    FROM ratings r JOIN (SELECT entity_id, max(pct_adj) FILTER (component = 'a_f') AS a_f, max(pct_adj) FILTER (component = 'n_o') AS n_o, max(pct_adj) FILTER (component = 'r_f') AS r_f FROM component_pcts WHERE period = 2000 GROUP BY entity_id) p ON r.entity_id = p.entity_id LEFT JOIN {_SIM} s ON r.entity_id = s.entity_id WHERE r.period = 2000)"""
 query("sco2_fit_score", "#entity_id *fit", _fit, f"{_FIT} x")
 
 
@@ -303,7 +408,6 @@ def _brief(w):
     return x.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("fit", 6)), F.desc(F.round("score", 6)), "entity_id"))).filter("place <= 50")
 
 
-_BRIEF = f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(fit, 6) DESC, round(score, 6) DESC, entity_id) AS place FROM {_FIT} WHERE status <> 'limited' AND score >= 30) WHERE place <= 50)"
 query("sco3_run_brief", "#place #entity_id *fit *score", _brief, f"{_BRIEF} x")
 
 
@@ -314,24 +418,36 @@ def _reasons(w):
 
 
 _REASONS = f"(SELECT *, concat_ws(',', CASE WHEN score >= 70 THEN 'score:strong' END, CASE WHEN score >= 50 AND score < 70 THEN 'score:pass' END, CASE WHEN total_reliability >= 0.5 THEN 'sample:strong' END, CASE WHEN a_f >= 70 THEN 'a_f:strong' END, CASE WHEN similarity >= 0.9 THEN 'similar:info' END) AS reasons FROM {_BRIEF})"
-query("sco4_match_reasons", "#entity_id reasons", _reasons, f"{_REASONS} x")
+_WANTED = {"a_f": 40, "n_o": 10}
+apart("sco4_match_reasons", "#entity_id code label detail tone", lambda w: serving.match_reasons(_brief(w), 1800, 0.1, _WANTED).select("entity_id", F.explode("reasons").alias("x")).select("entity_id", "x.*"),
+      " UNION ALL ".join([f"SELECT entity_id, 'minutes' AS code, 'Minutes' AS label, CAST(CAST(round(exposure) AS BIGINT) AS VARCHAR) || ' minutes meets the 1800 threshold' AS detail, CASE WHEN exposure >= 3600 THEN 'strong' ELSE 'pass' END AS tone FROM {_BRIEF} b",
+        f"SELECT entity_id, 'reliability', 'Reliability', 'Total reliability of at least 0.10', CASE WHEN total_reliability >= 0.25 THEN 'strong' ELSE 'pass' END FROM {_BRIEF} b",
+        *(f"SELECT entity_id, '{c}', '{c}', '{c} percentile ' || CAST(CAST(round({c}) AS BIGINT) AS VARCHAR) || ' of at least {v}', CASE WHEN {c} >= {v + 20} THEN 'strong' ELSE 'pass' END FROM {_BRIEF} b" for c, v in _WANTED.items()),
+        f"SELECT entity_id, 'similarity', 'Profile similarity', CAST(CAST(round(100 * similarity) AS BIGINT) AS VARCHAR) || '% component-percentile similarity', CASE WHEN similarity >= 0.9 THEN 'strong' ELSE 'pass' END FROM {_BRIEF} b WHERE similarity IS NOT NULL"]))
 query("sco5_shortlist_table", "#place #entity_id name *a_f *n_o *r_f *fit reasons", lambda w: _reasons(w).join(w.entities.select("entity_id", "name"), "entity_id"), f"(SELECT b.*, e.name FROM {_REASONS} b JOIN entities e ON b.entity_id = e.entity_id) x")
 query("sco6_profile_table", "#entity_id *a_f *n_o *r_f *score *talent", lambda w: _fit(w).join(w.talent.select("entity_id", "talent"), "entity_id", "left"), f"(SELECT f.*, t.talent FROM {_FIT} f LEFT JOIN talent t ON f.entity_id = t.entity_id) x")
 query("sco7_compare_matrix", "#entity_id metric *value is_best", lambda w: scouting.compare_matrix(_metrics(w).filter("entity_id <= 4"), {"score": True, "save_pct": True, "conceded_rate": False, "total_reliability": None}), f"(SELECT *, coalesce(value = CASE WHEN metric IN ('score', 'save_pct') THEN max(value) OVER (PARTITION BY metric) WHEN metric = 'conceded_rate' THEN min(value) OVER (PARTITION BY metric) END, false) AS is_best FROM {_METRIC_SQL} WHERE entity_id <= 4) x")
 query("sco8_dashboard", "#size *upper_median", lambda w: _brief(w).agg(F.count("*").alias("size"), F.sort_array(F.collect_list(F.when(C("place") <= 10, F.coalesce("score", F.lit(0.0))))).alias("s")).select("size", F.expr("element_at(s, cast(floor(size(s) / 2) as int) + 1)").alias("upper_median")), f"(SELECT count(*) AS size, list_sort(list(coalesce(score, 0)) FILTER (place <= 10))[count(*) FILTER (place <= 10) // 2 + 1] AS upper_median FROM {_BRIEF}) x")
-query("sco9_recommendation", "#place #entity_id role risk", lambda w: _brief(w).filter("place <= 3").select("place", "entity_id", F.when(C("place") == 1, "primary").otherwise("alternative").alias("role"), F.when(C("status") != "qualified", "sample").when(C("total_reliability") < 0.25, "reliability").otherwise("none").alias("risk")), f"(SELECT place, entity_id, CASE WHEN place = 1 THEN 'primary' ELSE 'alternative' END AS role, CASE WHEN status <> 'qualified' THEN 'sample' WHEN total_reliability < 0.25 THEN 'reliability' ELSE 'none' END AS risk FROM {_BRIEF} WHERE place <= 3) x")
-both("sco10_leaderboard_table", "#rank_adjusted #entity_id name team *score status", f"SELECT * FROM ({LEADER}) b WHERE period = 2000")
-both("sco11_coverage_status", "#period metric #v", "SELECT period, 'entities' AS metric, count(*) AS v FROM {season} GROUP BY period UNION ALL SELECT period, 'matches', sum(shots) FROM {season} GROUP BY period")
-both("not1_band", "#entity_id #period component band", "SELECT entity_id, period, component, CASE WHEN pct_adj >= 85 THEN 'elite' WHEN pct_adj >= 70 THEN 'strong' WHEN pct_adj <= 15 THEN 'poor' WHEN pct_adj <= 30 THEN 'weak' END AS band FROM {component_pcts}")
-query("not2_strengths_concerns", "#entity_id #period component band kind", lambda w: scouting.notes(w.component_pcts, P.bands, P.min_claim_opps), f"(SELECT *, CASE WHEN band IN ('elite', 'strong') THEN 'strength' ELSE 'concern' END AS kind FROM (SELECT entity_id, period, component, CASE WHEN pct_adj >= 85 THEN 'elite' WHEN pct_adj >= 70 THEN 'strong' WHEN pct_adj <= 15 THEN 'poor' WHEN pct_adj <= 30 THEN 'weak' END AS band FROM component_pcts WHERE opps >= {P.min_claim_opps}) WHERE band IS NOT NULL) x")
-query("doc1_timeline", "#entity_id #period #n last_events", lambda w: w.form.groupBy("entity_id", "period").agg(F.array_sort(F.collect_list(F.struct("match_no", "event_id"))).alias("t")).select("entity_id", "period", F.size("t").alias("n"), F.array_join(F.transform(F.slice("t", -3, 3), lambda x: x["event_id"].cast("string")), ",").alias("last_events")),
-      "(SELECT entity_id, period, max(match_no) AS n, string_agg(event_id, ',' ORDER BY match_no) FILTER (match_no > m - 3) AS last_events FROM (SELECT *, max(match_no) OVER (PARTITION BY entity_id, period) AS m FROM form) GROUP BY entity_id, period HAVING max(match_no) >= 3) x")
-query("doc2_component_map", "#entity_id #period *a_f_value", lambda w: w.season_c.groupBy("entity_id", "period").agg(F.map_from_entries(F.collect_list(F.struct("component", F.struct("value", "opps")))).alias("m")).select("entity_id", "period", F.col("m")["a_f"]["value"].alias("a_f_value")), "(SELECT entity_id, period, max(value) FILTER (component = 'a_f') AS a_f_value FROM season_c GROUP BY entity_id, period) x")
-both("doc3_season_document", "#entity_id #period name *score #rank_adjusted status", LEADER)
-query("doc4_player_index", "#entity_id #latest periods", lambda w: w.season.groupBy("entity_id").agg(F.max("period").alias("latest"), F.array_join(F.sort_array(F.collect_set("period"), False), ",").alias("periods")), "(SELECT entity_id, max(period) AS latest, string_agg(DISTINCT CAST(period AS VARCHAR), ',' ORDER BY CAST(period AS VARCHAR) DESC) AS periods FROM season GROUP BY entity_id) x")
-query("doc5_profile_document", "#entity_id #n *talent", lambda w: w.ratings.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct(C("period").cast("string"), F.struct("score", "rank_adjusted")))).alias("seasons")).join(w.talent.select("entity_id", "talent"), "entity_id", "left").select("entity_id", F.size("seasons").alias("n"), "talent"), "(SELECT r.entity_id, count(*) AS n, any_value(t.talent) AS talent FROM ratings r LEFT JOIN talent t ON r.entity_id = t.entity_id GROUP BY r.entity_id) x")
-query("doc6_methodology_document", "#n_components *k_sum", lambda w: w.params.agg(F.map_from_entries(F.collect_list(F.struct("component", F.struct("k", "s2", "tau2")))).alias("m"), F.sum("k").alias("k_sum")).select(F.size("m").alias("n_components"), "k_sum"), "(SELECT count(*) AS n_components, sum(k) AS k_sum FROM params) x")
-both("doc7_traditional_points", "#entity_id *score *conceded_rate", "SELECT entity_id, score, conceded_rate FROM {ratings} WHERE period = 2000 AND in_pool")
+apart("sco9_recommendation", "#place #entity_id role risks", lambda w: serving.recommendation(_brief(w)).withColumn("risks", F.array_join("risks", ",")),
+      f"SELECT place, entity_id, CASE WHEN place = 1 THEN 'primary' ELSE 'alternative' END AS role, concat_ws(',', CASE WHEN status <> 'qualified' THEN 'not_qualified' END, CASE WHEN total_reliability < 0.25 THEN 'low_reliability' END) AS risks FROM {_BRIEF} b WHERE place <= 3")
+apart("sco10_leaderboard_table", "#rank_adjusted #entity_id name team *score status", lambda w: _board(w, P.final),
+      f"SELECT * FROM ({LEADER}) b WHERE period = 2000")
+apart("sco11_coverage_status", "#period metric #v", lambda w: w.season.groupBy("period").agg(F.count("*").alias("entities"), F.sum("shots").alias("matches")).unpivot("period", ["entities", "matches"], "metric", "v"),
+      "SELECT period, 'entities' AS metric, count(*) AS v FROM {season} GROUP BY period UNION ALL SELECT period, 'matches', sum(shots) FROM {season} GROUP BY period")
+apart("not1_band", "#entity_id #period component band", lambda w: w.component_pcts.withColumn("band", scalars.band(C("pct_adj"), P.bands)),
+      "SELECT entity_id, period, component, CASE WHEN pct_adj >= 85 THEN 'elite' WHEN pct_adj >= 70 THEN 'strong' WHEN pct_adj <= 15 THEN 'poor' WHEN pct_adj <= 30 THEN 'weak' END AS band FROM {component_pcts}")
+apart("not2_strengths_concerns", "#entity_id #period kind #position component *percentile band #opportunities text", lambda w: serving.build_notes(w.component_pcts, w.ratings, P.bands, P.min_claim_opps), _NOTES)
+apart("doc1_timeline", "#entity_id #period #match_no #event_id *exposure *value *cum_value *cum_rate *rolling_mean *rolling_weighted", lambda w: serving.timelines(w.form).select("entity_id", "period", F.explode("timeline").alias("x")).select("entity_id", "period", "x.*"), "SELECT * FROM {form}")
+apart("doc2_component_map", "#entity_id #period component *value *raw_value #opps *obs_rate *adj_rate *adj_value *weight *base_rate *pct_adj *pct_obs", lambda w: serving.component_maps(w.component_pcts).select("entity_id", "period", F.explode("components").alias("component", "x")).select("entity_id", "period", "component", "x.*"), "SELECT * FROM {component_pcts}")
+apart("doc3_season_document", "#entity_id #period name team *score *adj_total #rank_adjusted status *total_reliability component *pct_adj", lambda w: payload.written(serving.season_documents(w.ratings, w.entities, w.component_pcts), "json").select("entity_id", "period", "identity.*", "rating.*", "sample.*", F.explode("components").alias("component", "x")).withColumn("pct_adj", C("x.pct_adj")),
+      "SELECT r.*, e.name, e.team, c.component, c.pct_adj FROM {ratings} r JOIN {entities} e ON r.entity_id = e.entity_id JOIN {component_pcts} c ON r.entity_id = c.entity_id AND r.period = c.period")
+apart("doc4_player_index", "#entity_id name team #latest periods *talent", lambda w: serving.player_index(w.ratings, w.entities, w.talent).withColumn("periods", F.array_join("periods", ",")),
+      "SELECT r.entity_id, any_value(e.name) AS name, any_value(e.team) AS team, max(period) AS latest, string_agg(DISTINCT CAST(period AS VARCHAR), ',' ORDER BY CAST(period AS VARCHAR) DESC) AS periods, any_value(t.talent) AS talent FROM {ratings} r JOIN {entities} e ON r.entity_id = e.entity_id LEFT JOIN {talent} t ON r.entity_id = t.entity_id GROUP BY r.entity_id")
+apart("doc5_profile_document", "#entity_id season *score #rank_adjusted status *exposure *talent *talent_low *talent_high", lambda w: payload.written(serving.profile_documents(w.ratings, w.talent), "json").select("entity_id", "talent.*", F.explode("seasons").alias("season", "x")).select("*", "x.*"),
+      "SELECT r.*, CAST(period AS VARCHAR) AS season, talent, talent_low, talent_high FROM {ratings} r LEFT JOIN {talent} t ON r.entity_id = t.entity_id")
+apart("doc6_methodology_document", "component *k source *s2 *tau2 *mean *split_half *drift", lambda w: payload.written(serving.methodology_document(w.params), "json").select(F.explode("components").alias("component", "x")).select("component", "x.*"), "SELECT * FROM {params}")
+apart("doc7_traditional_points", "#entity_id *score *conceded_rate", lambda w: w.ratings.filter((C("period") == P.final) & C("in_pool")),
+      "SELECT entity_id, score, conceded_rate FROM {ratings} WHERE period = 2000 AND in_pool")
 
 # --- views and analyst queries
 _V1 = "SELECT r.entity_id, r.period, e.name, e.team, r.score, r.rank_adjusted, r.status, s.exposure, s.shots, s.conceded FROM {ratings} r JOIN {entities} e ON r.entity_id = e.entity_id LEFT JOIN {season} s ON r.entity_id = s.entity_id AND r.period = s.period"

@@ -60,4 +60,9 @@ def both(name: str, columns: str, sql: str) -> None:
     query(name, columns, make, f"({sql.format(**{t: t for t in tables})}) x")
 
 
+def apart(name: str, columns: str, make: Callable[[Workload], DataFrame], sql: str) -> None:
+    """A query by operators, and SQL of its own with tables named {table}."""
+    query(name, columns, make, "(" + sql.replace("{", "").replace("}", "") + ") x")
+
+
 from statloom.plans import catalogue  # noqa: E402, F401  (fills the tables above)

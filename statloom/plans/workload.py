@@ -182,3 +182,8 @@ def workload(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> Work
     if key not in _MADE:
         _MADE[key] = Workload(spark, sf_dir, params)
     return _MADE[key]
+
+
+def reset() -> None:
+    """Forgets every workload, and with them tables written from inputs that have changed since."""
+    _MADE.clear()

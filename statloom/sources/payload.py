@@ -13,8 +13,12 @@ SNAPSHOT = "period int, captured_at string, entries array<struct<entity_id: long
 
 
 def place(spark) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share, or a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="statloom-")
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one of a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="statloom-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
