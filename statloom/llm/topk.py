@@ -7,9 +7,10 @@ computed once. For a query q the largest |d(q, p) - d(x, p)| is a lower bound of
 bound left reaches the k-th best score. Blocks' best k are then merged by score and id.
 
 Components become floor(scale * x); scores are whole numbers, computed in doubles while those are exact and in
-Python integers beyond. Defined results: a vector that is null, holds a null or a non-finite component, or has
-another length than most take no part; a row never meets rows of its own id; equal rows are ranked each; queries
-that repeat an id with the same vector answer once; ties go to the smaller id; an empty table gives an empty result.
+Python integers beyond (cut to 64 bits). Defined results: a vector that is null or holds a null or a non-finite
+component takes no part; vectors meet those of their own length; a row never meets itself, but other rows of its id,
+equal ones too; rows that repeat a query are answered each; a null id counts as the largest in ties and is no query;
+ties go to the smaller id; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ from .util import salt
 
 PIVOTS = 16
 STEP = 512
+#: Stands for a null id inside blocks.
+NULL = 2**63 - 1
 
 
 def quantized(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, v array<bigint>) of the vectors that take part."""
     x = F.col(vec_col)
-    sound = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    rows = vectors.filter(sound).select(F.col(id_col).alias("id"), F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double"))).alias("v"))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == (size["n"] if size else 0))
+    sound = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    return vectors.filter(sound).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double"))).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -41,15 +42,23 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _own_row(i: int, v: np.ndarray, x_ids: np.ndarray, x: np.ndarray) -> int:
+    """A row equal to the query in id and vector, -1 if this block has none; which of equal ones is all the same."""
+    same = np.flatnonzero(x_ids == i)
+    same = same[(x[same] == v).all(1)]
+    return int(same[0]) if len(same) else -1
+
+
 def block_best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(query row, ids, scores) of each query's best k among the candidates."""
     wide = max(int(np.abs(q).max(initial=0)), int(np.abs(x).max(initial=0)))
-    exact = wide * wide * q.shape[1] < 2**52 if q.size else True
+    exact = wide * wide * q.shape[1] < 2**48 if q.size else True  # then squared distances are exact, and bounds within 1
     if not exact:
         big_q, big_x, out = q.astype(object), x.astype(object), []
         for i in range(len(q)):
             scores = big_x @ big_q[i]
-            rows = sorted((j for j in range(len(x)) if x_ids[j] != q_ids[i]), key=lambda j: (-scores[j], x_ids[j]))[:k]
+            own = _own_row(q_ids[i], q[i], x_ids, x)
+            rows = sorted((j for j in range(len(x)) if j != own), key=lambda j: (-scores[j], x_ids[j]))[:k]
             out.append((i, x_ids[rows], np.array([max(-(2**63), min(2**63 - 1, int(scores[j]))) for j in rows], np.int64)))
         return out
     fq, fx = q.astype(np.float64), x.astype(np.float64)
@@ -66,7 +75,8 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarra
         for p in range(1, len(pivots)):
             np.maximum(bound, np.abs(np.subtract(table[p], mine[i, p], out=gap), out=gap), out=bound)
         upper = (fq[i] @ fq[i] + squares - bound * bound) / 2
-        upper[x_ids == q_ids[i]] = -np.inf
+        if (own := _own_row(q_ids[i], q[i], x_ids, x)) >= 0:
+            upper[own] = -np.inf
         ids, scores, least, step = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf, STEP
         left = np.flatnonzero(upper > -np.inf)
         while len(left):  # the best bounds first, until no bound left reaches the k-th best score
@@ -82,7 +92,7 @@ def block_best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarra
             ids, scores = ids[best], scores[best]
             if len(ids) == k:
                 least = scores[-1]
-                left = left[upper[left] + 1 >= least]  # 1: far above rounding of the bounds
+                left = left[upper[left] + 1 >= least]  # 1: above rounding of the bounds
             step *= 4
         out.append((i, ids, scores))
     return out
@@ -92,21 +102,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, candidate_block: in
     """(query_id, rank, vec_id, score) over `vectors` (id, v) for rows where `is_query` of id holds."""
     n = vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     nx, nq = max(1, -(-n["n"] // candidate_block)), max(1, -(-n["q"] // query_block))
-    queries = vectors.filter(is_query).dropDuplicates(["id", "v"]).select("id", "v", salt([F.col("id")], nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("xb"))
-    candidates = vectors.select("id", "v", salt([F.col("id")], nx).alias("xb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+    size = F.size("v").alias("size")
+    queries = vectors.filter(is_query & F.col("id").isNotNull()).groupBy("id", "v").agg(F.count("*").alias("n"))
+    queries = queries.select("id", "v", "n", size, salt([F.col("id")], nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("xb"))
+    candidates = vectors.select(F.coalesce("id", F.lit(NULL)).alias("id"), "v", size, salt([F.col("id"), F.when(F.col("id").isNull(), F.col("v"))], nx).alias("xb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
 
     def pair(a: pa.Table, b: pa.Table) -> pa.Table:
         rows: list = []
         if a.num_rows and b.num_rows:
-            q_ids, x_ids, q = a.column("id").to_numpy(), b.column("id").to_numpy(), _matrix(a.column("v"))
+            q_ids, x_ids, q, times = a.column("id").to_numpy(), b.column("id").to_numpy(), _matrix(a.column("v")), a.column("n").to_numpy()
             keys = [zlib.crc32(r.tobytes()) for r in q]  # tells apart queries of one id
-            rows = [(np.full(len(ids), q_ids[i]), np.full(len(ids), keys[i]), ids, scores) for i, ids, scores in block_best(q_ids, q, x_ids, _matrix(b.column("v")), k)]
-        columns = [np.concatenate(c) if rows else np.zeros(0, np.int64) for c in (zip(*rows) if rows else [()] * 4)]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "key", "vec_id", "score"])
+            rows = [(np.full(len(ids), q_ids[i]), np.full(len(ids), keys[i]), np.full(len(ids), times[i]), ids, scores) for i, ids, scores in block_best(q_ids, q, x_ids, _matrix(b.column("v")), k)]
+        columns = [np.concatenate(c) if rows else np.zeros(0, np.int64) for c in (zip(*rows) if rows else [()] * 5)]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "key", "n", "vec_id", "score"])
 
-    partial = queries.groupBy("qb", "xb").cogroup(candidates.groupBy("qb", "xb")).applyInArrow(pair, "query_id bigint, key bigint, vec_id bigint, score bigint")
+    on = ("size", "qb", "xb")
+    partial = queries.groupBy(*on).cogroup(candidates.groupBy(*on)).applyInArrow(pair, "query_id bigint, key bigint, n bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
-    return partial.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = partial.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return best.select("query_id", "rank", F.nullif("vec_id", F.lit(NULL)).alias("vec_id"), "score")
 
 
 ORACLE = """

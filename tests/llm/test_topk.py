@@ -5,23 +5,27 @@ from statloom.llm import topk
 
 
 def brute(rows, k, every):
+    """Every row that is a query against every row but itself and those of other lengths."""
     out = []
-    seen = set()
-    for qid, q in rows:
-        if q is None or qid % every or (qid, tuple(q)) in seen:
+    for own, (qid, q) in enumerate(rows):
+        if q is None or qid is None or qid % every:
             continue
-        seen.add((qid, tuple(q)))
-        scored = sorted(((sum(a * b for a, b in zip(q, x)), i) for i, x in rows if i != qid and x is not None), key=lambda s: (-s[0], s[1]))[:k]
+        scored = sorted(((sum(a * b for a, b in zip(q, x)), i) for j, (i, x) in enumerate(rows) if j != own and x is not None and len(x) == len(q)), key=lambda s: (-s[0], s[1] is None, s[1]))[:k]
         out += [(qid, r, i, s) for r, (s, i) in enumerate(scored, 1)]
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def test_matches_brute_force_with_ties_and_blocks(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.integers(-3, 4, 6).tolist()) for i in range(400)] + [(8, [1, 2, 3, 1, 2, 3]), (41, [0] * 6), (41, [0] * 6)]
+    # a query id twice with other vectors, one three times with the same, null ids, another length
+    rows += [(40, [9] * 6), *[(60, [9, 0, 9, 0, 9, 0])] * 3, (None, [9] * 6), (None, [9] * 6), (100, [3, 2]), (80, [1, 1]), (7, [5, -1])]
     df = spark.createDataFrame(rows, "id long, v array<long>")
     got = topk.top_k(df, F.col("id") % 20 == 0, 5, candidate_block=90, query_block=7)
-    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 20)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 5, 20)
+    assert topk.top_k(df.limit(0), F.col("id") % 20 == 0, 5).count() == 0
+    clashing = df.selectExpr("id AS vec_id", "cast(v AS array<float>) AS embedding", "'x' AS id", "'y' AS v", "1 AS rank")
+    assert topk.top_k(topk.quantized(clashing, 1), F.col("id") % 20 == 0, 5).count() == len(brute(rows, 5, 20))
 
 
 def test_exact_beyond_doubles():
@@ -33,7 +37,7 @@ def test_exact_beyond_doubles():
 def test_unsound_vectors_take_no_part(spark):
     rows = [(0, [0.5, 0.25]), (1, [1.0, float("nan")]), (2, None), (3, [1.0, None]), (4, [float("inf"), 1.0]), (5, [0.1, -0.1]), (6, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert {r.id: r.v for r in topk.quantized(df).collect()} == {0: [32, 16], 5: [6, -7]}
+    assert {r.id: r.v for r in topk.quantized(df).collect()} == {0: [32, 16], 5: [6, -7], 6: [64]}
     assert topk.quantized(df.limit(0)).count() == 0
     got = topk.top_k(topk.quantized(df), F.col("id") % 20 == 0, 20).collect()
     assert [tuple(r) for r in got] == [(0, 1, 5, 32 * 6 - 16 * 7)]
