@@ -29,9 +29,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their group's adaptive thresholds."""
-    rows = stored(quality_rules.features(docs.select("text", "lang", "source", F.struct("*").alias("_row"))), "features")
+    keyed = docs.withColumn("_h", F.xxhash64("text", "lang", "source"))
+    rows = stored(quality_rules.features(keyed.select("doc_id", "_h", "text", "lang", "source")).drop("text"), "features")
     limits = stored(quality_rules.thresholds(quality_rules.sketches(rows)), "limits")
-    return quality_rules.judged(rows, limits).filter("kept").select("_row.*")
+    rejected = quality_rules.judged(rows, limits).filter(~F.col("kept")).select("doc_id", "_h").distinct()
+    return _met(keyed, stored(rejected, "rejected"), "left_anti").drop("_h")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """`rows` that meet (or don't) a row of `keys` by id and text hash."""
+    """`rows` that meet (or don't) a row of `keys` by id and hash."""
     keys = keys.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"))
     return rows.join(keys, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_h"] == F.col("_k")), how)
 
