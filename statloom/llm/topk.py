@@ -1,33 +1,42 @@
 """Exact top-k search by inner product with pivot tables (operator 8).
 
-Vectors are dealt into candidate blocks and query blocks, and each pair of blocks is one task's work: a stated query
-set against all rows, in blocks. In a block, the table of distances from every candidate to `PIVOTS` pivots is
-computed once. For a query q the largest |d(q, p) - d(x, p)| is a lower bound of the distance to x, so
-(|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of the inner product; candidates are scored in bound order until no
-bound left reaches the k-th best score. Blocks' best k are then merged by score and id.
-
-Components become floor(scale * x); scores are whole numbers, computed in doubles while those are exact and in
-Python integers beyond (cut to 64 bits). Defined results: a vector that is null or holds a null or a non-finite
-component takes no part; vectors meet those of their own length; a row never meets itself, but other rows of its id,
-equal ones too; rows that repeat a query are answered each; a null id counts as the largest in ties and is no query;
-ties go to the smaller id; other columns are ignored; an empty table gives an empty result.
+1. `PIVOTS` vectors, the same for all blocks, are drawn by hash. The table of distances from every vector to every pivot
+   deals the vectors, once, into blocks of near ones: by nearest pivot, then by the distance to it.
+2. For a query q the largest |d(q, p) - d(x, p)| over the pivots is a lower bound of the distance to x, so
+   (|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of the inner product. Each query first meets its own block:
+   candidates are scored in bound order until no bound left reaches the k-th best score.
+3. That k-th score and each block's ranges of pivot distances tell which other blocks may hold better candidates. Only
+   there is the query sent. A task holds one block and streams the queries past it, so no candidate is copied; found
+   are the scores that reach the query's k-th. The best k of all blocks are kept, by score and id.
+
+A block holds `most_block` vectors or so and there are at most `MOST_BLOCKS`, whose ranges (under 20 MB) go to every task;
+beyond the product of the two, blocks grow. Distances are taken with vectors padded by zeros, which changes none
+between vectors of one length. Components become floor(scale * x); scores are whole numbers, computed in doubles while
+those are exact and in Python integers beyond (cut to 64 bits).
+
+Defined results: a vector that is null or holds a null or a non-finite component takes no part; vectors meet those of
+their own length; a row never meets itself, but other rows of its id, equal ones too; rows that repeat a query are
+answered each; a null id counts as the largest in ties and is no query; ties go to the smaller id; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import salt
+from .util import stored
 
 PIVOTS = 16
 STEP = 512
+MOST_BLOCKS = 65_536
 #: Stands for a null id inside blocks.
 NULL = 2**63 - 1
+LEAST, MOST = -(2**63), 2**63 - 1
+#: Far above the rounding of distances and sums of squares, relative to them.
+ROUNDING = 1e-12
 
 
 def quantized(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -37,89 +46,189 @@ def quantized(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vec_c
     return vectors.filter(sound).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double"))).alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
-
-
-def _own_row(i: int, v: np.ndarray, x_ids: np.ndarray, x: np.ndarray) -> int:
-    """A row equal to the query in id and vector, -1 if this block has none; which of equal ones is all the same."""
-    same = np.flatnonzero(x_ids == i)
-    same = same[(x[same] == v).all(1)]
-    return int(same[0]) if len(same) else -1
-
-
-def block_best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, ids, scores) of each query's best k among the candidates."""
-    wide = max(int(np.abs(q).max(initial=0)), int(np.abs(x).max(initial=0)))
-    exact = wide * wide * q.shape[1] < 2**48 if q.size else True  # then squared distances are exact, and bounds within 1
-    if not exact:
-        big_q, big_x, out = q.astype(object), x.astype(object), []
-        for i in range(len(q)):
-            scores = big_x @ big_q[i]
-            own = _own_row(q_ids[i], q[i], x_ids, x)
-            rows = sorted((j for j in range(len(x)) if j != own), key=lambda j: (-scores[j], x_ids[j]))[:k]
-            out.append((i, x_ids[rows], np.array([max(-(2**63), min(2**63 - 1, int(scores[j]))) for j in rows], np.int64)))
-        return out
-    fq, fx = q.astype(np.float64), x.astype(np.float64)
-    pivots = fx[np.unique(np.linspace(0, len(fx) - 1, PIVOTS).astype(int))]
-    squares = (fx * fx).sum(1)
-
-    def distances(a):
-        return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * a @ pivots.T, 0))
-
-    table, mine, out = np.ascontiguousarray(distances(fx).T), distances(fq), []
-    bound, gap = np.empty(len(fx)), np.empty(len(fx))
-    for i in range(len(fq)):
-        np.abs(np.subtract(table[0], mine[i, 0], out=bound), out=bound)
-        for p in range(1, len(pivots)):
-            np.maximum(bound, np.abs(np.subtract(table[p], mine[i, p], out=gap), out=gap), out=bound)
-        upper = (fq[i] @ fq[i] + squares - bound * bound) / 2
-        if (own := _own_row(q_ids[i], q[i], x_ids, x)) >= 0:
-            upper[own] = -np.inf
-        ids, scores, least, step = np.zeros(0, np.int64), np.zeros(0, np.int64), -np.inf, STEP
-        left = np.flatnonzero(upper > -np.inf)
+def _by_length(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length, and their components as a matrix."""
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(offsets)
+    at = [np.flatnonzero(sizes == n) for n in np.unique(sizes)]
+    return [(rows, flat[offsets[rows][:, None] + np.arange(sizes[rows[0]])]) for rows in at]
+
+
+def distances(x: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
+    """A row for each pivot: its distances from the rows of `x`, the shorter side padded by zeros."""
+    n, out = x.shape[1], np.empty((len(pivots), len(x)))
+    for row, p in zip(out, pivots):
+        gap = x - np.pad(p[:n], (0, max(0, n - len(p))))
+        np.sqrt((gap * gap).sum(1) + (p[n:] * p[n:]).sum(), out=row)
+    return out
+
+
+def _wide(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
+class Block:
+    """Candidates of one length and their table of pivot distances."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: list[np.ndarray]):
+        self.rows, self.ids, self.x, self.pivots, self.wide = rows, ids, x, pivots, _wide(x)
+        self.fx = x.astype(np.float64)
+        self.squares = (self.fx * self.fx).sum(1)
+        self.table = distances(self.fx, pivots)
+
+    def best(self, row: int, v: np.ndarray, k: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the best k candidates that score `least` or more, other than the query's own row."""
+        if max(self.wide, _wide(v)) ** 2 * len(v) >= 2**48:  # below it squared distances are exact
+            scores = np.array([max(LEAST, min(MOST, int(s))) for s in self.x.astype(object) @ v.astype(object)], np.int64)
+            left = np.flatnonzero((self.rows != row) & (scores >= least))
+            left = left[np.lexsort((self.ids[left], -scores[left].astype(object)))][:k]
+            return self.ids[left], scores[left]
+        q = v.astype(np.float64)
+        mine = distances(q[None], self.pivots)[:, 0]
+        bound, gap = np.zeros(len(self.fx)), np.empty(len(self.fx))
+        for to, d in zip(self.table, mine):
+            np.maximum(bound, np.abs(np.subtract(to, d, out=gap), out=gap), out=bound)
+        bound = np.maximum(bound - ROUNDING * (mine.max(initial=0) + self.table.max(initial=0)), 0)
+        upper = (q @ q + self.squares - bound * bound) / 2 + 1  # 1: above the rounding of squares
+        left = np.flatnonzero((upper >= least) & (self.rows != row))
+        ids, scores, step = np.zeros(0, np.int64), np.zeros(0, np.int64), STEP
         while len(left):  # the best bounds first, until no bound left reaches the k-th best score
             if len(left) > step:
                 chosen = np.argpartition(-upper[left], step)
-                rows, left = left[chosen[:step]], left[chosen[step:]]
+                some, left = left[chosen[:step]], left[chosen[step:]]
             else:
-                rows, left = left, left[:0]
-            got = (fx[rows] @ fq[i]).astype(np.int64)
+                some, left = left, left[:0]
+            got = (self.fx[some] @ q).astype(np.int64)
             high = got >= least
-            ids, scores = np.r_[ids, x_ids[rows[high]]], np.r_[scores, got[high]]
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
+            ids, scores = np.r_[ids, self.ids[some[high]]], np.r_[scores, got[high]]
+            first = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[first], scores[first]
             if len(ids) == k:
-                least = scores[-1]
-                left = left[upper[left] + 1 >= least]  # 1: above rounding of the bounds
+                least = max(least, int(scores[-1]))
+                left = left[upper[left] >= least]
             step *= 4
-        out.append((i, ids, scores))
-    return out
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, candidate_block: int = 16_384, query_block: int = 2_048) -> DataFrame:
+        return ids, scores
+
+
+def _measured(pivots: list[np.ndarray]):
+    """Adds squared length, pivot distances, and the nearest pivot with its distance."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            square, d = np.zeros(n), np.zeros((n, len(pivots)))
+            for rows, x in _by_length(batch.column("v")):
+                x = x.astype(np.float64)
+                square[rows], d[rows] = (x * x).sum(1), distances(x, pivots).T
+            cell = d.argmin(1)
+            table = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(pivots), d.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(square), table, pa.array(cell, pa.int32()), pa.array(d[np.arange(n), cell])], [*batch.schema.names, "square", "d", "cell", "ring"])
+
+    return run
+
+
+def _scan(pivots: list[np.ndarray], k: int):
+    """Rows come by block, candidates (kind 0) before queries (kind 1): one block is held, its queries stream past."""
+
+    def run(batches):
+        block, held, lengths = None, [], {}
+        for batch in batches:
+            key = batch.column("block").to_numpy() * 2 + batch.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.diff(key)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(key)]):
+                part = batch.slice(i, j - i)
+                if key[i] // 2 != block:
+                    block, held, lengths = key[i] // 2, [], {}
+                if key[i] % 2 == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    rows, ids = table.column("row").to_numpy(), table.column("id").to_numpy()
+                    lengths = {x.shape[1]: Block(rows[at], ids[at], x, pivots) for at, x in _by_length(table.column("v").chunk(0))}
+                    held = []
+                rows, ids = part.column("row").to_numpy(), part.column("id").to_numpy()
+                least = part.column("least").fill_null(LEAST).to_numpy()
+                found = []
+                for at, q in _by_length(part.column("v")):
+                    if q.shape[1] in lengths:
+                        found += [(a, *lengths[q.shape[1]].best(rows[a], v, k, int(least[a]))) for a, v in zip(at, q)]
+                times = [len(scores) for _, _, scores in found]
+                at = np.repeat(np.array([a for a, _, _ in found], np.int64), times)
+                columns = [rows[at], ids[at], *(np.concatenate([np.zeros(0, np.int64), *(f[c] for f in found)]) for c in (1, 2))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "query_id", "vec_id", "score"])
+
+    return run
+
+
+def _reach(ranges: pa.Table, n_pivots: int):
+    """Sends each query to the other blocks whose ranges allow a score of its k-th or more."""
+    column = lambda c: ranges.column(c).to_numpy()
+    low, high = ([column(f"{side}{p}") for p in range(n_pivots)] for side in ("low", "high"))
+    blocks, most, shortest, longest = column("block"), column("most"), column("shortest"), column("longest")
+    far = max((h.max(initial=0) for h in high), default=0)
+
+    def run(batches):
+        for whole in batches:
+            step = max(1, (4 << 20) // max(1, len(blocks)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                d = batch.column("d").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_pivots)
+                gap = np.zeros((batch.num_rows, len(blocks)))
+                for p in range(n_pivots):
+                    np.maximum(gap, low[p] - d[:, p, None], out=gap)
+                    np.maximum(gap, d[:, p, None] - high[p], out=gap)
+                gap = np.maximum(gap - ROUNDING * (d.max(1, initial=0)[:, None] + far), 0)
+                total = batch.column("square").to_numpy()[:, None] + most
+                upper = np.maximum((total - gap * gap) / 2 + 1 + ROUNDING * total, float(LEAST))
+                size = batch.column("size").to_numpy()[:, None]
+                meets = (upper >= batch.column("least").fill_null(LEAST).to_numpy()[:, None]) & (batch.column("block").to_numpy()[:, None] != blocks) & (shortest <= size) & (size <= longest)
+                query, to = np.nonzero(meets)
+                for i in range(0, len(query), 10_000):
+                    rows = batch.take(pa.array(query[i : i + 10_000]))
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks[to[i : i + 10_000]], pa.int32()), *(rows.column(c) for c in ("row", "id", "v", "least"))], ["block", "row", "id", "v", "least"])
+
+    return run
+
+
+def n_blocks(n: int, least_block: int, most_block: int) -> int:
+    """64 blocks, fewer where they would hold under `least_block` vectors, more where over `most_block`."""
+    return max(1, min(MOST_BLOCKS, max(-(-n // most_block), min(64, -(-n // least_block)))))
+
+
+def blocked(vectors: DataFrame, pivots: list[np.ndarray], n: int) -> DataFrame:
+    """`vectors` with their pivot distances, a number of their own and the block, stored."""
+    schema = "id bigint, v array<bigint>, query boolean, size int, square double, d array<double>, cell int, ring double"
+    near = vectors.withColumn("size", F.size("v")).mapInArrow(_measured(pivots), schema)
+    # the last key splits equal vectors, however many
+    dealt = near.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, "size", "cell", "ring", "tie")
+    return stored(dealt.select("id", "v", "query", "size", "square", "d", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("row")), "vectors")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, least_block: int = 4_096, most_block: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score) over `vectors` (id, v) for rows where `is_query` of id holds."""
-    n = vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    nx, nq = max(1, -(-n["n"] // candidate_block)), max(1, -(-n["q"] // query_block))
-    size = F.size("v").alias("size")
-    queries = vectors.filter(is_query & F.col("id").isNotNull()).groupBy("id", "v").agg(F.count("*").alias("n"))
-    queries = queries.select("id", "v", "n", size, salt([F.col("id")], nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("xb"))
-    candidates = vectors.select(F.coalesce("id", F.lit(NULL)).alias("id"), "v", size, salt([F.col("id"), F.when(F.col("id").isNull(), F.col("v"))], nx).alias("xb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-
-    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
-        rows: list = []
-        if a.num_rows and b.num_rows:
-            q_ids, x_ids, q, times = a.column("id").to_numpy(), b.column("id").to_numpy(), _matrix(a.column("v")), a.column("n").to_numpy()
-            keys = [zlib.crc32(r.tobytes()) for r in q]  # tells apart queries of one id
-            rows = [(np.full(len(ids), q_ids[i]), np.full(len(ids), keys[i]), np.full(len(ids), times[i]), ids, scores) for i, ids, scores in block_best(q_ids, q, x_ids, _matrix(b.column("v")), k)]
-        columns = [np.concatenate(c) if rows else np.zeros(0, np.int64) for c in (zip(*rows) if rows else [()] * 5)]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "key", "n", "vec_id", "score"])
-
-    on = ("size", "qb", "xb")
-    partial = queries.groupBy(*on).cogroup(candidates.groupBy(*on)).applyInArrow(pair, "query_id bigint, key bigint, n bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
-    best = partial.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    vectors = vectors.select(F.coalesce("id", F.lit(NULL)).alias("id"), "v", F.coalesce(is_query & F.col("id").isNotNull(), F.lit(False)).alias("query"))
+    hashed = F.xxhash64("v")
+    drawn = vectors.groupBy(F.pmod(hashed, F.lit(PIVOTS)).alias("of")).agg(F.min_by("v", hashed).alias("v"), F.count("*").alias("n")).collect()  # a vector a group, however often it is repeated
+    pivots = [np.array(r.v, np.float64) for r in sorted(drawn, key=lambda r: r.of)] or [np.zeros(0)]
+    n = n_blocks(sum(r.n for r in drawn), least_block, most_block)
+    table = blocked(vectors, pivots, n)
+    ends = [f(F.col("d")[p]).alias(f"{side}{p}") for p in range(len(pivots)) for side, f in (("low", F.min), ("high", F.max))]
+    ranges = table.groupBy("block").agg(F.max("square").alias("most"), F.min("size").alias("shortest"), F.max("size").alias("longest"), *ends).toArrow()  # a row a block
+
+    def met(queries: DataFrame) -> DataFrame:
+        columns = ("block", "kind", "row", "id", "v", "least")
+        candidates = table.withColumns({"kind": F.lit(0), "least": F.lit(None).cast("bigint")}).select(*columns)
+        both = candidates.unionByName(queries.withColumn("kind", F.lit(1)).select(*columns))
+        return both.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_scan(pivots, k), "row bigint, query_id bigint, vec_id bigint, score bigint")
+
+    asked = table.filter("query")
+    near = stored(met(asked.withColumn("least", F.lit(None).cast("bigint"))), "near")
+    kth = near.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    sent = asked.join(kth, "row", "left").select("block", "row", "id", "v", "least", "d", "square", "size")
+    far = met(sent.mapInArrow(_reach(ranges, len(pivots)), "block int, row bigint, id bigint, v array<bigint>, least bigint"))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    best = near.unionByName(far).withColumn("rank", rank).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", F.nullif("vec_id", F.lit(NULL)).alias("vec_id"), "score")
 
 
