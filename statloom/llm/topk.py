@@ -3,11 +3,12 @@
 1. `PIVOTS` vectors, the same for all blocks, are drawn by hash. The table of distances from every vector to every pivot
    deals the vectors, once, into blocks of near ones: by nearest pivot, then by the distance to it.
 2. For a query q the largest |d(q, p) - d(x, p)| over the pivots is a lower bound of the distance to x, so
-   (|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of the inner product. Each query first meets its own block:
-   candidates are scored in bound order until no bound left reaches the k-th best score.
-3. That k-th score and each block's ranges of pivot distances tell which other blocks may hold better candidates. Only
-   there is the query sent. A task holds one block and streams the queries past it, so no candidate is copied; found
-   are the scores that reach the query's k-th. The best k of all blocks are kept, by score and id.
+   (|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of the inner product. Equal queries are asked once, for k + 1
+   candidates, of which each row leaves out itself. A query first meets its own block: candidates are scored in bound
+   order until no bound left reaches the (k + 1)-th best score.
+3. That score and each block's ranges of pivot distances tell which other blocks may hold better candidates. Only there
+   is the query sent. A task holds one block and streams the queries past it, so no candidate is copied; found are the
+   scores that reach the query's (k + 1)-th. The best of all blocks are kept, by score and id.
 
 A block holds `most_block` vectors or so and there are at most `MOST_BLOCKS`, whose ranges (under 20 MB) go to every task;
 beyond the product of the two, blocks grow. Distances are taken with vectors padded by zeros, which changes none
@@ -35,6 +36,8 @@ MOST_BLOCKS = 65_536
 #: Stands for a null id inside blocks.
 NULL = 2**63 - 1
 LEAST, MOST = -(2**63), 2**63 - 1
+#: A query by its first row, and a candidate's row, id and score.
+FOUND = ["row", "vec_row", "vec_id", "score"]
 #: Far above the rounding of distances and sums of squares, relative to them.
 ROUNDING = 1e-12
 
@@ -76,13 +79,13 @@ class Block:
         self.squares = (self.fx * self.fx).sum(1)
         self.table = distances(self.fx, pivots)
 
-    def best(self, row: int, v: np.ndarray, k: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k candidates that score `least` or more, other than the query's own row."""
+    def best(self, v: np.ndarray, k: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the best k candidates for `v` that score `least` or more."""
         if max(self.wide, _wide(v)) ** 2 * len(v) >= 2**48:  # below it squared distances are exact
             scores = np.array([max(LEAST, min(MOST, int(s))) for s in self.x.astype(object) @ v.astype(object)], np.int64)
-            left = np.flatnonzero((self.rows != row) & (scores >= least))
-            left = left[np.lexsort((self.ids[left], -scores[left].astype(object)))][:k]
-            return self.ids[left], scores[left]
+            left = np.flatnonzero(scores >= least)
+            left = left[np.lexsort((self.ids[left], ~scores[left]))][:k]  # ~x falls as x rises, without overflow
+            return left, scores[left]
         q = v.astype(np.float64)
         mine = distances(q[None], self.pivots)[:, 0]
         bound, gap = np.zeros(len(self.fx)), np.empty(len(self.fx))
@@ -90,8 +93,8 @@ class Block:
             np.maximum(bound, np.abs(np.subtract(to, d, out=gap), out=gap), out=bound)
         bound = np.maximum(bound - ROUNDING * (mine.max(initial=0) + self.table.max(initial=0)), 0)
         upper = (q @ q + self.squares - bound * bound) / 2 + 1  # 1: above the rounding of squares
-        left = np.flatnonzero((upper >= least) & (self.rows != row))
-        ids, scores, step = np.zeros(0, np.int64), np.zeros(0, np.int64), STEP
+        left = np.flatnonzero(upper >= least)
+        best, scores, step = np.zeros(0, np.int64), np.zeros(0, np.int64), STEP
         while len(left):  # the best bounds first, until no bound left reaches the k-th best score
             if len(left) > step:
                 chosen = np.argpartition(-upper[left], step)
@@ -100,14 +103,14 @@ class Block:
                 some, left = left, left[:0]
             got = (self.fx[some] @ q).astype(np.int64)
             high = got >= least
-            ids, scores = np.r_[ids, self.ids[some[high]]], np.r_[scores, got[high]]
-            first = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[first], scores[first]
-            if len(ids) == k:
+            best, scores = np.r_[best, some[high]], np.r_[scores, got[high]]
+            first = np.lexsort((self.ids[best], -scores))[:k]
+            best, scores = best[first], scores[first]
+            if len(best) == k:
                 least = max(least, int(scores[-1]))
                 left = left[upper[left] >= least]
             step *= 4
-        return ids, scores
+        return best, scores
 
 
 def _measured(pivots: list[np.ndarray]):
@@ -147,16 +150,14 @@ def _scan(pivots: list[np.ndarray], k: int):
                     rows, ids = table.column("row").to_numpy(), table.column("id").to_numpy()
                     lengths = {x.shape[1]: Block(rows[at], ids[at], x, pivots) for at, x in _by_length(table.column("v").chunk(0))}
                     held = []
-                rows, ids = part.column("row").to_numpy(), part.column("id").to_numpy()
-                least = part.column("least").fill_null(LEAST).to_numpy()
-                found = []
+                asked, least, found = part.column("row").to_numpy(), part.column("least").fill_null(LEAST).to_numpy(), []
                 for at, q in _by_length(part.column("v")):
-                    if q.shape[1] in lengths:
-                        found += [(a, *lengths[q.shape[1]].best(rows[a], v, k, int(least[a]))) for a, v in zip(at, q)]
-                times = [len(scores) for _, _, scores in found]
-                at = np.repeat(np.array([a for a, _, _ in found], np.int64), times)
-                columns = [rows[at], ids[at], *(np.concatenate([np.zeros(0, np.int64), *(f[c] for f in found)]) for c in (1, 2))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "query_id", "vec_id", "score"])
+                    if block_of := lengths.get(q.shape[1]):
+                        for a, v in zip(at, q):
+                            best, scores = block_of.best(v, k, int(least[a]))
+                            found.append((np.full(len(best), asked[a]), block_of.rows[best], block_of.ids[best], scores))
+                columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], FOUND)
 
     return run
 
@@ -186,7 +187,7 @@ def _reach(ranges: pa.Table, n_pivots: int):
                 query, to = np.nonzero(meets)
                 for i in range(0, len(query), 10_000):
                     rows = batch.take(pa.array(query[i : i + 10_000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(blocks[to[i : i + 10_000]], pa.int32()), *(rows.column(c) for c in ("row", "id", "v", "least"))], ["block", "row", "id", "v", "least"])
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks[to[i : i + 10_000]], pa.int32()), *(rows.column(c) for c in ("row", "v", "least"))], ["block", "row", "v", "least"])
 
     return run
 
@@ -219,17 +220,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, least_block: int =
     def met(queries: DataFrame) -> DataFrame:
         columns = ("block", "kind", "row", "id", "v", "least")
         candidates = table.withColumns({"kind": F.lit(0), "least": F.lit(None).cast("bigint")}).select(*columns)
-        both = candidates.unionByName(queries.withColumn("kind", F.lit(1)).select(*columns))
-        return both.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_scan(pivots, k), "row bigint, query_id bigint, vec_id bigint, score bigint")
+        both = candidates.unionByName(queries.withColumns({"kind": F.lit(1), "id": F.lit(0).cast("bigint")}).select(*columns))
+        return both.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_scan(pivots, k + 1), ", ".join(f"{c} bigint" for c in FOUND))
 
     asked = table.filter("query")
-    near = stored(met(asked.withColumn("least", F.lit(None).cast("bigint"))), "near")
-    kth = near.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    sent = asked.join(kth, "row", "left").select("block", "row", "id", "v", "least", "d", "square", "size")
-    far = met(sent.mapInArrow(_reach(ranges, len(pivots)), "block int, row bigint, id bigint, v array<bigint>, least bigint"))
+    first = F.min_by(F.struct("row", "block", "d", "square", "size"), "row")
+    distinct = stored(asked.groupBy("v").agg(first.alias("_first")).select("v", "_first.*"), "queries")
+    near = stored(met(distinct.withColumn("least", F.lit(None).cast("bigint"))), "near")
+    kth = near.groupBy("row").agg(F.when(F.count("*") > k, F.min("score")).alias("least"))
+    far = met(distinct.join(kth, "row", "left").mapInArrow(_reach(ranges, len(pivots)), "block int, row bigint, v array<bigint>, least bigint"))
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
-    best = near.unionByName(far).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.nullif("vec_id", F.lit(NULL)).alias("vec_id"), "score")
+    best = near.unionByName(far).withColumn("rank", rank).filter(F.col("rank") <= k + 1)
+    lists = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("rank", *FOUND[1:]))).alias("best"))  # k + 1 at most
+    answers = asked.select("row", "id", "v").join(distinct.select("v", F.col("row").alias("_first")).join(lists.withColumnRenamed("row", "_first"), "_first").drop("_first"), "v")
+    own = F.slice(F.filter("best", lambda b: b["vec_row"] != F.col("row")), 1, k)
+    out = answers.select(F.col("id").alias("query_id"), F.posexplode(own).alias("_at", "_b"))
+    return out.select("query_id", (F.col("_at") + 1).alias("rank"), F.nullif("_b.vec_id", F.lit(NULL)).alias("vec_id"), "_b.score")
 
 
 ORACLE = """
