@@ -1,14 +1,15 @@
 """Exact top-k search by inner product with pivot tables (operator 8).
 
-1. `PIVOTS` vectors, the same for all blocks, are drawn by hash. The table of distances from every vector to every pivot
-   deals the vectors, once, into blocks of near ones: by nearest pivot, then by the distance to it.
+1. Of equal candidates the k + 1 of the smallest ids are kept, since no other can be among a row's best k. `PIVOTS`
+   vectors, the same for all blocks, are drawn by hash. The table of distances from every vector to every pivot deals
+   the candidates, once, into blocks of near ones: by nearest pivot, then by the distance to it.
 2. For a query q the largest |d(q, p) - d(x, p)| over the pivots is a lower bound of the distance to x, so
    (|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of the inner product. Equal queries are asked once, for k + 1
-   candidates, of which each row leaves out itself. A query first meets its own block: candidates are scored in bound
-   order until no bound left reaches the (k + 1)-th best score.
-3. That score and each block's ranges of pivot distances tell which other blocks may hold better candidates. Only there
-   is the query sent. A task holds one block and streams the queries past it, so no candidate is copied; found are the
-   scores that reach the query's (k + 1)-th. The best of all blocks are kept, by score and id.
+   candidates, of which each row leaves out itself. A query first meets its home, the block whose ranges of pivot
+   distances fit it best: candidates are scored in bound order until no bound left reaches the (k + 1)-th best score.
+3. That score and the blocks' ranges tell which other blocks may hold better candidates. Only there is the query sent.
+   A task holds one block and streams the queries past it, so no candidate is copied; found are the scores that reach
+   the query's (k + 1)-th. The best of all blocks are kept, by score and id.
 
 A block holds `most_block` vectors or so and there are at most `MOST_BLOCKS`, whose ranges (under 20 MB) go to every task;
 beyond the product of the two, blocks grow. Distances are taken with vectors padded by zeros, which changes none
@@ -36,8 +37,8 @@ MOST_BLOCKS = 65_536
 #: Stands for a null id inside blocks.
 NULL = 2**63 - 1
 LEAST, MOST = -(2**63), 2**63 - 1
-#: A query by its first row, and a candidate's row, id and score.
-FOUND = ["row", "vec_row", "vec_id", "score"]
+#: The query, a candidate's id, whether the two vectors are equal, and the score.
+FOUND = "q bigint, vec_id bigint, same boolean, score bigint"
 #: Far above the rounding of distances and sums of squares, relative to them.
 ROUNDING = 1e-12
 
@@ -73,32 +74,41 @@ def _wide(x: np.ndarray) -> int:
 class Block:
     """Candidates of one length and their table of pivot distances."""
 
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: list[np.ndarray]):
-        self.rows, self.ids, self.x, self.pivots, self.wide = rows, ids, x, pivots, _wide(x)
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: list[np.ndarray]):
+        self.ids, self.x, self.pivots, self.wide = ids, x, pivots, _wide(x)
         self.fx = x.astype(np.float64)
         self.squares = (self.fx * self.fx).sum(1)
         self.table = distances(self.fx, pivots)
-
-    def best(self, v: np.ndarray, k: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the best k candidates for `v` that score `least` or more."""
-        if max(self.wide, _wide(v)) ** 2 * len(v) >= 2**48:  # below it squared distances are exact
-            scores = np.array([max(LEAST, min(MOST, int(s))) for s in self.x.astype(object) @ v.astype(object)], np.int64)
-            left = np.flatnonzero(scores >= least)
-            left = left[np.lexsort((self.ids[left], ~scores[left]))][:k]  # ~x falls as x rises, without overflow
-            return left, scores[left]
-        q = v.astype(np.float64)
-        mine = distances(q[None], self.pivots)[:, 0]
-        bound, gap = np.zeros(len(self.fx)), np.empty(len(self.fx))
-        for to, d in zip(self.table, mine):
-            np.maximum(bound, np.abs(np.subtract(to, d, out=gap), out=gap), out=bound)
-        bound = np.maximum(bound - ROUNDING * (mine.max(initial=0) + self.table.max(initial=0)), 0)
-        upper = (q @ q + self.squares - bound * bound) / 2 + 1  # 1: above the rounding of squares
+        self.far = self.table.max(initial=0)
+
+    def best(self, q: np.ndarray, k: int, least: np.ndarray):
+        """For each query, the places and scores of its best k candidates that score its `least` or more."""
+        fq = q.astype(np.float64)
+        mine, squares = distances(fq, self.pivots).T, (fq * fq).sum(1)
+        bound, gap = np.empty(len(self.fx)), np.empty(len(self.fx))
+        for i, v in enumerate(q):
+            if max(self.wide, _wide(v)) ** 2 * len(v) >= 2**48:  # below it squared distances are exact
+                yield self._exact(v, k, least[i])
+                continue
+            bound.fill(0)
+            for to, d in zip(self.table, mine[i]):
+                np.maximum(bound, np.abs(np.subtract(to, d, out=gap), out=gap), out=bound)
+            np.maximum(np.subtract(bound, ROUNDING * (mine[i].max(initial=0) + self.far), out=bound), 0, out=bound)
+            np.multiply(bound, bound, out=bound)
+            upper = np.subtract(self.squares, bound, out=bound)
+            upper += squares[i]
+            upper /= 2
+            upper += 1  # above the rounding of squares
+            yield self._ordered(fq[i], k, int(least[i]), upper)
+
+    def _ordered(self, q: np.ndarray, k: int, least: int, upper: np.ndarray):
+        """The best bounds first, until no bound left reaches the k-th best score."""
         left = np.flatnonzero(upper >= least)
         best, scores, step = np.zeros(0, np.int64), np.zeros(0, np.int64), STEP
-        while len(left):  # the best bounds first, until no bound left reaches the k-th best score
+        while len(left):
             if len(left) > step:
-                chosen = np.argpartition(-upper[left], step)
-                some, left = left[chosen[:step]], left[chosen[step:]]
+                chosen = np.argpartition(upper[left], len(left) - step)
+                some, left = left[chosen[-step:]], left[chosen[:-step]]
             else:
                 some, left = left, left[:0]
             got = (self.fx[some] @ q).astype(np.int64)
@@ -112,6 +122,12 @@ class Block:
             step *= 4
         return best, scores
 
+    def _exact(self, v: np.ndarray, k: int, least: int):
+        scores = np.array([max(LEAST, min(MOST, int(s))) for s in self.x.astype(object) @ v.astype(object)], np.int64)
+        left = np.flatnonzero(scores >= least)
+        left = left[np.lexsort((self.ids[left], ~scores[left]))][:k]  # ~x falls as x rises, without overflow
+        return left, scores[left]
+
 
 def _measured(pivots: list[np.ndarray]):
     """Adds squared length, pivot distances, and the nearest pivot with its distance."""
@@ -147,49 +163,63 @@ def _scan(pivots: list[np.ndarray], k: int):
                     continue
                 if held:
                     table = pa.Table.from_batches(held).combine_chunks()
-                    rows, ids = table.column("row").to_numpy(), table.column("id").to_numpy()
-                    lengths = {x.shape[1]: Block(rows[at], ids[at], x, pivots) for at, x in _by_length(table.column("v").chunk(0))}
+                    ids = table.column("id").to_numpy()
+                    lengths = {x.shape[1]: Block(ids[at], x, pivots) for at, x in _by_length(table.column("v").chunk(0))}
                     held = []
-                asked, least, found = part.column("row").to_numpy(), part.column("least").fill_null(LEAST).to_numpy(), []
+                number, least, found = part.column("id").to_numpy(), part.column("least").fill_null(LEAST).to_numpy(), []
                 for at, q in _by_length(part.column("v")):
-                    if block_of := lengths.get(q.shape[1]):
-                        for a, v in zip(at, q):
-                            best, scores = block_of.best(v, k, int(least[a]))
-                            found.append((np.full(len(best), asked[a]), block_of.rows[best], block_of.ids[best], scores))
-                columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], FOUND)
+                    if own := lengths.get(q.shape[1]):
+                        for a, v, (best, scores) in zip(at, q, own.best(q, k, least[at])):
+                            found.append((np.full(len(best), number[a]), own.ids[best], (own.x[best] == v).all(1), scores))
+                columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, t) for t in (np.int64, np.int64, bool, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "vec_id", "same", "score"])
 
     return run
 
 
-def _reach(ranges: pa.Table, n_pivots: int):
-    """Sends each query to the other blocks whose ranges allow a score of its k-th or more."""
-    column = lambda c: ranges.column(c).to_numpy()
-    low, high = ([column(f"{side}{p}") for p in range(n_pivots)] for side in ("low", "high"))
-    blocks, most, shortest, longest = column("block"), column("most"), column("shortest"), column("longest")
-    far = max((h.max(initial=0) for h in high), default=0)
+class Ranges:
+    """The blocks' ranges of pivot distances, lengths and squares: a row a block."""
 
-    def run(batches):
-        for whole in batches:
-            step = max(1, (4 << 20) // max(1, len(blocks)))
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                d = batch.column("d").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_pivots)
-                gap = np.zeros((batch.num_rows, len(blocks)))
-                for p in range(n_pivots):
-                    np.maximum(gap, low[p] - d[:, p, None], out=gap)
-                    np.maximum(gap, d[:, p, None] - high[p], out=gap)
-                gap = np.maximum(gap - ROUNDING * (d.max(1, initial=0)[:, None] + far), 0)
-                total = batch.column("square").to_numpy()[:, None] + most
-                upper = np.maximum((total - gap * gap) / 2 + 1 + ROUNDING * total, float(LEAST))
-                size = batch.column("size").to_numpy()[:, None]
-                meets = (upper >= batch.column("least").fill_null(LEAST).to_numpy()[:, None]) & (batch.column("block").to_numpy()[:, None] != blocks) & (shortest <= size) & (size <= longest)
-                query, to = np.nonzero(meets)
-                for i in range(0, len(query), 10_000):
-                    rows = batch.take(pa.array(query[i : i + 10_000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(blocks[to[i : i + 10_000]], pa.int32()), *(rows.column(c) for c in ("row", "v", "least"))], ["block", "row", "v", "least"])
+    def __init__(self, table: pa.Table, n_pivots: int):
+        column = lambda c: table.column(c).to_numpy()
+        self.low, self.high = ([column(f"{side}{p}") for p in range(n_pivots)] for side in ("low", "high"))
+        self.blocks, self.most, self.shortest, self.longest = column("block"), column("most"), column("shortest"), column("longest")
+        self.far = max((h.max(initial=0) for h in self.high), default=0)
 
-    return run
+    def gaps(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bounds of each query's distance to each block, and whether lengths allow a meeting."""
+        d = batch.column("d").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(self.low))
+        gap = np.zeros((batch.num_rows, len(self.blocks)))
+        for p in range(len(self.low)):
+            np.maximum(gap, self.low[p] - d[:, p, None], out=gap)
+            np.maximum(gap, d[:, p, None] - self.high[p], out=gap)
+        size = batch.column("size").to_numpy()[:, None]
+        return np.maximum(gap - ROUNDING * (d.max(1, initial=0)[:, None] + self.far), 0), (self.shortest <= size) & (size <= self.longest)
+
+    def slices(self, batches):
+        step = max(1, (4 << 20) // max(1, len(self.blocks)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+    def homes(self, batches):
+        """Adds each query's home."""
+        for batch in self.slices(batches):
+            gap, meets = self.gaps(batch)
+            home = self.blocks[np.where(meets, gap, np.inf).argmin(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32())], [*batch.schema.names, "block"])
+
+    def reach(self, batches):
+        """Sends each query to the blocks, other than its home, that may hold a score of `least` or more."""
+        for batch in self.slices(batches):
+            gap, meets = self.gaps(batch)
+            total = batch.column("square").to_numpy()[:, None] + self.most
+            upper = np.maximum((total - gap * gap) / 2 + 1 + ROUNDING * total, float(LEAST))
+            meets &= (upper >= batch.column("least").fill_null(LEAST).to_numpy()[:, None]) & (batch.column("block").to_numpy()[:, None] != self.blocks)
+            query, to = np.nonzero(meets)
+            for i in range(0, len(query), 10_000):
+                rows = batch.take(pa.array(query[i : i + 10_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(self.blocks[to[i : i + 10_000]], pa.int32()), *(rows.column(c) for c in ("id", "v", "least"))], ["block", "id", "v", "least"])
 
 
 def n_blocks(n: int, least_block: int, most_block: int) -> int:
@@ -197,44 +227,47 @@ def n_blocks(n: int, least_block: int, most_block: int) -> int:
     return max(1, min(MOST_BLOCKS, max(-(-n // most_block), min(64, -(-n // least_block)))))
 
 
-def blocked(vectors: DataFrame, pivots: list[np.ndarray], n: int) -> DataFrame:
-    """`vectors` with their pivot distances, a number of their own and the block, stored."""
-    schema = "id bigint, v array<bigint>, query boolean, size int, square double, d array<double>, cell int, ring double"
-    near = vectors.withColumn("size", F.size("v")).mapInArrow(_measured(pivots), schema)
-    # the last key splits equal vectors, however many
-    dealt = near.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, "size", "cell", "ring", "tie")
-    return stored(dealt.select("id", "v", "query", "size", "square", "d", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("row")), "vectors")
+MEASURED = "id bigint, v array<bigint>, size int, square double, d array<double>, cell int, ring double"
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, least_block: int = 4_096, most_block: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score) over `vectors` (id, v) for rows where `is_query` of id holds."""
-    vectors = vectors.select(F.coalesce("id", F.lit(NULL)).alias("id"), "v", F.coalesce(is_query & F.col("id").isNotNull(), F.lit(False)).alias("query"))
+    asked = vectors.filter(is_query & F.col("id").isNotNull()).select("id", "v")
+    same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
+    vectors = vectors.select(F.coalesce("id", F.lit(NULL)).alias("id"), "v")
+    candidates = vectors.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k + 1).select("id", "v")
     hashed = F.xxhash64("v")
     drawn = vectors.groupBy(F.pmod(hashed, F.lit(PIVOTS)).alias("of")).agg(F.min_by("v", hashed).alias("v"), F.count("*").alias("n")).collect()  # a vector a group, however often it is repeated
     pivots = [np.array(r.v, np.float64) for r in sorted(drawn, key=lambda r: r.of)] or [np.zeros(0)]
     n = n_blocks(sum(r.n for r in drawn), least_block, most_block)
-    table = blocked(vectors, pivots, n)
+
+    def measured(df: DataFrame) -> DataFrame:
+        return df.withColumn("size", F.size("v")).mapInArrow(_measured(pivots), MEASURED)
+
+    dealt = measured(candidates).repartitionByRange(n, "size", "cell", "ring", "id")
+    table = stored(dealt.select("id", "v", "size", "square", "d", F.spark_partition_id().alias("block")), "vectors")
     ends = [f(F.col("d")[p]).alias(f"{side}{p}") for p in range(len(pivots)) for side, f in (("low", F.min), ("high", F.max))]
-    ranges = table.groupBy("block").agg(F.max("square").alias("most"), F.min("size").alias("shortest"), F.max("size").alias("longest"), *ends).toArrow()  # a row a block
+    ranges = Ranges(table.groupBy("block").agg(F.max("square").alias("most"), F.min("size").alias("shortest"), F.max("size").alias("longest"), *ends).toArrow(), len(pivots))
 
     def met(queries: DataFrame) -> DataFrame:
-        columns = ("block", "kind", "row", "id", "v", "least")
-        candidates = table.withColumns({"kind": F.lit(0), "least": F.lit(None).cast("bigint")}).select(*columns)
-        both = candidates.unionByName(queries.withColumns({"kind": F.lit(1), "id": F.lit(0).cast("bigint")}).select(*columns))
-        return both.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_scan(pivots, k + 1), ", ".join(f"{c} bigint" for c in FOUND))
-
-    asked = table.filter("query")
-    first = F.min_by(F.struct("row", "block", "d", "square", "size"), "row")
-    distinct = stored(asked.groupBy("v").agg(first.alias("_first")).select("v", "_first.*"), "queries")
-    near = stored(met(distinct.withColumn("least", F.lit(None).cast("bigint"))), "near")
-    kth = near.groupBy("row").agg(F.when(F.count("*") > k, F.min("score")).alias("least"))
-    far = met(distinct.join(kth, "row", "left").mapInArrow(_reach(ranges, len(pivots)), "block int, row bigint, v array<bigint>, least bigint"))
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+        columns = ("block", "kind", "id", "v", "least")
+        held = table.withColumns({"kind": F.lit(0), "least": F.lit(None).cast("bigint")}).select(*columns)
+        both = held.unionByName(queries.withColumn("kind", F.lit(1)).select(*columns))
+        return both.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_scan(pivots, k + 1), FOUND)
+
+    numbered = asked.select("v").distinct().withColumn("id", F.monotonically_increasing_id()).select("id", "v")
+    queries = stored(measured(numbered).drop("cell", "ring").mapInArrow(ranges.homes, MEASURED.replace("cell int, ring double", "block int")), "queries")
+    near = stored(met(queries.withColumn("least", F.lit(None).cast("bigint"))), "near")
+    kth = near.groupBy(F.col("q").alias("id")).agg(F.when(F.count("*") > k, F.min("score")).alias("least"))
+    far = met(queries.join(kth, "id", "left").mapInArrow(ranges.reach, "block int, id bigint, v array<bigint>, least bigint"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     best = near.unionByName(far).withColumn("rank", rank).filter(F.col("rank") <= k + 1)
-    lists = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("rank", *FOUND[1:]))).alias("best"))  # k + 1 at most
-    answers = asked.select("row", "id", "v").join(distinct.select("v", F.col("row").alias("_first")).join(lists.withColumnRenamed("row", "_first"), "_first").drop("_first"), "v")
-    own = F.slice(F.filter("best", lambda b: b["vec_row"] != F.col("row")), 1, k)
-    out = answers.select(F.col("id").alias("query_id"), F.posexplode(own).alias("_at", "_b"))
+    lists = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "same", "score"))).alias("best"))  # k + 1 at most
+    answers = asked.join(queries.select(F.col("id").alias("q"), "v").join(lists, "q"), "v")
+    # of rows alike in id and vector any may stand for the query's own
+    own = F.array_position(F.transform("best", lambda b: b["same"] & (b["vec_id"] == F.col("id"))), True)
+    others = F.filter("best", lambda b, i: i + 1 != F.col("_own"))
+    out = answers.withColumn("_own", own).select(F.col("id").alias("query_id"), F.posexplode(F.slice(others, 1, k)).alias("_at", "_b"))
     return out.select("query_id", (F.col("_at") + 1).alias("rank"), F.nullif("_b.vec_id", F.lit(NULL)).alias("vec_id"), "_b.score")
 
 

@@ -30,8 +30,8 @@ def test_matches_brute_force_with_ties_and_blocks(spark):
 
 def test_exact_beyond_doubles():
     big = np.array([[2**40, 1], [2**40, 2], [2**40, 3]], np.int64)
-    block = topk.Block(np.array([1, 2, 3]), np.array([1, 2, 3]), big, [np.zeros(2)])
-    best, scores = block.best(np.array([2**20, 1], np.int64), 2)
+    block = topk.Block(np.array([1, 2, 3]), big, [np.zeros(2)])
+    ((best, scores),) = block.best(np.array([[2**20, 1]], np.int64), 2, np.array([topk.LEAST]))
     assert block.ids[best].tolist() == [3, 2] and scores.tolist() == [2**60 + 3, 2**60 + 2]
 
 
@@ -71,7 +71,7 @@ def test_ranges_send_queries_to_few_blocks():
     import pyarrow as pa
 
     ranges = pa.table({"block": pa.array([0, 1], pa.int32()), "most": [25.0, 905.0**2], "shortest": pa.array([2, 2], pa.int32()), "longest": pa.array([2, 2], pa.int32()), **{f"low{p}": [d[p][0], d[p][1:].min()] for p in (0, 1)}, **{f"high{p}": [d[p][0], d[p][1:].max()] for p in (0, 1)}})
-    query = lambda least: pa.RecordBatch.from_pydict({"block": pa.array([1], pa.int32()), "row": [7], "v": [[900, 10]], "least": pa.array([least], pa.int64()), "d": [d[:, 1].tolist()], "square": [900.0**2 + 100], "size": pa.array([2], pa.int32())})
-    run = topk._reach(ranges, 2)
+    query = lambda least: pa.RecordBatch.from_pydict({"block": pa.array([1], pa.int32()), "id": [7], "v": [[900, 10]], "least": pa.array([least], pa.int64()), "d": [d[:, 1].tolist()], "square": [900.0**2 + 100], "size": pa.array([2], pa.int32())})
+    run = topk.Ranges(ranges, 2).reach
     assert sum(b.num_rows for b in run([query(100_000)])) == 0
     assert sum(b.num_rows for b in run([query(None)])) == 1
