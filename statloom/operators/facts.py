@@ -63,3 +63,14 @@ def stints(matches: DataFrame, keys: list[str], team: str, order: list[str]) ->
     change = F.coalesce((F.lag(team).over(w) != F.col(team)).cast("int"), F.lit(1))
     runs = matches.withColumn("_c", change).withColumn("stint", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*keys, "stint", team).agg(F.count("*").alias("appearances"), F.sum("exposure").alias("exposure"), F.min(order[0]).alias("first_date"), F.max(order[0]).alias("last_date"))
+
+
+def current_team(stints: DataFrame, keys: list[str], team: str) -> DataFrame:
+    """The team of the last stint, the number of stints, and whether there were several."""
+    return stints.groupBy(*keys).agg(F.max_by(F.struct(team), "stint").alias("_last"), F.count("*").alias("n_stints")).select(*keys, F.col(f"_last.{team}").alias("current_team"), "n_stints", (F.col("n_stints") > 1).alias("changed_teams"))
+
+
+def project(df: DataFrame, types: dict[str, str], **constants: str) -> DataFrame:
+    """The columns of `types`, cast; those that `df` lacks are null. `constants` are the same in every row."""
+    columns = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()]
+    return df.select(*columns, *(F.lit(v).alias(c) for c, v in constants.items()))

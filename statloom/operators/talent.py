@@ -47,6 +47,13 @@ def rank_talent(talent: DataFrame, least_live: int = 10) -> DataFrame:
     return x.withColumn("_one", F.lit(1)).withColumn("talent_rank", competition_rank(F.col("talent"), ["_one"])).drop("_one", "_pool")
 
 
+def with_identity(talent: DataFrame, ratings: DataFrame, entities: DataFrame, p: Params) -> DataFrame:
+    """`talent` with status, name and team of the live period where the entity is in it, else of the past one."""
+    seen = ratings.filter(F.col("period").isin(p.final, p.live)).groupBy("entity_id").agg(F.max_by(F.struct("status"), "period").alias("_last"))
+    known = talent.join(seen.select("entity_id", "_last.status"), "entity_id", "left")
+    return known.join(entities.select("entity_id", "name", "team"), "entity_id", "left")
+
+
 def interval_percentiles(long: DataFrame, pool: DataFrame, value: str, weight: str, keys: list[str] | None = None) -> DataFrame:
     """`long` (.., v) with pct of v against the pool's `value` weighted by `weight`: bounds on the score's own scale."""
     keys = keys or ["_k"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions import scalars
-from statloom.operators import archetypes, facts, joins, quality, rank, rates, reliability, scouting, serving, shrink, snapshots, talent, uncertainty
+from statloom.operators import archetypes, facts, joins, league, quality, rank, rates, reliability, scouting, serving, shrink, snapshots, talent, uncertainty
 from statloom.plans.oracle import Z, corr, pct
 from statloom.plans.params import COMPONENTS, DEFAULT, Params
 from statloom.plans.registry import apart, both, query
@@ -110,6 +110,26 @@ apart("can13_project_season", "#entity_id #period *exposure #shots #conceded #sa
       "SELECT * FROM {season}")
 apart("can13_project_matches", "#entity_id #period #event_id @event_date *exposure #shots", lambda w: w.match,
       "SELECT * FROM {matches}")
+VERSION = "1"
+
+
+def _rated(w):
+    final = w.clusters.select("entity_id", F.lit(P.final).alias("period"), C("cluster").alias("archetype"))
+    return w.ratings.join(facts.current_team(w.stints, ["entity_id", "period"], "club"), ["entity_id", "period"]).join(final, ["entity_id", "period"], "left")
+
+
+apart("can13_project_ratings", "#entity_id #period status *score *adj_total *obs_total *total_reliability #rank_adjusted #rank_observed #rank_conceded #rank_disagreement #archetype changed_teams methodology_version",
+      lambda w: facts.project(_rated(w), {"entity_id": "bigint", "period": "int", "status": "string", "score": "double", "adj_total": "double", "obs_total": "double", "total_reliability": "double", "rank_adjusted": "int", "rank_observed": "int", "rank_conceded": "int", "rank_disagreement": "int", "archetype": "int", "changed_teams": "boolean"}, methodology_version=VERSION),
+      f"SELECT r.*, c.cluster AS archetype, s.n > 1 AS changed_teams, '{VERSION}' AS methodology_version FROM {{ratings}} r JOIN (SELECT entity_id, period, count(*) AS n FROM {{stints}} GROUP BY ALL) s ON r.entity_id = s.entity_id AND r.period = s.period LEFT JOIN {{clusters}} c ON r.entity_id = c.entity_id AND r.period = {P.final}")
+apart("can13_project_talent", "#entity_id *talent *talent_low *talent_high *talent_sd *talent_pct #talent_rank *weight_league *weight_prior *weight_live *prior_rate *live_rate *prior_exposure *live_exposure *league_mean prior_source in_live methodology_version",
+      lambda w: facts.project(w.talent_ranked, {"entity_id": "bigint", **dict.fromkeys(("talent", "talent_low", "talent_high", "talent_sd", "talent_pct"), "double"), "talent_rank": "int", **dict.fromkeys(("weight_league", "weight_prior", "weight_live", "prior_rate", "live_rate", "prior_exposure", "live_exposure", "league_mean"), "double"), "prior_source": "string", "in_live": "boolean"}, methodology_version=VERSION),
+      f"SELECT *, '{VERSION}' AS methodology_version FROM {{talent_ranked}}")
+apart("can13_project_players", "#entity_id name slug @birth_date nationality #height_ft",
+      lambda w: facts.project(w.entities.select("entity_id", "name", scalars.slug(C("name")).alias("slug"), C("team").alias("nationality")), {"entity_id": "bigint", "name": "string", "slug": "string", "birth_date": "date", "nationality": "string", "height_ft": "int"}),
+      "SELECT entity_id, name, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, NULL AS birth_date, team AS nationality, NULL AS height_ft FROM {entities}")
+apart("can13_project_games", "#event_id #period @date_utc status",
+      lambda w: facts.project(w.table("orders").select(C("o_orderkey").alias("event_id"), F.year("o_orderdate").alias("period"), C("o_orderdate").alias("date_utc"), C("o_orderstatus").alias("status")), {"event_id": "bigint", "period": "int", "date_utc": "date", "status": "string"}),
+      "SELECT o_orderkey AS event_id, year(o_orderdate) AS period, CAST(o_orderdate AS DATE) AS date_utc, o_orderstatus AS status FROM {orders}")
 query("can14_age_years", "#o_orderkey #age", lambda w: w.table("orders").select("o_orderkey", scalars.age_years(F.to_date("o_orderdate"), F.lit("2025-02-28").cast("date")).alias("age")), "(SELECT o_orderkey, 2025 - year(o_orderdate) - CASE WHEN (month(o_orderdate), day(o_orderdate)) > (2, 28) THEN 1 ELSE 0 END AS age FROM orders) x")
 query("can15_display_round", "#entity_id #period *r", lambda w: w.totals.select("entity_id", "period", scalars.display_round(C("total_raw"), 3).alias("r")), "(SELECT entity_id, period, round(total_raw, 3) AS r FROM totals) x")
 
@@ -179,7 +199,10 @@ query("agg15_league_baseline", "#period component *mu *league_workload #pool_siz
 query("agg16_league_mean_total", "*league_mean", lambda w: talent.league_mean_total(w.shrunk_totals.filter(C("period") == P.final), P), "league")
 query("agg17_sample_counts", "#period #qualified #provisional #limited", lambda w: w.status.groupBy("period").pivot("status", ["qualified", "provisional", "limited"]).count().fillna(0), "(SELECT period, count_if(status = 'qualified') AS qualified, count_if(status = 'provisional') AS provisional, count_if(status = 'limited') AS limited FROM status GROUP BY period) x")
 query("agg18_season_summary", "#period #entities #events #rows_ @max_date *exposure", lambda w: w.match.groupBy("period").agg(F.countDistinct("entity_id").alias("entities"), F.countDistinct("event_id").alias("events"), F.count("*").alias("rows_"), F.max("event_date").alias("max_date"), F.sum("exposure").alias("exposure")), "(SELECT period, count(DISTINCT entity_id) AS entities, count(DISTINCT event_id) AS events, count(*) AS rows_, max(event_date) AS max_date, sum(exposure) AS exposure FROM matches GROUP BY period) x")
-both("agg19_league_reference", "#period *adj_median *adj_min *adj_max *obs_median", "SELECT period, median(adj_total) AS adj_median, min(adj_total) AS adj_min, max(adj_total) AS adj_max, median(obs_total) AS obs_median FROM {ratings} WHERE in_pool GROUP BY period")
+apart("agg19_league_reference", "#period *average_adjusted *average_score baseline_source #pool_size *adj_median *adj_min *adj_max *obs_median *obs_min *obs_max *conceded_median *save_pct_median", lambda w: league.league_reference(w.ratings, w.baseline),
+      """SELECT r.period, a.average_adjusted, 100 * sum(CASE WHEN adj_total < a.average_adjusted THEN exposure WHEN adj_total = a.average_adjusted THEN exposure / 2 ELSE 0 END) / sum(exposure) AS average_score, any_value(a.baseline_source) AS baseline_source, count(*) AS pool_size,
+      median(adj_total) AS adj_median, min(adj_total) AS adj_min, max(adj_total) AS adj_max, median(obs_total) AS obs_median, min(obs_total) AS obs_min, max(obs_total) AS obs_max, median(conceded_rate) AS conceded_median, median(save_pct) AS save_pct_median
+      FROM {ratings} r JOIN (SELECT period, sum(mu * league_workload) AS average_adjusted, min(baseline_source) AS baseline_source FROM {baseline} GROUP BY period) a ON r.period = a.period WHERE in_pool AND adj_total IS NOT NULL GROUP BY r.period, a.average_adjusted""")
 METRICS = ("score", "conceded_rate", "save_pct", "exposure", "observed_pct", "total_reliability")
 PAIRS = [("score", "conceded_rate"), ("score", "save_pct"), ("score", "exposure"), ("observed_pct", "conceded_rate"), ("observed_pct", "save_pct"), ("score", "observed_pct")]
 
@@ -242,7 +265,8 @@ apart("qua3_talent_view_row", "#entity_id name status *talent", lambda w: servin
       "SELECT t.entity_id, e.name, coalesce(CASE WHEN coalesce(live_exposure, 0) > 0 THEN coalesce(l.status, p.status) ELSE coalesce(p.status, l.status) END, CASE WHEN t.in_live AND coalesce(live_exposure, 0) >= 826 THEN 'qualified' WHEN t.in_live AND coalesce(live_exposure, 0) >= 270 THEN 'provisional' WHEN t.in_live THEN 'limited' WHEN coalesce(prior_exposure, 0) >= 900 THEN 'qualified' ELSE 'limited' END) AS status, t.talent FROM {talent} t JOIN {entities} e ON t.entity_id = e.entity_id LEFT JOIN (SELECT entity_id, status FROM {ratings} WHERE period = 2001) l ON t.entity_id = l.entity_id LEFT JOIN (SELECT entity_id, status FROM {ratings} WHERE period = 2000) p ON t.entity_id = p.entity_id")
 query("tal1_current_talent", "#entity_id *talent *talent_sd *weight_league *weight_prior *weight_live prior_source", lambda w: w.talent, "talent")
 query("tal2_talent_interval", "#entity_id *talent_low *talent_high", lambda w: w.talent, "talent")
-query("tal3_rank_talent", "#entity_id #talent_rank *talent_pct *talent_pct_low *talent_pct_high", lambda w: w.talent_ranked, "talent_ranked")
+apart("tal3_rank_talent", "#entity_id name team status *evidence_exposure in_live #talent_rank *talent_pct *talent_pct_low *talent_pct_high", lambda w: talent.with_identity(w.talent_ranked, w.ratings, w.entities, P),
+      f"SELECT t.*, e.name, e.team, CASE WHEN l.status IS NOT NULL THEN l.status ELSE f.status END AS status FROM {{talent_ranked}} t LEFT JOIN {{entities}} e ON t.entity_id = e.entity_id LEFT JOIN (SELECT * FROM ratings WHERE period = {P.live}) l ON t.entity_id = l.entity_id LEFT JOIN (SELECT * FROM ratings WHERE period = {P.final}) f ON t.entity_id = f.entity_id")
 apart("tal4_model_context", "*total_tau2 *total_drift total_source *league_mean", lambda w: w.total.join(w.talent.agg(F.max("league_mean").alias("league_mean"))),
       "SELECT t.total_tau2, t.total_drift, t.total_source, (SELECT max(league_mean) FROM {talent}) AS league_mean FROM {total} t")
 query("unc1_bootstrap_rate", "#entity_id #period *boot_low *boot_high *boot_se", lambda w: w.boot, "boot")
@@ -270,7 +294,22 @@ def _metrics(w):
 
 
 _METRIC_SQL = "(" + " UNION ALL ".join(f"SELECT entity_id, '{m}' AS metric, round({m}, 9) AS value FROM ratings WHERE period = 2000" for m in _RANKED) + ")"
-query("win4_rank_among", "#entity_id metric #rank #of", lambda w: scouting.rank_among(_metrics(w), _RANKED), f"(SELECT entity_id, metric, CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'conceded_rate' THEN -value ELSE value END DESC NULLS LAST) END AS rank, count(value) OVER (PARTITION BY metric) AS of FROM {_METRIC_SQL}) x")
+_PLAYER_RANKS = {"adj_total": True, "obs_total": True, "exposure": True, "appearances": True, "conceded": False, "conceded_rate": False, "save_pct": True, "prevented": True, "prevented_rate": True, "total_reliability": True, "shots": True, "saves": True}
+
+
+def _player_metrics(w):
+    """Every metric of a player page in one long table: its own, and each component's adjusted rate and opportunities."""
+    now = lambda df: df.filter(C("period") == P.final)
+    own = now(w.ratings).select("entity_id", "adj_total", "obs_total", "exposure", "total_reliability").join(now(w.traditional).drop("exposure", "period"), "entity_id").join(now(w.match).groupBy("entity_id").agg(F.count("*").alias("appearances")), "entity_id")
+    parts = now(w.component_pcts).unpivot(["entity_id", "component"], [C("adj_rate").cast("double").alias("adj"), C("opps").cast("double").alias("opps")], "part", "value")
+    parts = parts.select("entity_id", F.concat_ws("_", "component", "part").alias("metric"), F.round("value", 9).alias("value"))
+    return own.unpivot("entity_id", [F.round(C(m).cast("double"), 9).alias(m) for m in _PLAYER_RANKS], "metric", "value").unionByName(parts)
+
+
+_PLAYER_SQL = f"(SELECT r.entity_id, adj_total, obs_total, r.exposure, total_reliability, t.conceded, t.conceded_rate, t.save_pct, prevented, prevented_rate, shots, saves, appearances FROM ratings r JOIN traditional t ON r.entity_id = t.entity_id AND r.period = t.period JOIN (SELECT entity_id, count(*) AS appearances FROM matches WHERE period = {P.final} GROUP BY entity_id) m ON r.entity_id = m.entity_id WHERE r.period = {P.final})"
+_PLAYER_LONG = " UNION ALL ".join([*(f"SELECT entity_id, '{m}' AS metric, round(CAST({m} AS DOUBLE), 9) AS value FROM {_PLAYER_SQL} p" for m in _PLAYER_RANKS), *(f"SELECT entity_id, component || '_{n}', round(CAST({v} AS DOUBLE), 9) FROM component_pcts WHERE period = {P.final}" for n, v in (("adj", "adj_rate"), ("opps", "opps")))])
+query("win4_rank_among", "#entity_id metric #rank #of", lambda w: scouting.rank_among(_player_metrics(w), _PLAYER_RANKS | {f"{c}_{part}": True for c in COMPONENTS for part in ("adj", "opps")}),
+      f"(SELECT entity_id, metric, CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY metric ORDER BY CASE WHEN metric IN ('conceded', 'conceded_rate') THEN -value ELSE value END DESC NULLS LAST) END AS rank, count(value) OVER (PARTITION BY metric) AS of FROM ({_PLAYER_LONG}) m) x")
 query("win5_rank_archetypes", "#cluster component #rank", lambda w: w.seeds.withColumn("rank", rank.competition_rank(F.round("c", 9), ["component"])), "(SELECT cluster, component, rank() OVER (PARTITION BY component ORDER BY round(c, 9) DESC) AS rank FROM seeds) x")
 query("win6_cumulative_form", "#entity_id #period #event_id #match_no *cum_value *cum_exposure ~cum_rate", lambda w: w.form, "form")
 query("win7_rolling_mean", "#entity_id #period #event_id ~rolling_mean", lambda w: w.form, "form")
@@ -278,6 +317,8 @@ query("win8_rolling_weighted", "#entity_id #period #event_id ~rolling_weighted",
 apart("win9_period_change", "#entity_id #period *score *score_change", lambda w: serving.period_change(w.ratings),
       "SELECT entity_id, period, score, score - lag(score) OVER (PARTITION BY entity_id ORDER BY period) AS score_change FROM {ratings}")
 query("win10_stints", "#entity_id #period #stint #club #appearances *exposure @first_date @last_date", lambda w: w.stints, "stints")
+apart("win10_current_team", "#entity_id #period #current_team #n_stints changed_teams", lambda w: facts.current_team(w.stints, ["entity_id", "period"], "club"),
+      "SELECT entity_id, period, club AS current_team, stint AS n_stints, stint > 1 AS changed_teams FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, period ORDER BY last_date DESC, stint DESC) AS n FROM {stints}) s WHERE n = 1")
 query("win11_first_per_key", "#entity_id #period", lambda w: facts.keep_first(w.ratings.filter(C("period").isin(P.final, P.live)), ["entity_id"], [C("period").desc()]).select("entity_id", "period"), "(SELECT entity_id, max(period) AS period FROM ratings WHERE period IN (2000, 2001) GROUP BY entity_id) x")
 query("win12_average_rank", "#entity_id #period *r", lambda w: w.season.select("entity_id", "period", rank.average_rank(C("shots"), ["period"]).alias("r")), f"(SELECT entity_id, period, {_avg_rank('shots', 'period')} AS r FROM season) x")
 
