@@ -212,3 +212,15 @@ def profile_documents(ratings: DataFrame, talent: DataFrame) -> DataFrame:
 def methodology_document(params: DataFrame) -> DataFrame:
     """One row: a map of each component's parameters."""
     return params.agg(F.map_from_entries(F.collect_list(F.struct("component", F.struct("k", "source", "s2", "tau2", "mean", "split_half", "drift")))).alias("components"))
+
+
+def profile_table(ratings: DataFrame, traditional: DataFrame, component_pcts: DataFrame, intervals: DataFrame, people: DataFrame, appearances: DataFrame, talent: DataFrame, components: tuple[str, ...]) -> DataFrame:
+    """One wide row an entity and period: sample, score, rates, intervals, goals, each component's rate and percentile, talent.
+
+    `intervals` has the posterior and score bounds, `people` name, team, age and archetype; what is missing there is null."""
+    key = ["entity_id", "period"]
+    parts = component_pcts.groupBy(*key).pivot("component", list(components)).agg(F.first("adj_rate").alias("adj"), F.first("pct_adj").alias("pct"))
+    goals = traditional.select(*key, "conceded", "shots", "saves", "prevented", "prevented_rate", F.col("expected").alias("expected"))
+    wide = ratings.join(goals, key).join(parts, key).join(appearances, key).join(intervals, key, "left").join(people, "entity_id", "left")
+    now = talent.select("entity_id", F.col("talent_pct").alias("talent_score"), "talent", "weight_league", "weight_prior", "weight_live")
+    return wide.join(now, "entity_id", "left")

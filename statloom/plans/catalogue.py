@@ -466,7 +466,31 @@ apart("sco4_match_reasons", "#entity_id code label detail tone", lambda w: servi
         *(f"SELECT entity_id, '{c}', '{c}', '{c} percentile ' || CAST(CAST(round({c}) AS BIGINT) AS VARCHAR) || ' of at least {v}', CASE WHEN {c} >= {v + 20} THEN 'strong' ELSE 'pass' END FROM {_BRIEF} b" for c, v in _WANTED.items()),
         f"SELECT entity_id, 'similarity', 'Profile similarity', CAST(CAST(round(100 * similarity) AS BIGINT) AS VARCHAR) || '% component-percentile similarity', CASE WHEN similarity >= 0.9 THEN 'strong' ELSE 'pass' END FROM {_BRIEF} b WHERE similarity IS NOT NULL"]))
 query("sco5_shortlist_table", "#place #entity_id name *a_f *n_o *r_f *fit reasons", lambda w: _reasons(w).join(w.entities.select("entity_id", "name"), "entity_id"), f"(SELECT b.*, e.name FROM {_REASONS} b JOIN entities e ON b.entity_id = e.entity_id) x")
-query("sco6_profile_table", "#entity_id *a_f *n_o *r_f *score *talent", lambda w: _fit(w).join(w.talent.select("entity_id", "talent"), "entity_id", "left"), f"(SELECT f.*, t.talent FROM {_FIT} f LEFT JOIN talent t ON f.entity_id = t.entity_id) x")
+_PROFILE_NUMBERS = ("exposure", "score", "score_low", "score_high", "adj_total", "obs_total", "total_reliability", "posterior_low", "posterior_high", "conceded_rate", "save_pct", "prevented", "prevented_rate", "expected", *(f"{c}_{v}" for c in COMPONENTS for v in ("adj", "pct")), "talent_score", "talent", "weight_league", "weight_prior", "weight_live")
+_PROFILE_COLUMNS = "#entity_id name team #age #period status #archetype #appearances #conceded #shots #saves " + " ".join("*" + n for n in _PROFILE_NUMBERS)
+
+
+def _profile_table(w):
+    post = _posterior(w)
+    long = post.unpivot(["entity_id", "period"], [C("posterior_low").alias("score_low"), C("posterior_high").alias("score_high")], "bound", "v")
+    on_score = talent.interval_percentiles(long, w.shrunk_totals.filter("in_pool"), "adj_total", "exposure", ["period"])
+    bounds = on_score.groupBy("entity_id", "period").pivot("bound", ["score_low", "score_high"]).agg(F.first("pct"))
+    intervals = post.select("entity_id", "period", "posterior_low", "posterior_high").join(bounds, ["entity_id", "period"])
+    people = w.entities.select("entity_id", "name", "team", F.when(C("entity_id") % 7 != 0, 20 + C("entity_id") % 20).alias("age")).join(w.clusters.select("entity_id", C("cluster").alias("archetype")), "entity_id", "left")
+    now = lambda df: df.filter(C("period") == P.final)
+    return serving.profile_table(now(w.ratings), w.traditional, now(w.component_pcts), intervals, people, now(w.match).groupBy("entity_id", "period").agg(F.count("*").alias("appearances")), w.talent_ranked, COMPONENTS)
+
+
+def _on_score(bound):
+    return f"100 * sum(CASE WHEN t.adj_total < p.{bound} THEN t.exposure WHEN t.adj_total = p.{bound} THEN t.exposure / 2 ELSE 0 END) / sum(t.exposure)"
+
+
+query("sco6_profile_table", _PROFILE_COLUMNS, _profile_table, f"""(SELECT r.*, e.name, e.team, CASE WHEN r.entity_id % 7 <> 0 THEN 20 + r.entity_id % 20 END AS age, c.cluster AS archetype, m.appearances, g.conceded, g.shots, g.saves, g.prevented, g.prevented_rate, g.expected, i.score_low, i.score_high, i.posterior_low, i.posterior_high,
+    {", ".join(f"k.{c}_{v}" for c in COMPONENTS for v in ("adj", "pct"))}, q.talent_pct AS talent_score, q.talent, q.weight_league, q.weight_prior, q.weight_live
+    FROM ratings r JOIN entities e ON r.entity_id = e.entity_id JOIN (SELECT * FROM traditional WHERE period = {P.final}) g ON r.entity_id = g.entity_id JOIN (SELECT entity_id, count(*) AS appearances FROM matches WHERE period = {P.final} GROUP BY entity_id) m ON r.entity_id = m.entity_id
+    JOIN (SELECT entity_id, {", ".join(f"max({v}) FILTER (component = '{c}') AS {c}_{n}" for c in COMPONENTS for n, v in (("adj", "adj_rate"), ("pct", "pct_adj")))} FROM component_pcts WHERE period = {P.final} GROUP BY entity_id) k ON r.entity_id = k.entity_id
+    LEFT JOIN (SELECT p.entity_id, any_value(p.posterior_low) AS posterior_low, any_value(p.posterior_high) AS posterior_high, {_on_score("posterior_low")} AS score_low, {_on_score("posterior_high")} AS score_high FROM {_POST} p JOIN shrunk_totals t ON t.period = p.period AND t.in_pool WHERE p.period = {P.final} GROUP BY p.entity_id) i ON r.entity_id = i.entity_id
+    LEFT JOIN clusters c ON r.entity_id = c.entity_id LEFT JOIN talent_ranked q ON r.entity_id = q.entity_id WHERE r.period = {P.final}) x""")
 query("sco7_compare_matrix", "#entity_id metric *value is_best", lambda w: scouting.compare_matrix(_metrics(w).filter("entity_id <= 4"), {"score": True, "save_pct": True, "conceded_rate": False, "total_reliability": None}), f"(SELECT *, coalesce(value = CASE WHEN metric IN ('score', 'save_pct') THEN max(value) OVER (PARTITION BY metric) WHEN metric = 'conceded_rate' THEN min(value) OVER (PARTITION BY metric) END, false) AS is_best FROM {_METRIC_SQL} WHERE entity_id <= 4) x")
 query("sco8_dashboard", "#size *upper_median", lambda w: _brief(w).agg(F.count("*").alias("size"), F.sort_array(F.collect_list(F.when(C("place") <= 10, F.coalesce("score", F.lit(0.0))))).alias("s")).select("size", F.expr("element_at(s, cast(floor(size(s) / 2) as int) + 1)").alias("upper_median")), f"(SELECT count(*) AS size, list_sort(list(coalesce(score, 0)) FILTER (place <= 10))[count(*) FILTER (place <= 10) // 2 + 1] AS upper_median FROM {_BRIEF}) x")
 apart("sco9_recommendation", "#place #entity_id role risks", lambda w: serving.recommendation(_brief(w)).withColumn("risks", F.array_join("risks", ",")),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions import scalars
-from statloom.operators import facts, joins, rank, rates, reliability, scouting, shrink, snapshots, talent
+from statloom.operators import facts, joins, league, rank, rates, reliability, scouting, shrink, snapshots, talent
 from statloom.plans.params import COMPONENTS, Params
 
 
@@ -137,3 +137,31 @@ def test_unparsable_numbers_are_null(spark):
     df = spark.createDataFrame([("1.5",), ("x",), ("NaN",), ("Infinity",), (None,), ("2.5",)], "t string")
     assert [r[0] for r in rows(df.select(scalars.parse_number(F.col("t"))))] == [1.5, None, None, None, None, 2.5]
     assert [r[0] for r in rows(df.select(scalars.parse_whole(F.col("t"))))] == [2, None, None, None, None, 2]
+
+
+def test_current_team_is_that_of_the_last_stint(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "c"), (3, 1, "d"), (3, 2, None)], "k long, stint long, team string")
+    assert sorted(rows(facts.current_team(df, ["k"], "team"))) == [(1, "a", 3, True), (2, "c", 1, False), (3, None, 2, True)]
+    assert facts.current_team(df.limit(0), ["k"], "team").count() == 0
+
+
+def test_projection_casts_and_fills_missing_columns(spark):
+    df = spark.createDataFrame([(1, "2.5", "x")], "id int, v string, other string")
+    out = facts.project(df, {"id": "bigint", "v": "double", "born": "date"}, version="1")
+    assert out.dtypes == [("id", "bigint"), ("v", "double"), ("born", "date"), ("version", "string")] and rows(out) == [(1, 2.5, None, "1")]
+
+
+def test_league_reference_places_the_average(spark):
+    ratings = spark.createDataFrame([(1, 1.0, 1.0, 10.0, True), (1, 2.0, 3.0, 30.0, True), (1, 9.0, 9.0, 99.0, False), (1, None, 1.0, 5.0, True)], "period int, adj_total double, obs_total double, exposure double, in_pool boolean")
+    ratings = ratings.withColumns({"conceded_rate": F.col("adj_total"), "save_pct": F.lit(50.0)})
+    baseline = spark.createDataFrame([(1, "a", 0.5, 2.0, "period_pool"), (1, "b", 0.25, 2.0, "period_pool")], "period int, component string, mu double, league_workload double, baseline_source string")
+    (r,) = league.league_reference(ratings, baseline).collect()
+    assert (r.average_adjusted, r.average_score, r.pool_size, r.adj_median, r.obs_max) == (1.5, 25.0, 2, 1.5, 3.0)
+
+
+def test_identity_is_of_the_live_period_first(spark):
+    p = Params()
+    seen = spark.createDataFrame([(1, p.final, "qualified"), (1, p.live, "limited"), (2, p.final, "provisional"), (2, p.final - 1, "limited")], "entity_id long, period int, status string")
+    people = spark.createDataFrame([(1, "n1", "t1"), (2, "n2", "t2")], "entity_id long, name string, team string")
+    out = talent.with_identity(spark.createDataFrame([(1,), (2,), (3,)], "entity_id long"), seen, people, p)
+    assert sorted(rows(out)) == [(1, "limited", "n1", "t1"), (2, "provisional", "n2", "t2"), (3, None, None, None)]
