@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, kneser_ney, langid, packing, quality_rules, simhash, substring, topk
+from . import audit, bpe, html_extract, kneser_ney, langid, merkle, packing, pii, quality_rules, simhash, substring, topk
 from .util import documents, stored
 
 
@@ -60,6 +60,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(pages, html_extract.learn(pages))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verification(documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_quality_rules": op2_quality_rules,
@@ -71,6 +83,14 @@ QUERIES = {
     "op8_exact_topk_search": op8_exact_topk_search,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_personal_data": op13_personal_data,
 }
 
-ORACLE: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op8_exact_topk_search": topk.ORACLE}
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE,
+    "op8_exact_topk_search": topk.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
+}
