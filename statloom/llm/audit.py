@@ -1,11 +1,14 @@
 """Interaction audit of five document filters over all their orders (operator 12).
 
 A document's failures are five bits. A to D are told by the text alone, where it is read. E, a text that a smaller id
-has too, is an existential self-join: hashes that two ids share are found without texts, only their documents are read
-again, and a left-semi join on hash, exact text and a smaller doc_id marks them. Its right side is one row a text (its
-smallest id), so a group of copies costs its number, not its square. Marked ids are united with the rows of the other
-failures, and a count for each part and combination of bits follows, which is all that orders need: after filters S,
-what is kept of a part are the combinations without a bit of S, so 32 sums a part give all 120 orders.
+has too, is an existential self-join: hashes that two ids share are found without texts, and a left-semi join on hash,
+exact text and a smaller doc_id marks them. Its right side is one row a text (its smallest id), so a group of copies
+costs its number, not its square. Texts whose hash no other id has are left where they are read, by a bitmap of shared
+hashes: 2 ** 24 bits in at most 262,144 rows, so its broadcast is a few MB at any size of the input. It only saves
+shuffling: above some millions of shared hashes it lets more texts pass, up to all of them, and the join decides.
+Marked ids are united with the rows of the other failures, and a count for each part and combination of bits follows,
+which is all that orders need: after filters S, what is kept of a part are the combinations without a bit of S, so 32
+sums a part give all 120 orders.
 
 Defined results: null text is empty (so it fails A, and is a copy of other empty texts); null source is the part '',
 as is the empty one; a null doc_id is smaller than none and none is smaller than it, and it has no label; rows that
@@ -30,6 +33,7 @@ from .util import small_batches, stored
 FILTERS = "ABCDE"
 SYMBOL = re.compile(rb"[#$%&*|]")
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BITS = 1 << 24  # of the bitmap of shared hashes
 COPY = 1 << FILTERS.index("E")
 NOT_LOST = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
@@ -67,11 +71,19 @@ def failures(docs: DataFrame) -> DataFrame:
     return united.groupBy("doc_id", "part", "h").agg(F.bit_or("mask").alias("mask"), F.sum("n").alias("n"))
 
 
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """(word, bits): at most BITS / 64 rows that hold a bit of each hash."""
+    place = F.pmod("h", F.lit(BITS))
+    return hashes.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
 def copies(texts: DataFrame, shared: DataFrame) -> DataFrame:
     """Rows of `texts` whose exact text a smaller doc_id has too; `shared`: the hashes that more than one id has."""
-    some = texts.filter("doc_id IS NOT NULL").join(shared, "h", "left_semi")
-    first = some.groupBy("h", "text").agg(F.min("doc_id").alias("first"))
-    a, b = some.alias("a"), first.alias("b")
+    words = stored(bitmap(shared), "bitmap")
+    place = F.pmod("h", F.lit(BITS))
+    some = texts.filter("doc_id IS NOT NULL").join(F.broadcast(words), F.shiftright(place, 6) == F.col("word")).filter(F.getbit("bits", (place % 64).cast("int")) == 1)
+    first = some.groupBy("h", "text").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    a, b = some.alias("a"), stored(first, "first").alias("b")  # stored, so that a large group of copies can be split
     return a.join(b, F.expr("a.h = b.h AND a.text = b.text AND b.first < a.doc_id"), "left_semi")
 
 
