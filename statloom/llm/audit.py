@@ -82,6 +82,7 @@ def copies(texts: DataFrame, shared: DataFrame) -> DataFrame:
     words = stored(bitmap(shared), "bitmap")
     place = F.pmod("h", F.lit(BITS))
     some = texts.filter("doc_id IS NOT NULL").join(F.broadcast(words), F.shiftright(place, 6) == F.col("word")).filter(F.getbit("bits", (place % 64).cast("int")) == 1)
+    some = stored(some.drop("word", "bits"), "candidates")  # else the optimizer moves the semi-join below the bitmap
     first = some.groupBy("h", "text").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     a, b = some.alias("a"), stored(first, "first").alias("b")  # stored, so that a large group of copies can be split
     return a.join(b, F.expr("a.h = b.h AND a.text = b.text AND b.first < a.doc_id"), "left_semi")
