@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.plans.params import Params
+from statloom.operators.rank import medians
 
 
 def standardise(rates: DataFrame, n_components: int) -> DataFrame:
@@ -80,6 +80,13 @@ def fit_kmeans(z: DataFrame, k_values: tuple[int, ...] = (3, 4, 5, 6), starts: i
     return best[1], scores
 
 
+def profiles(z: DataFrame, membership: DataFrame, scores: DataFrame) -> DataFrame:
+    """(cluster, component, size, mean_involvement, median_score) of each archetype."""
+    members = z.join(membership.select("entity_id", "cluster"), "entity_id").join(scores.select("entity_id", "score"), "entity_id", "left")
+    means = members.groupBy("cluster", "component").agg(F.count("*").alias("size"), F.avg("x").alias("mean_involvement"))
+    return means.join(medians(members, ["cluster", "component"], ["score"]), ["cluster", "component"], "left")
+
+
 def labels(centres: DataFrame, sizes: DataFrame) -> list[tuple[int, str]]:
     """A label for each of at most a handful of centroids, larger clusters first; parameters, not data."""
     rows: dict[int, dict[str, float]] = {}

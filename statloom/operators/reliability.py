@@ -1,8 +1,9 @@
 """Variance components: how much of a rate is the entity and how much is noise.
 
-All estimators take long rows and run for every component at once; each is one or two grouped aggregations whose
-partial sums are combined before the shuffle. Sums of squares are taken about group means in one pass:
-sum(G^2 / n) - (sum G)^2 / sum n equals sum((G - n g)^2 / n).
+All estimators take one table of sufficient statistics, a row for each entity, period and component, which one pass over
+the matches makes (`moments`); so facts are read once, whatever is estimated from them. Each estimator is one or two
+grouped aggregations of that table for every component at once, with partial sums combined before the shuffle. Sums of
+squares are taken about group means in one pass: sum(v^2 / n) - (sum v)^2 / sum n equals sum((v - n g)^2 / n).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statloom.functions.scalars import guarded_corr
+from statloom.operators.rank import medians
 from statloom.plans.params import Params
 
 GROUP = ["entity_id", "period"]
@@ -20,11 +22,31 @@ def weighted_mean(x: Column, w: Column) -> Column:
     return F.sum(x * w) / F.nullif(F.sum(w), F.lit(0))
 
 
-def within_variance(matches: DataFrame, min_matches: int) -> DataFrame:
+def moments(matches: DataFrame, basis: float) -> DataFrame:
+    """(entity_id, period, component, ...): sums of all that the estimators need from matches (value, opps, exposure, order).
+
+    w_: value's noise (matches, sum v^2 / n, sum v, sum n); h_: halves by date (matches, sums of odd and even ones);
+    x_: rate of opportunities (matches, sum e r^2, sum e r, sum e); value and opps: the period's own sums."""
+    seen = F.col("value").isNotNull() & F.col("opps").isNotNull()
+    w = Window.partitionBy(*GROUP, "component").orderBy("_order")
+    order = F.when(seen, F.struct("event_date", "event_id"))  # matches without either take no part in the halves
+    x = matches.withColumn("_order", order).withColumn("_no", F.when(seen, F.count("_order").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    odd, noise, rated = seen & (F.col("_no") % 2 == 1), F.col("value").isNotNull() & (F.col("opps") > 0), F.col("opps").isNotNull() & (F.col("exposure") > 0)
+    even, v, n, e = seen & (F.col("_no") % 2 == 0), F.col("value"), F.col("opps"), F.col("exposure")
+    rate = n / e * basis
+    total = lambda when, c: F.sum(F.when(when, c))
+    return x.groupBy(*GROUP, "component").agg(
+        F.count_if(noise).alias("w_m"), total(noise, v * v / n).alias("w_q"), total(noise, v).alias("w_v"), total(noise, n).alias("w_n"),
+        F.count_if(seen).alias("h_m"), total(odd, v).alias("h_v1"), total(odd, n).alias("h_n1"), total(even, v).alias("h_v2"), total(even, n).alias("h_n2"),
+        F.count_if(rated).alias("x_m"), total(rated, e * rate * rate).alias("x_q"), total(rated, e * rate).alias("x_r"), total(rated, e).alias("x_e"),
+        F.sum("value").alias("value"), F.sum("raw_value").alias("raw_value") if "raw_value" in matches.columns else F.lit(None).cast("double").alias("raw_value"), F.sum("opps").alias("opps"),
+    )
+
+
+def within_variance(cube: DataFrame, min_matches: int) -> DataFrame:
     """(component, s2, n_groups, n_matches): variance of one opportunity's value within entity and period."""
-    use = matches.filter("value is not null and opps > 0")
-    groups = use.groupBy(*GROUP, "component").agg(F.count("*").alias("m"), F.sum(F.col("value") * F.col("value") / F.col("opps")).alias("q"), F.sum("value").alias("g"), F.sum("opps").alias("n")).filter(F.col("m") >= min_matches)
-    out = groups.groupBy("component").agg(F.sum(F.col("q") - F.col("g") * F.col("g") / F.col("n")).alias("num"), F.sum(F.col("m") - 1).alias("den"), F.count("*").alias("n_groups"), F.sum("m").alias("n_matches"))
+    groups = cube.filter(F.col("w_m") >= min_matches)
+    out = groups.groupBy("component").agg(F.sum(F.col("w_q") - F.col("w_v") * F.col("w_v") / F.col("w_n")).alias("num"), F.sum(F.col("w_m") - 1).alias("den"), F.count("*").alias("n_groups"), F.sum("w_m").alias("n_matches"))
     return out.select("component", F.when((F.col("den") > 0) & (F.col("num") > 0), F.col("num") / F.col("den")).alias("s2"), "n_groups", "n_matches")
 
 
@@ -56,16 +78,10 @@ def pool_rate(seasons: DataFrame, keys: list[str], basis: float) -> DataFrame:
     return use.groupBy(*keys).agg((F.sum("opps") / F.sum("exposure") * basis).alias("pool_rate"))
 
 
-def split_half(matches: DataFrame, min_matches: int) -> DataFrame:
+def split_half(cube: DataFrame, min_matches: int) -> DataFrame:
     """(component, split_half, spearman_brown): odd against even matches by date."""
-    use = matches.filter("value is not null and opps is not null")
-    w = Window.partitionBy(*GROUP, "component").orderBy("event_date", "event_id")
-    odd = F.col("rn") % 2 == 1
-    halves = use.withColumn("rn", F.row_number().over(w)).groupBy(*GROUP, "component").agg(
-        F.count("*").alias("m"), F.sum(F.when(odd, F.col("value"))).alias("v1"), F.sum(F.when(odd, F.col("opps"))).alias("n1"), F.sum(F.when(~odd, F.col("value"))).alias("v2"), F.sum(F.when(~odd, F.col("opps"))).alias("n2"),
-    )
-    halves = halves.filter((F.col("m") >= max(2 * min_matches, 6)) & (F.col("n1") > 0) & (F.col("n2") > 0))
-    r = halves.groupBy("component").agg(guarded_corr(F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2"), 10).alias("r"))
+    halves = cube.filter((F.col("h_m") >= max(2 * min_matches, 6)) & (F.col("h_n1") > 0) & (F.col("h_n2") > 0))
+    r = halves.groupBy("component").agg(guarded_corr(F.col("h_v1") / F.col("h_n1"), F.col("h_v2") / F.col("h_n2"), 10).alias("r"))
     r = r.select("component", F.when(F.abs("r") < 0.005, 0.0).otherwise(F.col("r")).alias("split_half"))
     return r.withColumn("spearman_brown", F.when(F.col("split_half") > -1, 2 * F.col("split_half") / (1 + F.col("split_half"))))
 
@@ -108,12 +124,11 @@ def k_gate(x: DataFrame, p: Params) -> DataFrame:
     return x.withColumns({"k": F.when(empirical, candidate).otherwise(_lookup(p.fallback_k)), "source": F.when(empirical, "empirical").otherwise("fallback")})
 
 
-def volume_reliability(seasons: DataFrame, matches: DataFrame, p: Params) -> DataFrame:
+def volume_reliability(cube: DataFrame, p: Params) -> DataFrame:
     """(component, k_exposure, volume_source, sampling, talent, league_rate, volume_groups, reliability_900)."""
-    use = matches.filter("opps is not null and exposure > 0")
-    rate = F.col("opps") / F.col("exposure") * p.basis
-    groups = use.groupBy(*GROUP, "component").agg(F.count("*").alias("m"), F.sum(F.col("exposure") * rate * rate).alias("q"), F.sum(F.col("exposure") * rate).alias("g"), F.sum("exposure").alias("w")).filter(F.col("m") >= p.min_matches)
-    within = groups.groupBy("component").agg(F.sum(F.col("q") - F.col("g") * F.col("g") / F.col("w")).alias("num"), F.sum(F.col("m") - 1).alias("den"), F.count("*").alias("volume_groups"))
+    seasons, rate = cube, F.col("opps") / F.col("exposure") * p.basis
+    groups = cube.filter(F.col("x_m") >= p.min_matches)
+    within = groups.groupBy("component").agg(F.sum(F.col("x_q") - F.col("x_r") * F.col("x_r") / F.col("x_e")).alias("num"), F.sum(F.col("x_m") - 1).alias("den"), F.count("*").alias("volume_groups"))
     within = within.select("component", F.when((F.col("den") > 0) & (F.col("num") > 0), F.col("num") / F.col("den")).alias("sampling"), "volume_groups")
     pool = seasons.filter((F.col("exposure") >= p.min_exposure) & F.col("opps").isNotNull())
     m = _weighted_moments(pool, rate, F.col("exposure").cast("double"))
@@ -127,19 +142,18 @@ def volume_reliability(seasons: DataFrame, matches: DataFrame, p: Params) -> Dat
     return x.select("component", "k_exposure", "volume_source", "sampling", "talent", "league_rate", "volume_groups", (900 / (900 + F.col("k_exposure"))).alias("reliability_900"))
 
 
-def estimate_reliability(seasons: DataFrame, matches: DataFrame, p: Params) -> DataFrame:
-    """One row of parameters per component, from the history periods."""
-    lo, hi = p.history
-    s, m = seasons.filter(F.col("period").between(lo, hi)), matches.filter(F.col("period").between(lo, hi))
-    w = within_variance(m, p.min_matches)
+def estimate_reliability(cube: DataFrame, p: Params) -> DataFrame:
+    """One row of parameters per component, from the history periods of `moments` with each period's exposure."""
+    s = cube.filter(F.col("period").between(*p.history))
+    w = within_variance(s, p.min_matches)
     b = between_variance(s, w, p)
     out = pool_mean(s, ["component"])
-    for part in (w, b, split_half(m, p.min_matches), year_over_year(s, p), s.filter(F.col("exposure") >= p.regular_exposure).groupBy("component").agg(F.median("opps").alias("median_opps"))):
+    for part in (w, b, split_half(s, p.min_matches), year_over_year(s, p), medians(s.filter(F.col("exposure") >= p.regular_exposure), ["component"], ["opps"])):
         out = out.join(F.broadcast(part), "component", "left")  # one row a component
     out = k_gate(out.withColumn("mean", F.when(F.col("s2") > 0, F.col("mean")).otherwise(F.col("pool_mean"))), p)
     out = out.join(F.broadcast(drift(s, out.select("component", "s2", "tau2"), p)), "component", "left")
     out = out.withColumn("reliability_at_median", F.col("median_opps") / (F.col("median_opps") + F.col("k")))
-    return out.join(F.broadcast(volume_reliability(s, m, p)), "component", "left")
+    return out.join(F.broadcast(volume_reliability(s, p)), "component", "left")
 
 
 def total_variance(totals: DataFrame, components: DataFrame, params: DataFrame, p: Params) -> DataFrame:
@@ -150,8 +164,8 @@ def total_variance(totals: DataFrame, components: DataFrame, params: DataFrame,
     m = _weighted_moments(x, F.col("total_rate"), F.col("w"))
     correction = 1 - F.col("w2") / (F.col("w") * F.col("w"))
     direct = m.select(F.when((F.col("n") >= 5) & (correction > 0), (F.col("observed") - F.col("n") / F.col("w")) / F.when(correction > 0, correction)).alias("direct"))
-    med = components.filter((F.col("exposure") >= p.min_exposure) & F.col("period").between(*p.history)).groupBy("component").agg(F.median("opps").alias("mo"), F.median("exposure").alias("me"))
-    derived = med.join(F.broadcast(params.select("component", "tau2")), "component").agg(F.sum(F.when(F.col("tau2") > 0, F.col("tau2") * F.pow(p.basis * F.col("mo") / F.greatest("me", F.lit(1.0)), 2))).alias("derived"))
+    med = medians(components.filter((F.col("exposure") >= p.min_exposure) & F.col("period").between(*p.history)), ["component"], ["opps", "exposure"])
+    derived = med.join(F.broadcast(params.select("component", "tau2")), "component").agg(F.sum(F.when(F.col("tau2") > 0, F.col("tau2") * F.pow(p.basis * F.col("median_opps") / F.greatest("median_exposure", F.lit(1.0)), 2))).alias("derived"))
     t = direct.crossJoin(derived)  # one row each
     own = F.col("direct") > 0
     t = t.select(F.when(own, F.col("direct")).otherwise(F.coalesce("derived", F.lit(0.0))).alias("total_tau2"), F.when(own, "empirical").when(F.col("derived") > 0, "component_derived").otherwise("unavailable").alias("total_source"))

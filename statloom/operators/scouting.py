@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.functions.scalars import band
+from statloom.operators.rank import rank_of, standings
 
 
 def cosine_to(pcts: DataFrame, reference: DataFrame, least: int = 3) -> DataFrame:
@@ -15,26 +15,11 @@ def cosine_to(pcts: DataFrame, reference: DataFrame, least: int = 3) -> DataFram
     return x.filter(F.col("n") >= least).select("entity_id", F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("d") / F.sqrt(F.col("a") * F.col("b"))).alias("similarity"))
 
 
-def cosine_pairs(pcts: DataFrame, least: int = 3) -> DataFrame:
-    """(entity_a, entity_b, similarity) of every pair within `pcts`; for a shortlist, not for a population."""
-    a = pcts.filter("pct is not null").select(F.col("entity_id").alias("entity_a"), "component", F.col("pct").alias("p"))
-    b = a.select(F.col("entity_a").alias("entity_b"), "component", F.col("p").alias("q"))
-    x = a.join(b, "component").filter("entity_a < entity_b").groupBy("entity_a", "entity_b").agg(F.count("*").alias("n"), F.sum(F.col("p") * F.col("q")).alias("d"), F.sum(F.col("p") * F.col("p")).alias("aa"), F.sum(F.col("q") * F.col("q")).alias("bb"))
-    return x.filter((F.col("n") >= least) & (F.col("aa") > 0) & (F.col("bb") > 0)).select("entity_a", "entity_b", (F.col("d") / F.sqrt(F.col("aa") * F.col("bb"))).alias("similarity"))
-
-
 def fit_score(first: Column, second: Column, third: Column, score: Column, reliability: Column, exposure: Column, similarity: Column, bonus: Column) -> Column:
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return 0.35 * zero(first) + 0.15 * zero(second) + 0.15 * zero(third) + 0.2 * F.coalesce(score, F.lit(50.0)) + 10.0 * zero(reliability) + F.least(F.lit(20.0), exposure / 180.0) + 25.0 * zero(similarity) + F.when(bonus, 8.0).otherwise(0.0)
 
 
-def notes(shrunk: DataFrame, bands: tuple[float, float, float, float], least_opps: int) -> DataFrame:
-    """(entity_id, period, component, pct, band, kind): a strength or concern for components with enough opportunities."""
-    b = band(F.col("pct_adj"), bands)
-    x = shrunk.filter(F.col("opps") >= least_opps).withColumn("band", b).filter("band is not null")
-    return x.withColumn("kind", F.when(F.col("band").isin("elite", "strong"), "strength").otherwise("concern"))
-
-
 def compare_matrix(metrics: DataFrame, higher: dict[str, bool | None]) -> DataFrame:
     """`metrics` (entity_id, metric, value) with is_best: the best of each metric by its direction; neutral ones have none."""
     up = F.col("metric").isin([m for m, h in higher.items() if h]) if any(higher.values()) else F.lit(False)
@@ -46,6 +31,7 @@ def compare_matrix(metrics: DataFrame, higher: dict[str, bool | None]) -> DataFr
 
 def rank_among(metrics: DataFrame, higher: dict[str, bool]) -> DataFrame:
     """Rank and number of values for each metric."""
-    w = Window.partitionBy("metric")
     x = F.when(F.col("metric").isin([m for m, h in higher.items() if h]), F.col("value")).otherwise(-F.col("value"))
-    return metrics.withColumns({"rank": F.when(F.col("value").isNotNull(), F.rank().over(w.orderBy(x.desc_nulls_last()))), "of": F.count("value").over(w)})
+    placed = standings(metrics.withColumn("_signed", x), ["metric"], ["entity_id"], ["_signed"])
+    of = placed.groupBy("metric").agg(F.count("value").alias("of"))
+    return placed.withColumn("rank", rank_of("_signed")).drop("_signed", "at__signed").join(F.broadcast(of), "metric")  # one row a metric

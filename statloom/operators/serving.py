@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statloom.operators.rank import numbered
 from statloom.functions.scalars import band
 
 #: Sort keys of the leaderboard: rank, score, name, exposure and the other columns that a board shows.
@@ -66,12 +67,12 @@ def sort_leaderboard(rows: DataFrame, key: str, ascending: bool = False, id_col:
 
 
 def sort_places(rows: DataFrame, keys: list[str], ascending: bool = False, id_col: str = "entity_id") -> DataFrame:
-    """(key, id, pos): each row's place under each sort key; one window a key."""
+    """(key, id, pos): each row's place under each sort key."""
     kinds = dict(rows.dtypes)
     values = [F.struct(F.lit(k).alias("key"), (F.round(k, 9) if kinds[k] == "double" else F.col(k).cast("double") if kinds[k] != "string" else F.lit(None).cast("double")).alias("number"), F.when(F.lit(kinds[k] == "string"), F.col(k).cast("string")).alias("word")) for k in keys]
     long = rows.select(id_col, F.explode(F.array(*values)).alias("x")).select(id_col, "x.*")
     order = (lambda c: c.asc_nulls_last()) if ascending else (lambda c: c.desc_nulls_last())
-    return long.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy(order(F.col("number")), order(F.col("word")), id_col)))
+    return numbered(long, ["key"], [order(F.col("number")), order(F.col("word")), F.col(id_col)])
 
 
 def top_disagreement(rows: DataFrame, n: int = 10) -> DataFrame:

@@ -44,7 +44,7 @@ def rank_talent(talent: DataFrame, least_live: int = 10) -> DataFrame:
     out = interval_percentiles(long, means, "talent", "evidence_exposure")
     wide = out.groupBy("entity_id").pivot("bound", ["mid", "low", "high"]).agg(F.first("pct"))
     x = x.join(wide.select("entity_id", F.col("mid").alias("talent_pct"), F.col("low").alias("talent_pct_low"), F.col("high").alias("talent_pct_high")), "entity_id")
-    return x.withColumn("_one", F.lit(1)).withColumn("talent_rank", competition_rank(F.col("talent"), ["_one"])).drop("_one", "_pool")
+    return competition_rank(x.withColumn("_one", F.lit(1)), ["_one"], "talent", "talent_rank").drop("_one", "_pool")
 
 
 def with_identity(talent: DataFrame, ratings: DataFrame, entities: DataFrame, p: Params) -> DataFrame:

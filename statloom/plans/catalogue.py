@@ -182,13 +182,13 @@ query("rat4_traditional", "#entity_id #period *conceded_rate *shots_rate *expect
 
 # --- estimators
 query("agg1_weighted_mean", "component *m", lambda w: w.season_c.groupBy("component").agg(reliability.weighted_mean(C("value") / C("opps"), C("opps")).alias("m")), "(SELECT component, sum(value) / sum(opps) AS m FROM season_c GROUP BY component) x")
-query("agg2_within_variance", "component *s2 #n_groups #n_matches", lambda w: reliability.within_variance(hist(w.match_c), P.min_matches), "within")
-query("agg3_between_variance", "component *tau2 *mean #n_used", lambda w: reliability.between_variance(hist(w.season_c), reliability.within_variance(hist(w.match_c), P.min_matches), P), "between_")
+query("agg2_within_variance", "component *s2 #n_groups #n_matches", lambda w: reliability.within_variance(hist(w.cube), P.min_matches), "within")
+query("agg3_between_variance", "component *tau2 *mean #n_used", lambda w: reliability.between_variance(hist(w.cube), reliability.within_variance(hist(w.cube), P.min_matches), P), "between_")
 query("agg4_pool_mean", "component *pool_mean", lambda w: reliability.pool_mean(hist(w.season_c), ["component"]), "pool_means")
 query("agg5_pool_rate", "component *pool_rate", lambda w: reliability.pool_rate(hist(w.season_c), ["component"], P.basis), "(SELECT component, league_rate AS pool_rate FROM pool_means) x")
-query("agg6_volume_reliability", "component *k_exposure volume_source *sampling *talent *league_rate #volume_groups", lambda w: reliability.volume_reliability(hist(w.season_c), hist(w.match_c), P), "volumes")
+query("agg6_volume_reliability", "component *k_exposure volume_source *sampling *talent *league_rate #volume_groups", lambda w: reliability.volume_reliability(hist(w.cube), P), "volumes")
 query("agg7_k_gate", "component *k source reason", lambda w: w.params, "params")
-query("agg8_split_half", "component *split_half", lambda w: reliability.split_half(hist(w.match_c), P.min_matches), "halves")
+query("agg8_split_half", "component *split_half", lambda w: reliability.split_half(hist(w.cube), P.min_matches), "halves")
 query("agg9_spearman_brown", "component *spearman_brown", lambda w: w.params, "params")
 query("agg10_year_over_year", "component *year_over_year", lambda w: reliability.year_over_year(hist(w.season_c), P), "yoy")
 query("agg11_drift_variance", "component *drift drift_source", lambda w: w.params, "params")
@@ -209,8 +209,8 @@ PAIRS = [("score", "conceded_rate"), ("score", "save_pct"), ("score", "exposure"
 
 def _spearman_pairs(w):
     x = w.ratings.filter("in_pool and period = 2000")
-    for m in METRICS:
-        x = x.withColumn(f"r_{m}", rank.average_rank(F.round(m, 9), ["period"]))
+    x = x.select("entity_id", "period", *(F.round(m, 9).alias(m) for m in METRICS))
+    x = rank.standings(x, ["period"], ["entity_id"], list(METRICS)).withColumns({f"r_{m}": rank.average_rank_of(m) for m in METRICS})
     return x.agg(F.array(*(F.struct(F.lit(f"{a}~{b}").alias("pair"), scalars.guarded_corr(C(f"r_{a}").cast("double"), C(f"r_{b}").cast("double"), 5).alias("r")) for a, b in PAIRS)).alias("p")).select(F.explode("p").alias("x")).select("x.*")
 
 
@@ -226,7 +226,7 @@ def _component_corr(w):
     x = w.component_pcts.filter("status = 'qualified' and period = 2000 and obs_rate is not null").select("entity_id", "component", F.round("obs_rate", 9).alias("v"))
     a, b = x.select("entity_id", C("component").alias("a"), C("v").alias("va")), x.select("entity_id", C("component").alias("b"), C("v").alias("vb"))
     j = a.join(b, "entity_id").filter("a < b")
-    j = j.withColumns({"x": rank.average_rank(C("va"), ["a", "b"]), "y": rank.average_rank(C("vb"), ["a", "b"])})
+    j = rank.standings(j, ["a", "b"], ["entity_id"], ["va", "vb"]).withColumns({"x": rank.average_rank_of("va"), "y": rank.average_rank_of("vb")})
     return j.groupBy("a", "b").agg(scalars.guarded_corr(C("x").cast("double"), C("y").cast("double"), 3).alias("r"))
 
 
@@ -236,7 +236,7 @@ query("agg21_component_corr_matrix", "a b *r", _component_corr, f"(SELECT a, b,
 def _stability(w):
     a = w.ratings.select("entity_id", C("period").alias("pa"), F.round("score", 9).alias("va"))
     j = a.join(w.ratings.select("entity_id", C("period").alias("pb"), F.round("score", 9).alias("vb")), "entity_id").filter("pa < pb")
-    j = j.withColumns({"x": rank.average_rank(C("va"), ["pa", "pb"]), "y": rank.average_rank(C("vb"), ["pa", "pb"])})
+    j = rank.standings(j, ["pa", "pb"], ["entity_id"], ["va", "vb"]).withColumns({"x": rank.average_rank_of("va"), "y": rank.average_rank_of("vb")})
     return j.groupBy("pa", "pb").agg(scalars.guarded_corr(C("x").cast("double"), C("y").cast("double"), 3).alias("r"), F.count("*").alias("n"))
 
 
@@ -248,7 +248,7 @@ apart("agg25_count_by_status", "#period status #n", lambda w: w.status.groupBy("
       "SELECT period, status, count(*) AS n FROM {status} GROUP BY period, status")
 apart("agg26_distinct_teams", "team", lambda w: w.entities.select("team").distinct(),
       "SELECT DISTINCT team FROM {entities}")
-query("agg27_archetype_profile", "#cluster component #size *mean_involvement *median_score", lambda w: w.z.join(w.clusters, "entity_id").join(w.ratings.filter(C("period") == P.final).select("entity_id", "score"), "entity_id", "left").groupBy("cluster", "component").agg(F.count("*").alias("size"), F.avg("x").alias("mean_involvement"), F.median("score").alias("median_score")),
+query("agg27_archetype_profile", "#cluster component #size *mean_involvement *median_score", lambda w: archetypes.profiles(w.z, w.clusters, w.ratings.filter(C("period") == P.final)),
       f"(SELECT cluster, component, count(*) AS size, avg(x) AS mean_involvement, median(score) AS median_score FROM z JOIN clusters USING (entity_id) LEFT JOIN (SELECT entity_id, score FROM ratings WHERE period = {P.final}) USING (entity_id) GROUP BY ALL) x")
 for _d, _name in ((0.0, "flat"), (0.01, "strong")):
     query(f"agg7_k_gate_{_name}", "component source reason", lambda w, d=_d: type(w)(w.spark, w.dir, Params(signal=d)).params, None)
@@ -310,7 +310,7 @@ _PLAYER_SQL = f"(SELECT r.entity_id, adj_total, obs_total, r.exposure, total_rel
 _PLAYER_LONG = " UNION ALL ".join([*(f"SELECT entity_id, '{m}' AS metric, round(CAST({m} AS DOUBLE), 9) AS value FROM {_PLAYER_SQL} p" for m in _PLAYER_RANKS), *(f"SELECT entity_id, component || '_{n}', round(CAST({v} AS DOUBLE), 9) FROM component_pcts WHERE period = {P.final}" for n, v in (("adj", "adj_rate"), ("opps", "opps")))])
 query("win4_rank_among", "#entity_id metric #rank #of", lambda w: scouting.rank_among(_player_metrics(w), _PLAYER_RANKS | {f"{c}_{part}": True for c in COMPONENTS for part in ("adj", "opps")}),
       f"(SELECT entity_id, metric, CASE WHEN value IS NOT NULL THEN rank() OVER (PARTITION BY metric ORDER BY CASE WHEN metric IN ('conceded', 'conceded_rate') THEN -value ELSE value END DESC NULLS LAST) END AS rank, count(value) OVER (PARTITION BY metric) AS of FROM ({_PLAYER_LONG}) m) x")
-query("win5_rank_archetypes", "#cluster component #rank", lambda w: w.seeds.withColumn("rank", rank.competition_rank(F.round("c", 9), ["component"])), "(SELECT cluster, component, rank() OVER (PARTITION BY component ORDER BY round(c, 9) DESC) AS rank FROM seeds) x")
+query("win5_rank_archetypes", "#cluster component #rank", lambda w: rank.competition_rank(w.seeds.withColumn("c", F.round("c", 9)), ["component"], "c"), "(SELECT cluster, component, rank() OVER (PARTITION BY component ORDER BY round(c, 9) DESC) AS rank FROM seeds) x")
 query("win6_cumulative_form", "#entity_id #period #event_id #match_no *cum_value *cum_exposure ~cum_rate", lambda w: w.form, "form")
 query("win7_rolling_mean", "#entity_id #period #event_id ~rolling_mean", lambda w: w.form, "form")
 query("win8_rolling_weighted", "#entity_id #period #event_id ~rolling_weighted", lambda w: w.form, "form")
@@ -320,7 +320,7 @@ query("win10_stints", "#entity_id #period #stint #club #appearances *exposure @f
 apart("win10_current_team", "#entity_id #period #current_team #n_stints changed_teams", lambda w: facts.current_team(w.stints, ["entity_id", "period"], "club"),
       "SELECT entity_id, period, club AS current_team, stint AS n_stints, stint > 1 AS changed_teams FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, period ORDER BY last_date DESC, stint DESC) AS n FROM {stints}) s WHERE n = 1")
 query("win11_first_per_key", "#entity_id #period", lambda w: facts.keep_first(w.ratings.filter(C("period").isin(P.final, P.live)), ["entity_id"], [C("period").desc()]).select("entity_id", "period"), "(SELECT entity_id, max(period) AS period FROM ratings WHERE period IN (2000, 2001) GROUP BY entity_id) x")
-query("win12_average_rank", "#entity_id #period *r", lambda w: w.season.select("entity_id", "period", rank.average_rank(C("shots"), ["period"]).alias("r")), f"(SELECT entity_id, period, {_avg_rank('shots', 'period')} AS r FROM season) x")
+query("win12_average_rank", "#entity_id #period *r", lambda w: rank.average_rank(w.season.select("entity_id", "period", "shots"), ["period"], ["entity_id"], "shots"), f"(SELECT entity_id, period, {_avg_rank('shots', 'period')} AS r FROM season) x")
 
 # --- sort, limit, top-k
 apart("srt1_sort_leaderboard", "#entity_id key #pos", lambda w: serving.sort_places(_board(w, P.final).join(_candidates(w).select("entity_id", "a_f", "n_o", "r_f"), "entity_id"), list(serving.SORT_KEYS)),

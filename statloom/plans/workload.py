@@ -29,29 +29,46 @@ class Workload:
             F.lower(F.concat_ws("_", "l_returnflag", "l_linestatus")).alias("component"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"), (F.col("l_returnflag") == "R").alias("returned"),
         )
 
-    def _components(self, *keys: str) -> DataFrame:
+    def _components(self, *keys: str, own: bool = False) -> DataFrame:
         tilt = self.p.signal * ((F.col("entity_id") % 7) - 3)
-        return self.lines.groupBy(*keys, "component").agg(F.sum(F.col("disc") - 0.05 + tilt).alias("value"), F.sum("disc").alias("raw_value"), F.count("*").alias("opps"))
-
-    def _rows(self, *keys: str) -> DataFrame:
-        r = F.count_if("returned")
-        return self.lines.groupBy(*keys).agg(F.min("ship_date").alias("event_date"), F.max("ship_date").alias("last_date"), F.sum("q").alias("exposure"), F.count("*").alias("shots"), r.alias("conceded"), (F.count("*") - r).alias("saves"), (F.sum("tax") / 0.12).alias("expected"))
+        more = (F.min("ship_date").alias("c_date"), F.max("ship_date").alias("last_date"), F.sum("q").alias("c_exposure"), F.count_if("returned").alias("c_conceded"), F.sum("tax").alias("c_tax")) if own else ()
+        return self.lines.groupBy(*keys, "component").agg(F.sum(F.col("disc") - 0.05 + tilt).alias("value"), F.sum("disc").alias("raw_value"), F.count("*").alias("opps"), *more)
 
     @cached_property
     def match(self) -> DataFrame:
-        return self._rows("entity_id", "period", "event_id").drop("last_date")
+        shots, conceded = F.col("shots"), F.col("conceded")
+        return self.facts.filter("first").select("entity_id", "period", "event_id", "event_date", "exposure", "shots", "conceded", (shots - conceded).alias("saves"), (F.col("tax") / 0.12).alias("expected"))
 
     @cached_property
     def season(self) -> DataFrame:
-        return self._rows("entity_id", "period")
+        first = lambda c: F.sum(F.when(F.col("first"), F.col(c)))
+        n, r = first("shots"), first("conceded")
+        return self.facts.groupBy("entity_id", "period").agg(F.min("event_date").alias("event_date"), F.max("last_date").alias("last_date"), first("exposure").alias("exposure"), n.alias("shots"), r.alias("conceded"), (n - r).alias("saves"), (first("tax") / 0.12).alias("expected"))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """A row for each entity, period, event and component, with the event's own sums beside it: all that is ever read of lineitem.
+
+        One shuffle: rows of an event meet by its key, components are grouped within it."""
+        key = ["entity_id", "period", "event_id"]
+        each = self._components(*key, own=True)
+        w = Window.partitionBy(*key)
+        whole = {"event_date": F.min("c_date").over(w), "exposure": F.sum("c_exposure").over(w), "shots": F.sum("opps").over(w), "conceded": F.sum("c_conceded").over(w), "tax": F.sum("c_tax").over(w), "first": F.row_number().over(w.orderBy("component")) == 1}
+        return written(each.withColumns(whole).drop("c_date", "c_exposure", "c_conceded", "c_tax"), "parquet")
 
     @cached_property
     def match_c(self) -> DataFrame:
-        return self._components("entity_id", "period", "event_id").join(self.match.select("entity_id", "period", "event_id", "event_date", "exposure"), ["entity_id", "period", "event_id"])
+        return self.facts.select("entity_id", "period", "event_id", "component", "value", "raw_value", "opps", "event_date", "exposure")
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        """Sufficient statistics of each entity, period and component, with the period's exposure."""
+        own = reliability.moments(self.match_c, self.p.basis)
+        return written(own.join(self.season.select("entity_id", "period", "exposure"), ["entity_id", "period"]), "parquet")
 
     @cached_property
     def season_c(self) -> DataFrame:
-        return self._components("entity_id", "period").join(self.season.select("entity_id", "period", "exposure"), ["entity_id", "period"])
+        return self.cube.select("entity_id", "period", "component", "value", "raw_value", "opps", "exposure")
 
     @cached_property
     def entities(self) -> DataFrame:
@@ -84,7 +101,7 @@ class Workload:
 
     @cached_property
     def params(self) -> DataFrame:
-        return written(reliability.estimate_reliability(self.season_c, self.match_c, self.p).coalesce(1), "parquet")  # one row a component, made once
+        return written(reliability.estimate_reliability(self.cube, self.p).coalesce(1), "parquet")  # one row a component, made once
 
     @cached_property
     def total(self) -> DataFrame:
@@ -114,9 +131,10 @@ class Workload:
     @cached_property
     def component_pcts(self) -> DataFrame:
         """Component percentiles of adjusted and observed rates."""
-        x = rank.weighted_percentile(self.shrunk.withColumn("adj_key", F.round("adj_rate", 12)), ["period", "component"], "adj_key", "exposure", "in_pool", "pct_adj")
-        x = rank.weighted_percentile(x.withColumn("obs_key", F.round("obs_rate", 12)), ["period", "component"], "obs_key", "exposure", "in_pool", "pct_obs").drop("adj_key", "obs_key")
-        return written(x, "parquet")
+        x = self.shrunk.withColumns({"adj_key": F.round("adj_rate", 12), "obs_key": F.round("obs_rate", 12)})
+        x = rank.standings(x, ["period", "component"], ["entity_id"], ["adj_key", "obs_key"], "exposure", "in_pool")
+        x = x.withColumns({"pct_adj": rank.percentile_of("adj_key"), "pct_obs": rank.percentile_of("obs_key")})
+        return written(x.drop("adj_key", "obs_key", "at_adj_key", "at_obs_key"), "parquet")
 
     @cached_property
     def ratings(self) -> DataFrame:
