@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.sources.payload import written
+
 
 def fuzzy_name_join(roster: DataFrame, names: DataFrame, gram: int = 3) -> DataFrame:
     """(roster_id, entity_id): names equal, or the entity's name holds the roster name's last word, ignoring case.
 
     `roster` (roster_id, roster_name), `names` (entity_id, name). Equal names meet by equality. For the substring,
-    both sides are blocked: the needle by its first `gram` characters, the haystack by each of its character grams,
-    and candidates are verified. Needles under `gram` characters go to a nested loop of those few against all names."""
-    r = roster.select("roster_id", F.lower("roster_name").alias("rn"), F.lower(F.split_part("roster_name", F.lit(" "), F.lit(-1))).alias("needle"))
+    names are an inverted index of their grams of 1 to `gram` characters; a word is looked up by the one of its longest
+    grams that fewest names hold, and what it finds is verified. A word of `gram` characters or fewer is its own gram,
+    so its postings are its matches. Equal words are looked up once. Only grams that some word asks for are kept of the
+    index, so a gram that all names share is no key unless a word has no other. A blank name has no word and only equals."""
+    r = roster.select("roster_id", F.lower("roster_name").alias("rn"), F.lower(F.split_part(F.btrim("roster_name"), F.lit(" "), F.lit(-1))).alias("needle"))
     n = names.select("entity_id", F.lower("name").alias("nm"))
     equal = r.join(n, F.col("rn") == F.col("nm")).select("roster_id", "entity_id")
-    long = r.filter(F.length("needle") >= gram).withColumn("g", F.substring("needle", 1, gram))
-    grams = n.filter(F.length("nm") >= gram).withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("nm") - gram + 1), lambda i: F.substring("nm", i, F.lit(gram))))))
-    inside = long.join(grams, "g").filter(F.contains("nm", "needle")).select("roster_id", "entity_id")
-    short = r.filter(F.length("needle") < gram).join(n, F.contains("nm", "needle")).select("roster_id", "entity_id")
-    return equal.union(inside).union(short).distinct()
+    words = r.filter(F.length("needle") > 0).select("needle").distinct()
+    asked = written(words.select("needle", F.explode(_grams("needle", F.least(F.length("needle"), F.lit(gram)))).alias("g")), "parquet")
+    sizes = asked.select(F.length("g").alias("k")).distinct().count()
+    held = F.array_distinct(F.flatten(F.array(*(_grams("nm", F.lit(k)) for k in range(1, gram + 1))))) if sizes > 1 or gram == 1 else _grams("nm", F.lit(gram))
+    postings = n.select("entity_id", "nm", F.explode(held).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
+    frequency = postings.groupBy("g").agg(F.count("*").alias("df"))
+    rarest = asked.join(frequency, "g", "left").groupBy("needle").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
+    found = rarest.join(postings, "g").filter(F.contains("nm", "needle")).select("needle", "entity_id")
+    return equal.union(r.join(found, "needle").select("roster_id", "entity_id")).distinct()
+
+
+def _grams(text: str, size: Column) -> Column:
+    """Distinct grams of `size` characters; none of a shorter text."""
+    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, size))
+    return F.array_distinct(F.filter(whole, lambda g: F.length(g) == size))
 
 
 def next_period(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from statloom.operators import archetypes, facts, joins, league, quality, rank,
 from statloom.plans.oracle import Z, corr, pct
 from statloom.plans.params import COMPONENTS, DEFAULT, Params
 from statloom.plans.registry import apart, both, query
-from statloom.sources import pages, payload
+from statloom.sources import pages, payload, roster
 
 P = DEFAULT
 C = F.col
@@ -54,6 +54,23 @@ query("src6_parse_event_date", "#o_orderkey @d", lambda w: w.table("orders").sel
       "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d FROM orders) x")
 query("src7_html_rows", "#page_id #row_no href label is_target", lambda w: pages.html_rows(w.table("pages")),
       "(SELECT page_id, unnest(range(len(h))) AS row_no, unnest(h) AS href, unnest(l) AS label, unnest(list_transform(l, lambda v: length(v) <= 3)) AS is_target FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 2) AS l FROM pages WHERE html LIKE '%<nav>%' AND html LIKE '%<article>%')) x")
+_NAV = "regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 2)"
+
+
+def _roster_pages(w):
+    """Pages with a roster of their menu's entries; a third of the way a repeated header, short rows, and on some pages other headers."""
+    cell = lambda *x: F.concat(F.lit("<td>"), *x, F.lit("</td>"))
+    row = lambda v, i: F.concat(
+        F.when((C("page_id") % 7 != 3) & (i % 3 == 2), "<tr><th>No.<th>Pos.<th>Nation<th>Player</tr><tr><td>short</td></tr>").otherwise(""), F.lit("<tr>"), cell(i.cast("string")),
+        cell(F.lit("<b>"), F.when(i % 2 == 0, "gk").otherwise("df"), F.lit("</b>")), cell(F.lit("<img alt=flag>the "), F.when(i % 4 == 1, "").otherwise(v)), F.lit("<td><a href=x>"), v, F.lit("</a> jr."))
+    head = F.when(C("page_id") % 7 == 3, "<tr><th>Shirt</th><th>Role</th><th>Country</th><th>Name</th></tr>").otherwise("<tr><th>No.</th><th>Pos.</th><th> Nation </th><th>Player</th></tr>")
+    labels = F.regexp_extract_all("html", F.lit(pages.ROW), F.lit(2))
+    html = F.concat(F.lit('<p>a<table><tr><td>1<td>GK<td>x<td>no roster</table><table class="wide wikitable"><tbody>'), head, F.array_join(F.transform(labels, row), ""), F.lit("</table>"), "html")
+    return w.table("pages").select("page_id", html.alias("html"))
+
+
+query("src7_roster_rows", "#page_id #table_no #jersey_number position_code nationality player_name is_target error", lambda w: roster.read_rosters(_roster_pages(w)),
+      f"(SELECT page_id, 0 AS table_no, i AS jersey_number, CASE WHEN i % 2 = 0 THEN 'GK' ELSE 'DF' END AS position_code, CASE WHEN i % 4 = 1 OR trim(v) = '' THEN 'the' ELSE v END AS nationality, v || ' jr.' AS player_name, i % 2 = 0 AS is_target, NULL::VARCHAR AS error FROM (SELECT page_id, unnest(range(len(l))) AS i, unnest(l) AS v FROM (SELECT page_id, {_NAV} AS l FROM pages WHERE page_id % 7 <> 3)) UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL, NULL, 'no table with headers no., pos., nation, player' FROM pages WHERE page_id % 7 = 3) x")
 query("src8_page_schema_guard", "#page_id fingerprint has_markers", lambda w: pages.schema_guard(w.table("pages")),
       "(SELECT page_id, substr(sha256(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(trim(x))))), '|')), 1, 16) AS fingerprint, html LIKE '%<nav>%' AND html LIKE '%<article>%' AS has_markers FROM pages) x")
 query("snk1_write_tables", "#entity_id #period *exposure", lambda w: payload.written(w.season.select("entity_id", "period", "exposure"), "parquet", ["period"]), "season")
@@ -342,10 +359,12 @@ apart("joi1_inner_join", "#entity_id #period name", lambda w: joins.attach(w.sea
       "SELECT s.entity_id, s.period, e.name FROM {season} s JOIN {entities} e ON s.entity_id = e.entity_id")
 apart("joi2_left_join", "#entity_id #period *exposure team", lambda w: joins.attach(joins.attach(w.ratings.drop("exposure"), w.season, ["entity_id", "period"], ["exposure"], "left"), w.entities, ["entity_id"], ["team"], "left"),
       "SELECT r.entity_id, r.period, s.exposure, e.team FROM {ratings} r LEFT JOIN {season} s ON r.entity_id = s.entity_id AND r.period = s.period LEFT JOIN {entities} e ON r.entity_id = e.entity_id")
-query("joi3_fuzzy_name_join", "#roster_id #entity_id", lambda w: joins.fuzzy_name_join(w.table("nation").select(C("n_nationkey").alias("roster_id"), C("n_name").alias("roster_name")), w.table("customer").select(C("c_custkey").alias("entity_id"), F.concat_ws(" ", "c_mktsegment", "c_name", F.when(C("c_nationkey") % 3 == 0, "united states").otherwise("iran")).alias("name"))),
-      "(SELECT n_nationkey AS roster_id, c_custkey AS entity_id FROM nation JOIN (SELECT c_custkey, lower(c_mktsegment || ' ' || c_name || ' ' || CASE WHEN c_nationkey % 3 = 0 THEN 'united states' ELSE 'iran' END) AS nm FROM customer) ON lower(n_name) = nm OR contains(nm, lower(split_part(n_name, ' ', -1)))) x")
-apart("joi4_anti_join", "#event_id", lambda w: joins.without_match(w.table("events"), w.table("customer"), "user_id", "c_custkey"),
-      "SELECT e.event_id FROM {events} e LEFT JOIN {customer} c ON e.user_id = c.c_custkey WHERE c.c_custkey IS NULL")
+query("joi3_fuzzy_name_join", "#roster_id #entity_id", lambda w: joins.fuzzy_name_join(
+          w.table("nation").select(C("n_nationkey").alias("roster_id"), F.concat_ws(" ", F.lit("of"), "n_name").alias("roster_name")),
+          w.table("customer").select(C("c_custkey").alias("entity_id"), F.concat_ws(" ", "c_mktsegment", F.concat(F.lit("Nation_"), C("c_nationkey")), "c_name").alias("name"))),
+      "(SELECT n_nationkey AS roster_id, c_custkey AS entity_id FROM nation JOIN (SELECT c_custkey, lower(c_mktsegment || ' nation_' || c_nationkey || ' ' || c_name) AS nm FROM customer) ON contains(nm, lower(n_name))) x")
+apart("joi4_anti_join", "#c_custkey", lambda w: joins.without_match(w.table("customer"), w.table("events"), "c_custkey", "user_id"),
+      "SELECT c_custkey FROM {customer} c LEFT JOIN (SELECT DISTINCT user_id FROM {events}) e ON e.user_id = c.c_custkey WHERE e.user_id IS NULL")
 apart("joi5_semi_top1", "#entity_id #period", lambda w: joins.of_largest(w.season, "exposure"),
       "SELECT entity_id, period FROM {season} WHERE entity_id IN (SELECT entity_id FROM (SELECT entity_id FROM {season} GROUP BY entity_id ORDER BY sum(exposure) DESC, entity_id LIMIT 1) t)")
 query("joi6_next_period", "#entity_id #period *exposure *next_exposure", lambda w: joins.next_period(w.season, ["entity_id"], ["exposure"]), "(SELECT a.entity_id, a.period, a.exposure, b.exposure AS next_exposure FROM season a JOIN season b ON a.entity_id = b.entity_id AND b.period = a.period + 1) x")
@@ -357,8 +376,8 @@ apart("joi9_pick_list", "#wanted found", lambda w: joins.pick_list([1, 5, 7, -1]
       "SELECT p.wanted, r.entity_id IS NOT NULL AS found FROM (VALUES (1), (5), (7), (-1)) AS p(wanted) LEFT JOIN (SELECT entity_id FROM {ratings} WHERE period = 2000) r ON r.entity_id = p.wanted")
 apart("set1_union_ids", "#id", lambda w: joins.union_ids((w.season, "entity_id"), (w.table("events"), "user_id")),
       "SELECT entity_id AS id FROM {season} UNION SELECT user_id FROM {events}")
-apart("set2_difference", "#id", lambda w: joins.difference_ids((w.table("events"), "user_id"), (w.table("customer"), "c_custkey")),
-      "SELECT DISTINCT user_id AS id FROM {events} EXCEPT SELECT c_custkey FROM {customer}")
+apart("set2_difference", "#id", lambda w: joins.difference_ids((w.table("customer"), "c_custkey"), (w.table("events"), "user_id")),
+      "SELECT DISTINCT c_custkey AS id FROM {customer} EXCEPT SELECT user_id FROM {events}")
 apart("set3_intersection", "#id", lambda w: joins.common_ids((w.season.filter(C("period") == P.final), "entity_id"), (w.season.filter(C("period") == P.live), "entity_id")),
       "SELECT entity_id AS id FROM {season} WHERE period = 2000 INTERSECT SELECT entity_id FROM {season} WHERE period = 2001")
 
@@ -522,14 +541,15 @@ both("vie3_rank_disagreement", "#entity_id #period #rank_disagreement direction
 both("vie4_talent_board", "#entity_id name #talent_rank *talent *talent_pct", "SELECT t.entity_id, e.name, t.talent_rank, t.talent, t.talent_pct FROM {talent_ranked} t JOIN {entities} e ON t.entity_id = e.entity_id")
 query("vie5_match_form", "#entity_id #period #event_id @event_date ~cum_rate ~rolling_mean ~rolling_weighted", lambda w: w.form, "form")
 query("vie6_scraped_rows", "#page_id label", lambda w: pages.html_rows(w.table("pages")).filter("is_target"), "(SELECT page_id, label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">([^<]*)</a></li>', 2)) AS label FROM pages WHERE html LIKE '%<nav>%' AND html LIKE '%<article>%') WHERE length(label) <= 3) x")
-both("qry1_club_evaluation", "#entity_id #period name *score", f"SELECT * FROM ({_V1}) v WHERE team IN ('FRANCE', 'GERMANY') OR lower(team) LIKE '%united%'")
+apart("qry1_club_evaluation", "#entity_id #period name *score", lambda w: serving.club_filter(w.ratings.filter("status IN ('qualified', 'provisional')").join(w.entities, "entity_id"), ["NATION_3", "NATION_21"], "tion_1"),
+      "SELECT r.entity_id, r.period, e.name, r.score FROM {ratings} r JOIN {entities} e ON r.entity_id = e.entity_id WHERE r.status IN ('qualified', 'provisional') AND (team IN ('NATION_3', 'NATION_21') OR contains(lower(team), 'tion_1'))")
 both("qry2_underrated", "#entity_id *score #rank_disagreement", "SELECT entity_id, score, rank_disagreement FROM {ratings} WHERE period = 2000 AND rank_disagreement IS NOT NULL ORDER BY rank_disagreement DESC, entity_id LIMIT 15")
 both("qry3_component_profile", "#entity_id *a_f *n_o", "SELECT entity_id, max(CASE WHEN component = 'a_f' THEN pct_adj END) AS a_f, max(CASE WHEN component = 'n_o' THEN pct_adj END) AS n_o FROM {component_pcts} WHERE period = 2000 GROUP BY entity_id")
 both("qry4_year_over_year", "#entity_id #period *score *d_score *d_rate", "WITH r AS (SELECT entity_id, period, score, adj_total FROM {ratings}) SELECT entity_id, period, score, score - lag(score) OVER (PARTITION BY entity_id ORDER BY period) AS d_score, adj_total - lag(adj_total) OVER (PARTITION BY entity_id ORDER BY period) AS d_rate FROM r")
 both("qry5_talent_shortlist", "#entity_id *talent #talent_rank", "SELECT entity_id, talent, talent_rank FROM {talent_ranked} ORDER BY talent_rank, entity_id LIMIT 20")
 both("qry6_rolling_form", "#event_id ~rolling_weighted", "SELECT event_id, rolling_weighted FROM {form} WHERE period = 2000 AND entity_id IN (SELECT entity_id FROM (SELECT s.entity_id FROM {season} s JOIN {entities} e ON s.entity_id = e.entity_id WHERE s.period = 2000 AND e.team LIKE '%A%' ORDER BY s.exposure DESC, s.entity_id LIMIT 1) t) ORDER BY event_date DESC, event_id DESC LIMIT 8")
 query("qry7_roster_fuzzy", "#roster_id #entity_id *score", lambda w: joins.fuzzy_name_join(w.table("part").select(C("p_partkey").alias("roster_id"), F.concat_ws(" ", F.lit("Any"), F.lpad((C("p_partkey") % 100).cast("string"), 3, "0")).alias("roster_name")), w.entities.select("entity_id", "name")).join(w.ratings.filter("period = 2000").select("entity_id", "score"), "entity_id", "left"),
-      "(SELECT m.roster_id, m.entity_id, r.score FROM (SELECT DISTINCT p_partkey AS roster_id, entity_id FROM part JOIN entities ON contains(lower(name), lpad(CAST(p_partkey % 100 AS VARCHAR), 3, '0')) WHERE p_partkey <= 40) m LEFT JOIN ratings r ON r.entity_id = m.entity_id AND r.period = 2000) x")
+      "(SELECT m.roster_id, m.entity_id, r.score FROM (SELECT DISTINCT p_partkey AS roster_id, entity_id FROM part JOIN entities ON contains(lower(name), lpad(CAST(p_partkey % 100 AS VARCHAR), 3, '0'))) m LEFT JOIN ratings r ON r.entity_id = m.entity_id AND r.period = 2000) x")
 both("qry8_report_pulls", "#entity_id #period *score #rank_adjusted", "SELECT entity_id, period, score, rank_adjusted FROM {ratings} WHERE period >= 1999 AND status = 'qualified'")
 both("evt1_user_day_form", "#user_id @day *value *running", "SELECT user_id, day, value, sum(value) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM {user_days}")
 
