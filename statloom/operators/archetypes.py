@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.operators.rank import medians
+from statloom.sources.payload import written
 
 
 def standardise(rates: DataFrame, n_components: int) -> DataFrame:
@@ -26,14 +31,25 @@ def assign(z: DataFrame, centres: DataFrame) -> DataFrame:
     return d.groupBy("entity_id").agg(F.min_by("cluster", F.struct(F.round("d2", 9), "cluster")).alias("cluster"), F.min("d2").alias("d2"))
 
 
-def silhouette(z: DataFrame, membership: DataFrame, block: int = 1024) -> DataFrame:
-    """Mean Euclidean silhouette, one row; exact for any number of entities.
+def silhouette(z: DataFrame, membership: DataFrame) -> DataFrame:
+    """Mean silhouette by squared distances, one row, in time linear in entities.
+
+    The squared distances of x to a cluster of n with sum S and sum of squares Q add up to n x^2 - 2 x S + Q, so a row a
+    cluster and component, broadcast, stands for its members. A cluster of one and a lone cluster count 0."""
+    rows = z.join(membership.select("entity_id", "cluster"), "entity_id")
+    sums = rows.groupBy(F.col("cluster").alias("cb"), "component").agg(F.count("*").alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("q"))
+    far = F.col("n") * F.col("z") * F.col("z") - 2 * F.col("z") * F.col("s") + F.col("q")
+    d = rows.join(F.broadcast(sums), "component").groupBy("entity_id", "cluster", "cb").agg(F.sum(far).alias("d"), F.first("n").alias("n"))
+    own = F.col("cb") == F.col("cluster")
+    s = d.groupBy("entity_id").agg(F.max(F.when(own, F.col("d") / F.when(F.col("n") > 1, F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"))
+    return s.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))).alias("silhouette"))
+
+
+def euclidean_silhouette(z: DataFrame, membership: DataFrame, block: int = 1024) -> DataFrame:
+    """Mean Euclidean silhouette, one row; exact, for populations of some thousands.
 
     Blocks of entities meet each other block as arrays, and only sums of distances for each entity and cluster leave
     a pair of blocks, so no row is made for a pair of entities; the arithmetic grows with their square."""
-    import numpy as np
-    import pyarrow as pa
-
     rows = z.join(membership, "entity_id").groupBy("entity_id", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "z"))), lambda x: x["z"]).alias("v"))
     # blocks of about `block` entities by hash
     n_blocks = max(1, -(-membership.count() // block))
@@ -59,25 +75,129 @@ def silhouette(z: DataFrame, membership: DataFrame, block: int = 1024) -> DataFr
     return s.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))).alias("silhouette"))
 
 
-def fit_kmeans(z: DataFrame, k_values: tuple[int, ...] = (3, 4, 5, 6), starts: int = 25, seed: int = 20260101) -> tuple[DataFrame, dict[int, float]]:
-    """(entity_id, cluster) of the k with the best silhouette rounded to 4 digits (ties: smaller k), and all scores."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import VectorAssembler
-
-    names = sorted(r.component for r in z.select("component").distinct().collect())
-    wide = z.groupBy("entity_id").pivot("component", names).agg(F.first("z"))
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(wide.coalesce(1) if wide.limit(10_001).count() <= 10_000 else wide).cache()
-    n, best, scores = vectors.count(), None, {}
-    if n <= max(k_values) + 1:
-        return z.sparkSession.createDataFrame([], "entity_id long, cluster int"), scores
-    for k in k_values:
-        model = min((KMeans(k=k, seed=seed + s, maxIter=30).fit(vectors) for s in range(starts)), key=lambda m: m.summary.trainingCost)
-        out = model.transform(vectors)
-        scores[k] = round(ClusteringEvaluator().evaluate(out), 4)
-        if best is None or scores[k] > scores[best[0]]:
-            best = k, out.select("entity_id", F.col("prediction").cast("int").alias("cluster"))
-    return best[1], scores
+PRIME = 2147483647
+ROUNDS = 10
+
+
+def seed_order(entity: np.ndarray, k: int, start: int, seed: int) -> np.ndarray:
+    """A number of each entity for model (k, start); the k smallest are its first centres. Whole numbers, so that any engine gets them."""
+    x = (entity % PRIME * 69621 + start * 1000003 + k * 7919 + seed) % PRIME
+    for r in (1, 2):
+        x = (x * x + (12345 + 777 * r)) % PRIME
+    return x
+
+
+def _places(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row of x (ties to the first, distances to 9 digits), and its squared distance."""
+    d = ((x[:, None, :] - centres[None]) ** 2).sum(2)
+    at = np.round(d, 9).argmin(1)
+    return at, d[np.arange(len(x)), at]
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        if batch.num_rows:
+            yield batch.column("entity_id").to_numpy(zero_copy_only=False), batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def fit_kmeans(z: DataFrame, k_values: tuple[int, ...] = (3, 4, 5, 6), starts: int = 25, seed: int = 20260101, rounds: int = ROUNDS) -> DataFrame:
+    """(entity_id, cluster, k): of each k the start of least cost after `rounds` rounds, and of those the k of the best silhouette.
+
+    All models take each round together: every task holds all centres (at most the sum of k_values times `starts` rows,
+    whatever the input), sums its entities by model and cluster, and a few hundred rows a task are added up. Costs are
+    compared to 6 digits and squared silhouettes to 4; ties go to the smaller start and k. A cluster that loses all members
+    keeps its centre. Too few entities for the largest k and one more give no rows."""
+    ids = z.schema["entity_id"].dataType.simpleString()
+    wide = z.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "z"))), lambda x: x["z"]).alias("v"))
+    x = written(wide, "parquet")
+    models = [(k, s) for k in k_values for s in range(starts)]
+
+    def first(batches):
+        best: dict[int, list] = {m: [] for m in range(len(models))}
+        for entity, v in _vectors(batches):
+            for m, (k, s) in enumerate(models):
+                h = seed_order(entity.astype(np.int64), k, s, seed)
+                near = np.lexsort((entity, h))[:k]
+                best[m] = sorted([*best[m], *((int(h[i]), int(entity[i]), v[i].tolist()) for i in near)])[:k]
+        rows = [(m, *r) for m, found in best.items() for r in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())))], ["m", "h", "e", "v"])
+
+    found = x.mapInArrow(first, "m int, h bigint, e bigint, v array<double>").groupBy("m").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "e", "v"))), 1, max(k_values)).alias("x"))
+    chosen = {r.m: [list(e.v) for e in r.x] for r in found.collect()}  # a row a model
+    if x.limit(max(k_values) + 2).count() <= max(k_values) + 1:
+        return x.sparkSession.createDataFrame([], f"entity_id {ids}, cluster int, k int")
+    centres = [np.array(chosen[m][: models[m][0]]) for m in range(len(models))]
+
+    def totals(which: list[int], spread: bool = False) -> dict[tuple[int, int], tuple]:
+        """n, sums and cost (or sum of squares) of the members of each model's clusters."""
+        now = [centres[m] for m in which]
+
+        def run(batches):
+            sums: dict[tuple[int, int], list] = {}
+            for _, v in _vectors(batches):
+                for m, c in zip(which, now):
+                    at, d = _places(v, c)
+                    for j in np.unique(at):
+                        mine = at == j
+                        n, s, q = sums.get((m, j), (0, 0.0, 0.0))
+                        sums[m, j] = n + int(mine.sum()), s + v[mine].sum(0), q + float((v[mine] ** 2).sum() if spread else d[mine].sum())
+            keys = list(sums)
+            cols = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([sums[k][0] for k in keys], pa.int64()), pa.array([sums[k][1].tolist() for k in keys], pa.list_(pa.float64())), pa.array([sums[k][2] for k in keys], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["m", "j", "n", "s", "q"])
+
+        d = centres[0].shape[1]
+        got = x.mapInArrow(run, "m int, j int, n bigint, s array<double>, q double").groupBy("m", "j").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("s")[i]) for i in range(d))).alias("s"), F.sum("q").alias("q"))
+        return {(r.m, r.j): (r.n, np.array(r.s), r.q) for r in got.collect()}  # a row a model and cluster
+
+    every = list(range(len(models)))
+    for _ in range(rounds):
+        sums = totals(every)
+        moved = [np.array([sums[m, j][1] / sums[m, j][0] if (m, j) in sums else c[j] for j in range(len(c))]) for m, c in enumerate(centres)]
+        still = all(np.array_equal(a, b) for a, b in zip(moved, centres))
+        centres[:] = moved
+        if still:
+            break
+    cost: dict[int, float] = {}
+    for (m, _), (_, _, q) in totals(every).items():
+        cost[m] = cost.get(m, 0.0) + q
+    heads = [min((m for m in every if models[m][0] == k), key=lambda m: (round(cost[m], 6), m)) for k in k_values]
+    scores = _scores(x, heads, centres, totals(heads, spread=True))
+    head = max(heads, key=lambda m: (round(scores[m], 4), -models[m][0]))
+    best, k = centres[head], models[head][0]
+
+    def place(batches):
+        for entity, v in _vectors(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(entity), pa.array(_places(v, best)[0], pa.int32()), pa.array(np.full(len(entity), k), pa.int32())], ["entity_id", "cluster", "k"])
+
+    return x.mapInArrow(place, f"entity_id {ids}, cluster int, k int")
+
+
+def _scores(x: DataFrame, which: list[int], centres: list[np.ndarray], sums: dict[tuple[int, int], tuple]) -> dict[int, float]:
+    """Mean squared silhouette of each model, from its clusters' sums."""
+    kept = {m: centres[m] for m in which}
+
+    def run(batches):
+        total, count = dict.fromkeys(which, 0.0), 0
+        for _, v in _vectors(batches):
+            count += len(v)
+            square = (v**2).sum(1)
+            for m, c in kept.items():
+                at, _ = _places(v, c)
+                d = np.full((len(v), len(c)), np.inf)
+                sizes = np.array([sums.get((m, j), (0, 0, 0))[0] for j in range(len(c))])
+                for j in np.nonzero(sizes)[0]:
+                    n, s, q = sums[m, j]
+                    d[:, j] = n * square - 2 * v @ s + q
+                own = np.arange(len(v))
+                a = d[own, at] / np.maximum(sizes[at] - 1, 1)
+                d[own, at] = np.inf
+                b = (d / np.maximum(sizes, 1)).min(1)
+                alone = (sizes[at] == 1) | ~np.isfinite(b)
+                top = np.where(alone, 1.0, np.maximum(a, b))
+                total[m] += float(np.where(alone | (top == 0), 0.0, (np.where(alone, 0.0, b) - a) / np.where(top == 0, 1.0, top)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([total[m] for m in which], pa.float64()), pa.array([count] * len(which), pa.int64())], ["m", "s", "n"])
+
+    return {r.m: r.s / r.n for r in x.mapInArrow(run, "m int, s double, n bigint").groupBy("m").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
 
 
 def profiles(z: DataFrame, membership: DataFrame, scores: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from statistics import NormalDist
 
+from statloom.operators.archetypes import ROUNDS
 from statloom.plans.params import COMPONENTS, DEFAULT
 
 P = DEFAULT
@@ -27,6 +28,32 @@ def rank(value: str, direction: str, keys: str = "period") -> str:
     return f"CASE WHEN {value} IS NOT NULL THEN rank() OVER (PARTITION BY {keys} ORDER BY {value} {direction} NULLS LAST) END"
 
 
+def _kmeans(rounds: int = ROUNDS) -> dict[str, str]:
+    """All models of archetypes.fit_kmeans, a table a round; a model is k and its start."""
+    prime, dims = 2147483647, range(1, len(P.components) + 1)
+    h0 = f"(entity_id % {prime} * 69621 + start * 1000003 + k * 7919 + {P.seed}) % {prime}"
+    h1 = f"(({h0}) * ({h0}) + {12345 + 777}) % {prime}"
+    near = "SELECT entity_id, v, k, start, arg_min(cluster, (round(d, 9), cluster)) AS cluster, min(d) AS d FROM (SELECT e.entity_id, e.v, c.k, c.start, c.cluster, {d} AS d FROM km_vectors e CROSS JOIN {t} c) GROUP BY entity_id, v, k, start"
+    d = " + ".join(f"(e.v[{i}] - c.c[{i}]) ** 2" for i in dims)
+    out = {
+        "km_vectors": "SELECT entity_id, list(z ORDER BY component) AS v FROM z GROUP BY entity_id",
+        "km_hashed": f"SELECT entity_id, v, k, start, (h * h + {12345 + 1554}) % {prime} AS h FROM (SELECT entity_id, v, k, start, {h1} AS h FROM km_vectors, range(3, 7) a(k), range(25) b(start))",
+        "km_centres0": "SELECT k, start, CAST(n - 1 AS INTEGER) AS cluster, v AS c FROM (SELECT *, row_number() OVER (PARTITION BY k, start ORDER BY h, entity_id) AS n FROM km_hashed) WHERE n <= k",
+    }
+    for r in range(rounds):
+        out[f"km_near{r}"] = near.format(d=d, t=f"km_centres{r}")
+        out[f"km_mean{r}"] = f"SELECT k, start, cluster, [{', '.join(f'avg(v[{i}])' for i in dims)}] AS c FROM km_near{r} GROUP BY k, start, cluster"
+        out[f"km_centres{r + 1}"] = f"SELECT k, start, cluster, coalesce(m.c, o.c) AS c FROM km_centres{r} o LEFT JOIN km_mean{r} m USING (k, start, cluster)"
+    out["km_last"] = near.format(d=d, t=f"km_centres{rounds}")
+    out["km_heads"] = "SELECT k, arg_min(start, (round(cost, 6), start)) AS start FROM (SELECT k, start, sum(d) AS cost FROM km_last GROUP BY k, start) GROUP BY k"
+    out["km_members"] = "SELECT entity_id, v, k, cluster FROM km_last JOIN km_heads USING (k, start)"
+    far = " + ".join(f"(p.v[{i}] - q.v[{i}]) ** 2" for i in dims)
+    out["km_far"] = f"SELECT p.k, p.entity_id, p.cluster, q.cluster AS other, sum({far}) AS d, count(*) AS n FROM km_members p JOIN km_members q ON p.k = q.k GROUP BY ALL"
+    out["km_scores"] = "SELECT k, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS score FROM (SELECT k, entity_id, max(d / nullif(n - 1, 0)) FILTER (cluster = other) AS a, min(d / n) FILTER (cluster <> other) AS b FROM km_far GROUP BY k, entity_id) GROUP BY k"
+    out["km_chosen"] = "SELECT entity_id, cluster, k FROM km_members WHERE k = (SELECT arg_max(k, (round(score, 4), -k)) FROM km_scores) AND (SELECT count(*) FROM km_vectors) > 7"
+    return out
+
+
 CTES: dict[str, str] = {
     "lines": """SELECT l_suppkey AS entity_id, CAST(year(l_shipdate) AS INTEGER) AS period, l_orderkey AS event_id, CAST(l_shipdate AS DATE) AS ship_date, lower(l_returnflag || '_' || l_linestatus) AS component,
         l_quantity AS q, l_discount AS disc, l_tax AS tax, l_returnflag = 'R' AS returned FROM lineitem""",
@@ -109,6 +136,7 @@ CTES: dict[str, str] = {
     "z": f"SELECT entity_id, component, x, (x - avg(x) OVER (PARTITION BY component)) / (CASE WHEN stddev_pop(x) OVER (PARTITION BY component) > 1e-12 THEN stddev_pop(x) OVER (PARTITION BY component) ELSE 1 END) AS z FROM (SELECT entity_id, component, opp_rate AS x, count(opp_rate) OVER (PARTITION BY entity_id) AS n FROM rates WHERE period = {P.final} AND exposure >= {P.regular_exposure}) WHERE n = 6",
     "seeds": "SELECT CAST(entity_id % 4 AS INTEGER) AS cluster, component, avg(z) AS c FROM z GROUP BY ALL",
     "clusters": "SELECT entity_id, cluster, d2 FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY round(d2, 9), cluster) AS r FROM (SELECT entity_id, cluster, sum((z - c) ** 2) AS d2 FROM z JOIN seeds USING (component) GROUP BY ALL)) WHERE r = 1",
+    **_kmeans(),
     "user_days": "SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS value, count(*) AS n FROM events GROUP BY ALL",
 }
 _NAME = re.compile(r"\b(?:FROM|JOIN)\s+\(?\s*(" + "|".join(CTES) + r")\b")
