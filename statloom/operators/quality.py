@@ -58,4 +58,10 @@ def refresh_row(refresh: int, rows: DataFrame, status: DataFrame, issues: DataFr
 
 
 def append_refresh(row: DataFrame, path: str) -> None:
-    row.write.mode("append").parquet(path)
+    """Adds a refresh to the ledger; one that runs again replaces its own row."""
+    append_run(row, path, "refresh_id")
+
+
+def append_run(rows: DataFrame, path: str, run: str) -> None:
+    """Appends the rows of runs named by column `run`: each run's folder is replaced as a whole, so a retried job adds nothing."""
+    rows.repartition(run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)

@@ -11,6 +11,9 @@ from statloom.operators.rank import competition_rank, weighted_percentile
 from statloom.plans.params import Params
 
 
+UNIDENTIFIED = "total talent variance is not identified: neither its direct estimate nor the components' is positive"
+
+
 def league_mean_total(prior: DataFrame, p: Params) -> DataFrame:
     """One row: exposure-weighted mean of the observed total, of regular entities if there are any."""
     use = prior.filter("obs_total is not null")
@@ -20,11 +23,11 @@ def league_mean_total(prior: DataFrame, p: Params) -> DataFrame:
 
 
 def current_talent(totals: DataFrame, total: DataFrame, p: Params) -> DataFrame:
-    """Posterior mean, sd, interval and weights for every entity of either period."""
+    """Posterior mean, sd, interval and weights for every entity of either period; without a total variance an error says so."""
     side = lambda period, name: totals.filter(F.col("period") == period).select("entity_id", F.col("obs_total").alias(f"{name}_rate"), F.col("exposure").alias(f"{name}_exposure"), F.col("sampling_variance").alias(f"{name}_sv"))
     prior, live = side(p.final, "prior"), side(p.live, "live")
     x = prior.join(live, "entity_id", "full_outer").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(league_mean_total(totals.filter(F.col("period") == p.final), p)))  # one row each
-    x = x.filter("total_tau2 > 0")
+    x = x.withColumn("total_tau2", F.when(F.col("total_tau2") > 0, F.col("total_tau2")).otherwise(F.raise_error(F.lit(UNIDENTIFIED)).cast("double")))
     a = F.when(F.col("prior_rate").isNotNull() & (F.col("prior_sv") >= 0), 1 / (F.col("prior_sv") + F.col("total_drift")))
     b = F.when(F.col("live_rate").isNotNull() & (F.col("live_sv") > 0), 1 / F.when(F.col("live_sv") > 0, F.col("live_sv")))
     x = x.withColumns({"_a": F.coalesce(a, F.lit(0.0)), "_b": F.coalesce(b, F.lit(0.0)), "_p": 1 / F.col("total_tau2")}).withColumn("_t", F.col("_p") + F.col("_a") + F.col("_b"))

@@ -45,7 +45,9 @@ _NOTES = f"""SELECT *, row_number() OVER (PARTITION BY entity_id, period, kind O
 apart("src2_read_tables", "name #n", lambda w: _table_sizes(w, ["supplier", "lineitem", "orders"]),
       "SELECT 'supplier' AS name, count(*) AS n FROM {supplier} UNION ALL SELECT 'lineitem', count(*) FROM {lineitem} UNION ALL SELECT 'orders', count(*) FROM {orders}")
 query("src1_read_payload", "resource #event_id event_type *value", lambda w: payload.read_events_payload(w), "(SELECT 'events' AS resource, event_id, event_type, value FROM events) x")
-query("src3_read_snapshots", "#period @captured_at #entity_id #rank *score", lambda w: payload.snapshot_rows(w), "(SELECT period, CAST(captured_at AS VARCHAR) AS captured_at, entity_id, rank, score FROM snapshots WHERE period >= 2000) x")
+_SOURCES = "(SELECT period, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(CAST(max(last_date) AS DATE) AS VARCHAR), CAST(CAST(sum(shots) AS BIGINT) AS VARCHAR))) AS source_fingerprint, max(last_date) AS max_match_date FROM season GROUP BY period)"
+query("src3_read_snapshots", "#period @captured_at source_fingerprint methodology_version #entity_id #rank *score", lambda w: payload.snapshot_rows(w),
+      f"(SELECT s.period, CAST(captured_at AS VARCHAR) AS captured_at, source_fingerprint, '{P.methodology}' AS methodology_version, entity_id, rank, score FROM snapshots s JOIN {_SOURCES} f ON s.period = f.period) x")
 query("src4_flatten_actions", "#entity_id #period *a_f_value *n_o_value *r_f_value #a_f_opps #n_o_opps #r_f_opps", lambda w: facts.pivot_components(payload.flatten_actions(payload.nested_actions(w.season_c), COMPONENTS), ["entity_id", "period"], ["value", "opps"], COMPONENTS),
       "(SELECT entity_id, period, " + ", ".join(f"max({v}) FILTER (component = '{c}') AS {c}_{v}" for c in ("a_f", "n_o", "r_f") for v in ("value", "opps")) + " FROM season_c GROUP BY entity_id, period) x")
 query("src5_parse_number", "#event_id *number #whole", lambda w: w.table("events").select("event_id", F.concat_ws("", F.when(C("event_id") % 5 == 0, F.lit("x")).otherwise(F.lit("")), F.round("value", 2).cast("string")).alias("t")).select("event_id", scalars.parse_number(C("t")).alias("number"), scalars.parse_whole(C("t")).alias("whole")),
@@ -74,7 +76,7 @@ query("src7_roster_rows", "#page_id #table_no #jersey_number position_code natio
 query("src8_page_schema_guard", "#page_id fingerprint has_markers", lambda w: pages.schema_guard(w.table("pages")),
       "(SELECT page_id, substr(sha256(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(trim(x))))), '|')), 1, 16) AS fingerprint, html LIKE '%<nav>%' AND html LIKE '%<article>%' AS has_markers FROM pages) x")
 query("snk1_write_tables", "#entity_id #period *exposure", lambda w: payload.written(w.season.select("entity_id", "period", "exposure"), "parquet", ["period"]), "season")
-query("snk2_append_rows", "#entity_id #n", lambda w: payload.appended(w.entities.select("entity_id")).groupBy("entity_id").agg(F.count("*").alias("n")), "(SELECT entity_id, 2 AS n FROM entities) x")
+query("snk2_append_rows", "#entity_id #n", lambda w: payload.appended(w.entities.select("entity_id"), quality.append_run).groupBy("entity_id").agg(F.count("*").alias("n")), "(SELECT entity_id, 2 AS n FROM entities) x")
 def _documents(w):
     index, points = serving.player_index(w.ratings, w.entities, w.talent), w.ratings.filter((C("period") == P.final) & C("in_pool")).select("entity_id", "score", "conceded_rate")
     kinds = {"season": (serving.season_documents(w.ratings, w.entities, w.component_pcts), F.size("components")), "timeline": (serving.timelines(w.form), F.size("timeline")), "components": (serving.component_maps(w.component_pcts), F.size("components")),
@@ -90,7 +92,9 @@ query("snk4_write_tidy_csv", "#entity_id #period *exposure", lambda w: payload.w
 def _ledger(w):
     path = payload.place(w.spark)
     for refresh, last in enumerate((P.final, P.live), 1):
-        quality.append_refresh(quality.refresh_row(refresh, w.season.filter(C("period") <= last), quality.validation_status(_issues(w)), _issues(w)), path)
+        row = quality.refresh_row(refresh, w.season.filter(C("period") <= last), quality.validation_status(_issues(w)), _issues(w))
+        for _ in range(refresh):  # the second is tried twice
+            quality.append_refresh(row, path)
     return w.spark.read.parquet(path)
 
 
@@ -406,6 +410,26 @@ apart("dq15_validation_status", "status", lambda w: quality.validation_status(_i
 query("snp1_build_snapshot", "#period @captured_at #entity_id #rank *score *rate *exposure", lambda w: w.snapshots, "snapshots")
 query("snp2_changed_entries", "#entity_id change", lambda w: snapshots.changes(w.snapshots.filter(C("period") == P.final - 1), w.snapshots.filter(C("period") == P.final)),
       f"(SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN b.entity_id IS NULL THEN 'added' WHEN a.entity_id IS NULL THEN 'removed' ELSE 'altered' END AS change FROM (SELECT * FROM snapshots WHERE period = {P.final}) a FULL JOIN (SELECT * FROM snapshots WHERE period = {P.final - 1}) b ON a.entity_id = b.entity_id WHERE a.entity_id IS NULL OR b.entity_id IS NULL OR (a.rank, a.score, a.rate, a.exposure) IS DISTINCT FROM (b.rank, b.score, b.rate, b.exposure)) x")
+
+
+def _recaptured(w):
+    """A month later: of every third period nothing is other, of the next its source, of the next some entries."""
+    x = w.snapshots.withColumn("captured_at", F.date_add("captured_at", 30)).filter("period % 3 <> 2 OR entity_id % 10 <> 3")
+    x = x.withColumn("rank", F.when((C("period") % 3 == 2) & (C("entity_id") % 10 == 4), C("rank") + 1).otherwise(C("rank")))
+    sources = w.sources.withColumn("source_fingerprint", F.when(C("period") % 3 == 1, "other").otherwise(C("source_fingerprint")))
+    return x, snapshots.headers(x, sources, P.methodology)
+
+
+def _judged(w):
+    path = payload.place(w.spark)
+    snapshots.write_snapshot(w.snapshots, snapshots.headers(w.snapshots, w.sources, P.methodology), path)
+    return snapshots.write_snapshot(*_recaptured(w), path)
+
+
+query("snp2_snapshot_changed", "#period changed reason @captured_at @previous_at", _judged,
+      "(SELECT period, period % 3 <> 0 AS changed, CASE period % 3 WHEN 1 THEN 'source' WHEN 2 THEN 'entries' ELSE 'unchanged' END AS reason, any_value(captured_at) + 30 AS captured_at, any_value(captured_at) AS previous_at FROM snapshots GROUP BY period) x")
+query("snp2_all_changed_entries", "#period #entity_id change", lambda w: snapshots.changed_entries(w.snapshots, _recaptured(w)[0], _judged(w)),
+      "(SELECT period, entity_id, CASE WHEN entity_id % 10 = 3 THEN 'removed' ELSE 'altered' END AS change FROM snapshots WHERE period % 3 = 2 AND (entity_id % 10 = 3 OR entity_id % 10 = 4 AND rank IS NOT NULL)) x")
 query("snp3_latest_snapshot", "#period @captured_at #entity_id #rank", lambda w: snapshots.latest(w.snapshots), "snapshots")
 query("snp4_prune", "#period #n", lambda w: snapshots.prune(w.snapshots.unionByName(w.snapshots.withColumn("captured_at", F.date_add("captured_at", 30))), 1).groupBy("period").agg(F.count("*").alias("n")), "(SELECT period, count(*) AS n FROM snapshots GROUP BY period) x")
 query("snp5_rank_movement", "#entity_id #rank #previous_rank #rank_change *score_change", lambda w: snapshots.rank_movement(w.snapshots.filter("period = 2001"), w.snapshots.filter("period = 2000")), "(SELECT a.entity_id, a.rank, b.rank AS previous_rank, b.rank - a.rank AS rank_change, round(a.score - b.score, 1) AS score_change FROM snapshots a LEFT JOIN snapshots b ON a.entity_id = b.entity_id AND b.period = 2000 WHERE a.period = 2001) x")

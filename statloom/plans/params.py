@@ -16,6 +16,7 @@ class Params:
     final: int = 2000
     live: int = 2001
     signal: float = 0.003
+    methodology: str = "1.0.0"
     min_matches: int = 3
     min_groups: int = 20
     k_range: tuple[float, float] = (5.0, 20000.0)

@@ -167,6 +167,12 @@ class Workload:
         """Standings at the end of each period."""
         return snapshots.build_snapshot(self.ratings, F.make_date(F.col("period") + 1, F.lit(1), F.lit(1)))
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        """(period, source_fingerprint, max_match_date): what a period's standings were made from."""
+        text = F.concat_ws("|", F.count("*").cast("string"), F.max("last_date").cast("date").cast("string"), F.sum("shots").cast("string"))
+        return self.season.groupBy("period").agg(F.sha2(text, 256).alias("source_fingerprint"), F.max("last_date").alias("max_match_date"))
+
     @cached_property
     def involvement(self) -> DataFrame:
         return self.rates.filter((F.col("period") == self.p.final) & (F.col("exposure") >= self.p.regular_exposure)).select("entity_id", "component", F.col("opp_rate").alias("x"))

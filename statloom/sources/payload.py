@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ENVELOPE = "resource string, fetched_at string, row_count long, data array<struct<event_id: long, event_type: string, value: double>>"
-SNAPSHOT = "period int, captured_at string, entries array<struct<entity_id: long, rank: int, score: double>>"
+SNAPSHOT = "period int, captured_at string, source_fingerprint string, methodology_version string, entries array<struct<entity_id: long, rank: int, score: double>>"
 
 
 def place(spark) -> str:
@@ -54,13 +54,15 @@ def flatten_actions(nested: DataFrame, known: tuple[str, ...]) -> DataFrame:
 
 def read_snapshots(spark, path: str) -> DataFrame:
     x = spark.read.schema(SNAPSHOT).json(path)
-    return x.select("period", "captured_at", F.explode("entries").alias("e")).select("period", "captured_at", "e.*")
+    return x.select("period", "captured_at", "source_fingerprint", "methodology_version", F.explode("entries").alias("e")).select("period", "captured_at", "source_fingerprint", "methodology_version", "e.*")
 
 
 def snapshot_rows(w) -> DataFrame:
+    """The whole history written as documents and read back, with each one's fingerprint and version."""
     path = place(w.spark)
-    x = w.snapshots.filter("period >= 2000").select("period", F.date_format("captured_at", "yyyy-MM-dd").alias("captured_at"), F.struct("entity_id", "rank", "score").alias("e"))
-    x.groupBy("period", "captured_at", (F.col("e.entity_id") % 16).alias("part")).agg(F.array_sort(F.collect_list("e")).alias("entries")).drop("part").write.json(path)
+    x = w.snapshots.join(F.broadcast(w.sources), "period").select("period", F.date_format("captured_at", "yyyy-MM-dd").alias("captured_at"), "source_fingerprint", F.lit(w.p.methodology).alias("methodology_version"), F.struct("entity_id", "rank", "score").alias("e"))
+    keys = ["period", "captured_at", "source_fingerprint", "methodology_version"]
+    x.groupBy(*keys, (F.col("e.entity_id") % 16).alias("part")).agg(F.array_sort(F.collect_list("e")).alias("entries")).drop("part").write.json(path)
     return read_snapshots(w.spark, path)
 
 
@@ -73,12 +75,12 @@ def written(df: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
     return reader.format(kind).load(path).select(*df.columns)
 
 
-def appended(df: DataFrame) -> DataFrame:
-    """Two appends to one table."""
+def appended(df: DataFrame, append) -> DataFrame:
+    """Two runs appended to one table, the second of them twice, as by a job that is tried again."""
     path = place(df.sparkSession)
-    for _ in range(2):
-        df.write.mode("append").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for run in (1, 2, 2):
+        append(df.withColumn("run", F.lit(run)), path, "run")
+    return df.sparkSession.read.parquet(path).select(*df.columns, "run")
 
 
 def missing_fields(df: DataFrame, name: str, required: list[str]) -> DataFrame:

@@ -74,3 +74,13 @@ def test_a_restarted_stream_goes_on_where_it_was(spark, tmp_path):
     assert {r.user_id: (r.n, r.value) for r in live.standings(spark, state).collect()} == {7: (2, 5.0), None: (1, 2.0)}
     last = live.standings(spark, state).agg(F.max("batch")).first()[0]
     assert [tuple(r) for r in live.changes(spark, state, last).collect()] == [(7, 2, 5.0)]
+
+
+def test_a_run_that_is_tried_again_adds_nothing(spark, tmp_path):
+    from statloom.operators.quality import append_run
+
+    path = f"file://{tmp_path}/ledger"
+    rows = lambda run, n: spark.createDataFrame([(run, i) for i in range(n)], "run int, i int")
+    for run, n in ((1, 3), (2, 5), (2, 5), (1, 2)):  # the last one has fewer rows this time
+        append_run(rows(run, n), path, "run")
+    assert {r.run: r.n for r in spark.read.parquet(path).groupBy("run").agg(F.count("*").alias("n")).collect()} == {1: 2, 2: 5}
