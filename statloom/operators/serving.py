@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statloom.operators.rank import numbered
 from statloom.functions.scalars import band
+from statloom.operators.rank import numbered
+from statloom.operators.scouting import fit_score
 
 #: Sort keys of the leaderboard: rank, score, name, exposure and the other columns that a board shows.
 SORT_KEYS = (
@@ -119,7 +121,7 @@ def rank_change(now: DataFrame, then: DataFrame) -> DataFrame:
     return now.join(before, "entity_id", "left").select("entity_id", (F.col("_before") - F.col("rank_adjusted")).alias("change"))
 
 
-#: Wording of the notes by band.
+#: Wording of the notes by band; our own, as is that of match_reasons.
 COMPONENT_TEXT = {"elite": "Elite adjusted {} percentile.", "strong": "Strong {} contribution.", "poor": "{} contribution well below the median.", "weak": "{} contribution below the median."}
 TOTAL_TEXT = {"elite": "Top-tier complete impact.", "strong": "Above-average complete impact.", "poor": "Complete impact well below the median.", "weak": "Complete impact below the median."}
 SAMPLE_TEXT = {"limited": "Limited sample ({} minutes).", "provisional": "Provisional sample ({} minutes).", "large": "Large, reliable sample ({} minutes)."}
@@ -154,22 +156,71 @@ def build_notes(pcts: DataFrame, ratings: DataFrame, bands: tuple[float, float,
     return parts.unionByName(total).unionByName(sample).withColumn("position", F.row_number().over(w)).drop("_part")
 
 
-def match_reasons(rows: DataFrame, min_exposure: float, min_reliability: float, min_pct: dict[str, float], reference_name: str = "") -> DataFrame:
-    """`rows` with `reasons`, an array of (code, label, detail, tone) for each condition of the brief that they meet."""
+@dataclass(frozen=True)
+class Brief:
+    """What a scout asks for; None and 0 ask for nothing."""
+
+    query: str = ""
+    include_limited: bool = False
+    min_exposure: float = 0
+    min_reliability: float = 0
+    min_pct: dict[str, float] = field(default_factory=dict)
+    min_age: int | None = None
+    max_age: int | None = None
+    archetype: object = None
+    similar_to: object = None
+    min_similarity: float = 0
+    salary: bool = False
+
+
+def run_brief(rows: DataFrame, brief: Brief, weights: tuple[str, str, str], name: str = "") -> DataFrame:
+    """All `rows` (candidates with percentiles, age, archetype and similarity) that meet `brief`, with fit, reasons and place.
 
-    def reason(code, label, detail, strong):
-        return F.struct(F.lit(code).alias("code"), F.lit(label).alias("label"), detail.alias("detail"), F.when(strong, "strong").otherwise("pass").alias("tone"))
+    `weights` names the three percentiles that a fit counts, `name` the one that `similar_to` refers to. Places are by fit,
+    then score, then id, and nothing is cut: who shows a page filters by place."""
+    reference = None if brief.similar_to is None else F.lit(brief.similar_to) if not isinstance(brief.similar_to, Column) else brief.similar_to
+    met = brief_filters(rows, brief.query, brief.include_limited, brief.min_exposure, brief.min_reliability, brief.min_pct, brief.min_age, brief.max_age, brief.archetype, reference, brief.min_similarity)
+    similarity = F.col("similarity") if brief.similar_to is not None else F.lit(None).cast("double")
+    bonus = F.lit(False) if brief.archetype is None else F.col("archetype").eqNullSafe(brief.archetype)
+    fit = fit_score(*(F.col(c) for c in weights), F.col("score"), F.col("total_reliability"), F.col("exposure"), similarity, bonus)
+    found = match_reasons(met.withColumn("similarity", similarity).withColumn("fit", fit), brief, name)
+    return numbered(found.withColumns({"_f": F.round("fit", 6), "_s": F.round("score", 6)}), [], [F.desc("_f"), F.desc("_s"), F.col("entity_id")], "place").drop("_f", "_s")
+
+
+def match_reasons(rows: DataFrame, brief: Brief, name: str = "") -> DataFrame:
+    """`rows` with `reasons`, an array of (code, label, detail, tone): a condition met is pass, or strong well beyond it; info asks for nothing."""
+
+    def reason(code, label, detail, strong=None, tone="pass"):
+        detail = detail if isinstance(detail, Column) else F.lit(detail)
+        return F.struct(F.lit(code).alias("code"), F.lit(label).alias("label"), detail.alias("detail"), (F.lit(tone) if strong is None else F.when(strong, "strong").otherwise(tone)).alias("tone"))
 
     whole = lambda c: F.round(c).cast("long").cast("string")
     out = [
-        reason("minutes", "Minutes", F.concat(whole("exposure"), F.lit(f" minutes meets the {min_exposure:g} threshold")), F.col("exposure") >= 2 * min_exposure),
-        reason("reliability", "Reliability", F.concat(F.lit("Total reliability of at least "), F.lit(f"{min_reliability:.2f}")), F.col("total_reliability") >= min_reliability + 0.15),
-        *(reason(c, c, F.concat(F.lit(f"{c} percentile "), whole(c), F.lit(f" of at least {least:g}")), F.col(c) >= least + 20) for c, least in min_pct.items()),
-        F.when(F.col("similarity").isNotNull(), reason("similarity", "Profile similarity", F.concat(whole(100 * F.col("similarity")), F.lit(f"% component-percentile similarity{reference_name}")), F.col("similarity") >= 0.9)),
+        reason("minutes", "Minutes", F.concat(whole("exposure"), F.lit(f" minutes meets the {brief.min_exposure:g} threshold")), F.col("exposure") >= 2 * brief.min_exposure),
+        reason("reliability", "Reliability", f"Total reliability of at least {brief.min_reliability:.2f}", F.col("total_reliability") >= brief.min_reliability + 0.15),
+        *(reason(c, c, F.concat(F.lit(f"{c} percentile "), whole(c), F.lit(f" of at least {least:g}")), F.col(c) >= least + 20) for c, least in brief.min_pct.items()),
     ]
+    if brief.min_age is not None or brief.max_age is not None:
+        span = f"from {brief.min_age} to {brief.max_age}" if None not in (brief.min_age, brief.max_age) else f"from {brief.min_age}" if brief.max_age is None else f"to {brief.max_age}"
+        out.append(reason("age", "Age", F.concat(F.lit("Age "), F.col("age").cast("string"), F.lit(f" is in the range asked for ({span})"))))
+    if brief.archetype is not None:
+        out.append(reason("archetype", "Archetype", F.concat(F.lit("Has the archetype asked for: "), F.col("archetype").cast("string")), tone="strong"))
+    else:
+        out.append(F.when(F.col("archetype").isNotNull(), reason("archetype_info", "Archetype", F.concat(F.lit("Is of archetype "), F.col("archetype").cast("string")), tone="info")))
+    if brief.similar_to is not None:
+        likeness = F.concat(whole(100 * F.col("similarity")), F.lit(f"% component-percentile similarity{' to ' + name if name else ''} (at least {100 * brief.min_similarity:.0f}%)"))
+        out.append(F.when(F.col("similarity").isNotNull(), reason("similarity", "Profile similarity", likeness, F.col("similarity") >= 0.9)))
+    if brief.salary:
+        out.append(reason("salary_unavailable", "Salary", "Salaries are not in the data, so they filter nothing", tone="info"))
     return rows.withColumn("reasons", F.filter(F.array(*out), lambda x: x.isNotNull()))
 
 
+def dashboard(shortlist: DataFrame, top: int = 10) -> DataFrame:
+    """(size, upper_median): the size of the whole list, and the upper median score of its first `top`."""
+    scores = F.sort_array(F.collect_list(F.when(F.col("place") <= top, F.coalesce("score", F.lit(0.0)))))
+    return shortlist.agg(F.count("*").alias("size"), scores.alias("s")).select("size", F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("upper_median"))
+
+
 def recommendation(shortlist: DataFrame, least_reliability: float = 0.25) -> DataFrame:
     """The first three: role, and the risks, which may both hold."""
     risks = F.array_compact(F.array(F.when(F.col("status") != "qualified", "not_qualified"), F.when(F.col("total_reliability") < least_reliability, "low_reliability")))

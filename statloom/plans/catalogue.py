@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -24,7 +25,6 @@ _REF = "(SELECT min(entity_id) AS e FROM ratings WHERE period = 2000 AND status
 _SIM = f"(SELECT p.entity_id, sum(p.pct_adj * q.pct_adj) / sqrt(sum(p.pct_adj ** 2) * sum(q.pct_adj ** 2)) AS similarity FROM component_pcts p JOIN component_pcts q ON p.component = q.component AND q.period = 2000 AND q.entity_id = {_REF} WHERE p.period = 2000 GROUP BY p.entity_id HAVING sum(p.pct_adj ** 2) > 0 AND sum(q.pct_adj ** 2) > 0)"
 _FIT = f"""(SELECT r.entity_id, r.score, r.status, r.total_reliability, r.exposure, s.similarity, a_f, n_o, r_f, 0.35 * coalesce(a_f, 0) + 0.15 * coalesce(n_o, 0) + 0.15 * coalesce(r_f, 0) + 0.2 * coalesce(score, 50) + 10 * coalesce(total_reliability, 0) + least(20, exposure / 180) + 25 * coalesce(similarity, 0) AS fit
     FROM ratings r JOIN (SELECT entity_id, max(pct_adj) FILTER (component = 'a_f') AS a_f, max(pct_adj) FILTER (component = 'n_o') AS n_o, max(pct_adj) FILTER (component = 'r_f') AS r_f FROM component_pcts WHERE period = 2000 GROUP BY entity_id) p ON r.entity_id = p.entity_id LEFT JOIN {_SIM} s ON r.entity_id = s.entity_id WHERE r.period = 2000)"""
-_BRIEF = f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(fit, 6) DESC, round(score, 6) DESC, entity_id) AS place FROM {_FIT} WHERE status <> 'limited' AND score >= 30) WHERE place <= 50)"
 _DQ = """SELECT 'error' AS severity, 'DQ-02' AS check_id, count(*) AS n FROM (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) a UNION ALL SELECT 'error', 'DQ-03', count(*) FROM {ratings} WHERE score < 0 OR score > 100
 UNION ALL SELECT 'warning', 'DQ-05', count(*) FROM {events} e LEFT JOIN {customer} c ON e.user_id = c.c_custkey WHERE c.c_custkey IS NULL UNION ALL SELECT 'warning', 'DQ-08', count(*) FROM (SELECT period FROM {status} GROUP BY period HAVING sum(CASE WHEN status = 'qualified' THEN 1 ELSE 0 END) = 0) d"""
 _CANDIDATES = f"(SELECT f.*, e.name, e.team, c.cluster AS archetype, CASE WHEN f.entity_id % 7 <> 0 THEN 20 + f.entity_id % 20 END AS age FROM {_FIT} f JOIN entities e ON f.entity_id = e.entity_id LEFT JOIN clusters c ON f.entity_id = c.entity_id)"
@@ -102,10 +102,6 @@ apart("snk5_refresh_ledger", "#refresh_id status #errors @max_date #n_rows finge
       " UNION ALL ".join(f"SELECT {i} AS refresh_id, (SELECT CASE WHEN max(CASE WHEN severity = 'error' AND n > 0 THEN 2 WHEN n > 0 THEN 1 ELSE 0 END) = 2 THEN 'failed' WHEN max(CASE WHEN n > 0 THEN 1 ELSE 0 END) = 1 THEN 'warnings' ELSE 'passed' END FROM ({{_DQ}}) q) AS status, (SELECT count_if(severity = 'error' AND n > 0) FROM ({{_DQ}}) q) AS errors, max(last_date) AS max_date, count(*) AS n_rows, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(CAST(max(last_date) AS DATE) AS VARCHAR), CAST(count(DISTINCT entity_id) AS VARCHAR))) AS fingerprint FROM season WHERE period <= {last}".replace("{_DQ}", _DQ) for i, last in ((1, P.final), (2, P.live))))
 
 
-def scouting_documents(w):
-    return w.season.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("period", "exposure", "shots"))).alias("periods"))
-
-
 # --- conforming
 query("can1_conform_teams", "#team_id name short_name", lambda w: facts.keep_first(w.table("nation").select(C("n_nationkey").alias("team_id"), F.trim("n_name").alias("name"), F.coalesce(F.nullif(F.trim(F.when(C("n_nationkey") % 2 == 0, F.substring("n_name", 1, 3)).otherwise("")), F.lit("")), F.trim("n_name")).alias("short_name")), ["team_id"], ["name"]),
       "(SELECT n_nationkey AS team_id, trim(n_name) AS name, CASE WHEN n_nationkey % 2 = 0 THEN trim(substr(n_name, 1, 3)) ELSE trim(n_name) END AS short_name FROM nation) x")
@@ -484,28 +480,30 @@ def _fit(w):
 query("sco2_fit_score", "#entity_id *fit", _fit, f"{_FIT} x")
 
 
-def _brief(w):
-    x = _fit(w).filter("status <> 'limited' and score >= 30")
-    return x.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("fit", 6)), F.desc(F.round("score", 6)), "entity_id"))).filter("place <= 50")
-
-
-query("sco3_run_brief", "#place #entity_id *fit *score", _brief, f"{_BRIEF} x")
+#: The brief of the registered queries; whom it is compared with is the first qualified entity of the period.
+ASKED = serving.Brief(min_exposure=900, min_reliability=0.05, min_pct={"a_f": 15, "n_o": 5}, min_age=20, max_age=38, min_similarity=0.5, salary=True)
+_BRIEF = f"""(SELECT *, row_number() OVER (ORDER BY round(fit, 6) DESC, round(score, 6) DESC, entity_id) AS place FROM {_CANDIDATES} c
+    WHERE status <> 'limited' AND exposure >= 900 AND coalesce(total_reliability, 0) >= 0.05 AND a_f >= 15 AND n_o >= 5 AND age BETWEEN 20 AND 38 AND similarity >= 0.5 AND entity_id <> {_REF})"""
 
 
-def _reasons(w):
-    tag = lambda cond, text: F.when(cond, F.lit(text))
-    parts = F.array(tag(C("score") >= 70, "score:strong"), tag(C("score").between(50, 70) & (C("score") < 70), "score:pass"), tag(C("total_reliability") >= 0.5, "sample:strong"), tag(C("a_f") >= 70, "a_f:strong"), tag(C("similarity") >= 0.9, "similar:info"))
-    return _brief(w).withColumn("reasons", F.array_join(F.filter(parts, lambda x: x.isNotNull()), ","))
+def _brief(w):
+    return serving.run_brief(_candidates(w).drop("fit"), replace(ASKED, similar_to=_reference_id(w)), ("a_f", "n_o", "r_f"), "the reference")
 
 
-_REASONS = f"(SELECT *, concat_ws(',', CASE WHEN score >= 70 THEN 'score:strong' END, CASE WHEN score >= 50 AND score < 70 THEN 'score:pass' END, CASE WHEN total_reliability >= 0.5 THEN 'sample:strong' END, CASE WHEN a_f >= 70 THEN 'a_f:strong' END, CASE WHEN similarity >= 0.9 THEN 'similar:info' END) AS reasons FROM {_BRIEF})"
-_WANTED = {"a_f": 40, "n_o": 10}
-apart("sco4_match_reasons", "#entity_id code label detail tone", lambda w: serving.match_reasons(_brief(w), 1800, 0.1, _WANTED).select("entity_id", F.explode("reasons").alias("x")).select("entity_id", "x.*"),
-      " UNION ALL ".join([f"SELECT entity_id, 'minutes' AS code, 'Minutes' AS label, CAST(CAST(round(exposure) AS BIGINT) AS VARCHAR) || ' minutes meets the 1800 threshold' AS detail, CASE WHEN exposure >= 3600 THEN 'strong' ELSE 'pass' END AS tone FROM {_BRIEF} b",
-        f"SELECT entity_id, 'reliability', 'Reliability', 'Total reliability of at least 0.10', CASE WHEN total_reliability >= 0.25 THEN 'strong' ELSE 'pass' END FROM {_BRIEF} b",
-        *(f"SELECT entity_id, '{c}', '{c}', '{c} percentile ' || CAST(CAST(round({c}) AS BIGINT) AS VARCHAR) || ' of at least {v}', CASE WHEN {c} >= {v + 20} THEN 'strong' ELSE 'pass' END FROM {_BRIEF} b" for c, v in _WANTED.items()),
-        f"SELECT entity_id, 'similarity', 'Profile similarity', CAST(CAST(round(100 * similarity) AS BIGINT) AS VARCHAR) || '% component-percentile similarity', CASE WHEN similarity >= 0.9 THEN 'strong' ELSE 'pass' END FROM {_BRIEF} b WHERE similarity IS NOT NULL"]))
-query("sco5_shortlist_table", "#place #entity_id name *a_f *n_o *r_f *fit reasons", lambda w: _reasons(w).join(w.entities.select("entity_id", "name"), "entity_id"), f"(SELECT b.*, e.name FROM {_REASONS} b JOIN entities e ON b.entity_id = e.entity_id) x")
+query("sco3_run_brief", "#place #entity_id *fit *score", _brief, f"{_BRIEF} x")
+_REASONS = {
+    "minutes": ("Minutes", "CAST(CAST(round(exposure) AS BIGINT) AS VARCHAR) || ' minutes meets the 900 threshold'", "CASE WHEN exposure >= 1800 THEN 'strong' ELSE 'pass' END", "true"),
+    "reliability": ("Reliability", "'Total reliability of at least 0.05'", "CASE WHEN total_reliability >= 0.2 THEN 'strong' ELSE 'pass' END", "true"),
+    **{p: (p, f"'{p} percentile ' || CAST(CAST(round({p}) AS BIGINT) AS VARCHAR) || ' of at least {v}'", f"CASE WHEN {p} >= {v + 20} THEN 'strong' ELSE 'pass' END", "true") for p, v in (("a_f", 15), ("n_o", 5))},
+    "age": ("Age", "'Age ' || age || ' is in the range asked for (from 20 to 38)'", "'pass'", "true"),
+    "archetype_info": ("Archetype", "'Is of archetype ' || archetype", "'info'", "archetype IS NOT NULL"),
+    "similarity": ("Profile similarity", "CAST(CAST(round(100 * similarity) AS BIGINT) AS VARCHAR) || '% component-percentile similarity to the reference (at least 50%)'", "CASE WHEN similarity >= 0.9 THEN 'strong' ELSE 'pass' END", "similarity IS NOT NULL"),
+    "salary_unavailable": ("Salary", "'Salaries are not in the data, so they filter nothing'", "'info'", "true"),
+}
+apart("sco4_match_reasons", "#entity_id code label detail tone", lambda w: _brief(w).select("entity_id", F.explode("reasons").alias("x")).select("entity_id", "x.*"),
+      " UNION ALL ".join(f"SELECT entity_id, '{k}' AS code, '{label}' AS label, {detail} AS detail, {tone} AS tone FROM {_BRIEF} b WHERE {when}" for k, (label, detail, tone, when) in _REASONS.items()))
+query("sco5_shortlist_table", "#place #entity_id name *a_f *n_o *r_f *fit reasons", lambda w: _brief(w).withColumn("reasons", F.array_join(F.transform("reasons", lambda x: F.concat_ws(":", x["code"], x["tone"])), ",")),
+      "(SELECT *, concat_ws(',', " + ", ".join(f"CASE WHEN {when} THEN '{k}:' || {tone} END" for k, (_, _, tone, when) in _REASONS.items()) + f") AS reasons FROM {_BRIEF}) x")
 _PROFILE_NUMBERS = ("exposure", "score", "score_low", "score_high", "adj_total", "obs_total", "total_reliability", "posterior_low", "posterior_high", "conceded_rate", "save_pct", "prevented", "prevented_rate", "expected", *(f"{c}_{v}" for c in COMPONENTS for v in ("adj", "pct")), "talent_score", "talent", "weight_league", "weight_prior", "weight_live")
 _PROFILE_COLUMNS = "#entity_id name team #age #period status #archetype #appearances #conceded #shots #saves " + " ".join("*" + n for n in _PROFILE_NUMBERS)
 
@@ -532,7 +530,7 @@ query("sco6_profile_table", _PROFILE_COLUMNS, _profile_table, f"""(SELECT r.*, e
     LEFT JOIN (SELECT p.entity_id, any_value(p.posterior_low) AS posterior_low, any_value(p.posterior_high) AS posterior_high, {_on_score("posterior_low")} AS score_low, {_on_score("posterior_high")} AS score_high FROM {_POST} p JOIN shrunk_totals t ON t.period = p.period AND t.in_pool WHERE p.period = {P.final} GROUP BY p.entity_id) i ON r.entity_id = i.entity_id
     LEFT JOIN clusters c ON r.entity_id = c.entity_id LEFT JOIN talent_ranked q ON r.entity_id = q.entity_id WHERE r.period = {P.final}) x""")
 query("sco7_compare_matrix", "#entity_id metric *value is_best", lambda w: scouting.compare_matrix(_metrics(w).filter("entity_id <= 4"), {"score": True, "save_pct": True, "conceded_rate": False, "total_reliability": None}), f"(SELECT *, coalesce(value = CASE WHEN metric IN ('score', 'save_pct') THEN max(value) OVER (PARTITION BY metric) WHEN metric = 'conceded_rate' THEN min(value) OVER (PARTITION BY metric) END, false) AS is_best FROM {_METRIC_SQL} WHERE entity_id <= 4) x")
-query("sco8_dashboard", "#size *upper_median", lambda w: _brief(w).agg(F.count("*").alias("size"), F.sort_array(F.collect_list(F.when(C("place") <= 10, F.coalesce("score", F.lit(0.0))))).alias("s")).select("size", F.expr("element_at(s, cast(floor(size(s) / 2) as int) + 1)").alias("upper_median")), f"(SELECT count(*) AS size, list_sort(list(coalesce(score, 0)) FILTER (place <= 10))[count(*) FILTER (place <= 10) // 2 + 1] AS upper_median FROM {_BRIEF}) x")
+query("sco8_dashboard", "#size *upper_median", lambda w: serving.dashboard(_brief(w)), f"(SELECT count(*) AS size, list_sort(list(coalesce(score, 0)) FILTER (place <= 10))[count(*) FILTER (place <= 10) // 2 + 1] AS upper_median FROM {_BRIEF}) x")
 apart("sco9_recommendation", "#place #entity_id role risks", lambda w: serving.recommendation(_brief(w)).withColumn("risks", F.array_join("risks", ",")),
       f"SELECT place, entity_id, CASE WHEN place = 1 THEN 'primary' ELSE 'alternative' END AS role, concat_ws(',', CASE WHEN status <> 'qualified' THEN 'not_qualified' END, CASE WHEN total_reliability < 0.25 THEN 'low_reliability' END) AS risks FROM {_BRIEF} b WHERE place <= 3")
 apart("sco10_leaderboard_table", "#rank_adjusted #entity_id name team *score status", lambda w: _board(w, P.final),

@@ -114,3 +114,20 @@ def test_changes_joins_and_sets(spark):
     assert values(joins.union_ids((a, "k"), (b, "k"))) == [1, 2, 3, None] and values(joins.difference_ids((a, "k"), (b, "k"))) == [1, None] and values(joins.common_ids((a, "k"), (b, "k"))) == [2]
     assert values(joins.without_match(a, b, "k", "k")) == [1, None]
     assert sorted(map(tuple, joins.pick_list([2, 9], a, "k").collect())) == [(2, True), (9, False)]
+
+
+def test_a_brief_returns_every_match_with_its_reasons(spark):
+    rows = [(i, f"n{i}", "t", "qualified", 2000.0 + i, 0.5, 60.0, 50.0, 40.0, float(i % 7), 25, 1 if i % 2 else None, 0.95 if i % 3 else 0.6) for i in range(1, 121)]
+    board = spark.createDataFrame(rows, "entity_id long, name string, team string, status string, exposure double, total_reliability double, a double, b double, c double, score double, age int, archetype int, similarity double")
+    brief = serving.Brief(min_exposure=1000, min_reliability=0.4, min_pct={"a": 50}, min_age=20, similar_to=1, min_similarity=0.5)
+    got = {r.entity_id: r for r in serving.run_brief(board, brief, ("a", "b", "c"), "n1").collect()}
+    assert set(got) == set(range(2, 121))  # all but the reference, far over 50
+    fit = lambda r: round(0.35 * r[6] + 0.15 * r[7] + 0.15 * r[8] + 0.2 * r[9] + 10 * r[5] + min(20, r[4] / 180) + 25 * r[12], 6)
+    order = sorted((r for r in rows if r[0] != 1), key=lambda r: (-fit(r), -r[9], r[0]))
+    assert [r[0] for r in order] == [e for e, _ in sorted(got.items(), key=lambda x: x[1].place)]
+    tones = {x.code: x.tone for x in got[3].reasons}
+    assert tones == {"minutes": "strong", "reliability": "pass", "a": "pass", "age": "pass", "archetype_info": "info", "similarity": "pass"}
+    assert "archetype_info" not in {x.code for x in got[2].reasons}
+    asked = serving.run_brief(board, serving.Brief(archetype=1, salary=True), ("a", "b", "c")).collect()
+    assert len(asked) == 60 and {(x.code, x.tone) for r in asked for x in r.reasons if x.code in ("archetype", "salary_unavailable")} == {("archetype", "strong"), ("salary_unavailable", "info")}
+    assert serving.run_brief(board, serving.Brief(query="nobody"), ("a", "b", "c")).count() == 0
