@@ -32,7 +32,8 @@ class Workload:
     def _components(self, *keys: str, own: bool = False) -> DataFrame:
         tilt = self.p.signal * ((F.col("entity_id") % 7) - 3)
         more = (F.min("ship_date").alias("c_date"), F.max("ship_date").alias("last_date"), F.sum("q").alias("c_exposure"), F.count_if("returned").alias("c_conceded"), F.sum("tax").alias("c_tax")) if own else ()
-        return self.lines.groupBy(*keys, "component").agg(F.sum(F.col("disc") - 0.05 + tilt).alias("value"), F.sum("disc").alias("raw_value"), F.count("*").alias("opps"), *more)
+        lines = self.lines.repartition(*keys) if own else self.lines  # one shuffle serves the sums and the windows over a key
+        return lines.groupBy(*keys, "component").agg(F.sum(F.col("disc") - 0.05 + tilt).alias("value"), F.sum("disc").alias("raw_value"), F.count("*").alias("opps"), *more)
 
     @cached_property
     def match(self) -> DataFrame:
