@@ -1,15 +1,21 @@
 """Main text of web pages by a maximum-scoring subsequence (operator 10).
 
-A page is a sequence of words and tags. Each word scores by the least of its open elements' weights, each tag by its
-own negative weight, and one linear scan finds the contiguous region with the largest sum. Weights are log-odds of
-words (tags) inside against outside the content, counted on labelled pages: pages whose markup names its article.
-Inside is what stands in an article or main element, but for elements that bear a name of boilerplate there; an
-element that wraps an article says nothing by the words around it. The sample is bounded, a documented parameter:
-of the labelled pages about `sample`, drawn by a hash of id and text; counts are combined per key.
-Keys that no labelled page holds have prior counts only: names of boilerplate, in every language's pages the same
-(menus, forms, comments, ...), have `PRIOR` words outside; labelled words outweigh them. Words with a negative weight
-inside an element of content (an advert in the article) score nothing, so they cannot cut the region, and are left
-out of it. Scripts, styles and comments are no words.
+A page is a sequence of words and tags. Each word scores by the least weight of the keys around it, each tag by its own
+negative weight, and one linear scan finds the contiguous region with the largest sum. Weights are log-odds of words
+(tags) inside against outside the content, counted on labelled pages: pages whose markup names its article. The sample
+is bounded, a documented parameter: of the labelled pages about `sample`, drawn by a hash of id and text.
+
+Keys stand in their context. Regions are elements with a landmark's name or a class, id or role; they are keys of
+their own. Other blocks are keys together with the region around them (`li@nav`), so a list in an article is not a menu;
+such a key without counts says nothing, and its words score as their region. Inline elements score as their block.
+Tags are likewise counted with their region; without counts they have a small cost, less for inline ones but for links, of which menus consist.
+
+Inside is what stands in an article or main element, except elements in it that bear a name of boilerplate: those are
+outside unless they hold most of its words, so that a name never overrules what a page calls its article. Content within
+a boilerplate-named wrapper is inside only if the page has no other. What wraps an article says nothing by the words
+around it. Names of boilerplate (menus, forms, comments, ...) are a prior of `PRIOR` words outside, which labelled words
+outweigh; a header in an article has none. Words with a negative weight inside an element of content (an advert in the
+article) score nothing, so they cannot cut the region, and are left out of it. Scripts, styles and comments are no words.
 
 Defined results: null or empty html, or html without a content word, gives an empty text; cut pages are read as far
 as they go, and time and memory are linear in their length however deep elements nest; of regions with the same sum
@@ -22,7 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,6 +46,8 @@ INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn",
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "option": {"option"}}
 PLAIN = {"html", "body", "div", "section", "span"}
 CONTENT = {"article", "main"}
+#: Elements that are regions without a mark.
+LANDMARKS = CONTENT | {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "label", "dialog"}
 #: Prior: names of boilerplate, as elements and in class, id and role.
 OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "label", "dialog"}
 OUTSIDE_MARK = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|comment-list|cookies?|consent|footer|header|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|related|reply|replies|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|search|login)(?:$|[-_ 0-9])", re.I)
@@ -82,7 +90,7 @@ class Page:
                 continue
             while self.stack and self.stack[-1][0] in CLOSES.get(name, ()):
                 self._pop()
-            own = [] if name in PLAIN else [name]
+            own = [name] if name in LANDMARKS else []
             for a in MARK.finditer(raw):
                 own += [f"{'div' if name in PLAIN else name}.{w.lower()}" for w in (a[1] or a[2] or a[3] or "").split()]
             if name not in VOID and not raw.endswith("/>"):
@@ -104,21 +112,79 @@ def is_labelled(html_col: Column) -> Column:
     return F.coalesce(html_col.rlike(r"(?i)<(article|main)[\s>]"), F.lit(False))
 
 
+def is_named(own: list[str], in_content: bool) -> bool:
+    """Whether an element bears a name of boilerplate; an article's own header does not."""
+    return any(is_outside(k) for k in own if not (in_content and k == "header"))
+
+
+def _region(name: str, own: list[str], outer: str, in_content: bool) -> tuple[str, list[str]]:
+    """The region that an element is in or opens, and its keys; an article's own header is a block like any other."""
+    if in_content and own[:1] == ["header"]:
+        own = own[1:]
+    if own:
+        return own[0], own
+    return outer, [] if name in INLINE or name in PLAIN else [f"{name}@{outer}"]
+
+
+def _decided(page: str) -> set[int]:
+    """Numbers, in order of opening, of the elements that a labelled page shows to be outside though within content."""
+    found: list[list] = []  # of named elements in content, and of content in named wrappers: number, words, those of the content
+
+    class Element:
+        __slots__ = ("content", "named", "number", "words", "wrapped")
+
+    number, clean = 0, 0
+
+    def opened(name, own, outer):
+        nonlocal number
+        e = Element()
+        e.number, e.words, e.content = number, 0, outer.content if outer else None
+        number += 1
+        within = e.content is not None
+        named = is_named(own, within)
+        e.wrapped = (outer.wrapped if outer else False) or (named and not within)
+        if not within and name in CONTENT:
+            e.content = e
+        e.named = named and within and not (outer.named if outer else False)
+        return e
+
+    def closed(e, outer):
+        nonlocal clean
+        if outer:
+            outer.words += e.words
+        if e.named:
+            found.append([e.number, e.words, e.content])
+        elif e.content is e:
+            if e.wrapped:
+                found.append([e.number, e.words, None])
+            else:
+                clean += e.words
+
+    for e, _, text in Page(opened, closed).read(page):
+        if text is not None and e:
+            e.words += len(text.split())
+    return {n for n, words, content in found if (2 * words <= content.words if content is not None else clean)}
+
+
 def counts(page: str) -> Counter:
     """(kind, key, inside) counts of a labelled page."""
     out: Counter = Counter()
     open_keys: Counter = Counter()
+    decided, number = _decided(page), 0
 
     class Element:
-        __slots__ = ("inside", "keys", "outside", "words", "wraps")
+        __slots__ = ("inside", "keys", "outside", "region", "words", "wraps")
 
     def opened(name, own, outer):
+        nonlocal number
         e = Element()
-        e.keys = [k for k in dict.fromkeys(own) if not open_keys[k]]  # a key counts a word once
+        e.region, keys = _region(name, own, outer.region if outer else "", bool(outer and outer.inside))
+        e.keys = [k for k in dict.fromkeys(keys) if not open_keys[k]]  # a key counts a word once
         open_keys.update(e.keys)
         e.wraps, e.words = False, [0, 0]
-        e.outside = (outer.outside if outer else False) or any(map(is_outside, own))
         e.inside = name in CONTENT or (outer.inside if outer else False)
+        e.outside = e.inside and (number in decided or (outer.outside if outer else False))
+        number += 1
         return e
 
     def closed(e, outer):
@@ -130,12 +196,12 @@ def counts(page: str) -> Counter:
         if outer:
             outer.words[0] += e.words[0]
             outer.words[1] += e.words[1]
-            outer.wraps |= e.wraps or (e.inside and not outer.inside)
+            outer.wraps |= e.wraps or (e.inside and not e.outside and not outer.inside)
 
     for e, name, text in Page(opened, closed).read(page):
         inside = bool(e and e.inside and not e.outside)
         if text is None:
-            out["tag", name, inside] += 1
+            out["tag", f"{name}@{e.region if e else ''}", inside] += 1
         elif e:
             e.words[inside] += len(text.split())
         else:
@@ -146,8 +212,8 @@ def counts(page: str) -> Counter:
 class Weights:
     def __init__(self, rows: list[tuple[str, str, float, float]]):
         """`rows`: (kind, key, count inside, count outside)."""
-        self.word: dict[str, float] = {}
-        self.tag: dict[str, float] = defaultdict(lambda: -0.5)
+        self.word: dict[str, float | None] = {}
+        self.tag: dict[str, float] = {}
         for kind, key, a, b in rows:
             if kind == "word":
                 self.word[key] = self._odds(key, a, b)
@@ -156,36 +222,43 @@ class Weights:
 
     @staticmethod
     def _odds(key: str, a: float, b: float) -> float:
-        prior = (1.0, PRIOR) if is_outside(key) else (PRIOR, 1.0) if key in CONTENT else (2.0, 1.0)
+        prior = (PRIOR, 1.0) if key in CONTENT else (1.0, 1.0) if "@" in key else (1.0, PRIOR) if is_outside(key) else (2.0, 1.0)
         return max(-3.0, min(3.0, math.log((a + prior[0]) / (b + prior[1]))))
 
-    def of(self, key: str) -> float:
-        if (w := self.word.get(key)) is None:
-            w = self.word[key] = self._odds(key, 0, 0)
-        return w
+    def of(self, key: str) -> float | None:
+        """None for a block that no labelled page has in this region."""
+        if key not in self.word:
+            self.word[key] = None if "@" in key else self._odds(key, 0, 0)
+        return self.word[key]
+
+    def of_tag(self, name: str, region: str) -> float:
+        return self.tag.get(f"{name}@{region}", UNSEEN_LINK if name == "a" else UNSEEN_INLINE if name in INLINE else UNSEEN_BLOCK)
 
 
+#: Costs of tags that no labelled page has in their region: a link of two words in a list item is worth nothing.
+UNSEEN_LINK, UNSEEN_INLINE, UNSEEN_BLOCK = -0.15, -0.02, -0.1
 #: Weight of words within elements without a key.
-BARE = 0.2
+BARE = 0.25
 
 
 def items(page: str, weights: Weights) -> list[tuple[float, float | None, str]]:
     """(score, weight or None of a tag, text) of the page's tags and texts in order."""
 
     def opened(name, own, outer):
-        """(least weight of the open elements' keys or None, whether one is an element of content)"""
-        least, content = outer or (None, False)
-        for k in own:
+        """(least weight of the keys around or None, whether in an element of content, region)"""
+        least, content, region = outer or (None, False, "")
+        region, keys = _region(name, own, region, content)
+        for k in keys:
             w = weights.of(k)
-            least = w if least is None or w < least else least
-        return least, content or name in CONTENT
+            least = least if w is None else w if least is None or w < least else least
+        return least, content or name in CONTENT, region
 
     out = []
     for state, name, text in Page(opened).read(page):
+        least, content, region = state or (None, False, "")
         if text is None:
-            out.append((weights.tag[name], None, " " if name not in INLINE else ""))
+            out.append((weights.of_tag(name, region), None, " " if name not in INLINE else ""))
         else:
-            least, content = state or (None, False)
             w = BARE if least is None else min(least, 3.0)
             text = html.unescape(text)
             out.append((0.0 if w < 0 and content else w * len(text.split()), w, text))
