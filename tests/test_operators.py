@@ -46,7 +46,7 @@ def test_percentile_outside_pool_and_without_weight(spark):
 
 def test_competition_rank(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 3.0), (1, 1.0), (1, None)], "k int, v double")
-    assert sorted((r[0] or 0, r[1] or 9) for r in rows(df.select("v", rank.competition_rank(F.col("v"), ["k"])))) == [(0, 9), (1.0, 3), (3.0, 1), (3.0, 1)]
+    assert sorted((r[0] or 0, r[1] or 9) for r in rows(rank.competition_rank(df, ["k"], "v").select("v", "rank"))) == [(0, 9), (1.0, 3), (3.0, 1), (3.0, 1)]
 
 
 def test_weight(spark):
@@ -83,10 +83,23 @@ def test_within_variance_equals_two_passes(spark):
         g = sum(v for v, _ in own) / sum(n for _, n in own)
         num += sum((v - n * g) ** 2 / n for v, n in own)
         den += len(own) - 1
-    got = reliability.within_variance(df, 3).first()
+    cube = reliability.moments(df.selectExpr("*", "event_id AS event_date", "90.0D AS exposure"), 96.0)
+    got = reliability.within_variance(cube, 3).first()
     assert math.isclose(got.s2, num / den) and got.n_groups == 5 and got.n_matches == 30
 
 
+def test_moments_of_matches_with_gaps(spark):
+    """Odd and even matches by date among those with a value and opportunities; sums leave out what an estimator can't use."""
+    data = [(3, 1.0, 2, 90.0), (1, 4.0, 1, 80.0), (2, None, 5, 70.0), (4, 8.0, 0, 60.0), (5, 16.0, 4, 0.0), (6, 32.0, None, 50.0)]  # date, value, opps, exposure
+    df = spark.createDataFrame([(1, 2000, d, "a", v, n, d, e) for d, v, n, e in data], "entity_id long, period int, event_id long, component string, value double, opps long, event_date int, exposure double")
+    r = reliability.moments(df, 10.0).first()
+    assert (r.w_m, r.w_q, r.w_v, r.w_n) == (3, 0.5 + 16 + 64, 21.0, 7)
+    assert (r.h_m, r.h_v1, r.h_n1, r.h_v2, r.h_n2) == (4, 4.0 + 8.0, 1, 1.0 + 16.0, 6)  # in order 1, 3, 4, 5
+    rates = [(n / e * 10, e) for _, _, n, e in data if n is not None and e > 0]
+    assert r.x_m == 4 and math.isclose(r.x_q, sum(x * x * e for x, e in rates)) and math.isclose(r.x_r, sum(x * e for x, e in rates)) and r.x_e == 300.0
+    assert (r.value, r.opps) == (61.0, 12)
+
+
 def test_new_entity_starts_at_the_prior(spark):
     totals = spark.createDataFrame([(i, 2000, 3000.0, 0.1 * i, 0.02) for i in range(1, 6)] + [(99, 2001, 90.0, 5.0, 30.0), (1, 2001, 3000.0, 1.0, 0.01)], "entity_id long, period int, exposure double, obs_total double, sampling_variance double")
     total = spark.createDataFrame([(0.04, 0.01, "empirical")], "total_tau2 double, total_drift double, total_source string")
