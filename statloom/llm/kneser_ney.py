@@ -4,20 +4,22 @@ Grams are `order` consecutive characters (white space runs are one blank, digits
 ends). Trusted text is all documents labelled of good quality and not toxic; nothing is sampled, so what is counted
 grows with the corpus. Steps:
 
-1. Grams of trusted documents are counted per task by array operations and summed by gram.
-2. Continuation counts of the lower orders (distinct left extensions), context totals and the discounts D1, D2, D3+
-   of each order (from counts of counts) follow as grouped sums.
-3. Joins sharded by context and by suffix give each gram seen max(c - D(c), 0) / total(context) + gamma(context) *
-   P(lower order), down to the uniform distribution, and each context its weight gamma for what it hasn't seen.
-4. Documents are scored where they are, against the model's arrays, if its size allows; a larger model is joined with
-   the distinct grams of blocks of documents instead. Log-probabilities are summed per document.
+1. Texts are packed into blocks by hash. A block gives its distinct grams, each with its count in trusted text (0 for
+   grams of other documents only), and these are summed by gram: the grams to score and the counts in one table.
+2. Each lower order follows from the one above as a grouped sum: all suffixes, with their continuation counts (distinct
+   left extensions in trusted text). Counts of counts give the discounts D1, D2, D3+ of each order.
+3. From the lowest order up, joins sharded by context and by suffix give each gram
+   max(c - D(c), 0) / total(context) + gamma(context) * P(suffix), down to the uniform distribution. A gram is joined at
+   each order once, however many documents have it, and the model is never gathered or broadcast as a whole.
+4. Probabilities go back to the blocks that have the gram, and are summed per document there.
 5. One trusted document in `ASIDE` is left out of the counts; the perplexities of these, as unseen as any other
-   document's, give each language's quantiles, from counts in logarithmic buckets, which merge by adding. A document is kept up to q99 * (q99 / q50) ** m, where m is `margin` and, for the
-   quantile's own error, `doubt` times the relative error 1 / sqrt(n / 100) of the n / 100 documents beyond it; short texts are first drawn towards the median
+   document's, give each language's quantiles, from counts in logarithmic buckets, which merge by adding. A document
+   is kept up to q99 * (q99 / q50) ** m, where m is `margin` and, for the quantile's own error, `doubt` times the
+   relative error 1 / sqrt(n / 100) of the n / 100 documents beyond it; short texts are first drawn towards the median
    of their language by `prior` characters. Languages with under `least` such documents take those of all.
 
-A gram shared by all documents is one row a task, counts are combined before each shuffle, and no group is
-collected. Defined results: null or empty text has no perplexity and is kept (nothing speaks against it); without
+There is one path, whatever the sizes. A gram shared by all documents is one row a block, counts are combined before
+each shuffle, texts are shuffled in compressed blocks of bounded size, and scratch tables are deleted at the end. Defined results: null or empty text has no perplexity and is kept (nothing speaks against it); without
 trusted documents everything is kept; repeated rows count and are judged each; other columns of `docs` are ignored;
 an empty table gives an empty result.
 """
@@ -28,10 +30,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .util import opened, packed_blocks, salt, small_batches, stored
+from .util import discard, opened, packed_blocks, salt, small_batches, stored
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
@@ -78,41 +83,63 @@ class Texts:
         self.owner = np.repeat(np.arange(len(texts)), self.grams)
 
 
-def _strings(codes: np.ndarray, places: np.ndarray, order: int) -> list[str]:
-    if not len(places):
-        return []
-    flat = codes[places[:, None] + np.arange(order)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+def _windows(own: Texts, at: np.ndarray, order: int) -> np.ndarray:
+    """The code points of the grams at `at` of the text's places, a row each."""
+    return own.codes[own.places[at][:, None] + np.arange(order)]
+
+
+def _strings(windows: np.ndarray) -> list[str]:
+    order = windows.shape[1]
+    flat = windows.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
     return [flat[i : i + order] for i in range(0, len(flat), order)]
 
 
+def block_number(n: int) -> Column:
+    return salt([F.col("id"), F.col("text_hash")], n)
+
+
 def blocks_of(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     """(block, blob) of `rows` (id, text, ...) and the number of blocks."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    return rows.withColumn("_block", salt([F.col("id"), F.col("text_hash")], n)).mapInArrow(packed_blocks, "block int, blob binary"), n
+    return rows.withColumn("_block", block_number(n)).mapInArrow(packed_blocks, "block int, blob binary"), n
 
 
-def block_grams(blocks: DataFrame, order: int = ORDER) -> DataFrame:
-    """(block, gram): each block's distinct grams."""
+class Counted:
+    """Distinct grams with their counts in trusted text, to which texts are added part by part."""
+
+    def __init__(self, order: int):
+        self.order, self.hash, self.n, self.windows = order, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, order), np.uint32)
+
+    def add(self, texts: list[str | None], trusted: np.ndarray) -> None:
+        own = Texts(texts, self.order)
+        if not len(own.places):
+            return
+        hashes, at, which = np.unique(own.hash[own.places], return_index=True, return_inverse=True)
+        n = np.bincount(which, trusted[own.owner], len(hashes)).astype(np.int64)
+        both, first, which = np.unique(np.r_[self.hash, hashes], return_index=True, return_inverse=True)
+        self.n = np.bincount(which, np.r_[self.n, n], len(both)).astype(np.int64)
+        self.hash, self.windows = both, np.concatenate([self.windows, _windows(own, at, self.order)])[first]
+
 
-    def run(blobs: pa.Table) -> pa.Table:
-        merged: set[str] = set()
+def block_grams(blocks: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(block, gram, c): each block's distinct grams and their counts in the documents of `trusted` (block, id)."""
+
+    def run(blobs: pa.Table, ids: pa.Table) -> pa.Table:
+        held, good = Counted(order), ids.column("id").combine_chunks()
         for batch in opened(blobs.column("blob")):
             for part in small_batches([batch], PART):
-                own = Texts(part.column("text").to_pylist(), order)
-                _, at = np.unique(own.hash[own.places], return_index=True)
-                merged.update(_strings(own.codes, own.places[at], order))
-        return pa.table([pa.array(np.full(len(merged), blobs.column("block")[0].as_py(), np.int32)), pa.array(list(merged), pa.string())], ["block", "gram"])
+                mine = pc.is_in(part.column("id"), value_set=good).to_numpy(zero_copy_only=False)
+                held.add(part.column("text").to_pylist(), mine)
+        block = np.full(len(held.n), blobs.column("block")[0].as_py() if blobs.num_rows else 0, np.int32)
+        return pa.table([pa.array(block), pa.array(_strings(held.windows), pa.string()), pa.array(held.n)], ["block", "gram", "c"])
 
-    return blocks.groupBy("block").applyInArrow(run, "block int, gram string")
+    return blocks.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "block int, gram string, c bigint")
 
 
-def orders(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
-    """(gram, c) of order 1 to `order`: counts at the top, numbers of distinct left extensions below."""
-    out = [counts]
-    for n in range(order - 1, 0, -1):
-        out.append(out[-1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")))
-    return out[::-1]
+def lower_order(table: DataFrame, n: int) -> DataFrame:
+    """(gram, c) of order `n` from that above it: all suffixes, and their numbers of distinct left extensions seen."""
+    return table.groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count_if(F.col("c") > 0).alias("c"))
 
 
 def discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -124,27 +151,23 @@ def discounts(table: DataFrame) -> tuple[float, float, float]:
 
 
 def _discount(c, d):
-    return F.when(c >= 3, d[2]).when(c == 2, d[1]).otherwise(d[0])
+    return F.when(c >= 3, d[2]).when(c == 2, d[1]).when(c == 1, d[0]).otherwise(0.0)
 
 
-def probabilities(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, logp) of distinct `grams` under the model of `counts` (gram, c)."""
-    tables = [stored(t, f"order{n}") for n, t in enumerate(orders(counts, order), 1)]
+def probabilities(tables: list[DataFrame]) -> DataFrame:
+    """(gram, logp) of the highest order of `tables` (gram, c; of order 1 and up), whose c is 0 for grams not seen."""
     ds = [discounts(t) for t in tables]
-    first = tables[0].agg(F.count("*").alias("v"), F.sum("c").alias("total"), *(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)), F.count_if(F.col("c") >= 3).alias("n3")).first()
-    if not first["total"]:
-        return grams.select("gram", F.lit(None).cast("double").alias("logp"))
-    uniform = 1.0 / (first["v"] + 1)  # one more for all characters never seen
-    gamma = sum(d * first[f"n{k}"] for k, d in enumerate(ds[0], 1)) / first["total"]
-    own = tables[0].select(F.col("gram").alias("g"), (F.greatest(F.col("c") - _discount(F.col("c"), ds[0]), F.lit(0.0)) / first["total"]).alias("a"))
-    out = grams.join(own, F.substring("gram", order, 1) == F.col("g"), "left").select("gram", (F.coalesce("a", F.lit(0.0)) + gamma * uniform).alias("p"))
-    for n in range(2, order + 1):
-        d, t = ds[n - 1], tables[n - 1]
-        context = t.groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("held")).select("context", "total", (F.col("held") / F.col("total")).alias("gamma"))
-        known = t.select(F.col("gram").alias("g"), F.greatest(F.col("c") - _discount(F.col("c"), d), F.lit(0.0)).alias("a"))
-        at = order - n + 1
-        out = out.join(known, F.substring("gram", at, n) == F.col("g"), "left").join(context, F.substring("gram", at, n - 1) == F.col("context"), "left")
-        out = out.select("gram", F.when(F.col("total").isNull(), F.col("p")).otherwise(F.coalesce("a", F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("p")).alias("p"))
+    c = F.col("c")
+    first = tables[0].agg(F.count_if(c > 0).alias("v"), F.sum("c").alias("total"), F.sum(_discount(c, ds[0])).alias("held")).first()
+    # one character more stands for all never seen
+    out = tables[0].select("gram", ((c - _discount(c, ds[0]) + first["held"] / (first["v"] + 1)) / first["total"]).alias("p"))
+    for n, (t, d) in enumerate(zip(tables[1:], ds[1:]), 2):
+        seen = t.filter("c > 0").groupBy(F.substring("gram", 1, n - 1).alias("context"))
+        context = seen.agg(F.sum("c").alias("total"), F.sum(_discount(c, d)).alias("held"))
+        lower = out.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+        met = t.join(lower, F.substring("gram", 2, n - 1) == F.col("suffix")).join(context, F.substring("gram", 1, n - 1) == F.col("context"), "left")
+        p = (c - _discount(c, d) + F.col("held") * F.col("lower")) / F.col("total")
+        out = met.select("gram", F.coalesce(p, "lower").alias("p"))
     return out.select("gram", F.log("p").alias("logp"))
 
 
@@ -158,108 +181,10 @@ def row_hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def trusted_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(gram, c) over trusted `docs` (text): counted per part in the task, then summed."""
-
-    def run(batches):
-        for part in small_batches(batches, PART):
-            own = Texts(part.column(0).to_pylist(), order)
-            _, at, n = np.unique(own.hash[own.places], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(_strings(own.codes, own.places[at], order), pa.string()), pa.array(n.astype(np.int64))], ["gram", "c"])
-
-    return docs.select("text").mapInArrow(run, "gram string, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-def model(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
-    """(n, kind, gram, value): probability (0) of each gram seen and weight (1) of each context; and P of an unseen character.
-
-    Contexts and suffixes are met by joins, sharded by their characters."""
-    tables = [stored(t, f"order{n}") for n, t in enumerate(orders(counts, order), 1)]
-    ds = [discounts(t) for t in tables]
-    first = tables[0].agg(F.count("*").alias("v"), F.sum("c").alias("total"), *(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)), F.count_if(F.col("c") >= 3).alias("n3")).first()
-    base = sum(d * first[f"n{k}"] for k, d in enumerate(ds[0], 1)) / (first["total"] or 1) / (first["v"] + 1)
-    known = stored(tables[0].select("gram", (F.greatest(F.col("c") - _discount(F.col("c"), ds[0]), F.lit(0.0)) / (first["total"] or 1) + base).alias("p")), "p1")
-    out = known.select(F.lit(1).alias("n"), F.lit(0).alias("kind"), "gram", F.col("p").alias("value"))
-    for n in range(2, order + 1):
-        d, t = ds[n - 1], tables[n - 1]
-        context = t.groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("held")).select("context", "total", (F.col("held") / F.col("total")).alias("gamma"))
-        lower = known.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        x = t.join(context, F.substring("gram", 1, n - 1) == F.col("context")).join(lower, F.substring("gram", 2, n - 1) == F.col("suffix"))
-        known = stored(x.select("gram", (F.greatest(F.col("c") - _discount(F.col("c"), d), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("lower")).alias("p")), f"p{n}")
-        out = out.unionByName(known.select(F.lit(n).alias("n"), F.lit(0).alias("kind"), "gram", F.col("p").alias("value"))).unionByName(context.select(F.lit(n).alias("n"), F.lit(1).alias("kind"), F.col("context").alias("gram"), F.col("gamma").alias("value")))
-    return out, base
-
-
-class Scorer:
-    """The model's tables as sorted arrays."""
-
-    def __init__(self, n: np.ndarray, kind: np.ndarray, key: np.ndarray, value: np.ndarray, base: float, order: int):
-        self.base, self.order, self.tables = base, order, {}
-        for k in range(1, order + 1):
-            for j in (0, 1):
-                mine = (n == k) & (kind == j)
-                arranged = np.argsort(key[mine])
-                self.tables[k, j] = key[mine][arranged], value[mine][arranged]
-
-    def _found(self, n: int, kind: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = self.tables[n, kind]
-        if not len(keys):
-            return np.zeros(len(codes), bool), np.zeros(len(codes))
-        h = row_hashes(codes)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return keys[at] == h, values[at]
-
-    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Of each row of `order` code points."""
-        p = np.full(len(codes), self.base)
-        for n in range(1, self.order + 1):
-            at = self.order - n
-            if n > 1:
-                seen, gamma = self._found(n, 1, codes[:, at : self.order - 1])
-                p = np.where(seen, gamma * p, p)
-            seen, own = self._found(n, 0, codes[:, at:])
-            p = np.where(seen, own, p)
-        return np.log(p)
-
-    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Characters and log-probability of each text."""
-        own = Texts(texts, self.order)
-        _, at, which = np.unique(own.hash[own.places], return_index=True, return_inverse=True)
-        logp = self.log_probabilities(own.codes[own.places[at][:, None] + np.arange(self.order)]) if len(at) else np.zeros(0)
-        return own.grams, np.bincount(own.owner, logp[which], len(texts)) if len(at) else np.zeros(len(texts))
-
-
-def _score_by_broadcast(docs: DataFrame, tables: DataFrame, base: float, order: int) -> DataFrame:
-    """(id, lang, text_hash, chars, log_prob), map only; the caller has checked the model's size."""
-
-    def hashed(batches):
-        for b in batches:
-            grams = b.column("gram").to_pylist()
-            keys = np.array([row_hashes(np.frombuffer(g.encode("utf-32-le", "surrogatepass"), np.uint32)[None])[0] for g in grams], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("n"), b.column("kind"), pa.array(keys.view(np.int64)), b.column("value")], ["n", "kind", "key", "value"])
-
-    got = tables.mapInArrow(hashed, "n int, kind int, key bigint, value double").toArrow()
-    n, kind, key, value = (got.column(c).to_numpy() for c in ("n", "kind", "key", "value"))
-    sent = docs.sparkSession.sparkContext.broadcast((n, kind, key.view(np.uint64), value, base, order))
-    made: list = []
-
-    def run(batches):
-        if not made:
-            made.append(Scorer(*sent.value))
-        for part in small_batches(batches, PART):
-            chars, total = made[0].sums(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), part.column("text_hash"), pa.array(chars), pa.array(total)], ["id", "lang", "text_hash", "chars", "log_prob"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, lang string, text_hash bigint, chars bigint, log_prob double")
-
-
-def _score_by_joins(docs: DataFrame, counts: DataFrame, order: int, block_bytes: int) -> DataFrame:
-    """The same by joins of each block's distinct grams with the counts, for models of any size."""
-    blocks, _ = blocks_of(docs, block_bytes)
-    counted = stored(block_grams(blocks, order), "grams")
-    scored = stored(probabilities(counted.select("gram").distinct(), counts, order), "scored")
-    back = counted.join(scored, "gram").select("block", "logp", "gram")
-    kind = docs.schema["id"].dataType.simpleString()
+def block_sums(blocks: DataFrame, known: DataFrame, kinds: StructType, order: int = ORDER) -> DataFrame:
+    """(id, lang, text_hash, chars, log_prob) of every row of `blocks`, from each block's `known` (block, gram, logp)."""
+    schema = StructType([*(kinds[c] for c in ("id", "lang", "text_hash")), StructField("chars", LongType()), StructField("log_prob", DoubleType())])
+    empty = to_arrow_schema(schema).empty_table()
 
     def run(blobs: pa.Table, known: pa.Table) -> pa.Table:
         flat = np.frombuffer("".join(known.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -270,37 +195,39 @@ def _score_by_joins(docs: DataFrame, counts: DataFrame, order: int, block_bytes:
         for batch in opened(blobs.column("blob")):
             for part in small_batches([batch], PART):
                 own = Texts(part.column("text").to_pylist(), order)
-                total = np.bincount(own.owner, values[np.searchsorted(keys, own.hash[own.places])], len(own.grams)) if len(own.owner) else np.zeros(len(own.grams))
-                out.append(pa.table([part.column("id"), part.column("lang"), part.column("text_hash"), pa.array(own.grams), pa.array(total)], ["id", "lang", "text_hash", "chars", "log_prob"]))
+                each = values[np.searchsorted(keys, own.hash[own.places])]
+                total = np.bincount(own.owner, each, len(own.grams)) if len(each) else np.zeros(len(own.grams))
+                out.append(pa.table([part.column("id"), part.column("lang"), part.column("text_hash"), pa.array(own.grams), pa.array(total)], empty.schema.names))
         return pa.concat_tables(out) if out else empty
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
 
-    schema = StructType([*(docs.schema[c] for c in ("id", "lang", "text_hash")), StructField("chars", LongType()), StructField("log_prob", DoubleType())])
-    empty = to_arrow_schema(schema).empty_table()
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, f"id {kind}, lang string, text_hash bigint, chars bigint, log_prob double")
 
-
-def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES, small_labels: int = 2_000_000, small_model: int = 2_000_000) -> DataFrame:
-    """(id, lang, text_hash, aside, chars, log_prob) of every row; log_prob is null without a model.
-
-    Up to `small_labels` trusted ids and `small_model` rows of the model (16 bytes each) are broadcast, so no text is
-    shuffled; beyond that trusted texts are found by a shuffled join and grams scored by joins, with the same results."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("text_hash"))
+def perplexities(
+    docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """(id, lang, text_hash, aside, chars, log_prob) of every row; log_prob is null without a model."""
+    text, lang = F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
+    rows = docs.select(F.col(id_col).alias("id"), text, lang, F.xxhash64(text_col).alias("text_hash"))
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").alias("id")).filter("id is not null").distinct()
     good = stored(good.withColumn("aside", F.pmod(F.xxhash64(F.col("id"), F.lit("aside")), F.lit(ASIDE)) == 0), "trusted")
-    train = good.filter("not aside").select("id")
-    train = F.broadcast(train) if good.count() <= small_labels else train
-    counts = stored(trusted_counts(rows.join(train, "id", "left_semi"), order), "counts")
-    if counts.isEmpty():
-        sums = rows.select("id", "lang", "text_hash", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("chars"), F.lit(None).cast("double").alias("log_prob"))
+    blocks, n = blocks_of(rows, block_bytes)
+    # ids only are joined, so no text is shuffled for its label
+    trusted = rows.select("id", block_number(n).alias("block")).join(good.filter("not aside").select("id"), "id", "left_semi").select("block", "id").distinct()
+    pairs = stored(block_grams(blocks, trusted, order), "grams")
+    scratch, tables = [good, pairs], [stored(pairs.groupBy("gram").agg(F.sum("c").alias("c")), f"order{order}")]
+    if tables[0].filter("c > 0").isEmpty():
+        chars = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("chars")
+        sums = rows.select("id", "lang", "text_hash", chars, F.lit(None).cast("double").alias("log_prob"))
     else:
-        tables, base = model(counts, order)
-        tables = stored(tables, "model")
-        sums = _score_by_broadcast(rows, tables, base, order) if tables.count() <= small_model else _score_by_joins(rows, counts, order, block_bytes)
-    aside = good.filter("aside")
-    return stored(sums.join(aside, "id", "left").withColumn("aside", F.coalesce("aside", F.lit(False))), "sums")
+        for k in range(order - 1, 0, -1):
+            tables.insert(0, stored(lower_order(tables[0], k), f"order{k}"))
+        scored = stored(probabilities(tables), "scored")
+        scratch.append(scored)
+        sums = block_sums(blocks, pairs.join(scored, "gram").select("block", "gram", "logp"), rows.schema, order)
+    out = stored(sums.join(good.filter("aside"), "id", "left").withColumn("aside", F.coalesce("aside", F.lit(False))), "sums")
+    discard(*scratch, *tables)
+    return out
 
 
 def quantiles(rows: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:

@@ -34,6 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `stored` that no later result reads: what follows must be stored itself by now."""
+    for table in tables:
+        spark = table.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if "/statloom/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

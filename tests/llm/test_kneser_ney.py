@@ -45,7 +45,7 @@ def test_log_probabilities_match_the_definition(spark, order):
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, kept string")
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, None), (2, 0, 0), (6, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.id: r for r in kn.perplexities(docs, labels, order).collect()}
-    joined = {r.id: r for r in kn.perplexities(docs, labels, order, block_bytes=20, small_labels=0, small_model=0).collect()}
+    joined = {r.id: r for r in kn.perplexities(docs, labels, order, block_bytes=20).collect()}
     assert all(math.isclose(got[i].log_prob or 0, joined[i].log_prob or 0, abs_tol=1e-9) and got[i].chars == joined[i].chars for i in got)
     train = [texts[i] for i in (0, 1) if not got[i].aside]
     if train:
