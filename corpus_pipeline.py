@@ -24,6 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     verdicts = kneser_ney.classify(kneser_ney.perplexities(docs, labels))
     rejected = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    rejected = stored(rejected, "rejected")  # so its size is known before texts meet it
     return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
 
 
