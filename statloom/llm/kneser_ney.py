@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +40,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from .util import discard, opened, packed_blocks, salt, small_batches, stored
 
 ORDER = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 PART = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START, END = "\x02", "\x03"
@@ -105,21 +106,35 @@ def blocks_of(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return rows.withColumn("_block", block_number(n)).mapInArrow(packed_blocks, "block int, blob binary"), n
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the place of one of each, and the number of each hash's distinct one; by a hash table, unsorted."""
+    which, found = pd.factorize(hashes)
+    at = np.empty(len(found), np.int64)
+    at[which] = np.arange(len(hashes))
+    return found, at, which
+
+
 class Counted:
-    """Distinct grams with their counts in trusted text, to which texts are added part by part."""
+    """Distinct grams with their counts in trusted text; parts are merged when they hold as many as those merged before."""
 
     def __init__(self, order: int):
-        self.order, self.hash, self.n, self.windows = order, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, order), np.uint32)
+        self.order, self.parts = order, [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, order), np.uint32))]
 
     def add(self, texts: list[str | None], trusted: np.ndarray) -> None:
         own = Texts(texts, self.order)
-        if not len(own.places):
-            return
-        hashes, at, which = np.unique(own.hash[own.places], return_index=True, return_inverse=True)
-        n = np.bincount(which, trusted[own.owner], len(hashes)).astype(np.int64)
-        both, first, which = np.unique(np.r_[self.hash, hashes], return_index=True, return_inverse=True)
-        self.n = np.bincount(which, np.r_[self.n, n], len(both)).astype(np.int64)
-        self.hash, self.windows = both, np.concatenate([self.windows, _windows(own, at, self.order)])[first]
+        if len(own.places):
+            hashes, at, which = _distinct(own.hash[own.places])
+            n = np.bincount(which, trusted[own.owner], len(hashes)).astype(np.int64)
+            self.parts.append((hashes, n, _windows(own, at, self.order)))
+            if sum(len(h) for h, _, _ in self.parts[1:]) > max(1 << 20, len(self.parts[0][0])):
+                self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and code points of the grams so far."""
+        hashes, n, windows = (np.concatenate(c) for c in zip(*self.parts))
+        found, at, which = _distinct(hashes)
+        self.parts = [(found, np.bincount(which, n, len(found)).astype(np.int64), windows[at])]
+        return self.parts[0][1:]
 
 
 def block_grams(blocks: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
@@ -131,8 +146,9 @@ def block_grams(blocks: DataFrame, trusted: DataFrame, order: int = ORDER) -> Da
             for part in small_batches([batch], PART):
                 mine = pc.is_in(part.column("id"), value_set=good).to_numpy(zero_copy_only=False)
                 held.add(part.column("text").to_pylist(), mine)
-        block = np.full(len(held.n), blobs.column("block")[0].as_py() if blobs.num_rows else 0, np.int32)
-        return pa.table([pa.array(block), pa.array(_strings(held.windows), pa.string()), pa.array(held.n)], ["block", "gram", "c"])
+        n, windows = held.merge()
+        block = np.full(len(n), blobs.column("block")[0].as_py() if blobs.num_rows else 0, np.int32)
+        return pa.table([pa.array(block), pa.array(_strings(windows), pa.string()), pa.array(n)], ["block", "gram", "c"])
 
     return blocks.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "block int, gram string, c bigint")
 
@@ -188,14 +204,12 @@ def block_sums(blocks: DataFrame, known: DataFrame, kinds: StructType, order: in
 
     def run(blobs: pa.Table, known: pa.Table) -> pa.Table:
         flat = np.frombuffer("".join(known.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        keys = row_hashes(flat.reshape(-1, order))
-        arranged = np.argsort(keys)
-        keys, values = keys[arranged], known.column("logp").to_numpy()[arranged]
+        keys, values = pd.Index(row_hashes(flat.reshape(-1, order))), known.column("logp").to_numpy()
         out = []
         for batch in opened(blobs.column("blob")):
             for part in small_batches([batch], PART):
                 own = Texts(part.column("text").to_pylist(), order)
-                each = values[np.searchsorted(keys, own.hash[own.places])]
+                each = values[keys.get_indexer(own.hash[own.places])]
                 total = np.bincount(own.owner, each, len(own.grams)) if len(each) else np.zeros(len(own.grams))
                 out.append(pa.table([part.column("id"), part.column("lang"), part.column("text_hash"), pa.array(own.grams), pa.array(total)], empty.schema.names))
         return pa.concat_tables(out) if out else empty
@@ -214,18 +228,18 @@ def perplexities(
     blocks, n = blocks_of(rows, block_bytes)
     # ids only are joined, so no text is shuffled for its label
     trusted = rows.select("id", block_number(n).alias("block")).join(good.filter("not aside").select("id"), "id", "left_semi").select("block", "id").distinct()
-    pairs = stored(block_grams(blocks, trusted, order), "grams")
-    scratch, tables = [good, pairs], [stored(pairs.groupBy("gram").agg(F.sum("c").alias("c")), f"order{order}")]
+    pairs = stored(block_grams(blocks, trusted, order), "grams", drop_shuffles=True)
+    scratch, tables = [good, pairs], [stored(pairs.groupBy("gram").agg(F.sum("c").alias("c")), f"order{order}", drop_shuffles=True)]
     if tables[0].filter("c > 0").isEmpty():
         chars = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("chars")
         sums = rows.select("id", "lang", "text_hash", chars, F.lit(None).cast("double").alias("log_prob"))
     else:
         for k in range(order - 1, 0, -1):
-            tables.insert(0, stored(lower_order(tables[0], k), f"order{k}"))
-        scored = stored(probabilities(tables), "scored")
+            tables.insert(0, stored(lower_order(tables[0], k), f"order{k}", drop_shuffles=True))
+        scored = stored(probabilities(tables), "scored", drop_shuffles=True)
         scratch.append(scored)
         sums = block_sums(blocks, pairs.join(scored, "gram").select("block", "gram", "logp"), rows.schema, order)
-    out = stored(sums.join(good.filter("aside"), "id", "left").withColumn("aside", F.coalesce("aside", F.lit(False))), "sums")
+    out = stored(sums.join(good.filter("aside"), "id", "left").withColumn("aside", F.coalesce("aside", F.lit(False))), "sums", drop_shuffles=True)
     discard(*scratch, *tables)
     return out
 

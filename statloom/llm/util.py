@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -26,11 +27,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back: lineage is cut and a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
+    """`df` written to the shared folder and read back: lineage is cut and a lost executor costs no recomputation.
+
+    With `drop_shuffles` the shuffle files of the write are deleted when it is done, not when the driver collects garbage."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/statloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true" if drop_shuffles else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
