@@ -26,6 +26,16 @@ def issue_row(rows: DataFrame, issue: str, key: Column, samples: int = 5) -> Dat
     return rows.agg(F.count("*").alias("n")).join(least).select(F.lit(issue).alias("issue"), "n", "keys")  # one row each
 
 
+def duplicate_issue(rows: DataFrame, keys: list[str], label: str, samples: int = 5) -> DataFrame:
+    """(severity, issue, n, keys): a warning for all rows that share their `keys` with another row, with the `samples` smallest of
+    these keys; no row if there is none. Rows are counted before the shuffle, samples are a top-k."""
+    met = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)).alias("k")).filter("n > 1")
+    least = met.orderBy("k").limit(samples).agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("keys"))
+    total = met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    out = total.join(least).filter("n > 0")  # one row each
+    return out.select(F.lit("warning").alias("severity"), F.lit(f"duplicate_{label}").alias("issue"), "n", "keys")
+
+
 def component_contract(rows: DataFrame, expected: list[str], required: list[str], name: str = "component") -> DataFrame:
     """(component, severity, n): components expected and absent are errors, unexpected ones warnings, rows that miss a required field errors."""
     seen = rows.groupBy(name).agg(F.count("*").alias("n"), F.count_if(reduce(Column.__or__, (F.col(c).isNull() for c in required))).alias("bad"))

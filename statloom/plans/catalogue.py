@@ -116,6 +116,10 @@ query("can5_dedupe_slugs", "#id slug", lambda w: facts.dedupe_slugs(w.table("par
 query("can6_dedupe_first", "#l_orderkey #l_linenumber *l_quantity *l_extendedprice", lambda w: facts.keep_first(w.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber"], [C(x) for x in ("l_quantity", "l_extendedprice", "l_partkey", "l_suppkey")]),
       "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_quantity, l_extendedprice, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1) x")
 query("can6_duplicate_keys", "#l_orderkey #l_linenumber #n", lambda w: facts.duplicate_keys(w.table("lineitem"), ["l_orderkey", "l_linenumber"]), "(SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1) x")
+query("can6_duplicate_issue", "severity issue #n keys", lambda w: quality.duplicate_issue(w.table("lineitem"), ["l_orderkey", "l_linenumber"], "line"),
+      """(WITH d AS (SELECT concat_ws('/', l_orderkey, l_linenumber) AS k, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+      SELECT 'warning' AS severity, 'duplicate_line' AS issue, (SELECT sum(n) FROM d) AS n,
+      (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM d ORDER BY k LIMIT 5)) AS keys WHERE EXISTS (FROM d)) x""")
 query("can7_attach_traditional", "#entity_id #period *total_value #conceded *expected", lambda w: facts.attach_one_to_one(w.totals.select("entity_id", "period", "total_value"), w.season.select("entity_id", "period", "conceded", "expected"), ["entity_id", "period"], ["conceded"]), "(SELECT entity_id, period, total_value, conceded, expected FROM totals JOIN season USING (entity_id, period)) x")
 query("can8_label_unknown", "#event_id #user_id name", lambda w: facts.label_unknown(w.table("events").select("event_id", "user_id"), w.table("customer").select(C("c_custkey").alias("user_id"), C("c_name").alias("name")), "user_id", "name"), "(SELECT event_id, user_id, coalesce(c_name, 'Unknown (' || user_id || ')') AS name FROM events LEFT JOIN customer ON user_id = c_custkey) x")
 query("can9_placeholder_rows", "#user_id name", lambda w: facts.placeholder_rows(w.table("customer").select(C("c_custkey").alias("user_id"), C("c_name").alias("name")), "user_id", "name", w.table("events").select("user_id"), w.table("supplier").select((C("s_suppkey") + 1_000_000).alias("user_id"))),
@@ -123,10 +127,39 @@ query("can9_placeholder_rows", "#user_id name", lambda w: facts.placeholder_rows
 query("can10_union_periods", "#entity_id #period *exposure", lambda w: facts.keep_first(w.season.filter("period <= 1997").unionByName(w.season.filter("period >= 1997").drop("expected"), allowMissingColumns=True), ["entity_id", "period"], ["expected"]), "season")
 query("can11_attach_dates", "#undated #dated", lambda w: w.table("lineitem").join(w.table("orders").filter("o_orderkey % 11 <> 0"), C("l_orderkey") == C("o_orderkey"), "left").agg(F.count_if(C("o_orderdate").isNull()).alias("undated"), F.count("o_orderdate").alias("dated")), "(SELECT count_if(o_orderdate IS NULL) AS undated, count(o_orderdate) AS dated FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 11 <> 0) ON l_orderkey = o_orderkey) x")
 query("can12_components_long", "#entity_id #period component *value", lambda w: facts.unpivot_components(facts.pivot_components(w.season_c, ["entity_id", "period"], ["value", "opps"], COMPONENTS), ["entity_id", "period"], "value", COMPONENTS), "(SELECT entity_id, period, component, value FROM dense) x")
-apart("can13_project_season", "#entity_id #period *exposure #shots #conceded #saves *expected", lambda w: w.season,
-      "SELECT * FROM {season}")
-apart("can13_project_matches", "#entity_id #period #event_id @event_date *exposure #shots", lambda w: w.match,
-      "SELECT * FROM {matches}")
+_SEASON = {
+    "entity_id": "bigint", "period": "int", "team_id": "bigint", "exposure": "double", "appearances": "bigint", "shots": "bigint", "conceded": "bigint", "saves": "bigint",
+    **dict.fromkeys(("expected", "save_pct", "prevented", "conceded_rate", "shots_rate", "prevented_rate", "total_value", "total_rate"), "double"), "components_complete": "boolean",
+}
+_MATCH = {
+    "entity_id": "bigint", "event_id": "bigint", "period": "int", "team_id": "bigint", "event_date": "date", "matchday": "int", "exposure": "double",
+    "shots": "bigint", "conceded": "bigint", "saves": "bigint", **dict.fromkeys(("expected", "prevented", "total_value", "total_rate"), "double"),
+}
+
+
+def _marked(types):
+    return " ".join({"double": "*", "bigint": "#", "int": "#", "date": "@"}.get(t, "") + c for c, t in types.items())
+
+
+def _season_stats(w):
+    key = ["entity_id", "period"]
+    played = w.match.groupBy(*key).agg(F.count("*").alias("appearances"))
+    rows = w.traditional.join(played, key).join(w.totals.select(*key, "total_value", "total_rate", "components_complete"), key, "left")
+    return facts.project(rows.join(w.entities.select("entity_id", "team_id"), "entity_id", "left"), _SEASON)
+
+
+def _match_stats(w):
+    """The tables have no matchday; a match's total is the sum of its components."""
+    rows = w.match_totals.withColumns({"event_date": F.to_date("event_date"), "prevented": C("expected") - C("conceded"), "total_value": C("value")})
+    rows = rows.withColumn("total_rate", scalars.per_exposure(C("value"), C("exposure"), P.basis))
+    return facts.project(rows.join(w.entities.select("entity_id", "team_id"), "entity_id", "left"), _MATCH)
+
+
+apart("can13_project_season", _marked(_SEASON), _season_stats, """SELECT g.*, e.team_id, m.appearances, t.total_value, t.total_rate, t.components_complete FROM {traditional} g
+      JOIN (SELECT entity_id, period, count(*) AS appearances FROM {matches} GROUP BY ALL) m USING (entity_id, period)
+      LEFT JOIN {totals} t ON t.entity_id = g.entity_id AND t.period = g.period LEFT JOIN {entities} e ON e.entity_id = g.entity_id""")
+apart("can13_project_matches", _marked(_MATCH), _match_stats, f"""SELECT m.entity_id, m.event_id, m.period, e.team_id, CAST(m.event_date AS DATE) AS event_date, NULL AS matchday, m.exposure, m.shots, m.conceded, m.saves, m.expected,
+      m.expected - m.conceded AS prevented, m.value AS total_value, m.value / m.exposure * {P.basis} AS total_rate FROM {{match_totals}} m LEFT JOIN {{entities}} e ON e.entity_id = m.entity_id""")
 VERSION = "1"
 
 
@@ -505,7 +538,7 @@ apart("sco4_match_reasons", "#entity_id code label detail tone", lambda w: _brie
 query("sco5_shortlist_table", "#place #entity_id name *a_f *n_o *r_f *fit reasons", lambda w: _brief(w).withColumn("reasons", F.array_join(F.transform("reasons", lambda x: F.concat_ws(":", x["code"], x["tone"])), ",")),
       "(SELECT *, concat_ws(',', " + ", ".join(f"CASE WHEN {when} THEN '{k}:' || {tone} END" for k, (_, _, tone, when) in _REASONS.items()) + f") AS reasons FROM {_BRIEF}) x")
 _PROFILE_NUMBERS = ("exposure", "score", "score_low", "score_high", "adj_total", "obs_total", "total_reliability", "posterior_low", "posterior_high", "conceded_rate", "save_pct", "prevented", "prevented_rate", "expected", *(f"{c}_{v}" for c in COMPONENTS for v in ("adj", "pct")), "talent_score", "talent", "weight_league", "weight_prior", "weight_live")
-_PROFILE_COLUMNS = "#entity_id name team #age #period status #archetype #appearances #conceded #shots #saves " + " ".join("*" + n for n in _PROFILE_NUMBERS)
+_PROFILE_COLUMNS = "#entity_id name team nationality #age #period status #archetype #appearances #conceded #shots #saves " + " ".join("*" + n for n in _PROFILE_NUMBERS)
 
 
 def _profile_table(w):
@@ -514,7 +547,7 @@ def _profile_table(w):
     on_score = talent.interval_percentiles(long, w.shrunk_totals.filter("in_pool"), "adj_total", "exposure", ["period"])
     bounds = on_score.groupBy("entity_id", "period").pivot("bound", ["score_low", "score_high"]).agg(F.first("pct"))
     intervals = post.select("entity_id", "period", "posterior_low", "posterior_high").join(bounds, ["entity_id", "period"])
-    people = w.entities.select("entity_id", "name", "team", F.when(C("entity_id") % 7 != 0, 20 + C("entity_id") % 20).alias("age")).join(w.clusters.select("entity_id", C("cluster").alias("archetype")), "entity_id", "left")
+    people = w.entities.select("entity_id", "name", "team", C("team").alias("nationality"), F.when(C("entity_id") % 7 != 0, 20 + C("entity_id") % 20).alias("age")).join(w.clusters.select("entity_id", C("cluster").alias("archetype")), "entity_id", "left")
     now = lambda df: df.filter(C("period") == P.final)
     return serving.profile_table(now(w.ratings), w.traditional, now(w.component_pcts), intervals, people, now(w.match).groupBy("entity_id", "period").agg(F.count("*").alias("appearances")), w.talent_ranked, COMPONENTS)
 
@@ -523,7 +556,7 @@ def _on_score(bound):
     return f"100 * sum(CASE WHEN t.adj_total < p.{bound} THEN t.exposure WHEN t.adj_total = p.{bound} THEN t.exposure / 2 ELSE 0 END) / sum(t.exposure)"
 
 
-query("sco6_profile_table", _PROFILE_COLUMNS, _profile_table, f"""(SELECT r.*, e.name, e.team, CASE WHEN r.entity_id % 7 <> 0 THEN 20 + r.entity_id % 20 END AS age, c.cluster AS archetype, m.appearances, g.conceded, g.shots, g.saves, g.prevented, g.prevented_rate, g.expected, i.score_low, i.score_high, i.posterior_low, i.posterior_high,
+query("sco6_profile_table", _PROFILE_COLUMNS, _profile_table, f"""(SELECT r.*, e.name, e.team, e.team AS nationality, CASE WHEN r.entity_id % 7 <> 0 THEN 20 + r.entity_id % 20 END AS age, c.cluster AS archetype, m.appearances, g.conceded, g.shots, g.saves, g.prevented, g.prevented_rate, g.expected, i.score_low, i.score_high, i.posterior_low, i.posterior_high,
     {", ".join(f"k.{c}_{v}" for c in COMPONENTS for v in ("adj", "pct"))}, q.talent_pct AS talent_score, q.talent, q.weight_league, q.weight_prior, q.weight_live
     FROM ratings r JOIN entities e ON r.entity_id = e.entity_id JOIN (SELECT * FROM traditional WHERE period = {P.final}) g ON r.entity_id = g.entity_id JOIN (SELECT entity_id, count(*) AS appearances FROM matches WHERE period = {P.final} GROUP BY entity_id) m ON r.entity_id = m.entity_id
     JOIN (SELECT entity_id, {", ".join(f"max({v}) FILTER (component = '{c}') AS {c}_{n}" for c in COMPONENTS for n, v in (("adj", "adj_rate"), ("pct", "pct_adj")))} FROM component_pcts WHERE period = {P.final} GROUP BY entity_id) k ON r.entity_id = k.entity_id
