@@ -1,12 +1,16 @@
 """SimHash near-duplicates by pivot distance tables (operator 5).
 
 Fingerprints are computed per document, map only, and reduced to distinct values with their smallest document. The
-reference fingerprints are `PIVOTS` (33), a staircase: each has two more bits set than the one before, so a value's
-distances to neighbours differ by -2, 0 or 2, and the whole row of distances is kept as 32 such steps of two bits.
-Two values within `max_bits` of each other differ in that many steps at most, so pairs meet under the steps of each
-choice of groups of steps (more groups as there are more values, so buckets stay small): candidates come from the
-pivot table alone. A pair is discarded when a distance to one of `TESTED` pivots differs by over `max_bits` (the
-triangle inequality), and survivors are verified.
+reference fingerprints are two staircases (`PIVOTS`, `SHIFTED`; 33 and 32): each pivot has two more bits set than the
+one before, so a value's distances to neighbours differ by -2, 0 or 2, and a row of distances is kept as steps of two
+bits. The second staircase's steps straddle those of the first. The bits fall into `max_bits` + k groups; two values
+within `max_bits` of each other agree in k of them at least, and so in the steps of both staircases that lie inside
+these groups: pairs meet under the steps of each choice of k groups, and candidates come from the pivot tables alone.
+Steps that straddle tell nearly all bits of a group (all but 01..01 from 10..10), so k groups tell about
+64 k / (max_bits + k) bits; k grows until that is the logarithm of the number of values, so that random values have
+eight mates a choice at most at every size (groups differ by two bits, so a choice may have three bits less). The rows a value are the choices: 15 up to a million values, 35 to 10^8,
+70 to 2 x 10^9, 126 to 3 x 10^10. A pair is discarded when a distance to one of `TESTED` pivots differs by over
+`max_bits` (the triangle inequality), and survivors are verified.
 
 A group of thousands of near copies would meet as all pairs. So each bucket is first linked to its smallest and
 largest member only, linear work; components of those links are found, and then only members of different
@@ -35,6 +39,8 @@ SEED = 42
 STEPS = 32
 #: Reference fingerprints: their lowest 0, 2, 4, ... 64 bits are set.
 PIVOTS = [(1 << 2 * i) - 1 for i in range(STEPS + 1)]
+#: The same without bit 0 and one bit further.
+SHIFTED = [p << 1 for p in PIVOTS[:STEPS]]
 #: Pivots whose distances are compared pair by pair.
 TESTED = PIVOTS[::4][:8]
 
@@ -99,23 +105,29 @@ def near(fp_a: Column, table_a: Column, fp_b: Column, table_b: Column, max_bits:
     return out & (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= max_bits)
 
 
-def masks(n: int, max_bits: int) -> list[int]:
-    """Masks of steps such that values within `max_bits` agree under one of them: max_bits + k groups of steps, any k of them.
+def masks(n: int, max_bits: int) -> list[tuple[int, int]]:
+    """Masks of both staircases' steps such that values within `max_bits` agree under one pair of them.
 
-    k grows with the number of values, so that a mask's steps (1.5 bits of information each) tell about n values apart."""
+    There are max_bits + k groups of bits, and a pair of masks for any k of them; k grows with the number of values."""
     k = 1
-    while k < 4 and 3 * STEPS * k // (2 * (max_bits + k)) < max(1, n).bit_length() - 1:
+    while k < STEPS - max_bits and 2 * STEPS * k // (max_bits + k) < max(1, n).bit_length():
         k += 1
     cuts = [2 * (STEPS * i // (max_bits + k)) for i in range(max_bits + k + 1)]
-    groups = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
-    return [sum(c) for c in combinations(groups, k)]
+    # the second staircase's step at a place is of the two bits after it, so a group's last one would leave the group
+    groups = [((1 << b) - (1 << a), (1 << max(a, b - 2)) - (1 << a)) for a, b in zip(cuts, cuts[1:])]
+    return [(sum(g for g, _ in c), sum(g for _, g in c)) for c in combinations(groups, k)]
+
+
+def meeting_key(first: Column, second: Column, mask: tuple[int, int]) -> Column:
+    """One number of the steps under a pair of masks; other steps may share it, and verification tells them apart."""
+    return F.xxhash64(first.bitwiseAND(F.lit(_signed(mask[0]))), second.bitwiseAND(F.lit(_signed(mask[1]))))
 
 
 def near_components(values: DataFrame, max_bits: int = 4) -> DataFrame:
     """(fp, component) of distinct `values` (fp): component is the smallest fp reachable; values without a link are left out."""
     n = values.count()
-    keys = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("m"), F.col("s").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks(n, max_bits))))
-    table = values.withColumns({"s": pivot_steps(F.col("fp")), "t": pivot_table(F.col("fp"))})
+    keys = F.array(*(F.struct(F.lit(i).cast("smallint").alias("m"), meeting_key(F.col("s"), F.col("s2"), m).alias("bits")) for i, m in enumerate(masks(n, max_bits))))
+    table = values.withColumns({"s": pivot_steps(F.col("fp")), "s2": pivot_steps(F.shiftrightunsigned("fp", 1)), "t": pivot_table(F.col("fp"))})
     keyed = table.withColumn("k", F.explode(keys)).select("k.m", "k.bits", "fp", "t")
     hubs = keyed.groupBy("m", "bits").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
     hubs = hubs.withColumn("hub", F.explode(F.array("lo", "hi"))).select("m", "bits", "hub", pivot_table(F.col("hub")).alias("hub_t"))

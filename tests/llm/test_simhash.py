@@ -40,24 +40,45 @@ def test_fingerprint_matches_brute_force():
         assert simhash.fingerprint(t) == brute_fingerprint(t)
 
 
-@pytest.mark.parametrize("n,size", [(300, 400), (1 << 22, 400)])
-def test_masks_leave_no_pair_out(n, size):
-    rng, ms = random.Random(1), simhash.masks(n, 4)
-    for _ in range(size):
+def steps(v):
+    return sum(sum(v >> 2 * i + j & 1 for j in (0, 1)) << 2 * i for i in range(32))
+
+
+@pytest.mark.parametrize("n", [1, 300, 1 << 22, 1 << 33])
+@pytest.mark.parametrize("max_bits", [0, 3, 4, 7])
+def test_masks_leave_no_pair_out(n, max_bits):
+    rng, ms = random.Random(1), simhash.masks(n, max_bits)
+    for i in range(400):
         x = rng.getrandbits(64)
-        y = x ^ sum(1 << b for b in rng.sample(range(64), 4))
-        steps = [[sum(v >> 2 * i + j & 1 for j in (0, 1)) for i in range(32)] for v in (x, y)]
-        a, b = (sum(s << 2 * i for i, s in enumerate(row)) for row in steps)
-        assert any((a ^ b) & m == 0 for m in ms)
+        flipped = rng.sample(range(64), max_bits) if i % 2 else range(b := rng.randint(0, 64 - max_bits), b + max_bits)
+        y = x ^ sum(1 << b for b in flipped)
+        assert any((steps(x) ^ steps(y)) & a == 0 and (steps(x >> 1) ^ steps(y >> 1)) & b == 0 for a, b in ms)
+
+
+@pytest.mark.parametrize("n,choices", [(1 << 20, 15), (10**8, 35), (2 * 10**9, 70), (3 * 10**10, 126)])
+def test_mates_of_random_values_stay_few(n, choices):
+    """Of any size, a pair of masks tells random values apart to at most eight mates (expected, from the masks' bits)."""
+    ms = simhash.masks(n, 4)
+    assert len(ms) == choices
+    for a, b in ms:
+        bits, chance = a, 1.0
+        while bits:  # a run of w bits: all values but 01..01 and 10..10 have steps of their own
+            low = (bits & -bits).bit_length() - 1
+            w = ((bits >> low) + 1 & -((bits >> low) + 1)).bit_length() - 1
+            bits &= ~(((1 << w) - 1) << low)
+            chance *= 2.0**-w
+        assert n * chance <= 8 and (a & b) == b
 
 
 def test_steps_are_the_table_of_distances(spark):
     rng = random.Random(4)
     values = [0, 2**64 - 1, *(rng.getrandbits(64) for _ in range(50))]
     df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
-    for r in df.select("fp", simhash.pivot_steps(F.col("fp")).alias("s")).collect():
-        d = [((r.fp % 2**64) ^ p).bit_count() for p in simhash.PIVOTS]
-        assert [(r.s % 2**64) >> 2 * i & 3 for i in range(32)] == [(2 - (b - a)) // 2 for a, b in zip(d, d[1:])]
+    got = df.select("fp", simhash.pivot_steps(F.col("fp")).alias("s"), simhash.pivot_steps(F.shiftrightunsigned("fp", 1)).alias("s2"))
+    for r in got.collect():
+        for pivots, s in ((simhash.PIVOTS, r.s), (simhash.SHIFTED, r.s2)):
+            d = [((r.fp % 2**64) ^ p).bit_count() for p in pivots]
+            assert [(s % 2**64) >> 2 * i & 3 for i in range(len(d) - 1)] == [(2 - (b - a)) // 2 for a, b in zip(d, d[1:])]
 
 
 def test_components_match_brute_force(spark):
