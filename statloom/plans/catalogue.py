@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from statloom.functions import scalars
 from statloom.operators import archetypes, facts, joins, league, quality, rank, rates, reliability, scouting, serving, shrink, snapshots, talent, uncertainty
-from statloom.plans.oracle import Z, corr, pct
+from statloom.plans.oracle import Z, corr, pct, tilt
 from statloom.plans.params import COMPONENTS, DEFAULT, Params
-from statloom.plans.registry import apart, both, query
+from statloom.plans.registry import ORACLE, apart, both, query
 from statloom.sources import pages, payload, roster
 
 P = DEFAULT
@@ -301,7 +301,8 @@ apart("agg26_distinct_teams", "team", lambda w: w.entities.select("team").distin
 query("agg27_archetype_profile", "#cluster component #size *mean_involvement *median_score", lambda w: archetypes.profiles(w.z, w.clusters, w.ratings.filter(C("period") == P.final)),
       f"(SELECT cluster, component, count(*) AS size, avg(x) AS mean_involvement, median(score) AS median_score FROM z JOIN clusters USING (entity_id) LEFT JOIN (SELECT entity_id, score FROM ratings WHERE period = {P.final}) USING (entity_id) GROUP BY ALL) x")
 for _d, _name in ((0.0, "flat"), (0.01, "strong")):
-    query(f"agg7_k_gate_{_name}", "component source reason", lambda w, d=_d: type(w)(w.spark, w.dir, Params(signal=d)).params, None)
+    query(f"agg7_k_gate_{_name}", "component source reason", lambda w, d=_d: type(w)(w.spark, w.dir, Params(signal=d)).params, "params")
+    ORACLE[f"agg7_k_gate_{_name}"] = ORACLE[f"agg7_k_gate_{_name}"].replace(tilt(P.signal), tilt(_d))
 
 # --- shrinkage and rating
 query("shr1_reliability_weight", "#entity_id #period component *weight", lambda w: w.shrunk, "shrunk")

@@ -14,6 +14,11 @@ _VALUES = ", ".join(f"('{c}', {P.fallback_k[c]}, {P.volume_fallback[c]})" for c
 _H = f"period BETWEEN {P.history[0]} AND {P.history[1]}"
 
 
+def tilt(signal: float) -> str:
+    """What sets entities apart in a value, by the strength of the signal."""
+    return f"{signal} * ((entity_id % 7) - 3)"
+
+
 def corr(x: str, y: str, least: int) -> str:
     both = f"FILTER ({x} IS NOT NULL AND {y} IS NOT NULL)"
     return f"CASE WHEN count(*) {both} >= {least} AND var_pop({x}) {both} > 1e-15 AND var_pop({y}) {both} > 1e-15 THEN covar_pop({x}, {y}) {both} / (stddev_pop({x}) {both} * stddev_pop({y}) {both}) END"
@@ -59,8 +64,8 @@ CTES: dict[str, str] = {
         l_quantity AS q, l_discount AS disc, l_tax AS tax, l_returnflag = 'R' AS returned FROM lineitem""",
     "matches": "SELECT entity_id, period, event_id, min(ship_date) AS event_date, sum(q) AS exposure, count(*) AS shots, count_if(returned) AS conceded, count(*) - count_if(returned) AS saves, sum(tax) / 0.12 AS expected FROM lines GROUP BY ALL",
     "season": "SELECT entity_id, period, min(ship_date) AS event_date, max(ship_date) AS last_date, sum(q) AS exposure, count(*) AS shots, count_if(returned) AS conceded, count(*) - count_if(returned) AS saves, sum(tax) / 0.12 AS expected FROM lines GROUP BY ALL",
-    "match_c": f"SELECT c.*, m.event_date, m.exposure FROM (SELECT entity_id, period, event_id, component, sum(disc - 0.05 + {P.signal} * ((entity_id % 7) - 3)) AS value, sum(disc) AS raw_value, count(*) AS opps FROM lines GROUP BY ALL) c JOIN matches m USING (entity_id, period, event_id)",
-    "season_c": f"SELECT c.*, s.exposure FROM (SELECT entity_id, period, component, sum(disc - 0.05 + {P.signal} * ((entity_id % 7) - 3)) AS value, sum(disc) AS raw_value, count(*) AS opps FROM lines GROUP BY ALL) c JOIN season s USING (entity_id, period)",
+    "match_c": f"SELECT c.*, m.event_date, m.exposure FROM (SELECT entity_id, period, event_id, component, sum(disc - 0.05 + {tilt(P.signal)}) AS value, sum(disc) AS raw_value, count(*) AS opps FROM lines GROUP BY ALL) c JOIN matches m USING (entity_id, period, event_id)",
+    "season_c": f"SELECT c.*, s.exposure FROM (SELECT entity_id, period, component, sum(disc - 0.05 + {tilt(P.signal)}) AS value, sum(disc) AS raw_value, count(*) AS opps FROM lines GROUP BY ALL) c JOIN season s USING (entity_id, period)",
     "entities": "SELECT s_suppkey AS entity_id, s_name AS name, n_nationkey AS team_id, n_name AS team, n_regionkey AS club_id FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "match_club": "SELECT m.*, n_regionkey AS club FROM matches m LEFT JOIN (orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) ON event_id = o_orderkey",
     "stints": """SELECT entity_id, period, stint, club, count(*) AS appearances, sum(exposure) AS exposure, min(event_date) AS first_date, max(event_date) AS last_date FROM (
