@@ -122,10 +122,17 @@ def medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return each.groupBy(*keys).agg(*(F.first(F.when(F.col("_metric") == v, F.col("_m")), ignorenulls=True).alias(f"median_{v}") for v in values))
 
 
+#: Digits at which sums count as equal: the order of their terms moves only later ones.
+TIE_DIGITS = 12
+
+
 def add_ratings(totals: DataFrame, traditional: DataFrame) -> DataFrame:
-    """Score, full ranks, pool ranks and rank disagreement per entity and period."""
+    """Score, full ranks, pool ranks and rank disagreement per entity and period; totals equal to TIE_DIGITS are ties."""
     x = totals.join(traditional.select("entity_id", "period", "conceded_rate", "save_pct"), ["entity_id", "period"])
+    exact = {c: F.col(c) for c in ("adj_total", "obs_total")}
+    x = x.withColumns({f"_{c}": v for c, v in exact.items()} | {c: F.round(c, TIE_DIGITS) for c in exact})
     x = standings(x, ["period"], ["entity_id"], ["adj_total", "obs_total", "conceded_rate", "save_pct"], "exposure", "in_pool")
+    x = x.withColumns({c: F.col(f"_{c}") for c in exact}).drop(*(f"_{c}" for c in exact))
     pool = lambda v, asc: F.when(F.col("in_pool"), rank_of(v, asc, pool=True))
     x = x.withColumns({
         "score": percentile_of("adj_total"), "observed_pct": percentile_of("obs_total"),
