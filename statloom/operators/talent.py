@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators.rank import competition_rank, weighted_percentile
+from statloom.operators.rank import TIE_DIGITS, competition_rank, weighted_percentile
 from statloom.plans.params import Params
 
 
@@ -39,15 +39,16 @@ def current_talent(totals: DataFrame, total: DataFrame, p: Params) -> DataFrame:
 
 
 def rank_talent(talent: DataFrame, least_live: int = 10) -> DataFrame:
-    """Percentiles of the mean and of both bounds on one scale, and the rank; the pool is the live entities."""
+    """Percentiles of the mean and of both bounds on one scale, and the rank; the pool is the live entities. Means equal to TIE_DIGITS are ties."""
     enough = F.broadcast(talent.agg((F.count_if("in_live") >= least_live).alias("_enough")))  # one row
     x = talent.crossJoin(enough).withColumn("_pool", F.col("in_live") | ~F.col("_enough")).drop("_enough")
-    long = x.select("entity_id", "evidence_exposure", "_pool", F.explode(F.create_map(F.lit("mid"), "talent", F.lit("low"), "talent_low", F.lit("high"), "talent_high")).alias("bound", "v"))
-    means = x.filter("_pool").select("talent", "evidence_exposure")
+    long = x.select("entity_id", "evidence_exposure", "_pool", F.explode(F.create_map(F.lit("mid"), "talent", F.lit("low"), "talent_low", F.lit("high"), "talent_high")).alias("bound", "v")).withColumn("v", F.round("v", TIE_DIGITS))
+    means = x.filter("_pool").select(F.round("talent", TIE_DIGITS).alias("talent"), "evidence_exposure")
     out = interval_percentiles(long, means, "talent", "evidence_exposure")
     wide = out.groupBy("entity_id").pivot("bound", ["mid", "low", "high"]).agg(F.first("pct"))
     x = x.join(wide.select("entity_id", F.col("mid").alias("talent_pct"), F.col("low").alias("talent_pct_low"), F.col("high").alias("talent_pct_high")), "entity_id")
-    return competition_rank(x.withColumn("_one", F.lit(1)), ["_one"], "talent", "talent_rank").drop("_one", "_pool")
+    x = x.withColumns({"_one": F.lit(1), "_mean": F.round("talent", TIE_DIGITS)})
+    return competition_rank(x, ["_one"], "_mean", "talent_rank").drop("_one", "_mean", "_pool")
 
 
 def with_identity(talent: DataFrame, ratings: DataFrame, entities: DataFrame, p: Params) -> DataFrame:
