@@ -46,14 +46,15 @@ def silhouette(z: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def euclidean_silhouette(z: DataFrame, membership: DataFrame, block: int = 1024) -> DataFrame:
-    """Mean Euclidean silhouette, one row; exact, for populations of some thousands.
+    """Mean Euclidean silhouette, one row; exact, of any population.
 
     Blocks of entities meet each other block as arrays, and only sums of distances for each entity and cluster leave
-    a pair of blocks, so no row is made for a pair of entities; the arithmetic grows with their square."""
+    a pair of blocks, so no row is made for a pair of entities; a task holds one pair of blocks, the arithmetic grows with the square of entities."""
     rows = z.join(membership, "entity_id").groupBy("entity_id", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "z"))), lambda x: x["z"]).alias("v"))
     # blocks of about `block` entities by hash
     n_blocks = max(1, -(-membership.count() // block))
     blocks = rows.groupBy(F.pmod(F.xxhash64("entity_id"), F.lit(n_blocks)).alias("k")).agg(F.collect_list("entity_id").alias("ids"), F.collect_list("cluster").alias("cs"), F.flatten(F.collect_list("v")).alias("vs"))
+    blocks = written(blocks.drop("k").repartition(n_blocks), "parquet")  # made once, in even files
     other = blocks.select(F.col("cs").alias("cs2"), F.col("vs").alias("vs2"))
     pairs = blocks.crossJoin(other).select("ids", "cs", "vs", "cs2", "vs2")
 

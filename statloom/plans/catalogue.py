@@ -473,9 +473,9 @@ query("clu1_standardise", "#entity_id component *z", lambda w: w.z, "z")
 
 
 query("clu2_fit_kmeans", "#entity_id #cluster #k", lambda w: archetypes.fit_kmeans(w.z, seed=P.seed), "km_chosen")
-query("clu3_silhouette", "*silhouette", lambda w: archetypes.silhouette(w.z, w.clusters),
+query("clu3_silhouette", "*silhouette", lambda w: archetypes.euclidean_silhouette(w.z, w.clusters.select("entity_id", "cluster")),
       """(SELECT avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (SELECT entity_id, max(s / nullif(n - 1, 0)) FILTER (cluster = cb) AS a, min(s / n) FILTER (cluster <> cb) AS b
-      FROM (SELECT entity_id, cluster, cb, sum(d) AS s, count(*) AS n FROM (SELECT p.entity_id, cp.cluster, q.entity_id AS other, cq.cluster AS cb, sum((p.z - q.z) ** 2) AS d
+      FROM (SELECT entity_id, cluster, cb, sum(d) AS s, count(*) AS n FROM (SELECT p.entity_id, cp.cluster, q.entity_id AS other, cq.cluster AS cb, sqrt(sum((p.z - q.z) ** 2)) AS d
       FROM z p JOIN z q USING (component) JOIN clusters cp ON p.entity_id = cp.entity_id JOIN clusters cq ON q.entity_id = cq.entity_id GROUP BY ALL) GROUP BY ALL) GROUP BY entity_id)) x""")
 query("clu4_assign_cluster", "#entity_id #cluster *d2", lambda w: w.clusters, "clusters")
 
