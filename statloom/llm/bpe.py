@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .util import Recent, plain, small_batches
+from .util import Recent, plain, small_batches, worker_model
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies, white space by its Unicode property.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -226,16 +226,9 @@ def _sums(offsets: pa.Array, values: np.ndarray) -> np.ndarray:
     return np.diff(upto[offsets.to_numpy()])
 
 
-_LOADED: dict[str, BytePairModel] = {}
-
-
 def model_for(data: bytes) -> BytePairModel:
     """One model a worker process."""
-    key = hashlib.md5(data).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = BytePairModel(data)
-    return _LOADED[key]
+    return worker_model(f"bytes {hashlib.md5(data).hexdigest()}", lambda: BytePairModel(data))
 
 
 def _texts(column: pa.Array) -> pa.Array:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .util import discard, opened, packed_blocks, salt, small_batches, stored
+from .util import discard, opened, packed_blocks, release, salt, small_batches, stored
 
 ORDER = 5
 BLOCK_BYTES = 32 << 20
@@ -141,6 +141,7 @@ def block_grams(blocks: DataFrame, trusted: DataFrame, order: int = ORDER) -> Da
     """(block, gram, c): each block's distinct grams and their counts in the documents of `trusted` (block, id)."""
 
     def run(blobs: pa.Table, ids: pa.Table) -> pa.Table:
+        release()
         held, good = Counted(order), ids.column("id").combine_chunks()
         for batch in opened(blobs.column("blob")):
             for part in small_batches([batch], PART):
@@ -203,6 +204,7 @@ def block_sums(blocks: DataFrame, known: DataFrame, kinds: StructType, order: in
     empty = to_arrow_schema(schema).empty_table()
 
     def run(blobs: pa.Table, known: pa.Table) -> pa.Table:
+        release()
         flat = np.frombuffer("".join(known.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
         keys, values = pd.Index(row_hashes(flat.reshape(-1, order))), known.column("logp").to_numpy()
         out = []

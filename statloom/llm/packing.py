@@ -15,6 +15,8 @@ pieces and a rest; repeated rows are packed each; an empty table gives no rows;
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
 import zlib
 from array import array
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols, joined
-from .util import Recent, plain, salt, shuffle_parts, small_batches, stored
+from .util import Recent, plain, salt, shuffle_parts, small_batches, stored, worker_model
 
 END = 0
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -48,7 +50,7 @@ class ChunkTokenizer:
     PARTS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\x85\xa0]+")
     WHOLE = re.compile("'|<\\||[^\x00-\xff]")
 
-    def __init__(self, data: bytes, memo: int = 400_000):
+    def __init__(self, data: bytes, memo: int = 250_000):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_buffer(data)
@@ -86,21 +88,15 @@ class ChunkTokenizer:
         return joined(lists.offsets, by_chunk.take(chunks.indices))
 
 
-_TOKENIZER: list = []
-
-
 def pieces(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) for every document, ended by token 0; map only."""
     data = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        if not _TOKENIZER:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            _TOKENIZER.append(ChunkTokenizer(data.value))
-        own, end = _TOKENIZER[0], np.array([END], "<u4").tobytes()
-        for batch in small_batches(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        key = f"chunks {hashlib.md5(data.value).hexdigest()}"
+        own, end = worker_model(key, lambda: ChunkTokenizer(data.value)), np.array([END], "<u4").tobytes()
+        for batch in small_batches(batches, 4 << 20):
             rows: list = []
             for k, ids in enumerate(own.ids(pc.fill_null(batch.column(1).cast(pa.string()), "")).to_pylist()):
                 ids += end

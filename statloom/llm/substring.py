@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import opened, packed_blocks, salt, small_batches
+from .util import opened, packed_blocks, release, salt, small_batches
 
 BASES = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), np.uint64(0x9FB21C651E98DF25))
 LONGEST = 256
@@ -234,6 +234,7 @@ def _facts(kind: int, rows: np.ndarray) -> pa.RecordBatch:
 
 def _recurrences(batches, window):
     """Facts of the anchors' phrases, counted in parts, and of segments."""
+    release()
     held: list[np.ndarray] = []
     for batch in small_batches(batches, BATCH):
         flat = Flat(batch.column("_text").to_pylist(), batch.column("_id").to_pylist(), window)
@@ -310,6 +311,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     place = lambda flat, start: (flat.ids[flat.doc[start]], start - flat.begin[flat.doc[start]])
 
     def occurrences(blobs: pa.Table, facts: pa.Table) -> pa.Table:
+        release()
         kinds = facts.column("kind").to_numpy()
         automaton = compiled(facts.column("a").to_numpy().view(np.uint64)[kinds == PHRASE], min(KEY, max(1, window // 2)))
         segments, out = Known(facts.filter(pa.array(kinds == SEGMENT))), ([np.zeros(0, ROW)], [np.zeros(0, ROW)])
@@ -344,6 +346,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     fields = [f for f in docs.schema.fields if f.name != text_col]
 
     def cleaned(blobs: pa.Table, facts: pa.Table) -> pa.Table:
+        release()
         kinds = facts.column("kind").to_numpy()
         windows, segments = Known(facts.filter(pa.array(kinds == WINDOW))), Known(facts.filter(pa.array(kinds == SEGMENT)))
         out = []
