@@ -15,16 +15,32 @@ from pyspark.sql import functions as F
 from statloom.plans.params import Params
 
 PRIME = 2147483647
-#: Draws held at once.
-CELLS = 1_000_000
+#: Draws held at once: few enough for a core's own cache.
+CELLS = 65_536
 
 
 def draws(entity: int, period: int, b: np.ndarray, n: int, seed: int) -> np.ndarray:
     """The places drawn (0 to n - 1) of resamples `b`, a row each."""
-    x = np.fmod(entity * 69621 + period * 7919 + b[:, None] * 1000003 + np.arange(n) * 48271 + seed, PRIME)
+    start = entity * 69621 + period * 7919 + seed
+    x = (start + b * 1000003)[:, None] + np.arange(n) * 48271
+    x = (x if start >= 0 else np.abs(np.fmod(x, PRIME))).view(np.uint64)  # squared next, so the sign is of no matter
+    high = np.empty_like(x)
+
+    def fold(x):
+        """Modulo 2^31 - 1 by the two halves, in place: at most PRIME + 4 is left, and PRIME stands for 0 as well."""
+        for _ in range(2):
+            np.right_shift(x, np.uint64(31), out=high)
+            np.bitwise_and(x, np.uint64(PRIME), out=x)
+            np.add(x, high, out=x)
+
+    fold(x)
     for r in (1, 2, 3):
-        x = (x * x + (12345 + 777 * r)) % PRIME
-    return x % n
+        np.multiply(x, x, out=x)
+        np.add(x, np.uint64(12345 + 777 * r), out=x)
+        fold(x)
+    x = x.astype(np.uint32)
+    np.subtract(x, np.uint32(PRIME), out=x, where=x >= PRIME)
+    return (x - x // np.uint32(n) * np.uint32(n)).astype(np.intp)
 
 
 def resampled(matches: DataFrame, statistic, p: Params, least: int) -> DataFrame:
@@ -55,7 +71,11 @@ def resampled(matches: DataFrame, statistic, p: Params, least: int) -> DataFrame
 
 def total(x: np.ndarray) -> np.ndarray:
     """Sums of rows, without nan; nan for a row of nothing else."""
-    return np.where(np.isnan(x).all(1), np.nan, np.nansum(x, 1))
+    out = x.sum(1)
+    odd = np.isnan(out)
+    if odd.any():
+        out[odd] = np.where(np.isnan(x[odd]).all(1), np.nan, np.nansum(x[odd], 1))
+    return out
 
 
 def quotient(x: np.ndarray, y: np.ndarray) -> np.ndarray:
