@@ -42,6 +42,7 @@ from .util import discard, opened, packed_blocks, release, salt, small_batches,
 ORDER = 5
 BLOCK_BYTES = 32 << 20
 PART = 1 << 20
+BATCH = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START, END = "\x02", "\x03"
 SPACE, DIGIT = re.compile(r"\s+"), re.compile(r"\d")
@@ -230,7 +231,7 @@ def perplexities(
     blocks, n = blocks_of(rows, block_bytes)
     # ids only are joined, so no text is shuffled for its label
     trusted = rows.select("id", block_number(n).alias("block")).join(good.filter("not aside").select("id"), "id", "left_semi").select("block", "id").distinct()
-    pairs = stored(block_grams(blocks, trusted, order), "grams", drop_shuffles=True)
+    pairs = stored(block_grams(blocks, trusted, order), "grams", drop_shuffles=True, batch_bytes=BATCH)
     scratch, tables = [good, pairs], [stored(pairs.groupBy("gram").agg(F.sum("c").alias("c")), f"order{order}", drop_shuffles=True)]
     if tables[0].filter("c > 0").isEmpty():
         chars = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("chars")
@@ -241,7 +242,7 @@ def perplexities(
         scored = stored(probabilities(tables), "scored", drop_shuffles=True)
         scratch.append(scored)
         sums = block_sums(blocks, pairs.join(scored, "gram").select("block", "gram", "logp"), rows.schema, order)
-    out = stored(sums.join(good.filter("aside"), "id", "left").withColumn("aside", F.coalesce("aside", F.lit(False))), "sums", drop_shuffles=True)
+    out = stored(sums.join(good.filter("aside"), "id", "left").withColumn("aside", F.coalesce("aside", F.lit(False))), "sums", drop_shuffles=True, batch_bytes=BATCH)
     discard(*scratch, *tables)
     return out
 

@@ -36,6 +36,7 @@ from .bpe import byte_symbols, joined
 from .util import Recent, plain, salt, shuffle_parts, small_batches, stored, worker_model
 
 END = 0
+BATCH = 4 << 20
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -96,7 +97,7 @@ def pieces(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, id_col: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         key = f"chunks {hashlib.md5(data.value).hexdigest()}"
         own, end = worker_model(key, lambda: ChunkTokenizer(data.value)), np.array([END], "<u4").tobytes()
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, BATCH):
             rows: list = []
             for k, ids in enumerate(own.ids(pc.fill_null(batch.column(1).cast(pa.string()), "")).to_pylist()):
                 ids += end
@@ -306,7 +307,7 @@ def places(chosen: list[tuple[dict[int, int], int]], capacity: int) -> dict[int,
 def pack(cut: DataFrame, capacity: int = 2048, id_col: str = "doc_id", nodes: int = 300) -> DataFrame:
     """`cut` (from `pieces`) with sequence_id and offset, gapless from 0 in each sequence."""
     spark = cut.sparkSession
-    cut = stored(cut, "pieces")
+    cut = stored(cut, "pieces", batch_bytes=BATCH)
     chosen = plan({r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}, capacity, nodes)  # at most `capacity` rows
     where = spark.sparkContext.broadcast(places(chosen, capacity))
     salted = cut.withColumn("_salt", salt([F.col(id_col), F.col("piece")], 4 * shuffle_parts(spark)))

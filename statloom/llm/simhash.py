@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 4, width: int = 4, id_col:
     """(id, fp, component_id, component) of every row and the columns `keep`.
 
     component_id is the smallest id of its component, component the component's smallest fingerprint."""
-    own = stored(fingerprints(docs, width, id_col, text_col, keep), "fingerprints")
+    own = stored(fingerprints(docs, width, id_col, text_col, keep), "fingerprints", batch_bytes=8 << 20)
     values = stored(own.groupBy("fp").agg(F.min(id_col).alias("least")), "values")
     linked = near_components(values.select("fp"), max_bits)
     member = values.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from statloom.llm import util
+from statloom.llm import packing, util
 
 
 def test_one_model_a_worker():
@@ -35,3 +35,17 @@ def test_free_memory_goes_back():
     del held
     util.release()
     assert anonymous_mb() - before < 60
+
+
+def test_packing_reads_small_batches(spark, monkeypatch):
+    """Executor and worker hold an Arrow batch each while texts are tokenized: packing's are bounded by bytes, not by 10,000 rows."""
+    asked = []
+    real = util.stored
+    monkeypatch.setattr(packing, "stored", lambda df, name, **how: asked.append(how["batch_bytes"]) or real(df, name, **how))
+    docs = spark.range(2_000, numPartitions=1).selectExpr("id AS doc_id", "repeat('a ', 1000) AS text")
+    size = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    most = lambda **how: real(docs.mapInArrow(size, "n long"), "sizes", **how).agg({"n": "max"}).first()[0]
+    assert most() > 3_000_000 > 600_000 > most(batch_bytes=500_000)
+    assert spark.conf.get(util.BATCH_BYTES, None) is None
+    cut = spark.createDataFrame([(1, 0, 0, 5, 1)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert packing.pack(cut).count() == 1 and asked == [packing.BATCH]
