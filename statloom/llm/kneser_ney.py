@@ -43,6 +43,8 @@ ORDER = 5
 BLOCK_BYTES = 32 << 20
 PART = 1 << 20
 BATCH = 4 << 20
+#: Grams that are Python strings at once.
+SLICE = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START, END = "\x02", "\x03"
 SPACE, DIGIT = re.compile(r"\s+"), re.compile(r"\d")
@@ -96,6 +98,20 @@ def _strings(windows: np.ndarray) -> list[str]:
     return [flat[i : i + order] for i in range(0, len(flat), order)]
 
 
+def gram_column(windows: np.ndarray) -> pa.ChunkedArray:
+    """The grams of `windows`, with Python strings of a slice at a time."""
+    return pa.chunked_array([pa.array(_strings(windows[i : i + SLICE]), pa.string()) for i in range(0, len(windows), SLICE)], pa.string())
+
+
+def gram_keys(grams: pa.ChunkedArray, order: int) -> np.ndarray:
+    """`row_hashes` of a column of grams, with Python strings of a slice at a time."""
+    out = np.empty(len(grams), np.uint64)
+    for i in range(0, len(grams), SLICE):
+        part = "".join(grams.slice(i, SLICE).to_pylist()).encode("utf-32-le", "surrogatepass")
+        out[i : i + SLICE] = row_hashes(np.frombuffer(part, np.uint32).reshape(-1, order))
+    return out
+
+
 def block_number(n: int) -> Column:
     return salt([F.col("id"), F.col("text_hash")], n)
 
@@ -150,7 +166,7 @@ def block_grams(blocks: DataFrame, trusted: DataFrame, order: int = ORDER) -> Da
                 held.add(part.column("text").to_pylist(), mine)
         n, windows = held.merge()
         block = np.full(len(n), blobs.column("block")[0].as_py() if blobs.num_rows else 0, np.int32)
-        return pa.table([pa.array(block), pa.array(_strings(windows), pa.string()), pa.array(n)], ["block", "gram", "c"])
+        return pa.table([pa.array(block), gram_column(windows), pa.array(n)], ["block", "gram", "c"])
 
     return blocks.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "block int, gram string, c bigint")
 
@@ -206,8 +222,7 @@ def block_sums(blocks: DataFrame, known: DataFrame, kinds: StructType, order: in
 
     def run(blobs: pa.Table, known: pa.Table) -> pa.Table:
         release()
-        flat = np.frombuffer("".join(known.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        keys, values = pd.Index(row_hashes(flat.reshape(-1, order))), known.column("logp").to_numpy()
+        keys, values = pd.Index(gram_keys(known.column("gram"), order)), known.column("logp").to_numpy()
         out = []
         for batch in opened(blobs.column("blob")):
             for part in small_batches([batch], PART):

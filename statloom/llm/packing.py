@@ -37,6 +37,8 @@ from .util import Recent, plain, salt, shuffle_parts, small_batches, stored, wor
 
 END = 0
 BATCH = 4 << 20
+#: Distinct parts of texts whose ids a worker keeps, twice so many at most: about 60 MB.
+MEMO = 250_000
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -51,7 +53,7 @@ class ChunkTokenizer:
     PARTS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\x85\xa0]+")
     WHOLE = re.compile("'|<\\||[^\x00-\xff]")
 
-    def __init__(self, data: bytes, memo: int = 250_000):
+    def __init__(self, data: bytes, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_buffer(data)
@@ -89,14 +91,14 @@ class ChunkTokenizer:
         return joined(lists.offsets, by_chunk.take(chunks.indices))
 
 
-def pieces(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: bytes, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", memo: int = MEMO) -> DataFrame:
     """(id, piece, start, length, ids_crc32) for every document, ended by token 0; map only."""
     data = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        key = f"chunks {hashlib.md5(data.value).hexdigest()}"
-        own, end = worker_model(key, lambda: ChunkTokenizer(data.value)), np.array([END], "<u4").tobytes()
+        key = f"chunks {memo} {hashlib.md5(data.value).hexdigest()}"
+        own, end = worker_model(key, lambda: ChunkTokenizer(data.value, memo)), np.array([END], "<u4").tobytes()
         for batch in small_batches(batches, BATCH):
             rows: list = []
             for k, ids in enumerate(own.ids(pc.fill_null(batch.column(1).cast(pa.string()), "")).to_pylist()):

@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,10 +35,11 @@ def stored(df: DataFrame, name: str, drop_shuffles: bool = False, batch_bytes: i
     """`df` written to the shared folder and read back: lineage is cut and a lost executor costs no recomputation.
 
     With `drop_shuffles` the shuffle files of the write are deleted when it is done, not when the driver collects garbage;
-    with `batch_bytes` its Arrow batches have about that size, which the executor and its Python worker hold at once each."""
+    with `batch_bytes` its Arrow batches have about that size, which the executor and its Python worker hold at once each,
+    and texts are read 512 rows at a time."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/statloom/{name}-{uuid.uuid4().hex}"
-    chosen = {CLEANUP: "true" if drop_shuffles else None, BATCH_BYTES: batch_bytes and str(batch_bytes)}
+    chosen = {CLEANUP: "true" if drop_shuffles else None, BATCH_BYTES: batch_bytes and str(batch_bytes), READ_ROWS: batch_bytes and "512"}
     before = {k: spark.conf.get(k, None) for k, v in chosen.items() if v}
     for k in before:
         spark.conf.set(k, chosen[k])

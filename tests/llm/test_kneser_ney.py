@@ -1,6 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from statloom.llm import kneser_ney as kn
@@ -94,3 +97,19 @@ def test_limits_match_brute_force(spark):
         own_row = rows[r.doc_id]
         want = limit[own_row[1] if own_row[1] in limit else "all"]
         assert math.isclose(math.log(r.threshold), want, rel_tol=1e-9) and r.kept == (drawn(own_row) <= want)
+
+
+def test_gram_columns_hold_strings_of_a_slice_only(monkeypatch):
+    """Both ways give what whole columns gave, without a Python string for each gram of a block at once."""
+    monkeypatch.setattr(kn, "SLICE", 1000)
+    rng = np.random.default_rng(3)
+    windows = rng.choice(np.array([2, 3, 32, 97, 228, 0x4E2D, 0x1F600], np.uint32), (200_000, 5))
+    tracemalloc.start()
+    column = kn.gram_column(windows)
+    keys = kn.gram_keys(column, 5)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert column.to_pylist() == kn._strings(windows) and column.type == pa.string() and (keys == kn.row_hashes(windows)).all()
+    assert most < 12  # a string for each of 200,000 grams takes 15 MB and more
+    none = np.zeros((0, 5), np.uint32)
+    assert len(kn.gram_column(none)) == 0 == len(kn.gram_keys(kn.gram_column(none), 5))

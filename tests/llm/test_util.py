@@ -49,3 +49,44 @@ def test_packing_reads_small_batches(spark, monkeypatch):
     assert spark.conf.get(util.BATCH_BYTES, None) is None
     cut = spark.createDataFrame([(1, 0, 0, 5, 1)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     assert packing.pack(cut).count() == 1 and asked == [packing.BATCH]
+
+
+def test_bounded_batches_read_texts_few_rows_at_a_time(spark, tmp_path):
+    """Spark's reader holds the whole texts of its batch: 4,096 rows of any length by default."""
+    spark.range(3_000, numPartitions=1).selectExpr("id", "repeat('a', 50) AS text").write.parquet(str(tmp_path / "docs"))
+    asked = []
+    real = type(spark.conf).set
+
+    def noted(self, key, value):
+        asked.append((key, value))
+        real(self, key, value)
+
+    type(spark.conf).set = noted
+    try:
+        out = util.stored(spark.read.parquet(str(tmp_path / "docs")), "few", batch_bytes=1 << 20)
+    finally:
+        type(spark.conf).set = real
+    assert out.count() == 3_000 and (util.READ_ROWS, "512") in asked
+    assert spark.conf.get(util.READ_ROWS) == "4096"
+
+
+def test_packing_keeps_as_many_parts_as_it_is_told(spark, monkeypatch):
+    """The pipeline packs with a smaller memo than op3, and to the same pieces."""
+    import corpus_pipeline
+    import public_tokenizers
+
+    vocabulary, asked = packing_vocabulary(public_tokenizers), []
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j % 7} Größe{j}" for j in range(40))) for i in range(30)], "doc_id long, text string")
+    rows = lambda **how: sorted(map(tuple, packing.pieces(docs, vocabulary, **how).collect()))
+    assert rows(memo=3) == rows()
+    own = packing.ChunkTokenizer(vocabulary, 3)
+    own.ids(pa.array(["a b c d e f g h i j k"]))
+    assert len(own.memo.young) <= 3 and len(own.memo.old) <= 3
+    real = packing.pieces
+    monkeypatch.setattr(packing, "pieces", lambda *a, **how: asked.append(how["memo"]) or real(*a, **how))
+    assert corpus_pipeline.best_fit_packing(spark, docs, "").count() == 30 and asked == [corpus_pipeline.MEMO] and asked[0] < packing.MEMO
+
+
+def packing_vocabulary(tokenizers) -> bytes:
+    with open(tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        return f.read()
