@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.operators.rank import TIE_DIGITS, competition_rank, weighted_percentile
+from statloom.operators.rank import TIE, competition_rank, weighted_percentile
 from statloom.plans.params import Params
 
 
@@ -39,16 +39,14 @@ def current_talent(totals: DataFrame, total: DataFrame, p: Params) -> DataFrame:
 
 
 def rank_talent(talent: DataFrame, least_live: int = 10) -> DataFrame:
-    """Percentiles of the mean and of both bounds on one scale, and the rank; the pool is the live entities. Means equal to TIE_DIGITS are ties."""
+    """Percentiles of the mean and of both bounds on one scale, and the rank; the pool is the live entities. Means and bounds nearer than TIE to the next are ties."""
     enough = F.broadcast(talent.agg((F.count_if("in_live") >= least_live).alias("_enough")))  # one row
     x = talent.crossJoin(enough).withColumn("_pool", F.col("in_live") | ~F.col("_enough")).drop("_enough")
-    long = x.select("entity_id", "evidence_exposure", "_pool", F.explode(F.create_map(F.lit("mid"), "talent", F.lit("low"), "talent_low", F.lit("high"), "talent_high")).alias("bound", "v")).withColumn("v", F.round("v", TIE_DIGITS))
-    means = x.filter("_pool").select(F.round("talent", TIE_DIGITS).alias("talent"), "evidence_exposure")
-    out = interval_percentiles(long, means, "talent", "evidence_exposure")
+    long = x.select("entity_id", "evidence_exposure", "_pool", F.explode(F.create_map(F.lit("mid"), "talent", F.lit("low"), "talent_low", F.lit("high"), "talent_high")).alias("bound", "v"))
+    out = interval_percentiles(long, x.filter("_pool"), "talent", "evidence_exposure", near=TIE)
     wide = out.groupBy("entity_id").pivot("bound", ["mid", "low", "high"]).agg(F.first("pct"))
     x = x.join(wide.select("entity_id", F.col("mid").alias("talent_pct"), F.col("low").alias("talent_pct_low"), F.col("high").alias("talent_pct_high")), "entity_id")
-    x = x.withColumns({"_one": F.lit(1), "_mean": F.round("talent", TIE_DIGITS)})
-    return competition_rank(x, ["_one"], "_mean", "talent_rank").drop("_one", "_mean", "_pool")
+    return competition_rank(x.withColumn("_one", F.lit(1)), ["_one"], "talent", "talent_rank", near=TIE).drop("_one", "_pool")
 
 
 def with_identity(talent: DataFrame, ratings: DataFrame, entities: DataFrame, p: Params) -> DataFrame:
@@ -58,7 +56,7 @@ def with_identity(talent: DataFrame, ratings: DataFrame, entities: DataFrame, p:
     return known.join(entities.select("entity_id", "name", "team"), "entity_id", "left")
 
 
-def interval_percentiles(long: DataFrame, pool: DataFrame, value: str, weight: str, keys: list[str] | None = None) -> DataFrame:
+def interval_percentiles(long: DataFrame, pool: DataFrame, value: str, weight: str, keys: list[str] | None = None, near: float | None = None) -> DataFrame:
     """`long` (.., v) with pct of v against the pool's `value` weighted by `weight`: bounds on the score's own scale."""
     keys = keys or ["_k"]
     if keys == ["_k"]:
@@ -66,5 +64,5 @@ def interval_percentiles(long: DataFrame, pool: DataFrame, value: str, weight: s
     asked = long.withColumn("_w", F.lit(0.0)).withColumn("_in", F.lit(False))
     given = pool.select(*keys, F.col(value).alias("v"), F.col(weight).alias("_w")).withColumn("_in", F.lit(True))
     both = asked.unionByName(given, allowMissingColumns=True)
-    out = weighted_percentile(both, keys, "v", "_w", "_in")
+    out = weighted_percentile(both, keys, "v", "_w", "_in", near=near)
     return out.filter("not _in").drop("_w", "_in", *(["_k"] if keys == ["_k"] else []))
